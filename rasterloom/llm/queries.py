@@ -10,6 +10,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import minhash
+
+    return minhash.classes(_read(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
@@ -30,6 +36,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, _read(spark, sf_dir, "labels"), keep_text=False)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix
+
+    found = suffix.dedup(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate
 
@@ -50,7 +63,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_best_fit_packing, op4_substring_dedup, op5_quality_rules, op8_decontaminate, op9_lm_scoring, op10_token_ids)}
+    return {f.__name__: f for f in (op2_minhash_dedup, op3_best_fit_packing, op4_substring_dedup, op5_quality_rules, op6_suffix_dedup, op8_decontaminate, op9_lm_scoring, op10_token_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
