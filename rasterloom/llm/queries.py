@@ -43,6 +43,12 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    return pii.digest(pii.find(_read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate
 
@@ -63,7 +69,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_minhash_dedup, op3_best_fit_packing, op4_substring_dedup, op5_quality_rules, op6_suffix_dedup, op8_decontaminate, op9_lm_scoring, op10_token_ids)}
+    return {f.__name__: f for f in (op2_minhash_dedup, op3_best_fit_packing, op4_substring_dedup, op5_quality_rules, op6_suffix_dedup, op7_pii, op8_decontaminate, op9_lm_scoring, op10_token_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
