@@ -10,6 +10,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_text
+
+    return html_text.extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import minhash
 
@@ -69,7 +75,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_minhash_dedup, op3_best_fit_packing, op4_substring_dedup, op5_quality_rules, op6_suffix_dedup, op7_pii, op8_decontaminate, op9_lm_scoring, op10_token_ids)}
+    return {f.__name__: f for f in (op1_html_text, op2_minhash_dedup, op3_best_fit_packing, op4_substring_dedup, op5_quality_rules, op6_suffix_dedup, op7_pii, op8_decontaminate, op9_lm_scoring, op10_token_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
