@@ -59,6 +59,8 @@ def table(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
 
 def by_bucket(bucket: np.ndarray, kind: int, fp: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int, bytes]]:
     """A row for each bucket that has entries."""
+    if not len(bucket):
+        return []
     order = np.argsort(bucket, kind="stable")
     bucket, fp, doc = bucket[order], fp[order], doc[order]
     cut = np.flatnonzero(np.diff(bucket, prepend=-1))
