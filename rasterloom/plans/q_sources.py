@@ -114,7 +114,7 @@ def read_commit_log(spark, d):
 _FEED = "select user_id % 20 as feed, event_id, user_id, ts, event_type, coalesce(max(case when event_id % 40 = 0 then event_id end) over (partition by user_id % 20 order by event_id), null) day_id from events"
 
 
-@query(f"select feed, event_id as line_no, concat('Day ', day_id) as day, case when event_id % 5 = 4 then '<sometime>' when event_id % 5 = 3 then '<notime>' else strftime(ts, '%H:%M') end as time, case event_id % 5 when 0 then 'T' || event_id when 1 then ' -> F' || event_id when 2 then ' ->> F' || event_id when 3 then 'T' || event_id else '<unknown>' end title, case event_id % 5 when 4 then '<unknown>' else 'user' || user_id end author from ({_FEED}) where event_id % 40 <> 0")
+@query(f"select feed, event_id as line_no, 'Day ' || day_id as day, case when event_id % 5 = 4 then '<sometime>' when event_id % 5 = 3 then '<notime>' else strftime(ts, '%H:%M') end as time, case event_id % 5 when 0 then 'T' || event_id when 1 then ' -> F' || event_id when 2 then ' ->> F' || event_id when 3 then 'T' || event_id else '<unknown>' end title, case event_id % 5 when 4 then '<unknown>' else 'user' || user_id end author from ({_FEED}) where event_id % 40 <> 0")
 def parse_change_feed(spark, d):
     e = view(spark, d, "events")
     i, who = F.col("event_id").cast("string"), F.concat(F.lit("user"), F.col("user_id"))
