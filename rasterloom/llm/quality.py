@@ -113,14 +113,15 @@ def fit(rows: list[np.ndarray], target: np.ndarray, *, max_features: int = MAX_F
     learn = np.flatnonzero(~held)
     if min(target[learn].sum(), (~target[learn]).sum()) < 2:
         return _always(1e-3)
-    yes = np.bincount(np.concatenate([rows[i] for i in learn if target[i]]), minlength=_SPACE)
-    no = np.bincount(np.concatenate([rows[i] for i in learn if not target[i]]), minlength=_SPACE)
+    yes, no = np.zeros(_SPACE, np.int32), np.zeros(_SPACE, np.int32)
+    for i in learn:
+        (yes if target[i] else no)[rows[i]] += 1  # a row has each n-gram once
     n_yes, n_no = target[learn].sum(), (~target[learn]).sum()
     p, q = (yes + 0.5) / (n_yes + 1), (no + 0.5) / (n_no + 1)
     pull = np.abs(p - q) / np.sqrt((p * (1 - p)) / n_yes + (q * (1 - q)) / n_no)
     pull[yes + no < 3] = 0
     chosen = np.sort(np.argsort(-pull, kind="stable")[:max_features])
-    place = np.full(_SPACE, -1)
+    place = np.full(_SPACE, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     cols = [place[r][place[r] >= 0] for r in rows]
 
@@ -189,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLE
     out = []
     for name in ("low", "toxic"):
         use = [r for r in rows if r[name] is not None]
-        out.append(fit([np.frombuffer(r.grams, "<u4").astype(np.int64) for r in use], np.array([bool(r[name]) for r in use], bool)))
+        out.append(fit([np.frombuffer(r.grams, "<u4") for r in use], np.array([bool(r[name]) for r in use], bool)))
     return out[0], out[1]
 
 
