@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 
 from . import _text as tx
 
-TRAIN_PAGES, EPOCHS, BATCH, HIDDEN = 400, 7, 24, 16
+TRAIN_PAGES, EPOCHS, BATCH, HIDDEN = 1200, 8, 24, 16
 SEED = 11
 SLICE_BYTES = 1 << 20
 
@@ -47,7 +47,7 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
-N_TAG, N_CLASS, N_LAST, N_TEXT, N_PLAIN = 64, 96, 32, 32, 5
+N_TAG, N_CLASS, N_LAST, N_TEXT, N_PLAIN = 128, 384, 64, 32, 5
 WIDTH = N_TAG + N_CLASS + N_LAST + N_TEXT + N_PLAIN
 
 
@@ -287,7 +287,7 @@ def make_page(rnd: random.Random) -> str:
             items = "".join(f'<li><a href="/x">{junk()}</a></li>' for _ in range(rnd.randint(2, 7)))
             inner = items if tag == "ul" else f"<ul>{items}</ul>"
         elif kind == "comments":
-            inner = "".join(f'<div class="comment">{rnd.choice(["<p>", ""])}{prose(chr(2))}</div>' for _ in range(rnd.randint(1, 4)))
+            inner = "".join(f'<div{rnd.choice([" class=" + chr(34) + "comment" + chr(34), ""])}>{rnd.choice(["<p>", ""])}{prose(chr(2), 1)}</div>' if rnd.random() < 0.7 else f"<p>{prose(chr(2), 1)}</p>" for _ in range(rnd.randint(1, 4)))
         elif kind == "form":
             inner = f"<label>{junk()}</label><p>{junk()}</p>"
         else:
