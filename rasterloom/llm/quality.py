@@ -1,7 +1,8 @@
 """Quality rules: calibrated logistic regression on hashed word and character n-grams.
 
 Two classifiers, low quality and toxic, are trained on labelled rows.  Features are the
-presence of hashed lower-cased words, word pairs and byte 4-grams.  The sample is bounded,
+presence of hashed lower-cased words, word pairs, byte 4-grams and word beginnings of 4
+to 7 bytes.  The sample is bounded,
 ``max_labelled`` labelled documents in the order of a hash of their id; their whole texts
 are read.  A fifth of the sample is held out of the fit: it calibrates the probabilities
 (Platt scaling).  Every text is then scored in Arrow batches against fixed thresholds.
@@ -31,8 +32,10 @@ MIN_CLASS = 5
 #: A document is rejected from these calibrated probabilities on.
 LOW_QUALITY_FROM, TOXIC_FROM = 0.5, 0.5
 
-_WORD_BITS, _PAIR_BITS, _CHAR_BITS = 18, 18, 17
-_SPACE = (1 << _WORD_BITS) + (1 << _PAIR_BITS) + (1 << _CHAR_BITS)
+_WORD_BITS, _PAIR_BITS, _CHAR_BITS, _HEAD_BITS = 18, 18, 17, 17
+_HEADS = range(4, 8)
+_HEADS_FROM = (1 << _WORD_BITS) + (1 << _PAIR_BITS) + (1 << _CHAR_BITS)
+_SPACE = _HEADS_FROM + (1 << _HEAD_BITS)
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -78,7 +81,16 @@ def features(words: tx.Words) -> tuple[np.ndarray, np.ndarray]:
     three = ((quad * np.uint32(2654435761)) >> np.uint32(32 - _CHAR_BITS)).astype(np.int64) + (1 << _WORD_BITS) + (1 << _PAIR_BITS)
     owner = np.repeat(np.arange(len(words.offs) - 1), np.diff(words.offs))
     inside = owner[:-3] == owner[3:] if len(owner) > 3 else np.zeros(0, bool)
-    return np.concatenate([words.doc, words.doc[: len(pairs)][same], owner[: len(quad)][inside]]), np.concatenate([one, two, three[inside]])
+    docs, grams = [words.doc, words.doc[: len(pairs)][same], owner[: len(quad)][inside]], [one, two, three[inside]]
+    lower, by = tx.LOWER[words.buf].astype(np.uint64) + np.uint64(1), tx.powers(max(_HEADS))
+    for n in _HEADS:
+        long = np.flatnonzero(words.lens >= n)
+        head = np.zeros(len(long), np.uint64)
+        for j in range(n):
+            head += lower[words.starts[long] + j] * by[j]
+        docs.append(words.doc[long])
+        grams.append((tx.mix(head + np.uint64(n << 56)) >> np.uint64(64 - _HEAD_BITS)).astype(np.int64) + _HEADS_FROM)
+    return np.concatenate(docs), np.concatenate(grams)
 
 
 @dataclass
@@ -105,7 +117,7 @@ def _always(p: float) -> Classifier:
     return Classifier(np.zeros(_SPACE), 0.0, float(np.log(p / (1 - p))))
 
 
-def fit(rows: list[np.ndarray], target: np.ndarray, *, max_features: int = MAX_FEATURES, min_class: int = MIN_CLASS, penalty: float = 2e-3, steps: int = 400) -> Classifier:
+def fit(rows: list[np.ndarray], target: np.ndarray, *, max_features: int = MAX_FEATURES, min_class: int = MIN_CLASS, penalty: float = 5e-4, steps: int = 400) -> Classifier:
     """L1-penalised logistic regression by accelerated proximal gradient, then Platt scaling on the held-out fifth."""
     if min(target.sum(), (~target).sum()) < min_class:
         return _always(1e-3)
