@@ -13,8 +13,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
+#: Text bytes for each bucket at most, on average, so that a bucket's task fits in memory at every input size.
+BUCKET_BYTES = 32 << 20
 
 #: A-Z to a-z.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -50,6 +54,16 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         lo = hi
 
 
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+
+
+def buckets(docs: DataFrame, each: int = 1, size: int | None = None) -> int:
+    """``each`` buckets a shuffle partition, and more where they would hold over BUCKET_BYTES of text."""
+    by_setting = each * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(by_setting, -(-(text_bytes(docs) if size is None else size) // BUCKET_BYTES))
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -254,7 +254,7 @@ def _marks(pieces: DataFrame, width: int) -> DataFrame:
 def dedup(docs: DataFrame, *, width: int = WIDTH, n_buckets: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (removed runs, start and end) and kept, the bytes left."""
     spark = docs.sparkSession
-    n_buckets = n_buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = n_buckets or tx.buckets(docs, 2)
     work = Workspace(spark, "suffix")
     pieces = _candidates(docs, n_buckets, width, work)
     marks = _marks(pieces, width)
