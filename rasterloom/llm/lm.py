@@ -3,9 +3,10 @@
 Counting is exact and covers every training document.  Texts are taken in blocks of
 bounded bytes; a block sends each bucket of the fingerprint space its distinct tokens
 and bigrams with their counts, so a token that fills a third of the corpus is one entry
-a block.  A bucket sums them, answers each block with the counts of its tokens, and
-builds its shard of the filter: an n-gram of quantised count q is inserted q times, as
-(n-gram, 1) .. (n-gram, q), and q is read back by repeated membership probes.
+a block.  A bucket sums them and builds its shard of the filter: an n-gram of quantised
+count q is inserted q times, as (n-gram, 1) .. (n-gram, q), and q is read back by
+repeated membership probes.  It then answers each block with the counts of its tokens
+and the levels that its tokens and bigrams have in the shard.
 
 Quantiser: unigrams q = 1 + floor(2 log2 c), bigrams q = floor(2 log2 c), so a bigram
 seen once has level 0 and takes no room.  Model: P(w) = (rep(q) + 0.1) / Z, where
@@ -14,10 +15,8 @@ one unknown token; P(w | v) = (low(vw) + K P(w)) / (high(v) + K) with the lower
 bigram's and the upper end of the context's level, so the probabilities of a context
 sum to at most one, apart from the filter's false positives.
 
-The filter is broadcast and its size is bounded: a shard has 8 to 16 bits an entry, and
-shards are folded in halves until all of them take at most ``max_filter_mb``.  Every
-n-gram stays in; a corpus far beyond the bound has more false positives, and the bound
-should be raised to what a worker can hold.
+A shard has 8 to 16 bits an entry at every input size and lives in its bucket's task
+only, where it is probed for all blocks; the number of buckets grows with the input.
 
 Tokens are told apart by 64-bit fingerprints.  Defined cases: a null or empty text is
 the end token alone; repeated rows count and are scored each; a null doc_id is in
@@ -39,13 +38,13 @@ from ..workspace import Workspace
 from . import _text as tx
 
 BLOCK_BYTES = 4 << 20
-MAX_FILTER_MB = 64
+CHUNK = 1 << 18
 BITS_PER_ENTRY = 8
 PROBES = 3
 SMOOTHING = 8.0
 FOLDS = 10
 
-_UNI, _BI, _DOCS, _REPLY, _SHARD, _TOTAL = range(6)
+_UNI, _BI, _DOCS, _REPLY, _TOTAL = range(5)
 _END = tx.mix(np.array([0xE4D], np.uint64))[0]
 _BEGIN = tx.mix(np.array([0xBE6], np.uint64))[0]
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -118,8 +117,9 @@ def _blocks(docs: DataFrame, send: tuple[int, ...], n_buckets: int, block_bytes:
                         buckets.append(b)
                         payloads.append(_planes(uniq[x]) + _planes(counts[x]))
                 if _BI in send:
-                    pairs, counts = np.unique(_bigrams(tokens, ends)[of_train], return_counts=True)
-                    edge, counts = _edges(pairs, n_buckets), counts.astype(np.uint64)
+                    pairs, at = np.unique(_bigrams(tokens, ends), return_inverse=True)
+                    counts = np.bincount(at[of_train], minlength=len(pairs)).astype(np.uint64)
+                    edge = _edges(pairs, n_buckets)
                     for b in np.flatnonzero(np.diff(edge)):
                         x = slice(edge[b], edge[b + 1])
                         kinds.append(_BI)
@@ -165,32 +165,43 @@ def _sums(rows: list[tuple[str, bytes]]) -> tuple[np.ndarray, np.ndarray, list[n
     return uniq, total, np.split(inv, np.cumsum([len(x) for x in fps])[:-1])
 
 
+def _shard(fp: np.ndarray, q: np.ndarray) -> Filter:
+    """A filter of (n-gram, 1) .. (n-gram, q) for each fingerprint."""
+    bits = 1 << max(6, int(np.ceil(np.log2(max(1, int(q.sum()) * BITS_PER_ENTRY)))))
+    shard = np.zeros(bits, bool)
+    for at in range(0, len(fp), CHUNK):
+        f, levels = fp[at : at + CHUNK], q[at : at + CHUNK]
+        for level in range(1, int(levels.max(initial=0)) + 1):
+            for slot in _slots(f[levels >= level], level, np.uint64(bits - 1)):
+                shard[slot] = True
+    return Filter({0: np.packbits(shard, bitorder="little").tobytes()}, 1)
+
+
+def _levels(fp: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """What a shard of the given levels reads back for each fingerprint, as bytes."""
+    shard = _shard(fp, q)
+    return np.concatenate([shard.level(fp[at : at + CHUNK]).astype(np.uint8) for at in range(0, len(fp), CHUNK)] or [np.zeros(0, np.uint8)])
+
+
 def _reduce(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    bucket = key[0].as_py()
     rows: dict[int, list] = {_UNI: [], _BI: []}
     for block, kind, payload in zip(table["block"].to_pylist(), table["kind"].to_pylist(), table["payload"].to_pylist(), strict=True):
         rows[kind].append((block, payload))
-    out, entries, totals = [], [], np.zeros(3)
+    totals, reply = np.zeros(3), {block: b"" for got in rows.values() for block, _ in got}
     if rows[_UNI]:
         uniq, counts, where = _sums(rows[_UNI])
-        for (block, _), at in zip(rows[_UNI], where, strict=True):
-            out.append((block, _REPLY, _planes(counts[at].astype(np.uint64))))
         q = uni_level(counts)
         totals[:] = counts.sum(), (counts > 0).sum(), (uni_rep(q)[q > 0] + 0.1).sum()
-        entries.append((uniq, q))
+        levels = _levels(uniq, q)
+        for (block, _), at in zip(rows[_UNI], where, strict=True):
+            reply[block] += _planes(counts[at].astype(np.uint64)) + levels[at].tobytes()
     if rows[_BI]:
-        uniq, counts, _ = _sums(rows[_BI])
-        entries.append((uniq, bi_level(counts)))
-    n = int(sum(q.sum() for _, q in entries))
-    bits = 1 << max(6, int(np.ceil(np.log2(max(1, n * BITS_PER_ENTRY)))))
-    shard = np.zeros(bits, bool)
-    for fp, q in entries:
-        for level in range(1, int(q.max(initial=0)) + 1):
-            for slot in _slots(fp[q >= level], level, np.uint64(bits - 1)):
-                shard[slot] = True
-    out += [("", _SHARD, np.packbits(shard, bitorder="little").tobytes()), ("", _TOTAL, totals.astype("<f8").tobytes())]
-    blocks, kinds, payloads = zip(*out, strict=True)
-    return pa.table([pa.array(blocks), pa.array([bucket] * len(out), pa.int32()), pa.array(kinds, pa.int32()), pa.array(payloads, pa.binary())], names=["block", "bucket", "kind", "payload"])
+        uniq, counts, where = _sums(rows[_BI])
+        levels = _levels(uniq, bi_level(counts))
+        for (block, _), at in zip(rows[_BI], where, strict=True):
+            reply[block] += levels[at].tobytes()
+    n = len(reply) + 1
+    return pa.table([pa.array([*reply, ""]), pa.array([key[0].as_py()] * n, pa.int32()), pa.array([_REPLY] * (n - 1) + [_TOTAL], pa.int32()), pa.array([*reply.values(), totals.astype("<f8").tobytes()], pa.binary())], names=["block", "bucket", "kind", "payload"])
 
 
 class Filter:
@@ -222,27 +233,9 @@ class Filter:
         return out
 
 
-def _folded(shards: DataFrame, folds: int) -> DataFrame:
-    """Each shard halved ``folds`` times by OR; a slot is taken modulo the size, so members stay members."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = []
-            for p in tx.column(batch, "payload").to_pylist():
-                bits = np.frombuffer(p, np.uint8)
-                for _ in range(folds):
-                    if len(bits) > 8:
-                        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
-                got.append(bits.tobytes())
-            yield pa.RecordBatch.from_arrays([tx.column(batch, "bucket"), pa.array(got, pa.binary())], ["bucket", "payload"])
-
-    return shards.select("bucket", "payload").mapInArrow(run, "bucket int, payload binary")
-
-
-def score(docs: DataFrame, *, n_buckets: int | None = None, block_bytes: int = BLOCK_BYTES, max_filter_mb: int = MAX_FILTER_MB) -> DataFrame:
+def score(docs: DataFrame, *, n_buckets: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every text."""
-    spark = docs.sparkSession
-    work = Workspace(spark, "lm")
+    work = Workspace(docs.sparkSession, "lm")
     blocks = work.table(docs.select("doc_id", "text"), "docs") if _unstable(docs) else docs
     n_buckets = n_buckets or tx.buckets(blocks)
     sent = _blocks(blocks, (_UNI, _BI), n_buckets, block_bytes)
@@ -250,13 +243,6 @@ def score(docs: DataFrame, *, n_buckets: int | None = None, block_bytes: int = B
     totals = np.zeros(3)
     for r in summed.filter(F.col("kind") == _TOTAL).select("payload").collect():  # three numbers a bucket
         totals += np.frombuffer(r.payload, "<f8")
-    size = summed.filter(F.col("kind") == _SHARD).agg(F.coalesce(F.sum(F.length("payload")), F.lit(0))).first()[0]
-    folds = 0
-    while size >> folds > max_filter_mb << 20:
-        folds += 1
-    shards = {r.bucket: bytes(r.payload) for r in _folded(summed.filter(F.col("kind") == _SHARD), folds).collect()}  # max_filter_mb at most
-    model = spark.sparkContext.broadcast(Filter(shards, n_buckets))
-    del shards
     total, vocabulary, mass = int(totals[0]), int(totals[1]), float(totals[2]) + 0.1
 
     def finish(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -270,22 +256,25 @@ def score(docs: DataFrame, *, n_buckets: int | None = None, block_bytes: int = B
         n = np.frombuffer(p, "<i8", n_docs, at := at + 8 * n_docs)
         uniq = _unplanes(p[(at := at + 8 * n_docs) : at + 8 * n_uniq], n_uniq, np.uint64)
         inv = _unplanes(p[at + 8 * n_uniq :], n_tokens, np.uint32)
-        counts = np.zeros(n_uniq, np.int64)
-        edge = _edges(uniq, n_buckets)
+        heads, ends = np.cumsum(n) - n, np.cumsum(n) - 1
+        tokens = uniq[inv]
+        pairs, pair_of = np.unique(_bigrams(tokens, ends), return_inverse=True)
+        counts, level, pair_level = np.zeros(n_uniq, np.int64), np.zeros(n_uniq, np.int64), np.zeros(len(pairs), np.int64)
+        edge, pair_edge = _edges(uniq, n_buckets), _edges(pairs, n_buckets)
         for b, k, reply in zip(table["bucket"].to_pylist(), kinds, payloads, strict=True):
             if k == _REPLY:
-                counts[edge[b] : edge[b + 1]] = _unplanes(reply, edge[b + 1] - edge[b], np.uint64)
-        heads, ends = np.cumsum(n) - n, np.cumsum(n) - 1
+                m = edge[b + 1] - edge[b]
+                counts[edge[b] : edge[b + 1]] = _unplanes(reply[: 8 * m], m, np.uint64)
+                level[edge[b] : edge[b + 1]] = np.frombuffer(reply, np.uint8, m, 8 * m)
+                pair_level[pair_edge[b] : pair_edge[b + 1]] = np.frombuffer(reply, np.uint8, offset=9 * m) if len(reply) > 9 * m else 0
         base = np.log10((counts + 0.1) / (total + 0.1 * (vocabulary + 1)))
-        tokens = uniq[inv]
-        level = model.value.level(uniq)
         uni = ((uni_rep(level) + 0.1) / mass)[inv]
         context = np.ceil(2.0 ** (level / 2))[inv]  # above every count of the level
         context[inv[ends]] = 0
         before = np.empty(n_tokens)
         before[1:] = context[:-1]
         before[heads] = max(1, 2.0 ** np.ceil(np.log2(max(1, total))))  # texts are no more than tokens
-        q = model.value.level(_bigrams(tokens, ends))
+        q = pair_level[pair_of]
         low = np.where(q > 0, np.ceil(2.0 ** (q / 2) - 1e-9), 0.0)
         chance = (np.minimum(low, before) + SMOOTHING * uni) / (before + SMOOTHING)
         out = {

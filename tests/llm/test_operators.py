@@ -191,6 +191,13 @@ def test_lm(docs, rows, empty):
     assert got.filter("score >= 0 or isnan(score)").isEmpty() and lm.score(empty).isEmpty()
 
 
+def test_lm_filter_is_neither_gathered_nor_broadcast(docs, monkeypatch):
+    monkeypatch.setattr("pyspark.SparkContext.broadcast", lambda *a: pytest.fail("the filter's size would be bounded by one process"))
+    one, many = (table(lm.score(docs, n_buckets=n), "doc_id", "n_tokens", "score") for n in (1, 40))
+    assert [r[:2] for r in one] == [r[:2] for r in many]
+    assert sum(r[2] for r in one) == pytest.approx(sum(r[2] for r in many), rel=0.02)
+
+
 def test_bloom_levels_are_never_too_low():
     fp = np.arange(1, 2000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     level = np.arange(1, 2000) % 9
