@@ -8,12 +8,13 @@ count q is inserted q times, as (n-gram, 1) .. (n-gram, q), and q is read back b
 repeated membership probes.  It then answers each block with the counts of its tokens
 and the levels that its tokens and bigrams have in the shard.
 
-Quantiser: unigrams q = 1 + floor(2 log2 c), bigrams q = floor(2 log2 c), so a bigram
-seen once has level 0 and takes no room.  Model: P(w) = (rep(q) + 0.1) / Z, where
-rep(q) is 2 ** ((q - 0.5) / 2) (1 for q = 1) and Z sums the same over the vocabulary and
-one unknown token; P(w | v) = (low(vw) + K P(w)) / (high(v) + K) with the lower end of the
+Quantiser: q = 1 + floor(2 log2 c) for unigrams and bigrams, so a count of 1 has level 1.
+Model: P(w) = (rep(q) + 0.1) / Z, where rep(q) is 2 ** ((q - 0.5) / 2) (1 for q = 1) and Z
+sums the same over the vocabulary and one unknown token;
+P(w | v) = (low(vw) + K P(w)) / (high(v) + K) with the lower end of the
 bigram's and the upper end of the context's level, so the probabilities of a context
-sum to at most one, apart from the filter's false positives.
+sum to at most one, apart from the filter's false positives.  The begin mark's count is the
+number of training texts, which is the exact count of the end token.
 
 A shard has 8 to 16 bits an entry at every input size and lives in its bucket's task
 only, where it is probed for all blocks; the number of buckets grows with the input.
@@ -136,14 +137,11 @@ def _blocks(docs: DataFrame, send: tuple[int, ...], n_buckets: int, block_bytes:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _ROW)
 
 
-def uni_level(c: np.ndarray) -> np.ndarray:
+def level_of(c: np.ndarray) -> np.ndarray:
+    """The level of a count; 0 for none."""
     return np.where(c > 0, 1 + np.floor(2 * np.log2(np.maximum(c, 1)) + 1e-9), 0).astype(np.int64)
 
 
-def bi_level(c: np.ndarray) -> np.ndarray:
-    return np.floor(2 * np.log2(np.maximum(c, 1)) + 1e-9).astype(np.int64)
-
-
 def uni_rep(q: np.ndarray) -> np.ndarray:
     """What a unigram level stands for."""
     return np.where(q <= 0, 0.0, np.where(q == 1, 1.0, 2.0 ** ((q - 0.5) / 2)))
@@ -190,14 +188,14 @@ def _reduce(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     totals, reply = np.zeros(3), {block: b"" for got in rows.values() for block, _ in got}
     if rows[_UNI]:
         uniq, counts, where = _sums(rows[_UNI])
-        q = uni_level(counts)
+        q = level_of(counts)
         totals[:] = counts.sum(), (counts > 0).sum(), (uni_rep(q)[q > 0] + 0.1).sum()
         levels = _levels(uniq, q)
         for (block, _), at in zip(rows[_UNI], where, strict=True):
             reply[block] += _planes(counts[at].astype(np.uint64)) + levels[at].tobytes()
     if rows[_BI]:
         uniq, counts, where = _sums(rows[_BI])
-        levels = _levels(uniq, bi_level(counts))
+        levels = _levels(uniq, level_of(counts))
         for (block, _), at in zip(rows[_BI], where, strict=True):
             reply[block] += levels[at].tobytes()
     n = len(reply) + 1
@@ -273,9 +271,9 @@ def score(docs: DataFrame, *, n_buckets: int | None = None, block_bytes: int = B
         context[inv[ends]] = 0
         before = np.empty(n_tokens)
         before[1:] = context[:-1]
-        before[heads] = max(1, 2.0 ** np.ceil(np.log2(max(1, total))))  # texts are no more than tokens
+        before[heads] = counts[uniq == _END]  # the training texts
         q = pair_level[pair_of]
-        low = np.where(q > 0, np.ceil(2.0 ** (q / 2) - 1e-9), 0.0)
+        low = np.where(q > 0, np.ceil(2.0 ** ((q - 1) / 2) - 1e-9), 0.0)
         chance = (np.minimum(low, before) + SMOOTHING * uni) / (before + SMOOTHING)
         out = {
             "doc_id": pa.array(ids, pa.int64(), mask=~known),

@@ -198,6 +198,32 @@ def test_lm_filter_is_neither_gathered_nor_broadcast(docs, monkeypatch):
     assert sum(r[2] for r in one) == pytest.approx(sum(r[2] for r in many), rel=0.02)
 
 
+def test_lm_scores_follow_the_quantised_counts(docs, rows):
+    """Bigrams seen once and the begin mark count; the filter's false positives only add a little."""
+    level = lambda c: 1 + math.floor(2 * math.log2(c) + 1e-9) if c else 0
+    split = [(d, [*re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]) for d, t in rows]
+    train = [ws for d, ws in split if zlib.crc32(str(d).encode()) % 10]
+    uni = Counter(w for ws in train for w in ws)
+    bi = Counter(p for ws in train for p in zip(["^", *ws], ws))
+    rep = lambda q: 0 if q == 0 else 1 if q == 1 else 2 ** ((q - 0.5) / 2)
+    mass = sum(rep(level(c)) + 0.1 for c in uni.values()) + 0.1
+
+    def score(ws):
+        s = 0.0
+        for v, w in zip(["^", *ws], ws):
+            high = len(train) if v == "^" else math.ceil(2 ** (level(uni[v]) / 2)) if uni[v] else 1
+            low = math.ceil(2 ** ((level(bi[v, w]) - 1) / 2) - 1e-9) if bi[v, w] else 0
+            s += math.log10((min(low, high) + lm.SMOOTHING * (rep(level(uni[w])) + 0.1) / mass) / (high + lm.SMOOTHING))
+        return s
+
+    got = table(lm.score(docs), "doc_id", "n_tokens", "score")
+    want = sorted(((d, len(ws), score(ws)) for d, ws in split), key=repr)
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    for (d, n, a), (_, _, b) in zip(got, want, strict=True):
+        if n > 5 and zlib.crc32(str(d).encode()) % 10:
+            assert a == pytest.approx(b, rel=0.1), d
+
+
 def test_bloom_levels_are_never_too_low():
     fp = np.arange(1, 2000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     level = np.arange(1, 2000) % 9
