@@ -12,13 +12,16 @@
    the suffixes (the symbols in that order are the column's part of the Burrows-Wheeler
    transform), and the common prefixes of neighbours are updated from the range minima of
    the round before.  A window is repeated if its suffix shares ``width`` bytes with a
-   neighbour, or if its piece occurs twice.
+   neighbour, or if its piece occurs twice.  An anchor with more than ``BATCH_PIECES`` pieces
+   is not one collection: digests of its pieces' windows are counted in all tasks, and a
+   window is repeated if its digest occurs twice.
 3. The repeated windows go back to their texts, by doc_id, and their bytes are removed.
 
 Inserting whole texts side by side would take as many rounds over the whole collection as
 the longest text has bytes; pieces are at most ``width`` + 84 bytes, so a fixed number of
 rounds sees every window of texts of any length.  The tables between the steps are files in
-the shared folder, read in sequence; a task holds one batch of collections at a time.
+the shared folder, read in sequence; a task holds one batch of collections at a time, which
+is two times ``BATCH_PIECES`` pieces at most.
 
 Defined cases: a null or empty text has no bytes; texts below ``width`` bytes have no
 window; repeated rows repeat each other's strings; a null doc_id is an id of its own;
@@ -27,6 +30,7 @@ an empty table gives no rows; other columns are not carried.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +44,7 @@ from . import _text as tx
 
 WIDTH = 200
 GRAM = 32
-#: Pieces in one round of insertions; a collection that is larger is taken whole.
+#: Pieces in one round of insertions, and in a collection at most.
 BATCH_PIECES = 20_000
 _POSITION_BITS = np.uint64(32)
 
@@ -177,8 +181,6 @@ def _candidates(docs: DataFrame, n_buckets: int, width: int, work: Workspace) ->
         # the content once for each different piece of the slice
         first = {c: i for i, c in reversed(list(enumerate(content)))}
         sent = [c if first[c] == i else None for i, c in enumerate(content)]
-        import hashlib
-
         same = [hashlib.blake2b(c, digest_size=12).digest() for c in content]
         doc = p.doc[use]
         return pa.RecordBatch.from_arrays(
@@ -208,9 +210,52 @@ _PIECE_NAMES = ["doc_id", "lo", "n", "anchor", "key", "same", "content"]
 _NO_PIECES = pa.table({k: pa.array([], t) for k, t in zip(_PIECE_NAMES, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()], strict=True)})
 
 
-def _marks(pieces: DataFrame, width: int) -> DataFrame:
+def _split(pieces: DataFrame, work: Workspace, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """The pieces of keys with ``most`` pieces at most, and those of all other keys, None if there are none."""
+    large = work.table(pieces.groupBy("key").agg(F.count("*").alias("pieces")).filter(F.col("pieces") > most).select("key"), "large")
+    if large.isEmpty():
+        return pieces, None
+    large = F.broadcast(large)  # one key for each ``most`` pieces at most
+    return pieces.join(large, "key", "left_anti"), pieces.join(large, "key", "left_semi")
+
+
+def _different(pieces: DataFrame) -> DataFrame:
+    return pieces.groupBy("key", "same", "n", "anchor").agg(F.count("*").alias("times"), F.first("content", ignorenulls=True).alias("content"))
+
+
+def _marks_of_large(pieces: DataFrame, width: int, work: Workspace) -> DataFrame:
+    """As _marks, for keys with too many pieces for one task."""
+    different = work.table(_different(pieces), "large_pieces")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tx.slices(batch, "content", 1 << 17):
+                content, n = tx.column(part, "content").to_pylist(), tx.column(part, "n").to_numpy()
+                row = pa.array(np.repeat(np.arange(len(n)), n))
+                t = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                digests = [hashlib.blake2b(c[i : i + width], digest_size=16).digest() for c, m in zip(content, n.tolist(), strict=True) for i in range(m)]
+                yield pa.RecordBatch.from_arrays([*(tx.column(part, x).take(row) for x in ("key", "same", "n")), pa.array(t, pa.int32()), pa.array(digests, pa.binary())], ["key", "same", "n", "t", "digest"])
+
+    def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = []
+            for n, at in zip(tx.column(batch, "n").to_pylist(), tx.column(batch, "at").to_pylist(), strict=True):
+                hit = np.zeros(n, bool)
+                hit[at] = True
+                got.append(np.packbits(hit).tobytes())
+            yield pa.RecordBatch.from_arrays([*tx.pick(batch, "key", "same"), pa.array(got, pa.binary())], ["key", "same", "mask"])
+
+    schema = "key long, same binary, n int, t int, digest binary"
+    repeated = different.mapInArrow(windows, schema).groupBy("digest").agg(F.count("*").alias("pieces")).filter("pieces > 1").select("digest")
+    hits = different.filter("times = 1").mapInArrow(windows, schema).join(repeated, "digest").groupBy("key", "same", "n").agg(F.collect_list("t").alias("at"))
+    copies = different.filter("times > 1").select("key", "same", "n", F.sequence(F.lit(0), F.col("n") - 1).alias("at"))
+    return hits.unionByName(copies).mapInArrow(masks, "key long, same binary, mask binary")
+
+
+def _marks(pieces: DataFrame, width: int, work: Workspace, most: int) -> DataFrame:
     """(key, same, mask) of the different pieces with repeated windows; a bit for each window."""
-    different = pieces.groupBy("key", "same", "n", "anchor").agg(F.count("*").alias("times"), F.first("content", ignorenulls=True).alias("content"))
+    few, many = _split(pieces, work, most)
+    different = _different(few)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -248,16 +293,17 @@ def _marks(pieces: DataFrame, width: int) -> DataFrame:
         )
 
     dealt = different.repartition(F.col("key")).sortWithinPartitions("key", "same")
-    return dealt.mapInArrow(run, "key long, same binary, mask binary")
+    marks = dealt.mapInArrow(run, "key long, same binary, mask binary")
+    return marks if many is None else marks.unionByName(_marks_of_large(many, width, work))
 
 
-def dedup(docs: DataFrame, *, width: int = WIDTH, n_buckets: int | None = None) -> DataFrame:
+def dedup(docs: DataFrame, *, width: int = WIDTH, n_buckets: int | None = None, most_pieces: int = BATCH_PIECES) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (removed runs, start and end) and kept, the bytes left."""
     spark = docs.sparkSession
     n_buckets = n_buckets or tx.buckets(docs, 2)
     work = Workspace(spark, "suffix")
     pieces = _candidates(docs, n_buckets, width, work)
-    marks = _marks(pieces, width)
+    marks = _marks(pieces, width, work, most_pieces)
     found = pieces.select("doc_id", "lo", "n", "key", "same").join(marks, ["key", "same"]).select("doc_id", "lo", "n", "mask")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

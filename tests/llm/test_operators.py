@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.llm import decontaminate, html_text, lm, minhash, packing, pii, quality, substring, suffix, tokens
+from rasterloom.workspace import Workspace
 
 SF = "/root/testdata/sf0.001"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -155,6 +156,28 @@ def test_suffix_dedup(docs, rows, empty):
     assert suffix.dedup(empty).isEmpty()
 
 
+def test_suffix_dedup_of_a_passage_in_most_texts(spark):
+    rnd = random.Random(11)
+    passage, long = words(rnd, 60)[:130], words(rnd, 120)[:230]
+    raw = [(i, words(rnd, 40) + (passage if i % 2 else long) + words(rnd, 40)) for i in range(60)]
+    raw += [(60, raw[0][1]), (61, raw[1][1]), (62, None)]
+    df = spark.createDataFrame(raw, "doc_id long, text string").repartition(3)
+    as_bytes = [(d, (t or "").encode()) for d, t in raw]
+    times = Counter(b[i : i + 200] for _, b in as_bytes for i in range(len(b) - 199))
+    want = []
+    for d, b in as_bytes:
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 199):
+            if times[b[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        want.append((d, int(gone.sum()), np.frombuffer(b, np.uint8)[~gone].tobytes()))
+    for most in (5, suffix.BATCH_PIECES):
+        assert sorted((r.doc_id, r.n_removed, bytes(r.kept)) for r in suffix.dedup(df, most_pieces=most).collect()) == want
+    work = Workspace(spark, "t")
+    few, many = suffix._split(suffix._candidates(df, 4, 200, work), work, 5)
+    assert many.count() > 0 and few.groupBy("key").count().filter("count > 5").isEmpty()
+
+
 def test_pii(docs, rows, empty):
     found = pii.find(docs)
     assert table(pii.digest(found), "doc_id", *(f"n_{k}" for k in pii.KINDS), "base_sha256") == sorted((pii.brute_force(d, t) for d, t in rows), key=repr)
