@@ -24,6 +24,7 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,10 +40,12 @@ SLICE_BYTES = 1 << 20
 
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text of the page.
-RAW_TAGS = "script|style|noscript|template|svg|math|iframe|textarea|select|object|canvas|audio|video|button"
+#: Elements whose content is no text of the page; those of RAW_TEXT hold no tags and may run to the end of the page.
+RAW_TEXT = frozenset("script style textarea".split())
+RAW_TAGS = frozenset("noscript template svg math iframe select object canvas audio video button".split())
+HEAD_TAGS = frozenset("html head title meta link base script style noscript template".split())
 
-_RAW = re.compile(rf"<({RAW_TAGS})\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW_TEXT}
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -58,6 +61,49 @@ class Block:
         self.text, self.path, self.linked = text, path, linked
 
 
+def _tokens(page: str) -> list[tuple[int, int, str | None, bool, str]]:
+    """(start, end, tag, whether it closes, attributes) in order; tag is None for what gives only a blank.
+
+    An element of RAW_TAGS that is closed before its parent is one blank; an unclosed one keeps its tag.
+    """
+    out: list[tuple[int, int, str | None, bool, str]] = []
+    opened: list[tuple[str, int]] = []
+    count: Counter[str] = Counter()
+    at = 0
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        tag = m[2] or m[5]
+        if tag is None:
+            out.append((m.start(), at, "!", False, ""))
+            continue
+        tag, shut, attributes = tag.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
+        if tag in RAW_TEXT and not shut:
+            end = None if attributes.endswith("/") else _RAW_END[tag].search(page, at)
+            at = at if attributes.endswith("/") else end.end() if end else len(page)
+            out.append((m.start(), at, None, False, ""))
+            continue
+        if tag in RAW_TAGS and not shut and attributes.endswith("/"):
+            out.append((m.start(), at, None, False, ""))
+            continue
+        if tag in RAW_TAGS or tag in BLOCK_TAGS and tag not in VOID_TAGS:
+            if not shut:
+                opened.append((tag, len(out)))
+                count[tag] += 1
+            elif count[tag]:
+                while True:
+                    top, k = opened.pop()
+                    count[top] -= 1
+                    if top == tag:
+                        break
+                if tag in RAW_TAGS:
+                    start = out[k][0]
+                    del out[k:]
+                    out.append((start, at, None, False, ""))
+                    continue
+        out.append((m.start(), at, tag, shut, attributes))
+    return out
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order; ``path`` holds (tag, class and id words) from the outside in."""
     out: list[Block] = []
@@ -84,17 +130,27 @@ def blocks(page: str) -> list[Block]:
             if stack[i][0] in stop:
                 return
 
-    at = 0
-    page = _RAW.sub(" ", page) if "<" in page else page
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            held.append(page[at : m.start()])
-            linked += (m.start() - at) * (anchors > 0)
-        at = m.end()
-        tag = m[2] or m[5]
-        if tag is None:
+    at, hidden = 0, False
+    for start, end, tag, shut, attributes in _tokens(page):
+        if start > at and not hidden:
+            held.append(page[at:start])
+            linked += (start - at) * (anchors > 0)
+        at = end
+        if tag == "!":
             continue
-        tag, shut = tag.lower(), bool(m[1] or m[4])
+        if tag is None or tag in RAW_TAGS:
+            held.append(" ")
+            linked += anchors > 0
+            hidden = hidden or tag is not None and not shut
+            if tag is None or tag in HEAD_TAGS:
+                continue
+        if tag in BLOCK_TAGS:
+            hidden = False  # an unclosed raw element ends here
+        if not shut and tag not in HEAD_TAGS:
+            if tag in BLOCK_TAGS or not (stack and stack[-1][0] == "title"):
+                close(("head",), ())
+            if tag in BLOCK_TAGS:
+                close(("title",), ())
         if tag == "br":
             held.append(" ")
         elif tag == "a":
@@ -113,12 +169,11 @@ def blocks(page: str) -> list[Block]:
                     close(("td", "th"), ("tr", "table"))
                 elif tag == "tr":
                     close(("tr",), ("table",))
-                elif tag == "body":
-                    close(("head",), ())
                 if tag not in VOID_TAGS:
-                    words = tuple(_WORD.findall(" ".join(filter(None, (a or b or c for a, b, c in _NAMES.findall(m[3] or m[6] or "")))).lower()))
+                    words = tuple(_WORD.findall(" ".join(filter(None, (a or b or c for a, b, c in _NAMES.findall(attributes)))).lower()))
                     stack.append((tag, words))
-    held.append(page[at:])
+    if not hidden:
+        held.append(page[at:])
     flush()
     return out
 

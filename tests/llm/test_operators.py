@@ -56,6 +56,23 @@ def test_html_text(spark):
     assert html_text.extract(df.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><p>One<button>no</p><p>Two</p><p>Three</p>",
+        "<body><p>One</p><button>no<p>Two</p><button>no</button><p>Three</p>",
+        "<body><p>One</p><div><video src=x>no</div><p>Two</p><div></video></div><p>Three</p>",
+        "<body><p>One</p><svg width='1'/><p>Two</p><object data='>'/><p>Three</p>",
+        "<body><p>One</p><svg><title>no</title><svg><g/></svg>no</svg><p>Two</p><button><div>no</div></button><p>Three</p>",
+        "<body><p>One</p><!-- <script> --><p>Two</p><!-- <button> --><p>Three</p><script>no('<p>')</script>",
+        "<head><meta x><title>no</title><p>One</p><p>Two</p><p>Three</p>",
+        "<head><title>no<p>One</p><p>Two</p><p>Three</p><textarea>no<p>no",
+    ],
+)
+def test_html_unclosed_elements_hide_no_more_than_themselves(page):
+    assert [b.text for b in html_text.blocks(page)] == ["One", "Two", "Three"]
+
+
 def test_html_held_out_accuracy():
     model, rnd, wrong, n = html_text.trained(), random.Random(77), 0, 0
     for _ in range(80):
