@@ -160,5 +160,13 @@ def spread(starts: np.ndarray, n: int, k: np.ndarray | int) -> np.ndarray:
     return np.cumsum(delta[:n]) > 0
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def pick(batch: pa.RecordBatch, *names: str) -> list[pa.Array]:
     return [column(batch, x) for x in names]
