@@ -3,11 +3,14 @@
 Texts are encoded (end id last); only documents over the capacity are cut, the rest
 of the division first and full pieces after it.  Full pieces are sequences of their
 own.  The other pieces are dealt at random into shards of bounded size, and each shard
-is evolved on several islands: crossover injects whole well-filled bins of one parent
-into the other, bins that hold a duplicate are taken apart, and displaced pieces are
-placed by best fit, longest first.  Between epochs each island sends its elite to the
-next.  Bins that the best island leaves underfilled are dissolved and packed again with
-those of other shards, until they fit one shard or no sequence is saved.
+is evolved on several islands: crossover injects whole bins from among the fullest of one
+parent into the other, bins that hold a duplicate are taken apart with a few of the emptiest,
+displaced pieces replace shorter ones where that fills a bin better, and the rest is placed
+by best fit, longest first.  An island goes on until ``STALL`` children in turn bring no
+gain; between epochs each island sends its elite to the next.  Of the best island's bins the
+fullest are kept, so many that their room adds up to less than half a sequence over all
+shards (a quarter at the next level, and so on); the others are packed again with those of
+other shards, until they fit one shard or no sequence is saved.
 
 No shard grows with the input: more pieces make more shards.  A shard whose bins reach
 the lower bound, ceil(sum / capacity), stops at once, as no packing has fewer.
@@ -19,6 +22,7 @@ rows; other columns are not carried.
 
 from __future__ import annotations
 
+import bisect
 import math
 import random
 import zlib
@@ -37,10 +41,10 @@ from .tokens import encoded, tokenizer_path
 
 CAPACITY = 2048
 SHARD_ITEMS = 4096
-ISLANDS, EPOCHS, POPULATION, CHILDREN = 2, 2, 4, 6
-#: A bin is well filled, and kept between levels, from this share of the capacity.
-WELL_FILLED = 0.985
-LEVELS = 4
+ISLANDS, EPOCHS, POPULATION, STALL = 3, 3, 6, 24
+#: Of the bins in order of their load, the part that crossover injects from.
+FULLEST = 0.4
+LEVELS = 5
 
 
 def pieces(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = 0, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
@@ -48,26 +52,21 @@ def pieces(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = 0, tokeni
     model = tokenizer or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, ids in encoded(batches, model, end_id):
-            row, no, start, length, crc, own = [], [], [], [], [], []
-            for i, b in enumerate(ids):
-                n, at = len(b) // 4, 0
-                step = n % capacity or capacity
-                k = 0
-                while at < n:
-                    row.append(i)
-                    no.append(k)
-                    start.append(at)
-                    length.append(step)
-                    cut = b[4 * at : 4 * (at + step)]
-                    crc.append(zlib.crc32(cut))
-                    if keep_ids:
-                        own.append(np.frombuffer(cut, "<u4").astype(np.int32))
-                    at, step, k = at + step, capacity, k + 1
-            cols = [tx.column(part, "doc_id").take(pa.array(row, pa.int64())), pa.array(no, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+        for part, ids, n in encoded(batches, model, end_id):
+            # the first piece of a document is what is left over, the others are full
+            count = -(-n // capacity)
+            row = np.repeat(np.arange(len(n)), count)
+            no = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            short = (n - (count - 1) * capacity)[row]
+            start, length = np.where(no == 0, 0, short + (no - 1) * capacity), np.where(no == 0, short, capacity)
+            at = (np.cumsum(n) - n)[row] + start
+            crc = [zlib.crc32(ids[i:j]) for i, j in zip(at.tolist(), (at + length).tolist(), strict=True)]
+            cols = [tx.column(part, "doc_id").take(pa.array(row)), pa.array(no, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if keep_ids:
-                cols, names = [*cols, pa.array(own, pa.list_(pa.int32()))], [*names, "ids"]
+                # pieces stand in text order, one after the other
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)).astype(np.int32)), pa.array(ids.astype(np.int32)))
+                cols, names = [*cols, lists], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     kind = dict(docs.dtypes)["doc_id"]
@@ -116,30 +115,51 @@ class Packer:
         return len(bins), -sum((self.load(b) / self.capacity) ** 2 for b in bins)
 
     def cross(self, a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
-        good = [g for g in b if self.load(g) >= WELL_FILLED * self.capacity] or [max(b, key=self.load)]
-        take = [list(g) for g in self.rnd.sample(good, max(1, len(good) // 2))]
+        full = sorted(b, key=lambda g: -self.load(g))[: max(1, int(FULLEST * len(b)))]
+        take = [list(g) for g in self.rnd.sample(full, max(1, self.rnd.randint(len(full) // 4, len(full) // 2)))]
         owned = {i for g in take for i in g}
-        keep, displaced = [], []
-        for g in a:
-            if owned.isdisjoint(g) and self.load(g) >= WELL_FILLED * self.capacity:
-                keep.append(list(g))
-            else:
-                displaced += [i for i in g if i not in owned]
-        self.rnd.shuffle(displaced)
-        displaced.sort(key=lambda i: -self.lengths[i])
-        return self.best_fit(take + keep, displaced)
+        keep = sorted((list(g) for g in a if owned.isdisjoint(g)), key=self.load)
+        displaced = [i for g in a if not owned.isdisjoint(g) for i in g if i not in owned]
+        emptiest = self.rnd.randint(1, 4)
+        displaced += [i for g in keep[:emptiest] for i in g]
+        return self.best_fit(take + keep[emptiest:], self.exchange(keep[emptiest:], displaced))
+
+    def exchange(self, bins: list[list[int]], items: list[int]) -> list[int]:
+        """Puts longer items in place of shorter ones, or of two, where they fit; returns what is out, longest first."""
+        out = sorted(items, key=lambda i: (self.lengths[i], self.rnd.random()))
+        sizes = [self.lengths[i] for i in out]
+        for g in bins:
+            room = self.capacity - self.load(g)
+            if not room or not out:
+                continue
+            singles = [(self.lengths[i], (i,)) for i in g]
+            pairs = [(self.lengths[x] + self.lengths[y], (x, y)) for k, x in enumerate(g) for y in g[k + 1 :]] if len(g) <= 8 else []
+            gain, best, at = 0, (), -1
+            for n, gone in singles + pairs:
+                k = bisect.bisect_right(sizes, n + room) - 1  # the longest that fits there
+                if k >= 0 and sizes[k] - n > gain:
+                    gain, best, at = sizes[k] - n, gone, k
+            if gain:
+                g[:] = [i for i in g if i not in best] + [out.pop(at)]
+                sizes.pop(at)
+                for i in best:
+                    k = bisect.bisect_right(sizes, self.lengths[i])
+                    out.insert(k, i)
+                    sizes.insert(k, self.lengths[i])
+        return out[::-1]
 
     def evolve(self, elites: list[list[list[int]]]) -> list[list[int]]:
         population = list(elites) or [self.first(0.0)]
         while min(map(len, population)) > self.bound and len(population) < POPULATION:
-            population.append(self.first(0.3 * len(population)))
+            population.append(self.first(0.1 * len(population)))
         scored = sorted(((self.cost(p), k, p) for k, p in enumerate(population)), key=lambda x: x[:2])
-        for k in range(CHILDREN):
-            if scored[0][0][0] <= self.bound or len(scored) < 2:
-                break
+        stall = born = 0
+        while scored[0][0][0] > self.bound and len(scored) > 1 and stall < STALL:
+            born, before = born + 1, scored[0][0]
             a, b = self.rnd.sample(scored, 2)
             child = self.cross(a[2], b[2])
-            scored = sorted([*scored, (self.cost(child), POPULATION + k, child)], key=lambda x: x[:2])[:POPULATION]
+            scored = sorted([*scored, (self.cost(child), POPULATION + born, child)], key=lambda x: x[:2])[:POPULATION]
+            stall = 0 if scored[0][0] < before else stall + 1
         return scored[0][2]
 
 
@@ -188,28 +208,35 @@ def solve(items: DataFrame, n_shards: int, capacity: int, work: Workspace, level
     return best.select("shard", "s.*")
 
 
-def place(items: DataFrame, capacity: int, work: Workspace) -> DataFrame:
-    """(item, sequence_id, offset) for all of (item, length); a sequence's number is its least item."""
+def _split(state: DataFrame, capacity: int, allowance: int) -> DataFrame:
+    """A row for each item of the shards' states; ``full`` in the fullest bins of a shard, with ``allowance`` of room in all."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = {k: [] for k in ("item", "length", "sequence_id", "offset", "full")}
             for r in batch.to_pylist():
-                for g in _groups(r["bins"]):
+                room = 0
+                for g in sorted(_groups(r["bins"]), key=lambda g: -sum(r["lengths"][i] for i in g)):
                     sizes = [r["lengths"][i] for i in g]
+                    room += capacity - sum(sizes)
                     ids = [r["items"][i] for i in g]
                     cols["item"] += ids
                     cols["length"] += sizes
                     cols["sequence_id"] += [min(ids)] * len(g)
                     cols["offset"] += (np.cumsum(sizes) - sizes).tolist()
-                    cols["full"] += [sum(sizes) >= WELL_FILLED * capacity] * len(g)
+                    cols["full"] += [room <= allowance] * len(g)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.bool_() if k == "full" else pa.int64()) for k, v in cols.items()], list(cols))
 
+    return state.mapInArrow(split, "item long, length long, sequence_id long, offset long, full boolean")
+
+
+def place(items: DataFrame, capacity: int, work: Workspace) -> DataFrame:
+    """(item, sequence_id, offset) for all of (item, length); a sequence's number is its least item."""
     out, last = None, None
     for level in range(LEVELS):
         n = items.count()
         n_shards = max(1, math.ceil(n / SHARD_ITEMS))
-        placed = work.table(solve(items, n_shards, capacity, work, level).mapInArrow(split, "item long, length long, sequence_id long, offset long, full boolean"), f"placed-{level}")
+        placed = work.table(_split(solve(items, n_shards, capacity, work, level), capacity, capacity // (n_shards << level + 1)), f"placed-{level}")
         done = n_shards == 1 or level == LEVELS - 1 or n_shards == last
         kept = placed if done else placed.filter("full")
         kept = kept.select("item", "sequence_id", "offset")

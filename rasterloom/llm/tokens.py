@@ -1,10 +1,11 @@
 """Byte-level BPE encoding of whole texts, and the token-ID file format.
 
 Encoding: a byte-level BPE with pre-tokens never merges over the start of
-"space, then a non-space", so a text is encoded chunk by chunk and each worker keeps
-the ids of the chunks it has met in a bounded table.  Texts with other white space,
-control characters or a special token's string go to the tokenizer whole.  The ids are
-the tokenizer's own either way.
+"space, then a non-space", so the distinct words of a slice of texts are looked up once,
+words that the worker has not met are encoded side by side in one text, and the ids of
+all words are put together by one gather.  Texts with other white space, control characters
+or a special token's string go to the tokenizer whole.  The ids are the tokenizer's own
+either way.
 
 File format: one Parquet row per document with its ids in a list column, in ascending
 doc_id order, dictionary-encoded pages (or DELTA_BINARY_PACKED, ``encoding="delta"``),
@@ -18,6 +19,7 @@ empty table gives no rows; other columns are not written.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,13 +35,26 @@ from ..workspace import Workspace
 from . import _text as tx
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Words a worker remembers at most.
-TABLE_ENTRIES = 800_000
+#: Words a worker remembers at most; beyond it only those that it has met in several slices.
+TABLE_ENTRIES = 600_000
 _LONG_WORD = 64
+_CHUNK = 4000
+_SLICE_BYTES = 2 << 20
+#: Text for each written partition at most, on average.
+PART_BYTES = 128 << 20
 
 #: A word after which the whole text goes to the tokenizer: other white space or control characters in it, or white space, or nothing, after its space.
 _ODD_WORD = re.compile("[\x00-\x08\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u3000\ufeff]|^[ \n\t]|^$")
-_ODD = b"?"
+_ODD = -1
+#: Letters, then perhaps ASCII marks: one or two pre-tokens of a byte-level BPE.
+_PLAIN_WORD = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)\Z")
+
+
+def _byte_characters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it is visible, the next free one from 256 on if not."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    free = itertools.count(0x100)
+    return [chr(b if b in visible else next(free)) for b in range(0x100)]
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -48,7 +64,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Encoder:
-    """Texts to the bytes of their ids, little-endian unsigned 32-bit."""
+    """Texts to ids.  ``ids`` holds the known words' ids one after the other, ``at`` the number of each word, ``start`` and ``size`` its place; size -1 marks an odd word."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,58 +72,107 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of each word after a space; words without line breaks go in lines of one text."""
-        odd = {w for w in words if _ODD_WORD.search(w) or any(s in w for s in self.special)}
-        out = dict.fromkeys(odd, _ODD)
-        lines = [w for w in words if w not in odd and "\n" not in w]
-        for at in range(0, len(lines), 1000):
-            some = lines[at : at + 1000]
-            [ids] = self.tokenizer.encode_batch_fast([" " + "\n ".join(some)], add_special_tokens=False)
-            ids = np.array(ids.ids, "<u4")
-            cuts = np.flatnonzero(ids == self.newline[0])
-            if len(cuts) != len(some) - 1:
-                out.update(zip(some, self.whole([" " + w for w in some]), strict=True))
-                continue
-            edges = [0, *(cuts + 1).tolist()]
-            ends = [*cuts.tolist(), len(ids)]
-            out.update((w, ids[i:j].tobytes()) for w, i, j in zip(some, edges, ends, strict=True))
-        rest = [w for w in words if w not in out]
-        out.update(zip(rest, self.whole([" " + w for w in rest]), strict=True))
-        return out
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        if len(self.known) > TABLE_ENTRIES:
-            self.known = {}
-        get, missing, rows = self.known.get, {}, []
-        for text in texts:
-            words = text.split(" ")
-            ids = list(map(get, words))
-            ids[0] = b""  # the first has no space before it
-            if None in ids:
-                missing.update((w, None) for w, b in zip(words, ids, strict=True) if b is None)
-            rows.append((words, ids))
-        if missing:
-            fresh = self.learn(list(missing))
-            self.known.update((w, b) for w, b in fresh.items() if len(w) <= _LONG_WORD)
-            for words, ids in rows:
-                if None in ids:
-                    ids[:] = [fresh[w] if b is None else b for w, b in zip(words, ids, strict=True)]
-        whole = [i for i, (words, ids) in enumerate(rows) if _ODD in ids or _ODD_WORD.search(words[0]) or any(s in words[0] for s in self.special)]
-        heads = self.whole([words[0] for words, _ in rows])
-        for i, (_, ids) in enumerate(rows):
-            ids[0] = heads[i]
-            out[i] = b"".join(ids)
-        for i, b in zip(whole, self.whole([texts[i] for i in whole]), strict=True) if whole else ():
-            out[i] = b
-        return out
+        self.bytes = dict(enumerate(_byte_characters()))
+        self.space = self.bytes[0x20]
+        #: Whether words of letters are one pre-token each.
+        self.plain = self.tokenizer.normalizer is None and str(self.tokenizer.pre_tokenizer).startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in str(self.tokenizer.pre_tokenizer)
+        self.marks: dict[str, list[int]] = {"": []}
+        vocabulary = self.tokenizer.get_vocab()
+        #: Whether an id begins with a space.
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith(self.space)]] = True
+        self.forget([])
+
+    def forget(self, keep: list[str]) -> None:
+        """Starts a new table, with the words of the old one that are in ``keep``."""
+        old = [self.ids[self.start[k] : self.start[k] + max(0, self.size[k])] for k in map(self.at.__getitem__, keep)] if keep else []
+        size = self.size[[self.at[w] for w in keep]] if keep else np.zeros(0, np.int64)
+        self.at: dict[str, int] = {w: k for k, w in enumerate(keep)}
+        self.size, self.met = size, np.zeros(len(keep), np.int64)
+        self.start = np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0)
+        self.ids = np.concatenate([*old, np.zeros(0, "<u4")])
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def odd(self, word: str) -> bool:
+        return bool(_ODD_WORD.search(word)) or any(s in word for s in self.special)
+
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, each after a space, and the number of each; -1 for odd ones."""
+        out: list[list[int] | np.ndarray] = [[]] * len(words)
+        odd, rest, cores, merge = [], [], {}, self.tokenizer.model.tokenize
+        for i, w in enumerate(words):
+            core, mark = w, ""
+            if not w.isalpha() or not self.plain:
+                found = _PLAIN_WORD.match(w)
+                if not found or not found[1].isalpha() or not self.plain:
+                    (odd if self.odd(w) else rest).append(i)
+                    continue
+                core, mark = found.groups()
+            ids = cores.get(core)
+            if ids is None:
+                ids = cores[core] = [t.id for t in merge(self.space + (core if core.isascii() else core.encode().decode("latin-1").translate(self.bytes)))]
+            if mark:
+                if mark not in self.marks:
+                    self.marks = self.marks if len(self.marks) < _CHUNK else {"": []}
+                    self.marks[mark] = self.whole([mark])[0].tolist()
+                ids = ids + self.marks[mark]
+            out[i] = ids
+        for at in range(0, len(rest), _CHUNK):
+            own = rest[at : at + _CHUNK]
+            some = [words[i] for i in own]
+            [ids] = self.whole([" " + " ".join(some)])
+            head = np.flatnonzero(self.spaced[ids])
+            each = np.split(ids, head[1:]) if len(head) == len(some) else self.whole([" " + w for w in some])
+            for i, x in zip(own, each, strict=True):
+                out[i] = x.tolist()
+        size = np.fromiter(map(len, out), np.int64, len(out))
+        size[odd] = _ODD
+        return np.fromiter(itertools.chain.from_iterable(out), "<u4"), size
+
+    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, each followed by ``end_id``, and the number of ids of each."""
+        if len(self.at) > TABLE_ENTRIES:
+            self.forget([w for w, k in self.at.items() if self.met[k] > 1 and len(w) <= _LONG_WORD][: TABLE_ENTRIES // 2])
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        split = pc.split_pattern(texts, " ")
+        offs = split.offsets.to_numpy()
+        offs = offs - offs[0]
+        coded = split.flatten().dictionary_encode()
+        distinct, place = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
+        number = np.fromiter(map(self.at.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            words = [distinct[i] for i in new.tolist()]
+            ids, size = self.learn(words)
+            number[new] = np.arange(len(self.size), len(self.size) + len(new))
+            self.at.update(zip(words, number[new].tolist(), strict=True))
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0)])
+            self.size, self.met, self.ids = np.concatenate([self.size, size]), np.concatenate([self.met, np.zeros(len(new), np.int64)]), np.concatenate([self.ids, ids])
+        self.met[number] += 1
+
+        # the first word of a text has no space before it, and an odd word sends its text to the tokenizer
+        first = offs[:-1]
+        odd = self.size[number] == _ODD
+        odd_word = odd[place]
+        odd_word[first] = False
+        doc = np.repeat(np.arange(len(texts)), np.diff(offs))
+        heads = [distinct[i] for i in place[first].tolist()]
+        to_whole = np.bincount(doc[odd_word], minlength=len(texts)) > 0
+        to_whole |= np.fromiter((self.odd(w) and w != "" for w in heads), bool, len(heads))
+        for i in np.flatnonzero(to_whole).tolist():
+            heads[i] = texts[i].as_py()
+        own = self.whole(heads)
+        start, size = self.start[number][place], self.size[number][place]
+        size[to_whole[doc]] = 0
+        size[first] = [len(x) for x in own]
+        start[first] = len(self.ids) + np.cumsum(size[first]) - size[first]
+        pool = np.concatenate([self.ids, *own, np.array([end_id], "<u4")])
+        start, size = np.insert(start, offs[1:], len(pool) - 1), np.insert(size, offs[1:], 1)
+        upto = np.cumsum(size)
+        out = pool[np.repeat(start - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)]
+        return out, np.diff(np.append(0, upto)[np.append(0, offs[1:] + np.arange(1, len(offs)))])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -120,19 +185,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with the id bytes of each row, the end id last."""
-    end = np.array([end_id], "<u4").tobytes()
+def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches with the ids of their rows, the end id last, and the number of ids of each row."""
     for batch in batches:
-        for part in tx.slices(batch, text):
-            texts = [t or "" for t in tx.column(part, text).to_pylist()]
-            yield part, [b + end for b in encoder(path)(texts)]
-
-
-def list_array(ids: list[bytes]) -> pa.Array:
-    """Id bytes as a list<int32> array."""
-    offs = np.concatenate([[0], np.cumsum([len(b) // 4 for b in ids])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offs), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
+        for part in tx.slices(batch, text, _SLICE_BYTES):
+            yield part, *encoder(path)(tx.column(part, text), end_id)
 
 
 def write_ids(docs: DataFrame, path: str, *, end_id: int = 2, tokenizer: str | None = None, encoding: str = "dictionary", row_group_bytes: int = 32 << 20, page_rows: int = 256, partitions: int | None = None) -> None:
@@ -144,19 +201,19 @@ def write_ids(docs: DataFrame, path: str, *, end_id: int = 2, tokenizer: str | N
         from pyspark import TaskContext
 
         no = TaskContext.get().partitionId()
-        for part, ids in encoded(batches, model, end_id):
-            n = np.array([len(b) // 4 for b in ids], np.int64)
+        for part, ids, n in encoded(batches, model, end_id):
             at = before + np.cumsum(n) - n
-            rows = np.arange(row, row + len(ids))
-            row, before = row + len(ids), before + int(n.sum())
+            rows = np.arange(row, row + len(n))
+            row, before = row + len(n), before + len(ids)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [tx.column(part, "doc_id"), pa.array(np.full(len(ids), no), pa.int32()), pa.array(rows), pa.array(at), pa.array(n), list_array(ids)],
+                [tx.column(part, "doc_id"), pa.array(np.full(len(n), no), pa.int32()), pa.array(rows), pa.array(at), pa.array(n), lists],
                 ["doc_id", "part", "row", "part_start", "n_tokens", "ids"],
             )
 
     kind = dict(docs.dtypes)["doc_id"]
     src = docs.select("doc_id", "text")
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tx.text_bytes(docs) // PART_BYTES))
     dealt = src.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     options = {"parquet.block.size": str(row_group_bytes), "parquet.page.row.count.limit": str(page_rows), "compression": "zstd"}
     options |= {"parquet.enable.dictionary": "true"} if encoding == "dictionary" else {"parquet.enable.dictionary": "false", "parquet.writer.version": "PARQUET_2_0"}

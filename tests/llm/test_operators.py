@@ -8,6 +8,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +95,83 @@ def test_minhash_classes(docs, rows, empty):
     assert minhash.classes(empty).isEmpty()
 
 
+def brute_classes(rows, similarity=0.8):
+    """Components of all pairs of texts, by the longest common subsequence of five-word shingles."""
+    texts = {}
+    for i, t in rows:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", t or "") if x]
+        texts.setdefault(tuple(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else (), set()).add(i)
+    parent = {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def join(a, b):
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+
+    keys = sorted(texts, key=len)
+    for k, a in enumerate(keys):
+        for i in texts[a]:
+            join(i, min(texts[a]))
+        for b in keys[k + 1 :]:
+            if len(a) < similarity * len(b) or len(set(a) & set(b)) == 0:
+                continue
+            row = [0] * (len(b) + 1)
+            for x in a:
+                last = 0
+                for j, y in enumerate(b):
+                    last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+            if row[-1] >= similarity * (len(a) + len(b) - row[-1]):
+                join(min(texts[a]), min(texts[b]))
+    return {i: find(i) for i in parent}
+
+
+def test_minhash_classes_match_brute_force(spark):
+    rnd = random.Random(11)
+    rows, n = [], 0
+
+    def put(words_):
+        nonlocal n
+        rows.append((n, " ".join(words_)))
+        n += 1
+
+    for size, copies, edits in ((60, 40, 3), (150, 30, 8), (25, 12, 1)):  # some copies are near one another, some only near the first, some to none
+        base = words(rnd, size).split()
+        for _ in range(copies):
+            own = list(base)
+            for _ in range(rnd.randint(0, edits)):
+                own[rnd.randrange(len(own))] = words(rnd, 1)
+            put(own)
+    head = words(rnd, 40).split()
+    for _ in range(25):  # the same beginning, else different
+        put(head + words(rnd, 60).split())
+    rnd.shuffle(rows)
+    got = dict(table(minhash.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)), "doc_id", "class_id"))
+    assert got == brute_classes(rows)
+
+
+def test_minhash_takes_a_doc_id_with_several_texts_as_one_document(spark):
+    rnd = random.Random(12)
+    a, b, c = (words(rnd, 60).split() for _ in range(3))
+    near = [*b[:30], "changed", *b[31:]]
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (9, " ".join(near)), (3, " ".join(c)), (5, " ".join(c)), (None, " ".join(a)), (20, words(rnd, 60))]
+    got = dict(table(minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "class_id"))
+    assert got == {3: 3, 5: 3, 9: 3, 20: 20, None: None}
+
+
+def test_minhash_aligns_very_long_texts(spark):
+    rnd = random.Random(13)
+    base = [f"w{rnd.randrange(50_000)}" for _ in range(200_000)]
+    near = [w for w in base if rnd.random() > 0.005]
+    far = [w for w in base if rnd.random() > 0.06]
+    rows = [(0, " ".join(base)), (1, " ".join(near)), (2, " ".join(far))]
+    got = dict(table(minhash.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), "doc_id", "class_id"))
+    assert got == {0: 0, 1: 0, 2: 2}
+
+
 def test_alignment_is_exact_where_it_matters():
     rnd = random.Random(3)
     for _ in range(200):
@@ -108,7 +187,7 @@ def test_alignment_is_exact_where_it_matters():
 
 def test_packing(docs, rows, empty):
     got = packing.pack(docs).collect()
-    assert sum(r.length for r in got) == sum(len(b) // 4 + 1 for b in tokens.Encoder(tokens.tokenizer_path()).whole([t or "" for _, t in rows]))
+    assert sum(r.length for r in got) == sum(len(b) + 1 for b in tokens.Encoder(tokens.tokenizer_path()).whole([t or "" for _, t in rows]))
     bins = {}
     for r in got:
         bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -122,12 +201,23 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty).isEmpty()
 
 
-def test_genetic_packing_beats_or_meets_best_fit():
+def test_genetic_packing_saves_sequences_over_best_fit():
     rnd = random.Random(1)
-    lengths = [rnd.choice([700, 690, 670, 400, 390, 1100, 950, 260]) for _ in range(300)]
-    p = packing.Packer(lengths, 2048, 1)
-    best = p.evolve([p.first(0.0)])
-    assert sorted(i for g in best for i in g) == list(range(300)) and len(best) <= len(p.first(0.0)) and all(p.load(g) <= 2048 for g in best)
+    for lengths, saved in (([rnd.choice([700, 690, 670, 400, 390, 1100, 950, 260]) for _ in range(300)], 2), ([rnd.randint(300, 1000) for _ in range(1000)], 5), ([rnd.randint(400, 1200) for _ in range(4096)], 30)):
+        p = packing.Packer(lengths, 2048, 1)
+        best, plain = p.evolve([p.first(0.0)]), p.first(0.0)
+        assert sorted(i for g in best for i in g) == list(range(len(lengths))) and all(p.load(g) <= 2048 for g in best)
+        assert p.bound <= len(best) <= len(plain) - saved
+
+
+def test_packing_over_shards_meets_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ITEMS", 200)
+    rnd = random.Random(2)
+    lengths = [min(2047, int(rnd.expovariate(1 / 300)) + 1) for _ in range(1500)]
+    items = spark.createDataFrame(list(enumerate(lengths)), "item long, length long")
+    got = packing.place(items, 2048, Workspace(spark, "packing-test")).collect()
+    assert sorted(r.item for r in got) == list(range(1500))
+    assert len({r.sequence_id for r in got}) <= -(-sum(lengths) // 2048) + 1
 
 
 def test_substring_dedup(docs, rows, empty):
@@ -279,7 +369,7 @@ def test_bloom_levels_are_never_too_low():
 def test_token_ids(docs, rows, empty, encoding):
     got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in tokens.round_trip(docs, encoding=encoding).collect())
     ids = tokens.Encoder(tokens.tokenizer_path()).whole([t or "" for _, t in rows])
-    want = {(d, len(b) // 4 + 1, zlib.crc32(b + b"\2\0\0\0")) for (d, _), b in zip(rows, ids, strict=True)}
+    want = {(d, len(b) + 1, zlib.crc32(b.tobytes() + b"\2\0\0\0")) for (d, _), b in zip(rows, ids, strict=True)}
     assert {(d, n, c) for d, _, n, c in got} == want
     at = 0
     for d, start, n, _ in sorted(got, key=lambda r: r[1]):
@@ -289,11 +379,42 @@ def test_token_ids(docs, rows, empty, encoding):
     assert tokens.round_trip(empty).isEmpty()
 
 
-def test_encoder_equals_the_tokenizer():
+@pytest.mark.parametrize("encoding", ["dictionary", "delta"])
+def test_token_files_have_the_pages_and_indexes_asked_for(spark, tmp_path, encoding):
+    at = str(tmp_path / "ids")
+    docs = spark.createDataFrame([(i, f"text number {i} of many " * 40) for i in range(3000)], "doc_id long, text string")
+    tokens.write_ids(docs, at, encoding=encoding, row_group_bytes=1 << 16, page_rows=50, partitions=2)
+    for f in sorted((tmp_path / "ids").glob("*.parquet")):
+        meta = pq.ParquetFile(f).metadata
+        assert meta.num_row_groups > 1
+        for g in range(meta.num_row_groups):
+            chunks = {meta.row_group(g).column(i).path_in_schema: meta.row_group(g).column(i) for i in range(meta.num_columns)}
+            ids = next(c for name, c in chunks.items() if name.startswith("ids."))
+            assert ("RLE_DICTIONARY" in ids.encodings or "PLAIN_DICTIONARY" in ids.encodings) if encoding == "dictionary" else "DELTA_BINARY_PACKED" in ids.encodings
+            assert all(c.has_offset_index and c.has_column_index for c in chunks.values()) and ids.compression == "ZSTD"
+    table = tokens.read_ids(spark, at, ids=False)
+    assert table.columns == ["doc_id", "start", "n_tokens"] and "ids:" not in table._jdf.queryExecution().executedPlan().toString()
+    assert tokens.read_ids(spark, at).filter("doc_id between 1400 and 1600").select(F.sum(F.size("ids")), F.sum("n_tokens")).first()[0] == table.filter("doc_id between 1400 and 1600").agg(F.sum("n_tokens")).first()[0]
+
+
+def test_null_doc_ids_and_clashing_columns_of_token_ids_and_packing(spark):
+    docs = spark.createDataFrame([(None, "b c", 1, "x"), (7, "a", 2, "y"), (None, None, 3, "z"), (7, "A", 4, "w")], "doc_id long, text string, start int, ids string")
+    got = tokens.round_trip(docs).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, 7, 7] and [r.n_tokens for r in got] == [1, 3, 2, 2]
+    packed = packing.pack(docs).collect()
+    assert sorted((r.doc_id is None, r.length) for r in packed) == [(False, 2), (False, 2), (True, 1), (True, 3)] and len({r.sequence_id for r in packed}) == 1
+
+
+def test_encoder_equals_the_tokenizer(monkeypatch):
+    monkeypatch.setattr(tokens, "TABLE_ENTRIES", 2000)
     rnd = random.Random(2)
     e = tokens.Encoder(tokens.tokenizer_path())
-    texts = ["".join(rnd.choice(" \n\t's1.é a") for _ in range(rnd.randint(0, 30))) for _ in range(3000)] + ["x<|endoftext|>y", "a　 b", "\x1c \x1d"]
-    assert e(texts) == e.whole(texts)
+    texts = ["".join(rnd.choice(" \n\t's1.é aB²日!") for _ in range(rnd.randint(0, 30))) for _ in range(3000)] + ["x<|endoftext|>y", "a　 b", "\x1c \x1d", "", " ", "a\n\n b", "don't, 'll <|", "q" * 5000]
+    for lo in range(0, len(texts), 500):
+        some = texts[lo : lo + 500]
+        ids, n = e(pa.array(some), 2)
+        got = np.split(ids, np.cumsum(n)[:-1])
+        assert [x[:-1].tolist() for x in got] == [x.tolist() for x in e.whole(some)] and all(x[-1] == 2 for x in got)
 
 
 def test_pipeline(spark, docs):
