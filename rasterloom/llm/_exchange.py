@@ -13,6 +13,7 @@ equal when 56 + log2(buckets) bits agree.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -132,12 +133,20 @@ def ids_of(part: pa.RecordBatch) -> np.ndarray:
     return tx.column(part, "doc_id").fill_null(int(NO_ID)).to_numpy(zero_copy_only=False)
 
 
+def row_ids(part: pa.RecordBatch) -> np.ndarray:
+    """An id of each row's doc_id and text together: rows that share it are the same row twice."""
+    buf, offs = tx.buffer(tx.column(part, "text"))
+    raw = memoryview(buf)
+    own = np.array([int.from_bytes(hashlib.blake2b(raw[i:j], digest_size=8).digest(), "little") for i, j in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], np.uint64)
+    return tx.mix(own ^ tx.mix(ids_of(part).astype(np.uint64))).view(np.int64)
+
+
 def plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
-def texts(docs: DataFrame, n_buckets: int) -> DataFrame:
-    """The texts, packed by the bucket of their doc_id."""
+def texts(docs: DataFrame, n_buckets: int, ids_of: Callable[[pa.RecordBatch], np.ndarray] = ids_of) -> DataFrame:
+    """The texts, packed by the bucket of their id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,8 +165,8 @@ def texts(docs: DataFrame, n_buckets: int) -> DataFrame:
     return plain(docs).mapInArrow(run, SCHEMA)
 
 
-def meet(got: pa.Table, work: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Calls ``work(texts, answered fingerprints, their doc_ids)`` for slices of a bucket's texts."""
+def meet(got: pa.Table, work: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch], ids_of: Callable[[pa.RecordBatch], np.ndarray] = ids_of) -> Iterator[pa.RecordBatch]:
+    """Calls ``work(texts, answered fingerprints, their ids)`` for slices of a bucket's texts."""
     rows: dict[int, list] = {ANSWER: [], TEXT: []}
     for k, n, p in zip(got["kind"].to_pylist(), got["n"].to_pylist(), got["payload"].to_pylist(), strict=True):
         rows[k].append((n, p))

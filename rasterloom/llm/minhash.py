@@ -153,6 +153,8 @@ def common(a: np.ndarray, b: np.ndarray, similarity: float) -> int:
     order = np.argsort(a, kind="stable")
     lo = np.searchsorted(a[order], b)
     hi = np.searchsorted(a[order], b, "right")
+    if head + tail + np.count_nonzero(hi > lo) < similarity / (1 + similarity) * total - 1e-9:
+        return head + tail  # too few shingles in common, in any order
     strip = (1 << (2 * band + 1)) - 1
     v, left, found = strip, -band, 0  # bit i is place left + i of a; a zero is a step of the subsequence
     for j in np.flatnonzero(hi > lo).tolist():

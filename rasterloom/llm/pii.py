@@ -1,16 +1,17 @@
 """Personal data by candidate gradient boosting, in DataFrame and SQL functions only.
 
-Base spans come from one pattern and one check for each kind.  High-recall generators
-propose further spans, which may overlap (digit runs inside longer ones, numbers without
-a plus sign, spelled-out addresses).  Boosted trees score each candidate from its format
-and context, and thresholds for each kind, calibrated on candidates that the trees have
-not seen, select what is added; candidates that overlap a base span or a better candidate
-are left out.
-
-Training: candidates of at most ``max_docs`` documents that hold a digit or an at sign, in
-the order of a hash of their text; a candidate is positive when its own characters pass the
-kind's check (Luhn, octets, digit count, a known form of domain) and stand free of letters
-and digits.  With fewer than ``MIN_CLASS`` candidates of either class nothing is added.
+Base spans come from one pattern and one check for each of four kinds.  High-recall
+generators propose further spans, which may overlap (digit runs inside longer ones, numbers
+without a plus sign, spelled-out addresses, long runs of letters and digits; the last are of
+a fifth kind, secret).  Boosted trees score each candidate from its format and context, and
+thresholds for each kind, calibrated on candidates that the trees have not seen, select what
+is added; candidates that overlap a base span or a better candidate are left out.
+
+Training: ``PER_TEMPLATE`` written examples of each template, made by hashing a row number,
+so the model is the same for every input.  A template plants a span of personal data, or
+one that only looks like it (order numbers, time stamps, ISBNs, digests), among other words;
+a candidate is positive if it is just the planted span of a template of the first sort, and
+negative else, also if it cuts that span.  The labels are not computed from the features.
 
 Positions count code points, end exclusive.  Patterns are written so that they match what
 the plain ones match in linear time: possessive repeats, and a start only at the beginning
@@ -18,22 +19,26 @@ of a run or where the last match ended.
 
 Defined cases: a null text is empty; repeated rows are handled each; ties in score go to
 the longer, then the earlier candidate; an empty table gives no rows; further columns of
-``docs`` pass through unless they clash with an added one, which then replaces them.
+``docs`` pass through whatever their names are, unless they clash with an added one, which
+then replaces them.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_DOCS = 20_000
-MIN_CLASS = 20
-TREES, DEPTH = 8, 3
+from ..workspace import Workspace
+
+PER_TEMPLATE = 160
+TREES, DEPTH = 12, 4
 PRECISION = 0.98
 
-KINDS = ["email", "ip", "card", "phone"]
+#: The last has no base spans.
+KINDS = ["email", "ip", "card", "phone", "secret"]
 
 #: Kind: the pattern of base spans.
 BASE = {
@@ -51,11 +56,29 @@ GENERATORS = [
     ("phone", r"(?<![0-9+])00[1-9][0-9]{0,2}[ .-](?:\(?[0-9]{1,4}\)?[ .-]){1,4}[0-9]{3,5}(?![0-9])"),
     ("ip", r"(?<![0-9])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])"),
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)|@) ?[A-Za-z0-9-]{1,63}+ ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z]{2,12}(?![A-Za-z])"),
+    ("secret", r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,200}+[0-9])[A-Za-z0-9_+/-]{16,200}+(?![A-Za-z0-9_+/-])"),
 ]
 
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_CUES = r"(?i)(?:tel|phone|fon|mobil|call|fax|card|visa|konto|pay|mail|contact|host|addr|server|ip)[^A-Za-z0-9]{0,6}$"
-_FEATURES = ["kind", "digits", "len", "luhn", "octets", "touch_left", "touch_right", "cue", "gaps", "plus", "letters"]
+_GAP = "[^A-Za-z0-9]{0,6}$"
+#: Name of a feature, and what stands before the candidate where it is 1.
+_CUES = {
+    "cue_card": f"(?i)(?:card|visa|konto|pay|account|credit|iban){_GAP}",
+    "cue_phone": f"(?i)(?:tel|phone|fon|mobil|call|fax|dial){_GAP}",
+    "cue_mail": f"(?i)(?:mail|contact|write to){_GAP}",
+    "cue_secret": f"(?i)(?:token|secret|passw[a-z]*|pwd|key|auth|bearer){_GAP}",
+    "cue_number": f"(?i)(?:order|isbn|invoice|ref|serial|ticket|part|no|nr|id|at|on|time|date){_GAP}",
+    "cue_digest": f"(?i)(?:commit|sha[0-9]*|md5|rev|checksum|digest|hash|etag|build){_GAP}",
+    "assigned": "[=:] ?[\"']?$",
+    "before_digit": "[0-9][ .-]?$",
+    "plus": "[+] ?$",
+    "touch_left": r"[\p{L}0-9]$",
+}
+#: The same for what stands behind it.
+_AFTER = {"touch_right": r"^[\p{L}0-9]", "after_digit": "^[ .-]?[0-9]", "quoted": "^[\"']"}
+#: Name of a feature, and what counts characters of the candidate.
+_COUNTS = {"digits": "[^0-9]", "gaps": "[^ ().-]", "letters": "[^A-Za-z]", "capitals": "[^A-Z]", "beyond_f": "[^G-Zg-z]"}
+_FEATURES = ["kind", "len", "luhn", "octets", "year", "different", *_COUNTS, *_CUES, *_AFTER]
 
 
 def _sql(pattern: str) -> str:
@@ -101,70 +124,144 @@ def _none(kind: str = "array<struct<start:int,k:int,end:int>>") -> str:
 
 
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with _text (never null) and an array of spans for each kind: start, k (number of the kind), end."""
-    out = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    """row (the columns of ``docs``), _text (never null) and an array of spans for each kind: start, k (number of the kind), end."""
+    out = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     may = {"email": "instr(_text, '@') > 0", "phone": "instr(_text, '+') > 0"}
-    for k, kind in enumerate(KINDS):
+    for k, kind in enumerate(BASE):
         spans = f"transform(filter({_matches('_text', BASE[kind])}, m -> {_valid(kind, 'm.chars')}), m -> struct(m.start as start, {k} as k, m.end as end))"
         out = out.withColumn(f"_{kind}", F.expr(f"if({may.get(kind, _DIGIT)}, {spans}, {_none()})"))
-    return out.withColumn("_base", F.expr("array_sort(concat(" + ", ".join(f"_{k}" for k in KINDS) + "))"))
+    return out.withColumn("_base", F.expr("array_sort(concat(" + ", ".join(f"_{k}" for k in BASE) + "))"))
 
 
 _DIGIT = "_text rlike '[0-9]'"
 
 
 def candidates(based: DataFrame) -> DataFrame:
-    """Adds _candidates: spans with their features; the label is the weak one that training uses."""
+    """Adds _candidates: spans of _text with their features."""
     some = []
+    left, right = "substring(_text, greatest(1, m.start - 23), least(24, m.start))", "substring(_text, m.end + 1, 2)"
     for kind, pattern in GENERATORS:
-        k = KINDS.index(kind)
-        left, right = "substring(_text, greatest(1, m.start - 23), least(24, m.start))", "substring(_text, m.end + 1, 1)"
-        features = ", ".join(
-            f"cast({v} as double) as {f}"
-            for f, v in {
-                "kind": k,
-                "digits": f"length({_digits('m.chars')})",
-                "len": "length(m.chars)",
-                "luhn": _luhn(_digits("m.chars")),
-                "octets": _octets("m.chars"),
-                "touch_left": f"({left} rlike '[\\\\p{{L}}0-9]$')",
-                "touch_right": f"({right} rlike '[\\\\p{{L}}0-9]')",
-                "cue": f"({left} rlike {_sql(_CUES)})",
-                "gaps": "length(regexp_replace(m.chars, '[^ ().-]', ''))",
-                "plus": f"({left} rlike '[+] ?$')",
-                "letters": "length(regexp_replace(m.chars, '[^A-Za-z]', ''))",
-            }.items()
-        )
-        good = {"card": _luhn(_digits("m.chars")), "ip": _octets("m.chars"), "phone": f"length({_digits('m.chars')}) between 9 and 15", "email": "m.chars rlike '[.a-z]{2,}$'"}[kind]
-        label = f"{good} and not ({left} rlike '[\\\\p{{L}}0-9]$') and not ({right} rlike '[\\\\p{{L}}0-9]')"
-        found = f"transform({_matches('_text', pattern)}, m -> struct(m.start as start, {k} as k, m.end as end, {features}, cast({label} as double) as label))"
+        of = {
+            "kind": KINDS.index(kind),
+            "len": "length(m.chars)",
+            "luhn": _luhn(_digits("m.chars")),
+            "octets": _octets("m.chars"),
+            "year": "(m.chars rlike '^(?:19|20)[0-9][0-9]')",
+            "different": "size(array_distinct(split(m.chars, '')))",
+            **{f: f"length(regexp_replace(m.chars, {_sql(others)}, ''))" for f, others in _COUNTS.items()},
+            **{f: f"({left} rlike {_sql(cue)})" for f, cue in _CUES.items()},
+            **{f: f"({right} rlike {_sql(cue)})" for f, cue in _AFTER.items()},
+        }
+        features = ", ".join(f"cast({v} as double) as {f}" for f, v in of.items())
+        found = f"transform({_matches('_text', pattern)}, m -> struct(m.start as start, {KINDS.index(kind)} as k, m.end as end, {features}))"
         need = "(instr(_text, '@') > 0 or instr(_text, 'at') > 0)" if kind == "email" else _DIGIT
         some.append(f"if({need}, {found}, {_none(_CANDIDATE)})")
     return based.withColumn("_candidates", F.expr(f"concat({', '.join(some)})"))
 
 
-_CANDIDATE = "array<struct<start:int,k:int,end:int," + ",".join(f"{f}:double" for f in _FEATURES) + ",label:double>>"
+_CANDIDATE = "array<struct<start:int,k:int,end:int," + ",".join(f"{f}:double" for f in _FEATURES) + ">>"
 
 
-def train(docs: DataFrame, text: str = "text", max_docs: int = MAX_DOCS) -> tuple[list[str], dict[int, float]] | None:
-    """The trees as SQL over a candidate ``c``, and a threshold for each kind; None with too few candidates."""
+def _made(what: str, n: int, salt: str = "") -> str:
+    """SQL: n characters from the row's number."""
+    digest = f"sha2(concat(id, '{what}{salt}'), 256)"
+    return {
+        "digits": f"substring(translate({digest}, 'abcdef', '271834'), 1, {n})",
+        "hex": f"substring({digest}, 1, {n})",
+        "mixed": f"substring(translate(base64(unhex({digest})), '+/=', 'x7Q'), 1, {n})",
+        "letters": f"substring(translate({digest}, '0123456789', 'etaoinshrl'), 1, {n})",
+    }[what]
+
+
+def _one_of(salt: str, *words: str) -> str:
+    return f"element_at(array({', '.join(_sql(w) for w in words)}), 1 + cast(pmod(xxhash64(id, '{salt}'), {len(words)}) as int))"
+
+
+def _templates() -> list[tuple[str, bool, str, str, str]]:
+    """(kind, whether it is personal, what stands before, the span, what stands behind), in SQL over ``id``."""
+
+    def d(n: int, salt: str = "") -> str:
+        return _made("digits", n, salt)
+
+    any_word, end = "' '", _one_of("end", " ", ", ", ". ", "!! ", "### ", "\n", " | ")
+    card, phone, mail = _one_of("c", "card ", "visa: ", "account ", "pay to "), _one_of("p", "tel ", "phone: ", "call ", "fax "), _one_of("m", "mail ", "contact: ", "write to ")
+    number, digest = _one_of("n", "order ", "invoice no. ", "serial ", "ticket id: ", "ref "), _one_of("g", "commit ", "sha1: ", "md5 = ", "checksum ", "etag: \"", "build ")
+    secret = _one_of("s", "token = \"", "api_key=", "secret: ", "password = '", "TOKEN = \"", "auth: ", "key = \"")
+    groups = f"concat_ws({_one_of('gap', ' ', '-')}, {d(4)}, {d(4, 'b')}, {d(4, 'c')}, {d(4, 'd')})"
+    us, local = f"concat('(', {d(3)}, ') ', {d(3, 'b')}, '-', {d(4, 'c')})", f"concat_ws({_one_of('gap', '-', '.', ' ')}, {d(3)}, {d(3, 'b')}, {d(4, 'c')})"
+    abroad = f"concat('00', {_one_of('cc', '49', '33', '1', '351')}, ' ', {d(3)}, ' ', {d(3, 'b')}, ' ', {d(4, 'c')})"
+    spelled = f"concat({_made('letters', 6)}, {_one_of('at', ' [at] ', ' (at) ', '[at]')}, {_made('letters', 7, 'b')}, {_one_of('dot', ' [dot] ', ' (dot) ', '.')}, {_one_of('tld', 'com', 'org', 'de')})"
+    stamp = f"concat({_one_of('y', '2019', '2023', '1998')}, {_one_of('mo', '01', '07', '12')}, {_one_of('da', '03', '17', '28')}, {d(6)})"
+    return [
+        ("card", True, any_word, d(16), end),
+        ("card", True, card, d(16), end),
+        ("card", True, any_word, groups, end),
+        ("card", True, card, groups, end),
+        ("card", True, card, d(15), end),
+        ("card", False, number, d(16), end),
+        ("card", False, number, d(13), end),
+        ("card", False, any_word, d(12), end),
+        ("card", False, any_word, stamp, end),
+        ("card", False, any_word, d(19), end),
+        ("card", False, f"concat(' ', {_made('letters', 3)})", d(16), _made("letters", 2, "b")),
+        ("card", False, f"concat(' ', {d(4)}, '.')", d(16), end),
+        ("phone", True, any_word, us, end),
+        ("phone", True, phone, us, end),
+        ("phone", True, phone, local, end),
+        ("phone", True, any_word, local, end),
+        ("phone", True, phone, abroad, end),
+        ("phone", False, number, local, end),
+        ("phone", False, f"concat(' ', {d(5)}, '-')", local, end),
+        ("phone", False, any_word, local, f"concat('-', {d(4, 'z')})"),
+        ("email", True, any_word, spelled, end),
+        ("email", True, mail, spelled, end),
+        ("email", False, any_word, f"concat({_made('letters', 4)}, ' at ', {_made('letters', 5, 'b')})", end),
+        ("ip", False, any_word, f"concat('999.', {d(3)}, '.', {d(3, 'b')}, '.777')", end),
+        ("secret", True, secret, _made("hex", 40), _one_of("q", "\" ", "' ", " ", "\"!! ")),
+        ("secret", True, secret, f"upper({_made('hex', 40)})", _one_of("q", "\" ", "' ", "\"### ")),
+        ("secret", True, secret, _made("mixed", 32), _one_of("q", "\" ", "' ", " ")),
+        ("secret", True, secret, _made("hex", 32), _one_of("q", "\" ", "' ", " ")),
+        ("secret", False, digest, _made("hex", 40), end),
+        ("secret", False, digest, _made("hex", 32), _one_of("q", "\" ", " ", ". ")),
+        ("secret", False, any_word, _made("hex", 40), end),
+        ("secret", False, number, f"concat({_made('letters', 12)}, '-', {d(6)})", end),
+        ("secret", False, any_word, f"concat({_made('letters', 9)}, '_', {_made('letters', 8, 'b')}, '/v', {d(1)})", end),
+        ("secret", False, secret, f"concat({_made('letters', 8)}, '-', {_made('letters', 9, 'b')}, '-', {d(1)})", end),
+    ]
+
+
+def examples(spark: SparkSession, work: Workspace, per_template: int = PER_TEMPLATE) -> DataFrame:
+    """The features of the candidates of written texts, with label, k and held (not for the trees)."""
+    ids = spark.range(0, per_template, 1, 1)
+    rows = reduce(
+        DataFrame.unionByName,
+        [
+            ids.select(
+                "id", F.lit(KINDS.index(kind)).alias("own"), F.lit(personal).alias("personal"), F.expr(f"concat({_made('letters', 5, 'x')}, ' ', {_made('letters', 4, 'y')}, ' ', {before})").alias("before"),
+                F.expr(span).alias("span"), F.expr(f"concat({behind}, {_made('letters', 6, 'z')})").alias("behind"),
+            )
+            for kind, personal, before, span, behind in _templates()
+        ],
+    )
+    rows = work.table(rows.select("*", F.concat("before", "span", "behind").alias("_text")).coalesce(4), "examples")
+    flat = candidates(rows).select("id", "personal", "own", F.length("before").alias("at"), F.length("span").alias("n"), F.explode("_candidates").alias("c"))
+    just = F.expr("personal and own = c.k and c.start = at and c.end = at + n")
+    return flat.select("c.*", just.cast("double").alias("label"), (F.col("id") % 4 == 0).alias("held"))
+
+
+def train(spark: SparkSession, per_template: int = PER_TEMPLATE) -> tuple[list[str], dict[int, float]]:
+    """The trees as SQL over a candidate ``c``, and a threshold for each kind."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
-    rows = docs.select(F.col(text).alias("text")).filter("text rlike '[0-9@]'").orderBy(F.xxhash64("text"), "text").limit(max_docs)
-    flat = candidates(rows.withColumn("_text", F.col("text"))).select(F.explode("_candidates").alias("c")).select("c.*")
-    from ..workspace import Workspace
-
-    flat = Workspace(docs.sparkSession, "pii").table(flat.withColumn("held", F.pmod(F.xxhash64("start", "end", "digits", "len"), F.lit(4)) == 0), "candidates")
-    n = {(r.held, r.label): r.n for r in flat.groupBy("held", "label").agg(F.count("*").alias("n")).collect()}
-    if min(n.get((False, 0.0), 0), n.get((False, 1.0), 0)) < MIN_CLASS:
-        return None
+    work = Workspace(spark, "pii")
+    flat = work.table(examples(spark, work, per_template), "candidates")
     table = VectorAssembler(inputCols=_FEATURES, outputCol="features").transform(flat)
-    model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, seed=7, cacheNodeIds=False).fit(table.filter("not held"))
+    model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, cacheNodeIds=False).fit(table.filter("not held"))
     trees = [_tree_sql(t.toDebugString, w) for t, w in zip(model.trees, model.treeWeights, strict=True)]
-    scored = table.filter("held").select("k", "label", F.floor(F.expr(_probability(trees, "")) * 20).alias("bin"))
-    bins = scored.groupBy("k", "bin").agg(F.sum("label").alias("yes"), F.count("*").alias("n")).collect()  # 80 rows at most
+    scored = flat.filter("held").select("k", "label", F.floor(F.expr(_probability(trees, "")) * 20).alias("bin"))
+    bins = scored.groupBy("k", "bin").agg(F.sum("label").alias("yes"), F.count("*").alias("n")).collect()  # 100 rows at most
+    work.drop()
     at = {}
     for k in range(len(KINDS)):
         yes = total = 0
@@ -194,22 +291,17 @@ def _probability(trees: list[str], c: str) -> str:
     return f"(1 / (1 + exp(-2 * ({' + '.join(t.replace('c.', c) for t in trees)}))))"
 
 
-def find(docs: DataFrame, *, text: str = "text", max_docs: int = MAX_DOCS) -> DataFrame:
-    """``docs`` with n_email, n_ip, n_card, n_phone, base and spans: arrays of (start, k, end), by start and kind."""
-    model = train(docs, text, max_docs)
-    based = base_spans(docs, text)
-    if model is None:
-        based = based.withColumn("_added", F.expr(_none()))
-    else:
-        trees, at = model
-        level = "element_at(map(" + ", ".join(f"{k}, {at.get(k, 2.0)}D" for k in range(len(KINDS))) + "), c.k)"
-        free = "not exists(_base, b -> b.start < c.end and c.start < b.end)"
-        picked = f"filter(transform(filter(_candidates, c -> {free}), c -> struct(-{_probability(trees, 'c.')} as p, c.start - c.end as size, c.start as start, c.k as k, c.end as end, {level} as level)), c -> -c.p >= c.level)"
-        greedy = f"aggregate(array_sort({picked}), {_none()}, (a, c) -> if(exists(a, b -> b.start < c.end and c.start < b.end), a, concat(a, array(struct(c.start as start, c.k as k, c.end as end)))))"
-        based = candidates(based).withColumn("_added", F.expr(f"if(size(_candidates) = 0, {_none()}, {greedy})"))
-    counts = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
-    added = [*(f"n_{k}" for k in KINDS), "base", "spans"]
-    return based.select(*[c for c in docs.columns if c not in added], *counts, F.col("_base").alias("base"), F.expr("array_sort(concat(_base, _added))").alias("spans"))
+def find(docs: DataFrame, *, text: str = "text", per_template: int = PER_TEMPLATE) -> DataFrame:
+    """``docs`` with n_email, n_ip, n_card, n_phone (base spans), base and spans: arrays of (start, k, end), by start and kind."""
+    trees, at = train(docs.sparkSession, per_template)
+    level = "element_at(map(" + ", ".join(f"{k}, {at.get(k, 2.0)}D" for k in range(len(KINDS))) + "), c.k)"
+    free = "not exists(_base, b -> b.start < c.end and c.start < b.end)"
+    picked = f"filter(transform(filter(_candidates, c -> {free}), c -> struct(-{_probability(trees, 'c.')} as p, c.start - c.end as size, c.start as start, c.k as k, c.end as end, {level} as level)), c -> -c.p >= c.level)"
+    greedy = f"aggregate(array_sort({picked}), {_none()}, (a, c) -> if(exists(a, b -> b.start < c.end and c.start < b.end), a, concat(a, array(struct(c.start as start, c.k as k, c.end as end)))))"
+    found = candidates(base_spans(docs, text)).withColumn("_added", F.expr(f"if(size(_candidates) = 0, {_none()}, {greedy})"))
+    counts = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in BASE]
+    added = [*(f"n_{k}" for k in BASE), "base", "spans"]
+    return found.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in added], *counts, F.col("_base").alias("base"), F.expr("array_sort(concat(_base, _added))").alias("spans"))
 
 
 def _written(spans: str) -> str:
@@ -218,8 +310,10 @@ def _written(spans: str) -> str:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The contract's columns from what ``find`` returns."""
-    return found.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2(F.expr(_written("base")).cast("binary"), 256).alias("base_sha256"), F.expr(_written("spans")).alias("spans"))
+    """The contract's columns from what ``find`` returns, and n_spans, the number of all spans."""
+    return found.select(
+        "doc_id", *(f"n_{k}" for k in BASE), F.sha2(F.expr(_written("base")).cast("binary"), 256).alias("base_sha256"), F.expr(_written("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans")
+    )
 
 
 def redacted(found: DataFrame, text: str = "text") -> Column:
@@ -233,10 +327,11 @@ def redacted(found: DataFrame, text: str = "text") -> Column:
     )
 
 
-def redact(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with personal data replaced in ``text``; a null text stays null."""
-    found = find(docs, **options)
-    return found.withColumn("text", redacted(found)).select(*docs.columns)
+def redact(docs: DataFrame, *, text: str = "text", **options) -> DataFrame:
+    """``docs`` with personal data replaced in ``text``; a null text stays null.  Columns keep their values, whatever their names."""
+    packed = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    found = find(packed, **options)
+    return found.withColumn("text", redacted(found)).select(*[F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def brute_force(doc_id: int, text: str | None) -> tuple:

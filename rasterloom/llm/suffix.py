@@ -15,7 +15,8 @@
    neighbour, or if its piece occurs twice.  An anchor with more than ``BATCH_PIECES`` pieces
    is not one collection: digests of its pieces' windows are counted in all tasks, and a
    window is repeated if its digest occurs twice.
-3. The repeated windows go back to their texts, by doc_id, and their bytes are removed.
+3. The repeated windows go back to their texts, by a hash of doc_id and text together, and
+   their bytes are removed.
 
 Inserting whole texts side by side would take as many rounds over the whole collection as
 the longest text has bytes; pieces are at most ``width`` + 84 bytes, so a fixed number of
@@ -24,8 +25,9 @@ the shared folder, read in sequence; a task holds one batch of collections at a
 is two times ``BATCH_PIECES`` pieces at most.
 
 Defined cases: a null or empty text has no bytes; texts below ``width`` bytes have no
-window; repeated rows repeat each other's strings; a null doc_id is an id of its own;
-an empty table gives no rows; other columns are not carried.
+window; repeated rows repeat each other's strings; rows with a null doc_id, or with one
+doc_id and different texts, keep their own answers; an empty table gives no rows; other
+columns are not carried.
 """
 
 from __future__ import annotations
@@ -156,7 +158,7 @@ def repeated_windows(anchor_key: np.ndarray, content: list[bytes], anchor: np.nd
 
 
 def _candidates(docs: DataFrame, n_buckets: int, width: int, work: Workspace) -> DataFrame:
-    """The pieces whose common bytes occur twice: doc_id, lo, n, anchor, key, same (hash of the content), content (once a block)."""
+    """The pieces whose common bytes occur twice: row (the text's id), lo, n, anchor, key, same (hash of the content), content (once a block)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,7 +168,7 @@ def _candidates(docs: DataFrame, n_buckets: int, width: int, work: Workspace) ->
                     p = Pieces(tx.column(small, "text"), width)
                     fps.append(p.key)
                     seconds.append(p.second % np.uint64(n_buckets))
-                    docs_.append(ex.ids_of(small)[p.doc])
+                    docs_.append(ex.row_ids(small)[p.doc])
                 yield ex.table(ex.messages(np.concatenate(fps), np.concatenate(seconds), np.concatenate(docs_), n_buckets, "again"))
 
     def answer(key: tuple[pa.Scalar, ...], got: pa.Table) -> pa.Table:
@@ -174,7 +176,7 @@ def _candidates(docs: DataFrame, n_buckets: int, width: int, work: Workspace) ->
 
     def cut(part: pa.RecordBatch, fp: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
         p = Pieces(tx.column(part, "text"), width)
-        ids = ex.ids_of(part)
+        ids = ex.row_ids(part)
         use = np.flatnonzero(np.isin(ex.pair_keys(p.key, ids[p.doc]), ex.pair_keys(fp, doc)))
         raw = p.buf.tobytes()
         content = [raw[i:j] for i, j in zip(p.lo[use].tolist(), (p.lo[use] + p.n[use] - 1 + width).tolist(), strict=True)]
@@ -185,7 +187,7 @@ def _candidates(docs: DataFrame, n_buckets: int, width: int, work: Workspace) ->
         doc = p.doc[use]
         return pa.RecordBatch.from_arrays(
             [
-                tx.column(part, "doc_id").take(pa.array(doc)),
+                pa.array(ids[doc]),
                 pa.array(p.lo[use] - p.offs[doc], pa.int64()),
                 pa.array(p.n[use], pa.int32()),
                 pa.array(p.anchor[use] - p.lo[use], pa.int32()),
@@ -197,16 +199,16 @@ def _candidates(docs: DataFrame, n_buckets: int, width: int, work: Workspace) ->
         )
 
     def finish(key: tuple[pa.Scalar, ...], got: pa.Table) -> pa.Table:
-        done = list(ex.meet(got, cut))
+        done = list(ex.meet(got, cut, ex.row_ids))
         return pa.Table.from_batches(done) if done else _NO_PIECES.slice(0)
 
     sent = ex.plain(docs).mapInArrow(send, ex.SCHEMA)
     found = sent.groupBy("bucket").applyInArrow(answer, ex.SCHEMA)
-    met = found.unionByName(ex.texts(docs, n_buckets)).groupBy("bucket").applyInArrow(finish, "doc_id long, lo long, n int, anchor int, key long, same binary, content binary")
+    met = found.unionByName(ex.texts(docs, n_buckets, ex.row_ids)).groupBy("bucket").applyInArrow(finish, "row long, lo long, n int, anchor int, key long, same binary, content binary")
     return work.table(met, "pieces")
 
 
-_PIECE_NAMES = ["doc_id", "lo", "n", "anchor", "key", "same", "content"]
+_PIECE_NAMES = ["row", "lo", "n", "anchor", "key", "same", "content"]
 _NO_PIECES = pa.table({k: pa.array([], t) for k, t in zip(_PIECE_NAMES, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()], strict=True)})
 
 
@@ -304,11 +306,11 @@ def dedup(docs: DataFrame, *, width: int = WIDTH, n_buckets: int | None = None,
     work = Workspace(spark, "suffix")
     pieces = _candidates(docs, n_buckets, width, work)
     marks = _marks(pieces, width, work, most_pieces)
-    found = pieces.select("doc_id", "lo", "n", "key", "same").join(marks, ["key", "same"]).select("doc_id", "lo", "n", "mask")
+    found = pieces.select("row", "lo", "n", "key", "same").join(marks, ["key", "same"]).select("row", "lo", "n", "mask")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = ex.ids_of(batch)
+            ids = tx.column(batch, "row").to_numpy()
             fps, owners = [], []
             for i, (lo, n, mask) in enumerate(zip(tx.column(batch, "lo").to_pylist(), tx.column(batch, "n").to_pylist(), tx.column(batch, "mask").to_pylist(), strict=True)):
                 bits = np.unpackbits(np.frombuffer(mask, np.uint8), count=n)
@@ -323,15 +325,15 @@ def dedup(docs: DataFrame, *, width: int = WIDTH, n_buckets: int | None = None,
         buf, offs = tx.buffer(tx.column(part, "text"))
         lo, n = (runs >> np.uint64(8)).astype(np.int64), (runs & np.uint64(255)).astype(np.int64)
         spans, kept, removed = [], [], []
-        for i, d in enumerate(ex.ids_of(part)):
-            own = slice(*np.searchsorted(doc, [d, d + 1] if d < ex.NO_ID else [d, d])) if d < ex.NO_ID else doc == d
+        ids = ex.row_ids(part)
+        for i, (x, y) in enumerate(zip(np.searchsorted(doc, ids), np.searchsorted(doc, ids, "right"), strict=True)):
+            own = slice(x, y)
             text = buf[offs[i] : offs[i + 1]]
             delta = np.zeros(len(text) + 1, np.int64)
             a = lo[own]
             b = a + n[own] - 1 + width
-            fits = b <= len(text)  # a repeated doc_id may come with another text
-            np.add.at(delta, a[fits], 1)
-            np.add.at(delta, b[fits], -1)
+            np.add.at(delta, a, 1)
+            np.add.at(delta, b, -1)
             gone = np.cumsum(delta[:-1]) > 0
             edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
             spans.append([{"start": int(x), "end": int(y)} for x, y in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)])
@@ -340,12 +342,12 @@ def dedup(docs: DataFrame, *, width: int = WIDTH, n_buckets: int | None = None,
         return pa.RecordBatch.from_arrays([tx.column(part, "doc_id"), pa.array(np.diff(offs), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, _SPANS), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
     def finish(key: tuple[pa.Scalar, ...], got: pa.Table) -> pa.Table:
-        done = list(ex.meet(got, remove))
+        done = list(ex.meet(got, remove, ex.row_ids))
         if done:
             return pa.Table.from_batches(done)
         return pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "spans": pa.array([], _SPANS), "kept": pa.array([], pa.binary())})
 
-    rows = found.mapInArrow(pack, ex.SCHEMA).unionByName(ex.texts(docs, n_buckets))
+    rows = found.mapInArrow(pack, ex.SCHEMA).unionByName(ex.texts(docs, n_buckets, ex.row_ids))
     return rows.groupBy("bucket").applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
 
 

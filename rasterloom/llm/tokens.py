@@ -111,6 +111,9 @@ class Encoder:
                     continue
                 core, mark = found.groups()
             ids = cores.get(core)
+            if ids is None and mark and core in self.at:
+                k = self.at[core]
+                ids = self.ids[self.start[k] : self.start[k] + self.size[k]].tolist()
             if ids is None:
                 ids = cores[core] = [t.id for t in merge(self.space + (core if core.isascii() else core.encode().decode("latin-1").translate(self.bytes)))]
             if mark:
