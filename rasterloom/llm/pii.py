@@ -86,14 +86,20 @@ def _sql(pattern: str) -> str:
 
 
 def _matches(text: str, pattern: str) -> str:
-    """SQL: start, end and characters of each match of a pattern, from the pieces between them."""
+    """SQL: start, end, characters, up to 24 characters before and 2 behind of each match of a pattern, from the pieces between them.
+
+    No piece of the text is sought by its position, so long texts with many matches take linear time.
+    """
     found, parts = f"regexp_extract_all({text}, {_sql(pattern)}, 0)", f"split({text}, {_sql(pattern)}, -1)"
-    return (
-        f"aggregate(zip_with({found}, {parts}, (m, p) -> struct(length(p) as gap, m as chars)),"
-        " struct(0 as at, cast(array() as array<struct<start:int,end:int,chars:string>>) as spans),"
-        " (a, x) -> if(x.chars is null, a, struct(a.at + x.gap + length(x.chars) as at,"
-        " concat(a.spans, array(struct(a.at + x.gap as start, a.at + x.gap + length(x.chars) as end, x.chars as chars))) as spans))).spans"
-    )
+    left, right = "right(concat(coalesce(get(s.f, i - 1), ''), s.p[i]), 24)", "substring(concat(get(s.p, i + 1), coalesce(get(s.f, i + 1), '')), 1, 2)"
+    pieces = f"transform(array(struct({found} as f, {parts} as p)), s -> transform(s.f, (m, i) -> struct(length(s.p[i]) as gap, m as chars, {left} as left, {right} as right)))[0]"
+    # Running sums in groups of 256 and over the groups: an aggregate copies what it has gathered at each step.
+    run = "(a, y) -> concat(a, array(element_at(a, -1) + y.gap + length(y.chars)))"
+    groups = "transform(sequence(0, greatest(0, size(x) - 1) div 256), c -> slice(x, cast(c * 256 + 1 as int), 256))"
+    begins = "aggregate(g, array(0), (a, ch) -> concat(a, array(element_at(a, -1) + aggregate(ch, 0, (s, y) -> s + y.gap + length(y.chars)))))"
+    span = "(y, at) -> struct(at + y.gap as start, at + y.gap + length(y.chars) as end, y.chars as chars, y.left as left, y.right as right)"
+    spans = f"flatten(transform(g, (ch, c) -> zip_with(ch, slice(aggregate(ch, array(o[c]), {run}), 1, size(ch)), {span})))"
+    return f"transform(array({pieces}), x -> transform(array({groups}), g -> transform(array({begins}), o -> {spans})[0])[0])[0]"
 
 
 def _digits(chars: str) -> str:
@@ -139,7 +145,7 @@ _DIGIT = "_text rlike '[0-9]'"
 def candidates(based: DataFrame) -> DataFrame:
     """Adds _candidates: spans of _text with their features."""
     some = []
-    left, right = "substring(_text, greatest(1, m.start - 23), least(24, m.start))", "substring(_text, m.end + 1, 2)"
+    left, right = "m.left", "m.right"
     for kind, pattern in GENERATORS:
         of = {
             "kind": KINDS.index(kind),
@@ -249,8 +255,18 @@ def examples(spark: SparkSession, work: Workspace, per_template: int = PER_TEMPL
     return flat.select("c.*", just.cast("double").alias("label"), (F.col("id") % 4 == 0).alias("held"))
 
 
+_models: dict[tuple[str, int], tuple[list[str], dict[int, float]]] = {}
+
+
 def train(spark: SparkSession, per_template: int = PER_TEMPLATE) -> tuple[list[str], dict[int, float]]:
-    """The trees as SQL over a candidate ``c``, and a threshold for each kind."""
+    """The trees as SQL over a candidate ``c``, and a threshold for each kind; once for each application, as the examples are the same."""
+    key = (spark.sparkContext.applicationId, per_template)
+    if key not in _models:
+        _models[key] = _train(spark, per_template)
+    return _models[key]
+
+
+def _train(spark: SparkSession, per_template: int) -> tuple[list[str], dict[int, float]]:
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
@@ -295,8 +311,9 @@ def find(docs: DataFrame, *, text: str = "text", per_template: int = PER_TEMPLAT
     """``docs`` with n_email, n_ip, n_card, n_phone (base spans), base and spans: arrays of (start, k, end), by start and kind."""
     trees, at = train(docs.sparkSession, per_template)
     level = "element_at(map(" + ", ".join(f"{k}, {at.get(k, 2.0)}D" for k in range(len(KINDS))) + "), c.k)"
-    free = "not exists(_base, b -> b.start < c.end and c.start < b.end)"
-    picked = f"filter(transform(filter(_candidates, c -> {free}), c -> struct(-{_probability(trees, 'c.')} as p, c.start - c.end as size, c.start as start, c.k as k, c.end as end, {level} as level)), c -> -c.p >= c.level)"
+    scored = f"filter(transform(_candidates, c -> struct(-{_probability(trees, 'c.')} as p, c.start - c.end as size, c.start as start, c.k as k, c.end as end, {level} as level)), c -> -c.p >= c.level)"
+    # few candidates come so far; only they are held against the base spans
+    picked = f"filter({scored}, c -> not exists(_base, b -> b.start < c.end and c.start < b.end))"
     greedy = f"aggregate(array_sort({picked}), {_none()}, (a, c) -> if(exists(a, b -> b.start < c.end and c.start < b.end), a, concat(a, array(struct(c.start as start, c.k as k, c.end as end)))))"
     found = candidates(base_spans(docs, text)).withColumn("_added", F.expr(f"if(size(_candidates) = 0, {_none()}, {greedy})"))
     counts = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in BASE]
