@@ -99,12 +99,13 @@ def paste_slices(stack: DataFrame, plane: DataFrame, lo: int, hi: int, t: str =
 
 
 def same_slice(df: DataFrame, z: int, image: str, axis: str) -> DataFrame:
-    """Slice z of every image; an error column is set where an image's size differs from the first one's."""
+    """Slice z of every image; running it fails where an image's size differs from the first one's."""
     size = df.groupBy(image).agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
     first = size.agg(F.min_by(F.struct("width", "height"), image).alias("_s"))
     fits = (F.col("width") == F.col("_s.width")) & (F.col("height") == F.col("_s.height"))
-    size = size.crossJoin(F.broadcast(first)).filter(fits).select(image)  # one row
-    return df.filter(F.col(axis) == z).join(size, image, "left_semi")
+    checked = F.when(fits, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("another size: image "), F.col(image).cast("string"))))
+    size = size.crossJoin(F.broadcast(first)).select(image, checked.alias("_fits"))  # one row
+    return df.filter(F.col(axis) == z).join(size, image).filter("_fits").drop("_fits")
 
 
 def crop_to_multiple(df: DataFrame, tw: int, th: int, w: int, h: int) -> DataFrame:

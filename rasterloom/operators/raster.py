@@ -166,13 +166,16 @@ def best_match_unique(distances: DataFrame, work: Workspace) -> DataFrame:
 CELL = 64
 
 
-def mask_polygon(df: DataFrame, rois: DataFrame) -> DataFrame:
-    """Pixels (x, y) inside each polygon (roi_id, verts): a join on grid cells of the bounding box, then the even-odd rule on pixel centres."""
-    box = rois.select("roi_id", "verts", *(F.expr(f"array_{f}(transform(verts, v -> v.{n}))").alias(f"_{k}{n}") for n in "xy" for k, f in (("lo", "min"), ("hi", "max"))))
+def mask_polygon(df: DataFrame, rois: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
+    """Pixels (x, y) inside each polygon (roi_id, verts): a join on grid cells of the bounding box, then the even-odd rule on pixel centres.
+
+    ``on`` names columns of both sides that must agree, such as the image that a region belongs to; without them each region is applied to all images.
+    """
+    box = rois.select("roi_id", "verts", *on, *(F.expr(f"array_{f}(transform(verts, v -> v.{n}))").alias(f"_{k}{n}") for n in "xy" for k, f in (("lo", "min"), ("hi", "max"))))
     cells = lambda n: F.explode(F.sequence(F.floor(F.col(f"_lo{n}") / CELL), F.floor(F.col(f"_hi{n}") / CELL)))
     box = box.withColumn("_cx", cells("x")).withColumn("_cy", cells("y"))
     dealt = df.withColumns({"_cx": F.floor(F.col("x") / CELL), "_cy": F.floor(F.col("y") / CELL)})
-    near = dealt.join(box, ["_cx", "_cy"]).filter("x >= _lox and x < _hix and y >= _loy and y < _hiy")
+    near = dealt.join(box, [*on, "_cx", "_cy"]).filter("x >= _lox and x < _hix and y >= _loy and y < _hiy")
     px, py = "(x + 0.5)", "(y + 0.5)"
     crossing = f"((a.y > {py}) != (b.y > {py}) and {px} < (b.x - a.x) * ({py} - a.y) / (b.y - a.y) + a.x)"
     inside = f"aggregate(zip_with(verts, concat(slice(verts, 2, size(verts) - 1), slice(verts, 1, 1)), (a, b) -> {crossing}), false, (s, c) -> s != c)"
@@ -195,29 +198,31 @@ def line_points(rois: DataFrame) -> DataFrame:
     """Sample points of (roi_id, ax, ay, bx, by) at unit steps, rounded to pixels; i counts from 0."""
     length = F.sqrt(F.pow(F.col("bx") - F.col("ax"), 2) + F.pow(F.col("by") - F.col("ay"), 2))
     n = F.greatest(F.lit(1), S.half_up(length))
+    rest = [c for c in rois.columns if c not in ("roi_id", "ax", "ay", "bx", "by")]
     out = rois.withColumn("_n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_n"))))
     at = lambda k: S.half_up(F.round(F.col(f"a{k}") + (F.col(f"b{k}") - F.col(f"a{k}")) * F.col("i") / F.col("_n"), 6)).alias(k)
-    return out.select("roi_id", "i", at("x"), at("y"))
+    return out.select("roi_id", *rest, "i", at("x"), at("y"))
 
 
-def line_profile(df: DataFrame, rois: DataFrame, keys: list[str], value: str = "val") -> DataFrame:
-    return line_points(rois).join(df, ["x", "y"]).select(*keys, "roi_id", "i", value)
+def line_profile(df: DataFrame, rois: DataFrame, keys: list[str], value: str = "val", on: tuple[str, ...] = ()) -> DataFrame:
+    """Values along each line (roi_id, ax, ay, bx, by) at unit steps; ``on`` as in mask_polygon."""
+    return line_points(rois).join(df, [*on, "x", "y"]).select(*keys, "roi_id", "i", value)
 
 
-def column_profile(df: DataFrame, rois: DataFrame, keys: list[str], value: str = "val") -> DataFrame:
+def column_profile(df: DataFrame, rois: DataFrame, keys: list[str], value: str = "val", on: tuple[str, ...] = ()) -> DataFrame:
     """Column means of rectangles (roi_id, x0, y0, x1, y1)."""
-    masked = mask_polygon(df, rois.select("roi_id", rectangle("x0", "y0", "x1", "y1").alias("verts")))
+    masked = mask_polygon(df, rois.select("roi_id", *on, rectangle("x0", "y0", "x1", "y1").alias("verts")), on)
     return masked.groupBy(*keys, "roi_id", "x").agg(F.round(F.avg(value), 6).alias("mean"))
 
 
-def outline_profile(df: DataFrame, rois: DataFrame, keys: list[str], value: str = "val") -> DataFrame:
+def outline_profile(df: DataFrame, rois: DataFrame, keys: list[str], value: str = "val", on: tuple[str, ...] = ()) -> DataFrame:
     """The profile along the closed polygon (roi_id, verts), edge after edge; a vertex is sampled once."""
-    ends = F.arrays_zip(F.col("verts").alias("a"), F.concat(F.slice("verts", 2, 1000), F.slice("verts", 1, 1)).alias("b"))
-    edges = rois.select("roi_id", F.posexplode(ends).alias("edge", "e")).select(F.struct("roi_id", "edge").alias("roi_id"), *(F.col(f"e.{p}.{k}").alias(f"{p}{k}") for p in "ab" for k in "xy"))
+    ends = F.arrays_zip(F.col("verts").alias("a"), F.concat(F.expr("slice(verts, 2, size(verts))"), F.slice("verts", 1, 1)).alias("b"))
+    edges = rois.select("roi_id", *on, F.posexplode(ends).alias("edge", "e")).select(F.struct("roi_id", "edge").alias("roi_id"), *on, *(F.col(f"e.{p}.{k}").alias(f"{p}{k}") for p in "ab" for k in "xy"))
     points = line_points(edges)
     last = points.groupBy("roi_id").agg(F.max("i").alias("_last"))
-    points = points.join(last, "roi_id").filter("i < _last").select("roi_id.roi_id", "roi_id.edge", "i", "x", "y")
-    return points.join(df, ["x", "y"]).select(*keys, "roi_id", "edge", "i", value)
+    points = points.join(last, "roi_id").filter("i < _last").select("roi_id.roi_id", "roi_id.edge", *on, "i", "x", "y")
+    return points.join(df, [*on, "x", "y"]).select(*keys, "roi_id", "edge", "i", value)
 
 
 # --- components
@@ -333,19 +338,19 @@ def measure_rgb(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("_g", F.explode(rows)).groupBy(*keys, F.col("_g.label").alias("label")).agg(*measures("_g.gray"))
 
 
-def measure_regions(df: DataFrame, rois: DataFrame, layer: str, pixel_area: float = 1.0, value: str = "val") -> DataFrame:
+def measure_regions(df: DataFrame, rois: DataFrame, layer: str, pixel_area: float = 1.0, value: str = "val", on: tuple[str, ...] = ()) -> DataFrame:
     """Area and mean under each region for each layer where it exists."""
-    masked = mask_polygon(df, rois)
+    masked = mask_polygon(df, rois, on)
     return masked.groupBy("roi_id", layer).agg(F.round(F.count("*") * F.lit(pixel_area), 6).alias("area"), F.round(F.avg(value), 6).alias("mean"))
 
 
-def crop_masked_stack(df: DataFrame, regions: DataFrame, layer: str, value: str = "val") -> DataFrame:
+def crop_masked_stack(df: DataFrame, regions: DataFrame, layer: str, value: str = "val", on: tuple[str, ...] = ()) -> DataFrame:
     """Bounds of each region (roi_id, layer, x0, y0, x1, y1) over first..last layer; 0 outside its area, and where it has none."""
     box = regions.groupBy("roi_id").agg(*(F.min(c).alias(f"_{c}") for c in ("x0", "y0")), *(F.max(c).alias(f"_{c}") for c in ("x1", "y1")), F.min(layer).alias("_a"), F.max(layer).alias("_b"))
     grid = box.withColumn(layer, F.explode(F.sequence("_a", "_b"))).withColumn("x", F.explode(F.sequence(F.col("_x0"), F.col("_x1") - 1))).withColumn("y", F.explode(F.sequence(F.col("_y0"), F.col("_y1") - 1)))
     own = regions.select("roi_id", layer, "x0", "y0", "x1", "y1")
     inside = F.expr("x0 is not null and x >= x0 and x < x1 and y >= y0 and y < y1")
-    cut = grid.join(own, ["roi_id", layer], "left").join(df, [layer, "x", "y"], "left")
+    cut = grid.join(own, ["roi_id", layer], "left").join(df, [*on, layer, "x", "y"], "left")
     return cut.select("roi_id", layer, "x", "y", F.when(inside, F.coalesce(value, F.lit(0))).otherwise(0).alias(value))
 
 

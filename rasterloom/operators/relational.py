@@ -39,14 +39,17 @@ def direct_dependencies(files: DataFrame, edges: DataFrame) -> DataFrame:
     return files.join(edges.select(F.col("src").alias("file"), "dst"), "file", "left").select("file", F.coalesce("dst", F.lit("Not found")).alias("dependency"))
 
 
-def transitive_dependents(edges: DataFrame, roots: list[str], work: Workspace) -> DataFrame:
-    """(root, file): all files that depend on each root, itself included; one frontier join a round, cycles are met once."""
-    spark = edges.sparkSession
-    frontier = work.table(spark.createDataFrame([(r, r) for r in roots], "root string, file string"), "front-0")
+def transitive_dependents(edges: DataFrame, roots: DataFrame, work: Workspace) -> DataFrame:
+    """(root, file): all files that depend on each of the given (root), itself included; one frontier join a round, cycles are met once.
+
+    The edges are written once; what was reached is one table a round, so that no round runs the earlier ones again.
+    """
+    edges = work.table(edges.select("src", F.col("dst").alias("file")), "edges")
+    frontier = work.table(roots.select("root", F.col("root").alias("file")), "front-0")
     seen, step = frontier, 0
     while True:
         step += 1
-        new = edges.select("src", F.col("dst").alias("file")).join(frontier, "file").select("root", F.col("src").alias("file")).distinct()
+        new = edges.join(frontier, "file").select("root", F.col("src").alias("file")).distinct()
         frontier = work.table(new.join(seen, ["root", "file"], "left_anti"), f"front-{step}")
         if frontier.isEmpty():
             return seen

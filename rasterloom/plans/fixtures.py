@@ -29,15 +29,15 @@ VIEWS: dict[str, tuple[str, str]] = {
         * 2,
     ),
     "uploads": (
-        *["select concat('dir',user_id%7,'/mod',user_id%11) component, max(ts) uploaded_at from events where event_type='signup' and event_id%10=0 group by concat('dir',user_id%7,'/mod',user_id%11)"] * 2,
+        *["select concat('dir',user_id%7,'/mod',user_id%11) component, max(ts) uploaded_at from events where event_type='signup' group by concat('dir',user_id%7,'/mod',user_id%11)"] * 2,
     ),
-    "edges": (*["select distinct concat('lib',l_suppkey) src, concat('lib',l_partkey % (select count(*) from supplier)) dst from lineitem where l_orderkey % 397 = 0"] * 2,),
+    "edges": (*["select distinct concat('lib',l_suppkey) src, concat('lib',l_partkey % (select count(*) from supplier)) dst from lineitem"] * 2,),
     "archives": (*["select p_brand archive, concat('pkg/', replace(p_name,' ','/'), '.class') entry from part"] * 2,),
     "catalog": (
         "select p_partkey entry_id, concat(p_brand,'>',p_type,'>',split(p_name,' ')[0]) menu_path, replace(p_name,' ','_') name, case when p_size%3=0 then '.py' when p_size%3=1 then '.txt' else '.jar' end ext from part",
         "select p_partkey entry_id, concat(p_brand,'>',p_type,'>',split_part(p_name,' ',1)) menu_path, replace(p_name,' ','_') name, case when p_size%3=0 then '.py' when p_size%3=1 then '.txt' else '.jar' end ext from part",
     ),
-    "rois": (*["select p_partkey roi_id, cast(p_size%5 as int) x0, cast(p_size%4 as int) y0, cast(p_size%5+1+p_partkey%3 as int) x1, cast(p_size%4+1+p_partkey%4 as int) y1 from part"] * 2,),
+    "rois": (*["select p_partkey roi_id, p_partkey % (select count(*) from embeddings) image_id, cast(p_size%5 as int) x0, cast(p_size%4 as int) y0, cast(p_size%5+1+p_partkey%3 as int) x1, cast(p_size%4+1+p_partkey%4 as int) y1 from part"] * 2,),
     "page_links": (
         """select page_id, href, cast(pos as int) pos from (select page_id, posexplode(regexp_extract_all(html,'<li><a href="([^"]*)"',1)) as (pos,href) from pages)""",
         """select page_id, href, cast(pos as int) pos from (select page_id, unnest(l) href, generate_subscripts(l,1)-1 pos from (select page_id, regexp_extract_all(html,'<li><a href="([^"]*)"',1) l from pages))""",

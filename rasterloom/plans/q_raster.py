@@ -103,46 +103,46 @@ def assemble_tiles(spark, d):
 
 def _tiles(spark, d):
     px = _px(spark, d)
-    return px.filter("image_id < 20").withColumnRenamed("image_id", "tile"), px.filter("image_id >= 20").withColumnRenamed("image_id", "db")
+    return px.filter("image_id % 50 = 0").withColumnRenamed("image_id", "tile"), px.withColumnRenamed("image_id", "db")
 
 
-_DISTANCE = "select a.image_id tile, b.image_id db, cast(sum((a.val-b.val)*(a.val-b.val)) as bigint) distance from px a join px b on a.x = b.x and a.y = b.y where a.image_id < 20 and b.image_id >= 20 group by all"
+_DISTANCE = "select a.image_id tile, b.image_id db, cast(sum((a.val-b.val)*(a.val-b.val)) as bigint) distance from px a join px b on a.x = b.x and a.y = b.y where a.image_id % 50 = 0 and b.image_id <> a.image_id group by all"
 
 
 @query(duck(_DISTANCE, "px"))
 def tile_distance(spark, d):
-    return R.tile_distance(*_tiles(spark, d))
+    return R.tile_distance(*_tiles(spark, d)).filter("tile <> db")
 
 
 @query(duck(f"select tile, db, distance from ({_DISTANCE}) qualify row_number() over (partition by tile order by distance, db) = 1", "px"))
 def best_match(spark, d):
-    return R.best_match(R.tile_distance(*_tiles(spark, d)))
+    return R.best_match(R.tile_distance(*_tiles(spark, d)).filter("tile <> db"))
 
 
 @query()
 def best_match_unique(spark, d):
-    return R.best_match_unique(R.tile_distance(*_tiles(spark, d)), Workspace(spark, "tiles"))
+    return R.best_match_unique(R.tile_distance(*_tiles(spark, d)).filter("tile <> db"), Workspace(spark, "tiles"))
 
 
 def _rois(spark, d):
-    return view(spark, d, "rois").filter("roi_id < 50")
+    return view(spark, d, "rois")
 
 
 def _polygons(spark, d):
-    return _rois(spark, d).select("roi_id", R.rectangle("x0", "y0", "x1", "y1").alias("verts"))
+    return _rois(spark, d).select("roi_id", "image_id", R.rectangle("x0", "y0", "x1", "y1").alias("verts"))
 
 
-_UNDER = "px join rois on roi_id < 50 and x >= x0 and x < x1 and y >= y0 and y < y1"
+_UNDER = "px join rois using (image_id) where x >= x0 and x < x1 and y >= y0 and y < y1"
 
 
 @query(duck(f"select image_id, roi_id, x, y, val from {_UNDER}", "px", "rois"))
 def mask_polygon(spark, d):
-    return R.mask_polygon(_px(spark, d), _polygons(spark, d)).select("image_id", "roi_id", "x", "y", "val")
+    return R.mask_polygon(_px(spark, d), _polygons(spark, d), ("image_id",)).select("image_id", "roi_id", "x", "y", "val")
 
 
 @query(duck(f"select roi_id, image_id as layer, round(count(*) * 0.25::double, 6) area, round(avg(val), 6) mean from {_UNDER} group by all", "px", "rois"))
 def measure_regions(spark, d):
-    return R.measure_regions(_px(spark, d).withColumnRenamed("image_id", "layer"), _polygons(spark, d), "layer", 0.25)
+    return R.measure_regions(_px(spark, d).withColumnRenamed("image_id", "layer"), _polygons(spark, d).withColumnRenamed("image_id", "layer"), "layer", 0.25, on=("layer",))
 
 
 @query(duck("select roi_id, concat_ws(',', x0*2.0::double+1, y0*0.5::double-1, x1*2.0::double+1, y1*0.5::double-1) box from rois", "rois"))
@@ -151,44 +151,44 @@ def affine_transform(spark, d):
     return view(spark, d, "rois").select("roi_id", moved.alias("v")).select("roi_id", F.concat_ws(",", *(F.expr(c).cast("string") for c in ("v[0].x", "v[0].y", "v[2].x", "v[2].y"))).alias("box"))
 
 
-_LINE = """select roi_id, cast(i as int) i, cast(round(round(ax + (bx - ax) * i / n, 6)) as int) x, cast(round(round(ay + (by_ - ay) * i / n, 6)) as int) y
+_LINE = """select roi_id, image_id, cast(i as int) i, cast(round(round(ax + (bx - ax) * i / n, 6)) as int) x, cast(round(round(ay + (by_ - ay) * i / n, 6)) as int) y
 from (select *, unnest(range(cast(n as bigint) + 1))::double i from (select *, greatest(1, round(sqrt((bx-ax)*(bx-ax) + (by_-ay)*(by_-ay)))) n from ({src})))"""
 
 
 def _lines(spark, d):
-    return _rois(spark, d).select("roi_id", F.col("x0").alias("ax"), F.col("y0").alias("ay"), F.col("x1").alias("bx"), F.col("y1").alias("by"))
+    return _rois(spark, d).select("roi_id", "image_id", F.col("x0").alias("ax"), F.col("y0").alias("ay"), F.col("x1").alias("bx"), F.col("y1").alias("by"))
 
 
-_ROI_LINE = _LINE.format(src="select roi_id, x0::double ax, y0::double ay, x1::double bx, y1::double by_ from rois where roi_id < 50")
+_ROI_LINE = _LINE.format(src="select roi_id, image_id, x0::double ax, y0::double ay, x1::double bx, y1::double by_ from rois")
 
 
-@query(duck(f"select image_id, roi_id, i, val from px join ({_ROI_LINE}) using (x, y)", "px", "rois"))
+@query(duck(f"select image_id, roi_id, i, val from px join ({_ROI_LINE}) using (image_id, x, y)", "px", "rois"))
 def line_profile(spark, d):
-    return R.line_profile(_px(spark, d), _lines(spark, d), ["image_id"])
+    return R.line_profile(_px(spark, d), _lines(spark, d), ["image_id"], on=("image_id",))
 
 
 @query(duck(f"select image_id, roi_id, x, round(avg(val), 6) mean from {_UNDER} group by all", "px", "rois"))
 def column_profile(spark, d):
-    return R.column_profile(_px(spark, d), _rois(spark, d), ["image_id"])
+    return R.column_profile(_px(spark, d), _rois(spark, d), ["image_id"], on=("image_id",))
 
 
-_EDGES = "select roi_id * 4 + e roi_id, case e when 0 then x0 when 1 then x1 when 2 then x1 else x0 end::double ax, case e when 0 then y0 when 1 then y0 when 2 then y1 else y1 end::double ay, case e when 0 then x1 when 1 then x1 when 2 then x0 else x0 end::double bx, case e when 0 then y0 when 1 then y1 when 2 then y1 else y0 end::double by_ from rois, range(4) q(e) where roi_id < 50"
+_EDGES = "select roi_id * 4 + e roi_id, image_id, case e when 0 then x0 when 1 then x1 when 2 then x1 else x0 end::double ax, case e when 0 then y0 when 1 then y0 when 2 then y1 else y1 end::double ay, case e when 0 then x1 when 1 then x1 when 2 then x0 else x0 end::double bx, case e when 0 then y0 when 1 then y1 when 2 then y1 else y0 end::double by_ from rois, range(4) q(e)"
 
 
-@query(duck(f"with s as ({_LINE.format(src=_EDGES)}), u as (select * from s qualify i < max(i) over (partition by roi_id)) select image_id, roi_id // 4 roi_id, cast(roi_id % 4 as int) edge, i, val from px join u using (x, y)", "px", "rois"))
+@query(duck(f"with s as ({_LINE.format(src=_EDGES)}), u as (select * from s qualify i < max(i) over (partition by roi_id)) select image_id, roi_id // 4 roi_id, cast(roi_id % 4 as int) edge, i, val from px join u using (image_id, x, y)", "px", "rois"))
 def outline_profile(spark, d):
-    return R.outline_profile(_px(spark, d), _polygons(spark, d), ["image_id"])
+    return R.outline_profile(_px(spark, d), _polygons(spark, d), ["image_id"], on=("image_id",))
 
 
-@query(duck("""with l as (select roi_id % 25 as roi, roi_id // 25 + 1 as t, x0, y0, x1, y1 from rois where roi_id < 50 and roi_id <> 30),
+@query(duck("""with l as (select roi_id // 10 as roi, roi_id % 10 + 1 as t, x0, y0, x1, y1 from rois where (roi_id // 10) % 3 <> 0 or roi_id % 10 <> 4),
 bx as (select roi, min(x0) a, min(y0) b, max(x1) c, max(y1) e, min(t) t0, max(t) t1 from l group by roi),
 g as (select roi, unnest(range(t0, t1 + 1)) t, a, b, c, e from bx), gx as (select roi, t, b, e, unnest(range(a, c)) x from g), gy as (select roi, t, x, unnest(range(b, e)) y from gx)
 select gy.roi as roi_id, gy.t as layer, cast(gy.x as int) x, cast(gy.y as int) y, cast(case when l.x0 is not null and gy.x >= l.x0 and gy.x < l.x1 and gy.y >= l.y0 and gy.y < l.y1 then coalesce(val, 0) else 0 end as int) val
-from gy left join l on l.roi = gy.roi and l.t = gy.t left join (select t, x, y, val from stack where stack_id = 0) s on s.t = gy.t and s.x = gy.x and s.y = gy.y""", "px", "stack", "rois"))
+from gy left join l on l.roi = gy.roi and l.t = gy.t left join stack s on s.stack_id = gy.roi and s.t = gy.t and s.x = gy.x and s.y = gy.y""", "px", "stack", "rois"))
 def crop_masked_stack(spark, d):
-    regions = _rois(spark, d).filter("roi_id <> 30").select((F.col("roi_id") % 25).alias("roi_id"), F.expr("roi_id div 25 + 1").alias("layer"), "x0", "y0", "x1", "y1")
-    stack = view(spark, d, "stack").filter("stack_id = 0").select(F.col("t").cast("long").alias("layer"), "x", "y", "val")
-    return R.crop_masked_stack(stack, regions, "layer")
+    regions = _rois(spark, d).select(F.expr("roi_id div 10").alias("roi_id"), (F.col("roi_id") % 10 + 1).alias("layer"), "x0", "y0", "x1", "y1").filter("roi_id % 3 <> 0 or layer <> 5")
+    stack = view(spark, d, "stack").select(F.col("stack_id").alias("roi_id"), F.col("t").cast("long").alias("layer"), "x", "y", "val")
+    return R.crop_masked_stack(stack, regions, "layer", on=("roi_id",))
 
 
 def _mask(spark, d):

@@ -30,15 +30,16 @@ def archives_with_entry(spark, d):
     return L.archives_with_entry(texts, names)
 
 
-@query(duck("with f as (select distinct concat('lib', p_partkey % 150) file from part) select f.file, coalesce(dst, 'Not found') dependency from f left join edges on src = f.file", "edges"))
+@query(duck("with f as (select distinct concat('lib', p_partkey) file from part) select f.file, coalesce(dst, 'Not found') dependency from f left join edges on src = f.file", "edges"))
 def direct_dependencies(spark, d):
-    files = view(spark, d, "part").select(F.concat(F.lit("lib"), F.col("p_partkey") % 150).alias("file")).distinct()
+    files = view(spark, d, "part").select(F.concat(F.lit("lib"), "p_partkey").alias("file")).distinct()
     return L.direct_dependencies(files, view(spark, d, "edges"))
 
 
-@query(duck("with recursive up(root, file) as (select r, r from (values ('lib0'), ('lib2')) v(r) union select root, src from up join edges on dst = file) select root, file from up", "edges"))
+@query(duck("with recursive up(root, file) as (select concat('lib', s_suppkey), concat('lib', s_suppkey) from supplier where s_suppkey % 50 = 0 union select root, src from up join edges on dst = file) select root, file from up", "edges"))
 def transitive_dependents(spark, d):
-    return L.transitive_dependents(view(spark, d, "edges"), ["lib0", "lib2"], Workspace(spark, "closure"))
+    roots = view(spark, d, "supplier").filter("s_suppkey % 50 = 0").select(F.concat(F.lit("lib"), "s_suppkey").alias("root"))
+    return L.transitive_dependents(view(spark, d, "edges"), roots, Workspace(spark, "closure"))
 
 
 @query(duck("select dst, string_agg(src, ',' order by src) dependents from edges group by dst", "edges"))

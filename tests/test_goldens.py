@@ -81,7 +81,7 @@ def test_histogram_counts_every_pixel(spark):
 
 def test_closure_meets_cycles_once(spark):
     edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("a", "c"), ("x", "y")], "src string, dst string")
-    got = L.transitive_dependents(edges, ["a"], Workspace(spark, "t")).collect()
+    got = L.transitive_dependents(edges, spark.createDataFrame([("a",)], "root string"), Workspace(spark, "t")).collect()
     assert sorted(r.file for r in got) == ["a", "b", "c"]
 
 
