@@ -41,7 +41,7 @@ from .tokens import encoded, tokenizer_path
 
 CAPACITY = 2048
 SHARD_ITEMS = 4096
-ISLANDS, EPOCHS, POPULATION, STALL = 3, 3, 6, 24
+ISLANDS, EPOCHS, POPULATION, STALL = 2, 2, 6, 8
 #: Of the bins in order of their load, the part that crossover injects from.
 FULLEST = 0.4
 LEVELS = 5
@@ -200,6 +200,9 @@ def solve(items: DataFrame, n_shards: int, capacity: int, work: Workspace, level
 
     dealt = items.withColumn("shard", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(n_shards)).cast("long"))
     islands = dealt.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
+    # a few shards are little data and much work, so they are dealt to as many tasks
+    tasks = min(n_shards * ISLANDS, 4 * int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    islands = islands.repartition(tasks, "shard", "island")
     state = work.table(islands.groupBy("shard", "island").applyInPandas(begin, _STATE), f"state-{level}-0")
     for epoch in range(1, EPOCHS):
         migrants = state.withColumn("island", ((F.col("island") + 1) % ISLANDS).cast("int"))
