@@ -35,7 +35,9 @@ def read_results_table(spark: SparkSession, path: str) -> DataFrame:
     cells = F.split("value", "[,\t]", -1)
     cell = lambda i: F.get(cells, F.lit(i))
     cols = [(F.coalesce(cell(i).try_cast("double"), F.lit(float("nan"))) if numeric else cell(i)).alias(n.strip()) for i, n in enumerate(names) if i >= skip]
-    return lines.filter(F.col("value") != F.lit(head[0])).select(*cols)
+    # the reader of delimited text leaves out the first line of each file, and no later line that is equal to it
+    body = spark.read.options(header=True, sep="\x01", quote="", escape="", enforceSchema=True).schema("value string").csv(path)
+    return body.select(*cols)
 
 
 def read_luts(spark: SparkSession, path: str) -> DataFrame:

@@ -152,3 +152,11 @@ def test_change_stream_emits_once(spark, tmp_path):
     q = T.new_changes_stream(stream, f"file://{tmp_path}/state", ["event_id"], lambda df: seen.append(df.count()), f"file://{tmp_path}/ck")
     q.awaitTermination(120)
     assert sum(seen) == feed.count()
+
+
+def test_results_table_keeps_rows_that_equal_the_header(spark, tmp_path):
+    from rasterloom.sources import files
+
+    (tmp_path / "t.csv").write_text(' ,"a",b\n1,"x",2\n ,"a",b\n3,y z,\n')
+    got = files.read_results_table(spark, str(tmp_path / "t.csv"))
+    assert [tuple(r) for r in got.collect()] == [('"x"', "2"), ('"a"', "b"), ("y z", "")]
