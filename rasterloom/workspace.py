@@ -17,9 +17,12 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session, made up only where none is set."""
+    """The shared folder of this session, made up only where none is set and everything runs on this machine."""
     found = spark.conf.get(_SETTING, None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"{_SETTING} must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="rasterloom-")
         spark.conf.set(_SETTING, found)
     return found.rstrip("/")
