@@ -10,7 +10,7 @@ import math
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -195,13 +195,13 @@ def affine_transform(verts, m: tuple[float, float, float, float, float, float]):
 
 
 def line_points(rois: DataFrame) -> DataFrame:
-    """Sample points of (roi_id, ax, ay, bx, by) at unit steps, rounded to pixels; i counts from 0."""
+    """Sample points of (roi_id, ax, ay, bx, by) at unit steps, rounded to pixels; i counts from 0 to n."""
     length = F.sqrt(F.pow(F.col("bx") - F.col("ax"), 2) + F.pow(F.col("by") - F.col("ay"), 2))
     n = F.greatest(F.lit(1), S.half_up(length))
     rest = [c for c in rois.columns if c not in ("roi_id", "ax", "ay", "bx", "by")]
-    out = rois.withColumn("_n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_n"))))
-    at = lambda k: S.half_up(F.round(F.col(f"a{k}") + (F.col(f"b{k}") - F.col(f"a{k}")) * F.col("i") / F.col("_n"), 6)).alias(k)
-    return out.select("roi_id", *rest, "i", at("x"), at("y"))
+    out = rois.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))
+    at = lambda k: S.half_up(F.round(F.col(f"a{k}") + (F.col(f"b{k}") - F.col(f"a{k}")) * F.col("i") / F.col("n"), 6)).alias(k)
+    return out.select("roi_id", *rest, "i", "n", at("x"), at("y"))
 
 
 def line_profile(df: DataFrame, rois: DataFrame, keys: list[str], value: str = "val", on: tuple[str, ...] = ()) -> DataFrame:
@@ -215,17 +215,40 @@ def column_profile(df: DataFrame, rois: DataFrame, keys: list[str], value: str =
     return masked.groupBy(*keys, "roi_id", "x").agg(F.round(F.avg(value), 6).alias("mean"))
 
 
-def outline_profile(df: DataFrame, rois: DataFrame, keys: list[str], value: str = "val", on: tuple[str, ...] = ()) -> DataFrame:
-    """The profile along the closed polygon (roi_id, verts), edge after edge; a vertex is sampled once."""
-    ends = F.arrays_zip(F.col("verts").alias("a"), F.concat(F.expr("slice(verts, 2, size(verts))"), F.slice("verts", 1, 1)).alias("b"))
-    edges = rois.select("roi_id", *on, F.posexplode(ends).alias("edge", "e")).select(F.struct("roi_id", "edge").alias("roi_id"), *on, *(F.col(f"e.{p}.{k}").alias(f"{p}{k}") for p in "ab" for k in "xy"))
-    points = line_points(edges)
-    last = points.groupBy("roi_id").agg(F.max("i").alias("_last"))
-    points = points.join(last, "roi_id").filter("i < _last").select("roi_id.roi_id", "roi_id.edge", *on, "i", "x", "y")
+def outline_profile(df: DataFrame, rois: DataFrame, keys: list[str], value: str = "val", on: tuple[str, ...] = (), closed: bool = True) -> DataFrame:
+    """The profile along the polygon (roi_id, verts), or along the open line through its vertices, edge after edge; a vertex is sampled once."""
+    if closed:
+        heads, tails = F.col("verts"), F.concat(F.expr("slice(verts, 2, size(verts))"), F.slice("verts", 1, 1))
+    else:
+        heads, tails = (F.expr(f"slice(verts, {k}, greatest(size(verts) - 1, 0))") for k in (1, 2))
+    final = F.lit(False) if closed else F.col("edge") == F.col("_size") - 2
+    edges = rois.select("roi_id", *on, F.size("verts").alias("_size"), F.posexplode(F.arrays_zip(heads.alias("a"), tails.alias("b"))).alias("edge", "e"))
+    edges = edges.select("roi_id", "edge", final.alias("final"), *on, *(F.col(f"e.{p}.{k}").alias(f"{p}{k}") for p in "ab" for k in "xy"))
+    points = line_points(edges).filter("i < n or final").drop("n", "final")
     return points.join(df, [*on, "x", "y"]).select(*keys, "roi_id", "edge", "i", value)
 
 
-# --- components
+#: Kinds of regions that are profiled along their vertices.
+LINE_KINDS = ("line", "polyline", "freeline")
+
+
+def profile(df: DataFrame, rois: DataFrame, keys: list[str], value: str = "val", on: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, roi_id, edge, i, value) of each region (roi_id, kind, verts).
+
+    Lines of all kinds give the values along them at unit steps, rectangles the mean of each
+    column i (edge 0); any other kind, or null, gives one row with nulls.
+    """
+    along = outline_profile(df, rois.filter(F.col("kind").isin(*LINE_KINDS)), keys, value, on, closed=False)
+    along = along.withColumn(value, F.col(value).cast("double"))
+    under = mask_polygon(df, rois.filter("kind = 'rectangle'").select("roi_id", "verts", *on), on)
+    means = under.groupBy(*keys, "roi_id", F.lit(0).alias("edge"), F.col("x").alias("i")).agg(F.round(F.avg(value), 6).alias(value))
+    refused = rois.filter(~F.coalesce(F.col("kind").isin(*LINE_KINDS, "rectangle"), F.lit(False)))
+    kinds = dict(df.dtypes)
+    refused = refused.select(*(F.col(k) if k in on else F.lit(None).cast(kinds[k]).alias(k) for k in keys), "roi_id", *(F.lit(None).cast(t).alias(n) for n, t in (("edge", "int"), ("i", "int"), (value, "double"))))
+    return along.unionByName(means).unionByName(refused)
+
+
+# --- components# --- components
 
 
 def label_components(mask: DataFrame, keys: list[str], work: Workspace, width: int, eight: bool = True) -> DataFrame:
@@ -338,10 +361,16 @@ def measure_rgb(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("_g", F.explode(rows)).groupBy(*keys, F.col("_g.label").alias("label")).agg(*measures("_g.gray"))
 
 
-def measure_regions(df: DataFrame, rois: DataFrame, layer: str, pixel_area: float = 1.0, value: str = "val", on: tuple[str, ...] = ()) -> DataFrame:
-    """Area and mean under each region for each layer where it exists."""
-    masked = mask_polygon(df, rois, on)
-    return masked.groupBy("roi_id", layer).agg(F.round(F.count("*") * F.lit(pixel_area), 6).alias("area"), F.round(F.avg(value), 6).alias("mean"))
+def numbered_layers(layers: DataFrame, keys: list[str]) -> DataFrame:
+    """Layers (keys, z) with layer_index, from 1 in the order of z."""
+    return layers.withColumn("layer_index", F.dense_rank().over(Window.partitionBy(*keys).orderBy("z")))
+
+
+def measure_regions(df: DataFrame, rois: DataFrame, layers: DataFrame, layer: str, keys: list[str], pixel_area: float = 1.0, value: str = "val") -> DataFrame:
+    """Layer index, z, area and mean under each region (roi_id, keys, layer, verts), for each layer of (keys, layer, z) where it exists."""
+    masked = mask_polygon(df, rois, (*keys, layer))
+    found = masked.groupBy("roi_id", *keys, layer).agg(F.round(F.count("*") * F.lit(pixel_area), 6).alias("area"), F.round(F.avg(value), 6).alias("mean"))
+    return found.join(numbered_layers(layers, keys), [*keys, layer]).select("roi_id", *keys, "layer_index", "z", "area", "mean")
 
 
 def crop_masked_stack(df: DataFrame, regions: DataFrame, layer: str, value: str = "val", on: tuple[str, ...] = ()) -> DataFrame:

@@ -140,9 +140,15 @@ def mask_polygon(spark, d):
     return R.mask_polygon(_px(spark, d), _polygons(spark, d), ("image_id",)).select("image_id", "roi_id", "x", "y", "val")
 
 
-@query(duck(f"select roi_id, image_id as layer, round(count(*) * 0.25::double, 6) area, round(avg(val), 6) mean from {_UNDER} group by all", "px", "rois"))
+@query(duck("""with l as (select *, cast(dense_rank() over (partition by stack_id order by z) as int) layer_index from (select distinct stack_id, t, t * 2.5::double z from stack where t % 3 <> 1)),
+r as (select roi_id, image_id // 10 stack_id, cast(image_id % 10 + 1 as int) t, x0, y0, x1, y1 from rois)
+select roi_id, stack_id, layer_index, z, round(count(*) * 0.25::double, 6) area, round(avg(val), 6) mean from stack join r using (stack_id, t) join l using (stack_id, t)
+where x >= x0 and x < x1 and y >= y0 and y < y1 group by all""", "px", "stack", "rois"))
 def measure_regions(spark, d):
-    return R.measure_regions(_px(spark, d).withColumnRenamed("image_id", "layer"), _polygons(spark, d).withColumnRenamed("image_id", "layer"), "layer", 0.25, on=("layer",))
+    stack = view(spark, d, "stack").filter("t % 3 <> 1")
+    layers = stack.select("stack_id", "t").distinct().withColumn("z", F.col("t") * 2.5)
+    regions = _polygons(spark, d).select("roi_id", F.expr("image_id div 10").alias("stack_id"), (F.col("image_id") % 10 + 1).cast("int").alias("t"), "verts")
+    return R.measure_regions(stack, regions, layers, "t", ["stack_id"], 0.25)
 
 
 @query(duck("select roi_id, concat_ws(',', x0*2.0::double+1, y0*0.5::double-1, x1*2.0::double+1, y1*0.5::double-1) box from rois", "rois"))
@@ -155,16 +161,27 @@ _LINE = """select roi_id, image_id, cast(i as int) i, cast(round(round(ax + (bx
 from (select *, unnest(range(cast(n as bigint) + 1))::double i from (select *, greatest(1, round(sqrt((bx-ax)*(bx-ax) + (by_-ay)*(by_-ay)))) n from ({src})))"""
 
 
-def _lines(spark, d):
-    return _rois(spark, d).select("roi_id", "image_id", F.col("x0").alias("ax"), F.col("y0").alias("ay"), F.col("x1").alias("bx"), F.col("y1").alias("by"))
+def profiled_regions(spark, d):
+    """Lines, two kinds of bent lines, rectangles and ovals."""
+    v = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    k = F.col("roi_id") % 5
+    kind = F.element_at(F.array(*(F.lit(x) for x in ("line", "polyline", "freeline", "rectangle", "oval"))), (k + 1).cast("int"))
+    verts = F.when(k == 0, F.array(v("x0", "y0"), v("x1", "y1"))).when(k < 3, F.array(v("x0", "y0"), v("x1", "y0"), v("x1", "y1"))).otherwise(R.rectangle("x0", "y0", "x1", "y1"))
+    return _rois(spark, d).select("roi_id", "image_id", kind.alias("kind"), verts.alias("verts"))
 
 
-_ROI_LINE = _LINE.format(src="select roi_id, image_id, x0::double ax, y0::double ay, x1::double bx, y1::double by_ from rois")
+_SEGMENTS = """select roi_id * 4 roi_id, image_id, x0::double ax, y0::double ay, x1::double bx, case when roi_id % 5 = 0 then y1 else y0 end::double by_ from rois where roi_id % 5 < 3
+union all select roi_id * 4 + 1, image_id, x1, y0, x1, y1 from rois where roi_id % 5 between 1 and 2"""
+#: The profiles of all regions; ``on`` joins the pixels by image.
+PROFILES = f"""with s as ({_LINE.format(src=_SEGMENTS)}), u as (select * from s qualify i < max(i) over (partition by roi_id) or roi_id // 4 % 5 = 0 or roi_id % 4 = 1)
+select {{key}} u.roi_id // 4 roi_id, cast(u.roi_id % 4 as int) edge, u.i, val::double val from {{image}} p join u on {{on}} p.x = u.x and p.y = u.y
+union all select {{key}} roi_id, 0, x, round(avg(val), 6) from {{image}} p join rois u on {{on}} u.roi_id % 5 = 3 and x >= x0 and x < x1 and y >= y0 and y < y1 group by all
+union all select {{none}} roi_id, null, null, null from rois u where roi_id % 5 = 4"""
 
 
-@query(duck(f"select image_id, roi_id, i, val from px join ({_ROI_LINE}) using (image_id, x, y)", "px", "rois"))
+@query(duck(PROFILES.format(key="u.image_id,", image="px", on="p.image_id = u.image_id and", none="u.image_id,"), "px", "rois"))
 def line_profile(spark, d):
-    return R.line_profile(_px(spark, d), _lines(spark, d), ["image_id"], on=("image_id",))
+    return R.profile(_px(spark, d), profiled_regions(spark, d), ["image_id"], on=("image_id",))
 
 
 @query(duck(f"select image_id, roi_id, x, round(avg(val), 6) mean from {_UNDER} group by all", "px", "rois"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.history import throttle
-from ..operators.raster import column_profile
+from ..operators.raster import profile
 
 WATERMARK = "10 minutes"
 
@@ -65,7 +65,5 @@ def new_changes_stream(feed: DataFrame, state_path: str, keys: list[str], emit:
 
 
 def live_profile(events: DataFrame, image: DataFrame) -> DataFrame:
-    """Column means of the image under each region event; a kind other than rectangle gives an empty row.  Works on a stream of events in update mode."""
-    good = column_profile(image, events.filter("kind = 'rectangle'"), [])
-    bad = events.filter("kind <> 'rectangle'").select("roi_id", F.lit(None).cast("int").alias("x"), F.lit(None).cast("double").alias("mean"))
-    return good.unionByName(bad)
+    """The profile of the image for each region event (roi_id, kind, verts), as in ``profile``; a kind that has none gives an empty row.  Works on a stream of events in update mode."""
+    return profile(image, events, [])
