@@ -37,11 +37,19 @@ def component(path: Column) -> Column:
 
 
 def messages_by_component(commits: DataFrame, excluded: str) -> DataFrame:
-    """Subjects of each component, oldest first, joined by semicolons; excluded paths by pattern, labels rewritten."""
-    c = commits.filter(~F.col("path").rlike(excluded)).withColumn("component", component(F.col("path")))
-    label = F.regexp_replace(F.regexp_replace("component", "^src-plugins/", ""), "^modules/(.*)$", "Submodule '$1'")
-    told = c.withColumn("component", label).groupBy("component").agg(F.array_sort(F.collect_list(F.struct("committed_at", "sha"))).alias("_m"))
-    return told.select("component", F.array_join(F.transform("_m", lambda m: m["sha"].cast("string")), ";").alias("messages"))
+    """(component, committed_at, sha, subject): what was done to each component, oldest first.
+
+    Left out are merges (more than one parent), paths that ``excluded`` matches, and top-level
+    names that are modules too, whose commits count for the module.  Components that were only
+    touched through excluded paths do not appear.  A row for each message, so that a busy
+    component is split by the sort as any other.
+    """
+    c = commits.filter("n_parents < 2").filter(~F.col("path").rlike(excluded)).withColumn("_c", component(F.col("path")))
+    modules = c.filter(F.col("_c").startswith("modules/")).select(F.substring_index("_c", "/", -1).alias("_c"), F.col("_c").alias("_module")).distinct()
+    c = c.join(modules, "_c", "left").withColumn("_c", F.coalesce("_module", "_c"))
+    label = F.regexp_replace(F.regexp_replace("_c", "^src-plugins/", ""), "^modules/(.*)$", "Submodule '$1'")
+    told = c.select(label.alias("component"), "committed_at", "sha", "subject").distinct()
+    return told.orderBy("component", "committed_at", "sha", "subject")
 
 
 def merge_logs(commits: DataFrame) -> DataFrame:
@@ -58,14 +66,20 @@ def branch_heads(commits: DataFrame) -> DataFrame:
     return commits.groupBy("repo").agg(F.max_by("sha", F.struct("committed_at", "sha")).alias("sha"))
 
 
+def topic_branches(heads: DataFrame) -> DataFrame:
+    """Heads of neither main nor packaging branches."""
+    return heads.filter((F.col("repo") != "main") & ~F.col("repo").startswith("debian-"))
+
+
 def merged_branches(heads: DataFrame, main: DataFrame, left_out: str = "contrib") -> DataFrame:
-    return heads.filter(F.col("repo") != left_out).join(main, "sha", "left_semi")
+    """Topic branches whose head is one of main's commits (repo, sha), which is when the merge base is the head."""
+    return topic_branches(heads).filter(F.col("repo") != left_out).join(main.select("sha"), "sha", "left_semi")
 
 
 def unmerged_branches(heads: DataFrame, main: DataFrame, commits: DataFrame) -> DataFrame:
-    """Author and number of the commits that are not in main, for branches whose head is not."""
-    open_ = heads.join(main, "sha", "left_anti").select("repo")
-    return commits.join(open_, "repo", "left_semi").join(main, "sha", "left_anti").groupBy("repo", "author").agg(F.count("*").alias("n"))
+    """(repo, sha, author, subject) of the commits that are not in main, for topic branches whose head is not."""
+    open_ = topic_branches(heads).join(main.select("sha"), "sha", "left_anti").select("repo")
+    return commits.join(open_, "repo", "left_semi").join(main.select("sha"), "sha", "left_anti").select("repo", "sha", "author", "subject")
 
 
 def commits_since_upload(commits: DataFrame, uploads: DataFrame, fuzz_minutes: int) -> DataFrame:

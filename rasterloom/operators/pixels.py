@@ -112,13 +112,42 @@ def crop_to_multiple(df: DataFrame, tw: int, th: int, w: int, h: int) -> DataFra
     return df.filter((F.col("x") < w // tw * tw) & (F.col("y") < h // th * th))
 
 
-def run_length_encode(df: DataFrame, keys: list[str], colour: str) -> DataFrame:
-    """Maximal runs of one colour in each row: x0, x1, and token D for single pixels, L for runs."""
+def scale_to_dpi(images: DataFrame, dpi: float, width_inches: float, height_inches: float) -> DataFrame:
+    """The size in pixels at so many dots an inch, and the calibration that goes with it."""
+    px = {f"{n}_px": S.half_up(F.lit(float(inches)) * dpi) for n, inches in (("width", width_inches), ("height", height_inches))}
+    return images.withColumns({**px, "unit": F.lit("inch"), "pixel_width": F.round(F.lit(1.0) / dpi, 6), "pixel_height": F.round(F.lit(1.0) / dpi, 6), "pixel_depth": F.lit(1.0)})
+
+
+def homogenize_radius(balls: DataFrame, metadata: DataFrame, radius: float, key: str) -> DataFrame:
+    """One calibrated radius for all balls, in pixels of the object that they belong to (key, pixel_width)."""
+    return balls.join(metadata.select(key, "pixel_width"), key).withColumn("r", F.lit(float(radius)) / F.col("pixel_width")).drop("pixel_width")
+
+
+def reset_transforms(df: DataFrame) -> DataFrame:
+    """Every affine map becomes the identity (m00, m10, m01, m11, m02, m12)."""
+    return df.withColumn("affine", F.array(*(F.lit(float(v)) for v in (1, 0, 0, 1, 0, 0))))
+
+
+def select_layer(df: DataFrame, value: int, layer: str = "layer") -> DataFrame:
+    """All objects of one layer."""
+    return df.filter(F.col(layer) == value)
+
+
+def run_length_encode(df: DataFrame, keys: list[str], colour: str, background: str | None = None) -> DataFrame:
+    """Maximal runs of one colour in each row: x0, x1, and token D for single pixels, L for runs.
+
+    Runs of the background are not drawn; ``colour_token`` is C and the colour where it differs
+    from the run drawn before in the image, and empty where it stays.
+    """
     w = Window.partitionBy(*keys, "y").orderBy("x")
     start = (F.lag(colour).over(w).isNull() | (F.lag(colour).over(w) != F.col(colour)) | (F.lag("x").over(w) != F.col("x") - 1)).cast("int")
     runs = df.withColumn("_s", start).withColumn("_run", F.sum("_s").over(w))
     out = runs.groupBy(*keys, "y", "_run").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.first(colour).alias(colour))
-    return out.drop("_run").withColumn("token", F.when(F.col("x0") == F.col("x1"), "D").otherwise("L"))
+    if background is not None:
+        out = out.filter(F.col(colour) != background)
+    before = F.lag(colour).over(Window.partitionBy(*keys).orderBy("y", "x0"))
+    token = F.when(F.col("x0") == F.col("x1"), "D").otherwise("L")
+    return out.drop("_run").withColumns({"token": token, "colour_token": F.when(before.eqNullSafe(F.col(colour)), "").otherwise(F.concat(F.lit("C"), F.col(colour)))})
 
 
 def map_blocks(df: DataFrame, fn, schema: str, rows_per_block: int, image: str = "image_id") -> DataFrame:

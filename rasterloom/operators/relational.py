@@ -110,13 +110,19 @@ def render_listing(catalog: DataFrame) -> DataFrame:
 # --- documentation
 
 
-def undocumented(links: DataFrame, documented: DataFrame) -> DataFrame:
-    return links.select("href").distinct().join(documented.select("href"), "href", "left_anti")
+def _listed(items: DataFrame, lacking: str) -> DataFrame:
+    return items.select(F.concat(F.initcap("kind"), F.lit(f"s without {lacking}")).alias("list"), "href").distinct()
 
 
-def unmaintained(links: DataFrame, maintainers: DataFrame) -> DataFrame:
-    """Documented links without a maintainer, and where they stand."""
-    return links.join(maintainers.filter("maintainer is not null").select("href"), "href", "left_anti")
+def undocumented(items: DataFrame, documented: DataFrame) -> DataFrame:
+    """(list, href) of the items (kind, href) without a page; one list for each kind."""
+    return _listed(items.join(documented.select("href"), "href", "left_anti"), "documentation page")
+
+
+def unmaintained(items: DataFrame, documented: DataFrame, maintainers: DataFrame) -> DataFrame:
+    """(list, href) of the items that have a page but no maintainer; one list for each kind."""
+    kept = maintainers.filter("maintainer is not null").select("href")
+    return _listed(items.join(documented.select("href"), "href", "left_semi").join(kept, "href", "left_anti"), "maintainer")
 
 
 def items_by_maintainer(items: DataFrame) -> DataFrame:
@@ -157,13 +163,19 @@ def ensure_layers(balls: DataFrame, layers: DataFrame) -> DataFrame:
 
 
 def get_result(df: DataFrame, column: str, row: int, order: str) -> DataFrame:
-    """A cell by column and row; -1 is the last row, an absent column gives null; also the number of rows."""
-    n = df.agg(F.count("*").alias("n_rows"))
+    """A cell by column and row; -1 is the last row, an absent column gives null; also the number of rows.
+
+    Running it fails where the table is empty or has no such row.
+    """
+    if row < -1:
+        raise ValueError(f"row out of range: {row}")
+    n, rows = df.agg(F.count("*").alias("n_rows")), F.col("n_rows")
+    checked = F.when(rows == 0, F.raise_error(F.lit("the table is empty"))).when(rows <= row, F.raise_error(F.lit(f"row out of range: {row}"))).otherwise(rows)
     if column not in df.columns:
-        return n.withColumn("value", F.lit(None).cast("double"))
+        return n.select(checked.alias("n_rows"), F.lit(None).cast("double").alias("value"))
     by = F.col(order).desc() if row < 0 else F.col(order)
     top = df.orderBy(by).select(F.col(column).alias("value")).offset(max(0, row)).limit(1)
-    return n.crossJoin(top)  # a row each
+    return n.join(F.broadcast(top), F.lit(True), "left").select(checked.alias("n_rows"), "value")  # a row each
 
 
 def rank_displacement(df: DataFrame, group: str, index: str, position: Column) -> DataFrame:

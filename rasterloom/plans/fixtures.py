@@ -28,6 +28,12 @@ VIEWS: dict[str, tuple[str, str]] = {
         ]
         * 2,
     ),
+    "changes": (
+        *[
+            "select event_id sha, concat('repo_', event_type) repo, concat('user', user_id) author, ts committed_at, cast(floor(value) as bigint) added, concat('Change ', event_id % 97, ' of ', event_type) subject, case when event_id % 10 = 0 then 2 else 1 end n_parents, case event_id % 4 when 0 then concat('modules/m', user_id % 11) when 1 then concat('src-plugins/P', user_id % 7, '/f', event_id % 5, '.txt') when 2 then concat('m', user_id % 13) else concat('tests/t', user_id % 5) end path from events"
+        ]
+        * 2,
+    ),
     "uploads": (
         *["select concat('dir',user_id%7,'/mod',user_id%11) component, max(ts) uploaded_at from events where event_type='signup' group by concat('dir',user_id%7,'/mod',user_id%11)"] * 2,
     ),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import history as H
 from ..streaming import streams as T
 from .fixtures import duck, view
+from .q_raster import PROFILES, profiled_regions
 from .registry import query
 
 
@@ -41,9 +42,11 @@ def founder(spark, d):
     return H.founder(_commits(spark, d))
 
 
-@query(duck("select regexp_extract(path, '^([^/]*/[^/]*)', 1) component, string_agg(cast(sha as varchar), ';' order by committed_at, sha) messages from commits where not regexp_matches(path, '/f3[.]txt$') group by 1", "commits"))
+@query(duck("""with c as (select *, regexp_extract(path, '^([^/]*/?[^/]*)', 1) c from changes where n_parents < 2 and not regexp_matches(path, '^tests/')),
+m as (select distinct replace(c, 'modules/', '') c, c as module from c where starts_with(c, 'modules/'))
+select distinct regexp_replace(regexp_replace(coalesce(module, c.c), '^src-plugins/', ''), '^modules/(.*)$', 'Submodule ' || chr(39) || '\\1' || chr(39)) component, committed_at, sha, subject from c left join m on m.c = c.c""", "changes"))
 def messages_by_component(spark, d):
-    return H.messages_by_component(_commits(spark, d), "/f3[.]txt$")
+    return H.messages_by_component(view(spark, d, "changes"), "^tests/")
 
 
 @query(duck("select repo, sha, max(committed_at) over (partition by repo order by sha) merged_at from commits", "commits"))
@@ -57,22 +60,28 @@ def union_histories(spark, d):
     return H.union_histories(c.filter("sha % 2 = 0").withColumn("era", F.lit("old")), c.filter("sha % 2 = 1").withColumn("era", F.lit("recent")))
 
 
-_HEADS = "heads as (select repo, sha from commits qualify row_number() over (partition by repo order by committed_at desc, sha desc) = 1), main as (select sha from commits where added >= 10)"
+_HEADS = "c as (select * replace (case repo when 'repo_signup' then 'debian-signup' when 'repo_view' then 'contrib' when 'repo_error' then 'main' else repo end as repo) from changes), heads as (select repo, sha from c where repo <> 'main' and not starts_with(repo, 'debian-') qualify row_number() over (partition by repo order by committed_at desc, sha desc) = 1), main as (select sha from changes where added >= 10)"
+
+
+def _branches(spark, d):
+    """Changes on topic branches, main, a packaging branch and contributions."""
+    repo = F.col("repo")
+    return view(spark, d, "changes").withColumn("repo", F.when(repo == "repo_signup", "debian-signup").when(repo == "repo_view", "contrib").when(repo == "repo_error", "main").otherwise(repo))
 
 
 def _main(commits):
     return commits.filter("added >= 10").select("sha")
 
 
-@query(duck(f"with {_HEADS} select repo, sha from heads where sha in (select sha from main)", "commits"))
+@query(duck(f"with {_HEADS} select repo, sha from heads where repo <> 'contrib' and sha in (select sha from main)", "changes"))
 def merged_branches(spark, d):
-    c = _commits(spark, d)
+    c = _branches(spark, d)
     return H.merged_branches(H.branch_heads(c), _main(c)).select("repo", "sha")
 
 
-@query(duck(f"with {_HEADS} select repo, author, count(*) n from commits where repo in (select repo from heads where sha not in (select sha from main)) and sha not in (select sha from main) group by all", "commits"))
+@query(duck(f"with {_HEADS} select repo, sha, author, subject from c where repo in (select repo from heads where sha not in (select sha from main)) and sha not in (select sha from main)", "changes"))
 def unmerged_branches(spark, d):
-    c = _commits(spark, d)
+    c = _branches(spark, d)
     return H.unmerged_branches(H.branch_heads(c), _main(c), c)
 
 
@@ -105,8 +114,7 @@ def new_changes(spark, d):
     return T.new_changes(feed, feed.filter("event_id % 3 = 0"), ["event_id"])
 
 
-@query(duck("select roi_id, cast(x as int) x, round(avg(val), 6) mean from (select * from px where image_id = 0) p join rois on roi_id % 7 <> 0 and x >= x0 and x < x1 and y >= y0 and y < y1 group by all union all select roi_id, null, null from rois where roi_id % 7 = 0", "px", "rois"))
+@query(duck(PROFILES.format(key="", image="(select x, y, val from px where image_id = 0)", on="", none=""), "px", "rois"))
 def live_profile(spark, d):
     image = view(spark, d, "px").filter("image_id = 0").select("x", "y", "val")
-    events = view(spark, d, "rois").withColumn("kind", F.when(F.col("roi_id") % 7 == 0, "oval").otherwise("rectangle"))
-    return T.live_profile(events, image)
+    return T.live_profile(profiled_regions(spark, d), image)

@@ -150,10 +150,9 @@ def crop_to_multiple(spark, d):
     return P.crop_to_multiple(view(spark, d, "px").select("image_id", "x", "y", "val"), 3, 3, 8, 8)
 
 
-@query("select image_id, width, height, cast(round(6.5 * 300) as int) as width_px, cast(round(9.0 * 300) as int) as height_px, 'inch' as unit, round(1.0::double / 300, 6) as pixel_width, 1.0::double as pixel_depth from (select p_partkey image_id, cast(p_size * 10 as int) width, cast(p_partkey % 50 + 1 as int) height from part where p_size > 0)")
+@query("select image_id, width, height, cast(round(6.5 * 300) as int) as width_px, cast(round(9.0 * 300) as int) as height_px, 'inch' as unit, round(1.0::double / 300, 6) as pixel_width, round(1.0::double / 300, 6) as pixel_height, 1.0::double as pixel_depth from (select p_partkey image_id, cast(p_size * 10 as int) width, cast(p_partkey % 50 + 1 as int) height from part where p_size > 0)")
 def scale_to_dpi(spark, d):
-    px = [S.half_up(F.lit(inches) * 300).alias(n) for inches, n in ((6.5, "width_px"), (9.0, "height_px"))]
-    return view(spark, d, "images").select("image_id", "width", "height", *px, F.lit("inch").alias("unit"), F.round(F.lit(1.0) / 300, 6).alias("pixel_width"), F.lit(1.0).alias("pixel_depth"))
+    return P.scale_to_dpi(view(spark, d, "images").drop("title"), 300, 6.5, 9.0)
 
 
 @query(duck("select image_id, width, cast(round(width / 1.5::double) as int) as height from images", "images"))
@@ -161,20 +160,22 @@ def aspect_size(spark, d):
     return view(spark, d, "images").select("image_id", "width", S.aspect_height(F.col("width"), F.lit(1.5)).alias("height"))
 
 
-@query(duck("select object_id, seq, x, y, z, 12.5::double / 0.25::double as r from balls", "balls"))
+@query(duck("with m as (select object_id, 0.25::double * (1 + min(seq) % 4) pixel_width from balls group by 1) select object_id, seq, x, y, z, 12.5::double / pixel_width as r from balls join m using (object_id)", "balls"))
 def homogenize_radius(spark, d):
-    return view(spark, d, "balls").withColumn("r", F.lit(12.5) / F.lit(0.25)).select("object_id", "seq", "x", "y", "z", "r")
+    balls = view(spark, d, "balls")
+    metadata = balls.groupBy("object_id").agg((F.lit(0.25) * (1 + F.min("seq") % 4)).alias("pixel_width"))
+    return P.homogenize_radius(balls, metadata, 12.5, "object_id").select("object_id", "seq", "x", "y", "z", "r")
 
 
-@query(duck("select roi_id, '1,0,0,1,0,0' as affine from rois", "rois"))
+@query(duck("select roi_id, '1.0,0.0,0.0,1.0,0.0,0.0' as affine from rois", "rois"))
 def reset_transforms(spark, d):
-    identity = F.array(*(F.lit(x) for x in (1, 0, 0, 1, 0, 0)))
-    return view(spark, d, "rois").withColumn("affine", identity).select("roi_id", F.array_join(F.col("affine").cast("array<string>"), ",").alias("affine"))
+    moved = view(spark, d, "rois").withColumn("affine", F.array(*(F.col(c).cast("double") for c in ("x1", "y0", "x0", "y1", "x0", "y0"))))
+    return P.reset_transforms(moved).select("roi_id", F.array_join(F.col("affine").cast("array<string>"), ",").alias("affine"))
 
 
 @query(duck("select roi_id, x0, y0, x1, y1 from rois where roi_id % 5 = 2", "rois"))
 def select_layer(spark, d):
-    return view(spark, d, "rois").withColumn("layer", F.col("roi_id") % 5).filter("layer = 2").drop("layer")
+    return view(spark, d, "rois").transform(lambda rois: P.select_layer(rois.withColumn("layer", F.col("roi_id") % 5), 2)).drop("layer", "image_id")
 
 
 @query("""select p_partkey, p_name as old, regexp_replace(p_name, '[\\]\\[\\\\ \\t"'']', '_', 'g') as new from part where regexp_replace(p_name, '[\\]\\[\\\\ \\t"'']', '_', 'g') <> p_name""")
@@ -207,11 +208,12 @@ def version_stamp(spark, d):
 
 @query(duck("""with q as (select image_id, x, y, printf('%x', cast(least(15, greatest(0, round(r/16.0::double))) as int)) c from rgb),
 s as (select *, case when lag(c) over w is null or lag(c) over w <> c then 1 else 0 end s from q window w as (partition by image_id, y order by x)),
-n as (select *, sum(s) over (partition by image_id, y order by x) run from s)
-select image_id, y, min(x) as x0, max(x) as x1, min(c) as c, case when min(x) = max(x) then 'D' else 'L' end as token from n group by image_id, y, run""", "rgb"))
+n as (select *, sum(s) over (partition by image_id, y order by x) run from s),
+u as (select image_id, y, min(x) as x0, max(x) as x1, min(c) as c, case when min(x) = max(x) then 'D' else 'L' end as token from n group by image_id, y, run)
+select *, case when lag(c) over (partition by image_id order by y, x0) is not distinct from c then '' else 'C' || c end as colour_token from u where c <> '8'""", "rgb"))
 def run_length_encode(spark, d):
     df = view(spark, d, "rgb").select("image_id", "x", "y", S.quantize_hex4(F.col("r")).alias("c"))
-    return P.run_length_encode(df, ["image_id"], "c").select("image_id", "y", "x0", "x1", "c", "token")
+    return P.run_length_encode(df, ["image_id"], "c", background="8").select("image_id", "y", "x0", "x1", "c", "token", "colour_token")
 
 
 @query(duck("select image_id, x, y, cast(val - sum(val) over (partition by image_id, y // 3) // count(*) over (partition by image_id, y // 3) as int) as val from px", "px"))

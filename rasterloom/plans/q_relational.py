@@ -88,10 +88,17 @@ def render_listing(spark, d):
     return L.render_listing(view(spark, d, "catalog"))
 
 
-@query(duck("select distinct href from page_links where href not in (select href from page_links where page_id % 3 = 0)", "page_links"))
+_ITEMS = "it as (select case when pos = 0 then 'Package' else 'Plugin' end kind, href from page_links), doc as (select href from page_links where page_id % 3 = 0)"
+
+
+def _items(links):
+    return links.select(F.when(F.col("pos") == 0, "package").otherwise("plugin").alias("kind"), "href")
+
+
+@query(duck(f"with {_ITEMS} select distinct kind || 's without documentation page' as list, href from it where href not in (select href from doc)", "page_links"))
 def undocumented(spark, d):
     links = view(spark, d, "page_links")
-    return L.undocumented(links, links.filter("page_id % 3 = 0"))
+    return L.undocumented(_items(links), links.filter("page_id % 3 = 0"))
 
 
 def _maintainers(links):
@@ -101,10 +108,10 @@ def _maintainers(links):
 _MAINTAINERS = "mt as (select href, case when min(page_id) % 4 <> 0 then concat('user', min(page_id) % 17) end maintainer from page_links group by href)"
 
 
-@query(duck(f"with {_MAINTAINERS} select page_id, href, pos from page_links where href not in (select href from mt where maintainer is not null)", "page_links"))
+@query(duck(f"with {_ITEMS}, {_MAINTAINERS} select distinct kind || 's without maintainer' as list, href from it where href in (select href from doc) and href not in (select href from mt where maintainer is not null)", "page_links"))
 def unmaintained(spark, d):
     links = view(spark, d, "page_links")
-    return L.unmaintained(links, _maintainers(links)).select("page_id", "href", "pos")
+    return L.unmaintained(_items(links), links.filter("page_id % 3 = 0"), _maintainers(links))
 
 
 @query(duck(f"with {_MAINTAINERS}, it as (select distinct maintainer, case when pos = 0 then 'package' else 'plugin' end kind, l.href item from page_links l join mt on mt.href = l.href where maintainer is not null) select maintainer, kind, string_agg(item, ',' order by item) items from it group by all", "page_links"))

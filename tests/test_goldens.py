@@ -160,3 +160,38 @@ def test_results_table_keeps_rows_that_equal_the_header(spark, tmp_path):
     (tmp_path / "t.csv").write_text(' ,"a",b\n1,"x",2\n ,"a",b\n3,y z,\n')
     got = files.read_results_table(spark, str(tmp_path / "t.csv"))
     assert [tuple(r) for r in got.collect()] == [('"x"', "2"), ('"a"', "b"), ("y z", "")]
+
+
+def test_runs_skip_the_background_and_name_a_colour_on_change(spark):
+    row = spark.createDataFrame([(0, x, y, c) for y, line in enumerate(("aabb8a", "a8888a")) for x, c in enumerate(line)], "image_id int, x int, y int, c string")
+    got = P.run_length_encode(row, ["image_id"], "c", background="8").orderBy("y", "x0").select("y", "x0", "x1", "token", "colour_token")
+    assert [tuple(r) for r in got.collect()] == [(0, 0, 1, "L", "Ca"), (0, 2, 3, "L", "Cb"), (0, 5, 5, "D", "Ca"), (1, 0, 0, "D", ""), (1, 5, 5, "D", "")]
+
+
+def test_profiles_of_each_kind(spark):
+    image = spark.createDataFrame([(x, y, 10 * x + y) for x in range(4) for y in range(4)], "x int, y int, val int")
+    v = lambda *p: [(float(x), float(y)) for x, y in p]
+    rois = spark.createDataFrame(
+        [(1, "line", v((0, 0), (2, 0))), (2, "polyline", v((0, 0), (1, 0), (1, 2))), (3, "rectangle", v((1, 0), (3, 0), (3, 2), (1, 2))), (4, "oval", v((0, 0))), (5, None, None), (6, "freeline", [])],
+        "roi_id int, kind string, verts array<struct<x: double, y: double>>",
+    )
+    got = sorted((tuple(r) for r in R.profile(image, rois, []).collect()), key=repr)
+    assert got == sorted(
+        [(1, 0, 0, 0.0), (1, 0, 1, 10.0), (1, 0, 2, 20.0), (2, 0, 0, 0.0), (2, 1, 0, 10.0), (2, 1, 1, 11.0), (2, 1, 2, 12.0), (3, 0, 1, 10.5), (3, 0, 2, 20.5), (4, None, None, None), (5, None, None, None)], key=repr
+    )
+
+
+def test_get_result_refuses_rows_that_are_not_there(spark):
+    df = spark.createDataFrame([(1, 5.0), (2, None)], "at int, v double")
+    assert [tuple(L.get_result(df, "v", k, "at").first()) for k in (0, 1, -1)] == [(2, 5.0), (2, None), (2, None)]
+    assert tuple(L.get_result(df, "w", 0, "at").first()) == (2, None)
+    for bad in (lambda: L.get_result(df, "v", 2, "at").collect(), lambda: L.get_result(df.limit(0), "v", -1, "at").collect(), lambda: L.get_result(df, "w", 2, "at").collect(), lambda: L.get_result(df, "v", -2, "at")):
+        with pytest.raises(Exception, match="out of range|is empty"):
+            bad()
+
+
+def test_messages_skip_merges_and_count_a_top_level_name_for_its_module(spark):
+    rows = [("modules/a", 3, "s3", 1), ("a", 1, "s1", 1), ("modules/a", 2, "merge", 2), ("src-plugins/B/f", 4, "s4", 1), ("tests/x", 5, "s5", 1), ("c", 6, "s6", 1)]
+    commits = spark.createDataFrame(rows, "path string, sha int, subject string, n_parents int").withColumn("committed_at", F.timestamp_seconds("sha"))
+    got = H.messages_by_component(commits, "^tests/").select("component", "subject").collect()
+    assert [tuple(r) for r in got] == [("B", "s4"), ("Submodule 'a'", "s1"), ("Submodule 'a'", "s3"), ("c", "s6")]
