@@ -16,7 +16,7 @@ bigram's and the upper end of the context's level, so the probabilities of a con
 sum to at most one, apart from the filter's false positives.  The begin mark's count is the
 number of training texts, which is the exact count of the end token.
 
-A shard has 8 to 16 bits an entry at every input size and lives in its bucket's task
+A shard has 12 bits an entry at every input size and lives in its bucket's task
 only, where it is probed for all blocks; the number of buckets grows with the input.
 
 Tokens are told apart by 64-bit fingerprints.  Defined cases: a null or empty text is
@@ -40,7 +40,7 @@ from . import _text as tx
 
 BLOCK_BYTES = 4 << 20
 CHUNK = 1 << 18
-BITS_PER_ENTRY = 8
+BITS_PER_ENTRY = 12
 PROBES = 3
 SMOOTHING = 8.0
 FOLDS = 10
@@ -147,11 +147,12 @@ def uni_rep(q: np.ndarray) -> np.ndarray:
     return np.where(q <= 0, 0.0, np.where(q == 1, 1.0, 2.0 ** ((q - 0.5) / 2)))
 
 
-def _slots(fp: np.ndarray, q: int | np.ndarray, mask: np.ndarray) -> Iterator[np.ndarray]:
-    h = tx.mix(fp + np.asarray(q).astype(np.uint64) * _K2)
-    step = (h >> np.uint64(33)) | np.uint64(1)
+def _slots(fp: np.ndarray, q: int | np.ndarray, last: np.ndarray) -> Iterator[np.ndarray]:
+    """The places of (n-gram, q) in a shard, from 0 to ``last``, which is below 2 ** 32."""
+    h, half = tx.mix(fp + np.asarray(q).astype(np.uint64) * _K2), np.uint64(32)
+    step = h << half | h >> half | np.uint64(1)  # the upper halves of h and step are independent
     for i in range(PROBES):
-        yield (h + np.uint64(i) * step) & mask
+        yield ((h + np.uint64(i) * step) >> half) * (last + np.uint64(1)) >> half
 
 
 def _sums(rows: list[tuple[str, bytes]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -165,7 +166,7 @@ def _sums(rows: list[tuple[str, bytes]]) -> tuple[np.ndarray, np.ndarray, list[n
 
 def _shard(fp: np.ndarray, q: np.ndarray) -> Filter:
     """A filter of (n-gram, 1) .. (n-gram, q) for each fingerprint."""
-    bits = 1 << max(6, int(np.ceil(np.log2(max(1, int(q.sum()) * BITS_PER_ENTRY)))))
+    bits = 64 * max(1, -(-int(q.sum()) * BITS_PER_ENTRY // 64))
     shard = np.zeros(bits, bool)
     for at in range(0, len(fp), CHUNK):
         f, levels = fp[at : at + CHUNK], q[at : at + CHUNK]
@@ -210,7 +211,7 @@ class Filter:
         for b, s in shards.items():
             sizes[b] = len(s)
         self.at = (np.cumsum(sizes) - sizes).astype(np.uint64) * np.uint64(8)
-        self.mask = np.maximum(sizes * 8, 1).astype(np.uint64) - np.uint64(1)
+        self.last = np.maximum(sizes * 8, 1).astype(np.uint64) - np.uint64(1)
         self.empty = sizes == 0
         self.bits = np.frombuffer(b"".join(shards[b] for b in sorted(shards)), np.uint8)
 
@@ -221,7 +222,7 @@ class Filter:
         live = np.flatnonzero(~self.empty[bucket])
         for q in range(1, most):
             member = np.ones(len(live), bool)
-            for slot in _slots(fp[live], q, self.mask[bucket[live]]):
+            for slot in _slots(fp[live], q, self.last[bucket[live]]):
                 bit = self.at[bucket[live]] + slot
                 member &= (self.bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
             live = live[member]
