@@ -195,3 +195,9 @@ def test_messages_skip_merges_and_count_a_top_level_name_for_its_module(spark):
     commits = spark.createDataFrame(rows, "path string, sha int, subject string, n_parents int").withColumn("committed_at", F.timestamp_seconds("sha"))
     got = H.messages_by_component(commits, "^tests/").select("component", "subject").collect()
     assert [tuple(r) for r in got] == [("B", "s4"), ("Submodule 'a'", "s1"), ("Submodule 'a'", "s3"), ("c", "s6")]
+
+
+def test_hull_of_a_few_points(spark):
+    pts = [(1, x, y) for x, y in ((0, 0), (4, 0), (2, 0), (4, 3), (0, 3), (2, 2), (2, 5), (4, 3))] + [(2, 7, 7)]
+    got = R.convex_hull(spark.createDataFrame(pts, "image_id long, x int, y int"), "image_id").orderBy("image_id", "seq").select("image_id", "seq", "x", "y")
+    assert [tuple(r) for r in got.collect()] == [(1, 0, 0, 0), (1, 1, 4, 0), (1, 2, 4, 3), (1, 3, 2, 5), (1, 4, 0, 3), (2, 0, 7, 7)]
