@@ -74,9 +74,36 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(_read(spark, sf_dir, "documents"))
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    return mixing.decide(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import divergence
+
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import manifest
+
+    docs = _read(spark, sf_dir, "documents")
+    return manifest.verify(manifest.proofs(docs, seen=manifest.tampered(docs)))
+
+
+_ALL = (
+    op1_html_text, op2_minhash_dedup, op3_best_fit_packing, op4_substring_dedup, op5_quality_rules, op6_suffix_dedup, op7_pii,
+    op8_decontaminate, op9_lm_scoring, op10_token_ids, op11_source_mix, op12_source_divergence, op13_merkle_manifest,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html_text, op2_minhash_dedup, op3_best_fit_packing, op4_substring_dedup, op5_quality_rules, op6_suffix_dedup, op7_pii, op8_decontaminate, op9_lm_scoring, op10_token_ids)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import divergence, manifest
+
+    return {"op12_source_divergence": divergence.SQL, "op13_merkle_manifest": manifest.duck_sql()}
