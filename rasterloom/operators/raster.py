@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..workspace import Workspace
+from .components import label_components
 
 # --- stacks and colour maps
 
@@ -137,30 +138,6 @@ def assemble_tiles(tiles: DataFrame, tw: int, th: int, rows: int) -> DataFrame:
     return tiles.withColumns({"x": (F.floor(k / rows) * tw + F.col("x")).cast("int"), "y": (k % rows * th + F.col("y")).cast("int")}).drop("tile")
 
 
-def tile_distance(template: DataFrame, database: DataFrame, value: str = "val") -> DataFrame:
-    """Sum of squared differences of every template tile (tile, x, y) and database tile (db, x, y): one equi-join on the place."""
-    both = template.join(database.withColumnRenamed(value, "_v"), ["x", "y"])
-    d = F.col(value) - F.col("_v")
-    return both.groupBy("tile", "db").agg(F.sum(d * d).cast("long").alias("distance"))
-
-
-def best_match(distances: DataFrame) -> DataFrame:
-    best = distances.groupBy("tile").agg(F.min(F.struct("distance", "db")).alias("_b"))
-    return best.select("tile", F.col("_b.db").alias("db"), F.col("_b.distance").alias("distance"))
-
-
-def best_match_unique(distances: DataFrame, work: Workspace) -> DataFrame:
-    """Each database tile at most once: in each round tiles claim their best, the lowest tile wins, both leave."""
-    left, won, step = work.table(distances, "distances"), None, 0
-    while not left.isEmpty():
-        claims = best_match(left)
-        winner = work.table(claims.groupBy("db").agg(F.min_by(F.struct("tile", "distance"), "tile").alias("_w")).select("_w.tile", "db", "_w.distance"), f"won-{step}")
-        won = winner if won is None else won.unionByName(winner)
-        left = work.table(left.join(winner, "tile", "left_anti").join(winner, "db", "left_anti"), f"left-{step}")
-        step += 1
-    return won if won is not None else distances.limit(0).select("tile", "db", "distance")
-
-
 # --- regions
 
 CELL = 64
@@ -248,33 +225,7 @@ def profile(df: DataFrame, rois: DataFrame, keys: list[str], value: str = "val",
     return along.unionByName(means).unionByName(refused)
 
 
-# --- components# --- components
-
-
-def label_components(mask: DataFrame, keys: list[str], work: Workspace, width: int, eight: bool = True) -> DataFrame:
-    """(keys, x, y, label): label is the least y * width + x of the connected region.
-
-    Least labels of neighbours and pointer jumps, a written table each round; the number of
-    rounds grows with the logarithm of a region's extent rather than with the extent.
-    """
-    px = mask.select(*keys, "x", "y").withColumn("node", F.col("y") * width + F.col("x"))
-    steps = [(1, 0), (0, 1), *([(1, 1), (-1, 1)] if eight else [])]
-    near = px.withColumn("_d", F.explode(F.array(*(F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in steps))))
-    near = near.select(*keys, F.col("node").alias("a"), (F.col("x") + F.col("_d.dx")).alias("x"), (F.col("y") + F.col("_d.dy")).alias("y"))
-    pairs = near.join(px.withColumnRenamed("node", "b"), [*keys, "x", "y"]).select(*keys, "a", "b")
-    both = work.table(pairs.unionByName(pairs.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))), "pairs")
-    labels, step = work.table(px.select(*keys, "node", F.col("node").alias("label")), "label-0"), 0
-    while True:
-        step += 1
-        other = labels.select(*keys, F.col("node").alias("b"), F.col("label").alias("_l"))
-        least = both.join(other, [*keys, "b"]).groupBy(*keys, F.col("a").alias("node")).agg(F.min("_l").alias("_near"))
-        moved = labels.join(least, [*keys, "node"], "left").withColumn("to", F.least("label", "_near"))
-        jump = moved.select(*keys, F.col("node").alias("to"), F.col("to").alias("_far"))
-        new = moved.join(jump, [*keys, "to"]).select(*keys, "node", F.col("_far").alias("label"), (F.col("_far") != F.col("label")).alias("_moved"))
-        new = work.table(new, f"label-{step}")
-        labels = new.drop("_moved")
-        if new.filter("_moved").isEmpty():
-            return px.join(labels, [*keys, "node"]).select(*keys, "x", "y", "label")
+# --- components
 
 
 def wand(labelled: DataFrame, keys: list[str], x: int, y: int) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..operators import raster as R
+from ..operators import tiles as TL
 from ..workspace import Workspace
 from .fixtures import duck, view
 from .registry import query
@@ -102,8 +103,9 @@ def assemble_tiles(spark, d):
 
 
 def _tiles(spark, d):
+    """Images with an id that 50 divides, all images, and their size."""
     px = _px(spark, d)
-    return px.filter("image_id % 50 = 0").withColumnRenamed("image_id", "tile"), px.withColumnRenamed("image_id", "db")
+    return px.filter("image_id % 50 = 0").withColumnRenamed("image_id", "tile"), px.withColumnRenamed("image_id", "db"), Workspace(spark, "tiles"), 8, 8
 
 
 _DISTANCE = "select a.image_id tile, b.image_id db, cast(sum((a.val-b.val)*(a.val-b.val)) as bigint) distance from px a join px b on a.x = b.x and a.y = b.y where a.image_id % 50 = 0 and b.image_id <> a.image_id group by all"
@@ -111,17 +113,20 @@ _DISTANCE = "select a.image_id tile, b.image_id db, cast(sum((a.val-b.val)*(a.va
 
 @query(duck(_DISTANCE, "px"))
 def tile_distance(spark, d):
-    return R.tile_distance(*_tiles(spark, d)).filter("tile <> db")
+    return TL.tile_distance(*_tiles(spark, d))
 
 
 @query(duck(f"select tile, db, distance from ({_DISTANCE}) qualify row_number() over (partition by tile order by distance, db) = 1", "px"))
 def best_match(spark, d):
-    return R.best_match(R.tile_distance(*_tiles(spark, d)).filter("tile <> db"))
+    return TL.best_match(*_tiles(spark, d))
 
 
-@query()
+@query(duck(f"""with recursive d as materialized (select *, dense_rank() over (order by tile) i from ({_DISTANCE})),
+r(i, tile, db, distance, used) as (select 0::bigint, null::bigint, null::bigint, null::bigint, []::bigint[]
+ union all select d.i, d.tile, d.db, d.distance, list_append(used, d.db) from r join d on d.i = r.i + 1 where not list_contains(used, d.db) qualify row_number() over (order by d.distance, d.db) = 1)
+select tile, db, distance from r where i > 0""", "px"))
 def best_match_unique(spark, d):
-    return R.best_match_unique(R.tile_distance(*_tiles(spark, d)).filter("tile <> db"), Workspace(spark, "tiles"))
+    return TL.best_match_unique(*_tiles(spark, d))
 
 
 def _rois(spark, d):

@@ -1,5 +1,6 @@
 """Hand-computed rasters, algebraic properties, readers, and streams against their batch forms."""
 
+import random
 import struct
 import zlib
 
@@ -11,6 +12,7 @@ from rasterloom.operators import history as H
 from rasterloom.operators import pixels as P
 from rasterloom.operators import raster as R
 from rasterloom.operators import relational as L
+from rasterloom.operators import tiles as T2
 from rasterloom.plans.fixtures import view
 from rasterloom.sources import files
 from rasterloom.streaming import streams as T
@@ -85,10 +87,66 @@ def test_closure_meets_cycles_once(spark):
     assert sorted(r.file for r in got) == ["a", "b", "c"]
 
 
-def test_best_match_is_unique(spark):
-    d = spark.createDataFrame([(t, b, abs(t - b)) for t in range(4) for b in range(6)], "tile long, db long, distance long")
-    got = R.best_match_unique(d.withColumn("distance", F.col("distance") + F.when(F.col("db") == 0, -9).otherwise(0)), Workspace(spark, "t")).collect()
-    assert len(got) == 4 and len({r.db for r in got}) == 4
+def greedy(d):
+    """Each tile in turn takes its nearest db that is left."""
+    used, out = set(), {}
+    for t in sorted({t for t, _, _ in d}):
+        left = sorted((x, b) for a, b, x in d if a == t and b not in used)
+        if left:
+            out[t] = left[0][1]
+            used.add(left[0][1])
+    return out
+
+
+@pytest.mark.parametrize("tiles, dbs, k", [(4, 6, 16), (12, 12, 2), (9, 5, 1), (10, 40, 3)])
+def test_unique_matches_equal_the_greedy_choice(spark, tiles, dbs, k):
+    rnd = random.Random(tiles)
+    d = [(t, b, rnd.randint(0, 6)) for t in range(tiles) for b in range(dbs)]
+    pairs = spark.createDataFrame(d, "tile long, db long, distance long")
+    got = T2.assign(pairs.select("tile").distinct(), T2.listed(pairs), Workspace(spark, "t"), k).collect()
+    assert {r.tile: r.db for r in got} == greedy(d) and len(got) == min(tiles, dbs)
+    assert {(r.tile, r.db, r.distance) for r in got} <= set(d)
+
+
+def test_tile_search_equals_all_pairs(spark, monkeypatch):
+    rnd = random.Random(8)
+    base = [[rnd.randint(0, 255) for _ in range(48)] for _ in range(6)]
+    tiles = [[min(255, max(0, v + rnd.randint(-3, 3))) for v in base[rnd.randrange(6)]] for _ in range(300)] + [base[0]] * 5
+    px = spark.createDataFrame([(i, k % 8, k // 8, v) for i, t in enumerate(tiles) for k, v in enumerate(t)], "db long, x int, y int, val int").repartition(5)
+    own = px.filter("db % 10 = 0").withColumnRenamed("db", "tile")
+    want = [(a, b, sum((p - q) ** 2 for p, q in zip(tiles[a], tiles[b], strict=True))) for a in range(0, 305, 10) for b in range(305) if a != b]
+    monkeypatch.setattr(T2, "PASS_PIXELS", 500)  # several passes
+    monkeypatch.setattr(T2, "CELLS", 2000)
+    assert sorted((r.tile, r.db, r.distance) for r in T2.tile_distance(own, px, Workspace(spark, "t"), 8, 6).collect()) == want
+    nearest = {a: min((d, b) for t, b, d in want if t == a) for a, _, _ in want}
+    assert {r.tile: (r.distance, r.db) for r in T2.best_match(own, px, Workspace(spark, "t"), 8, 6).collect()} == nearest
+    assert {r.tile: r.db for r in T2.best_match_unique(own, px, Workspace(spark, "t"), 8, 6, k=2).collect()} == greedy(want)
+    with pytest.raises(Exception, match="not a whole tile"):
+        T2.best_match(own, px.filter("db <> 7 or x < 5"), Workspace(spark, "t"), 8, 6).collect()
+
+
+@pytest.mark.parametrize("eight", [True, False])
+def test_components_over_many_blocks(spark, eight):
+    rnd = random.Random(4)
+    on = {(x, y) for x in range(-70, 200) for y in range(-3, 140) if rnd.random() < (0.42 if eight else 0.62)} | {(x, 150) for x in range(300)} | {(299, y) for y in range(150, 290)}
+    on |= {(k, 160 + k) for k in range(60, 70)}  # through a corner of blocks
+    width, left, want = 1000, set(on), {}
+    steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (eight or not (a and b))]
+    while left:
+        stack, region = [left.pop()], []
+        while stack:
+            x, y = stack.pop()
+            region.append((x, y))
+            for a, b in steps:
+                if (x + a, y + b) in left:
+                    left.discard((x + a, y + b))
+                    stack.append((x + a, y + b))
+        want |= dict.fromkeys(region, min(y * width + x for x, y in region))
+    mask = spark.createDataFrame([(k, x, y) for k in ("a", "b") for x, y in on], "image_id string, x int, y int")
+    mask = mask.unionByName(mask.filter("x = 5")).repartition(4)
+    got = R.label_components(mask, ["image_id"], Workspace(spark, "t"), width, eight).collect()
+    assert len(got) == 2 * len(want) and all(want[r.x, r.y] == r.label for r in got)
+    assert R.label_components(mask.limit(0), ["image_id"], Workspace(spark, "t"), width).isEmpty()
 
 
 def test_results_table_kinds(spark, tmp_path):
