@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import files as S
+from ..sources import images as I
 from ..workspace import Workspace
 from .fixtures import duck, view
 from .registry import query
@@ -86,12 +87,29 @@ def list_files(spark, d):
     return found.groupBy(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source")).agg((F.count("*") > 0).alias("listed"))
 
 
-@query(duck("select image_id, x, y, val from px", "px"))
+def _image_folder(spark, d) -> str:
+    """A folder with a gray image file for every image, a colour one for every three, and files that are no images among them."""
+    at = _spot(spark, "images")
+    px, rgb = view(spark, d, "px"), view(spark, d, "rgb")
+    gray = I.pack_images(px.select(F.concat(F.lit("gray "), "image_id", F.lit(".png")).alias("name"), F.lit(8).alias("w"), F.lit(8).alias("h"), "x", "y", "val"), ["name"], "w", "h", ["val"])
+    colour = I.pack_images(rgb.select(F.concat(F.lit("rgb-"), "image_id", F.lit(".png")).alias("name"), F.lit(8).alias("w"), F.lit(8).alias("h"), "x", "y", "r", "g", "b"), ["name"], "w", "h", ["r", "g", "b"])
+    I.write_files(gray.unionByName(colour), at, "png")
+    junk = view(spark, d, "embeddings").filter("vec_id % 7 = 0").select(F.concat(F.lit("junk"), "vec_id", F.lit(".png")).alias("name"), F.concat(F.lit("no image "), "label").cast("binary").alias("data"))
+    I.write_files(junk.selectExpr("name", "0 width", "0 height", "0 channels", "data"), at, "raw")
+    return at
+
+
+@query(duck("select 'gray ' || image_id || '.png' as name, x, y, val r, val g, val b from px union all select 'rgb-' || image_id || '.png', x, y, r, g, b from rgb", "px", "rgb"))
+def read_images(spark, d):
+    return I.pixels_of(I.read_folder(spark, _image_folder(spark, d)))
+
+
+@query(duck("""select 'gray ' || image_id || '.png.tif' as name, 8 width, 8 height, 1 channels, string_agg(printf('%02X', val), '' order by y, x) as bytes from px group by image_id
+union all select 'rgb-' || image_id || '.png.tif', 8, 8, 3, string_agg(printf('%02X%02X%02X', r, g, b), '' order by y, x) from rgb group by image_id""", "px", "rgb"))
 def batch_convert(spark, d):
     at = _spot(spark, "converted")
-    px = view(spark, d, "px").withColumn("part", (F.col("image_id") % 16).cast("int"))
-    S.batch_convert(px.select("part", "image_id", "x", "y", "val"), at, "csv", "part")
-    return spark.read.csv(at, schema="image_id long, x int, y int, val int, part int").select("image_id", "x", "y", "val")
+    I.batch_convert(spark, _image_folder(spark, d), at, "tif")
+    return I.read_folder(spark, at).select("name", "width", "height", "channels", F.hex("data").alias("bytes"))
 
 
 @query(duck("select stack_id, t, x, y, val, cast(t % 3 + 1 as int) tile_w from stack where t % 3 = 1", "stack"))
@@ -153,11 +171,14 @@ def find_maintainer(spark, d):
     return view(spark, d, "pages").select("page_id", S.find_maintainer(html).alias("maintainer"))
 
 
-@query("select doc_id, cast(i as int) i, cast(i % 37 as int) x, cast(i // 37 as int) y from (select doc_id, unnest(range(length(lang) + length(source) + cast(n_chars % 64 as bigint))) i from documents)")
+@query("select doc_id, y, substr(h, cast(y * 74 + 1 as bigint), 74) as bytes from (select doc_id, h, unnest(range((length(h) + 73) // 74)) y from (select doc_id, hex(encode(text)) h from documents))")
 def restride_raw(spark, d):
+    """Whole texts as raw files, read again in rows of 37 bytes."""
+    at = _spot(spark, "raw")
     docs = view(spark, d, "documents")
-    n = F.length("lang") + F.length("source") + F.col("n_chars") % 64
-    return S.restride(docs.select("doc_id", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("i")), 37)
+    I.write_files(docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".raw")).alias("name"), F.octet_length("text").alias("width"), F.lit(1).alias("height"), F.lit(1).alias("channels"), F.encode("text", "UTF-8").alias("data")), at, "raw")
+    rows = I.read_records(spark, at, 37, split=37 * 100)
+    return rows.select(F.regexp_extract("path", "([0-9]+)[.]raw$", 1).cast("long").alias("doc_id"), F.col("record").alias("y"), F.hex("bytes").alias("bytes"))
 
 
 @query("select doc_id, cast(unnest(range(cast(a as bigint), cast(a * 16 + 1 as bigint))) as int) width from (select doc_id, floor(sqrt(strlen(text) / 16.0::double)) a from documents)")

@@ -1,4 +1,4 @@
-"""Readers, generators and writers: delimited tables, colour maps, commit logs, feeds, listings, images."""
+"""Readers, generators and writers: delimited tables, colour maps, commit logs, feeds, listings."""
 
 from __future__ import annotations
 
@@ -56,14 +56,6 @@ def list_files(spark: SparkSession, path: str, suffixes: list[str]) -> DataFrame
     return found.filter(F.lower("path").rlike("(" + "|".join(s.replace(".", "[.]") for s in suffixes) + ")$"))
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """(origin, x, y, r, g, b) of image files; what is no image is skipped."""
-    img = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path).select("image.*")
-    pixel = img.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)))
-    byte = lambda k: F.conv(F.hex(F.substring("data", F.col("i") * F.col("nChannels") + F.least(F.lit(k), F.col("nChannels")), F.lit(1))), 16, 10).cast("int")
-    return pixel.select("origin", (F.col("i") % F.col("width")).alias("x"), F.expr("cast(i div width as int)").alias("y"), byte(3).alias("r"), byte(2).alias("g"), byte(1).alias("b"))
-
-
 def read_commit_log(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
     """(sha, author, epoch, zone, subject, path) of a raw log; a row for each path, null where a commit has none."""
     records = spark.read.option("lineSep", "\ncommit ").text(path).select(F.regexp_replace("value", "^commit ", "").alias("v"))
@@ -111,10 +103,6 @@ def find_maintainer(html: Column) -> Column:
     return F.when(has & (cell != ""), F.coalesce(F.nullif(own, F.lit("")), F.nullif(child, F.lit("")), F.lit("Could not parse maintainer name.")))
 
 
-def restride(df: DataFrame, width: int, key: str = "i") -> DataFrame:
-    return df.withColumn("x", (F.col(key) % width).cast("int")).withColumn("y", F.floor(F.col(key) / width).cast("int"))
-
-
 def candidate_widths(n: Column) -> Column:
     """int(sqrt(n / 16)) to 16 times that."""
     a = F.floor(F.sqrt(n / 16)).cast("int")
@@ -173,11 +161,6 @@ def format_lut_text(luts: DataFrame) -> DataFrame:
     return luts.select("lut", "idx", F.concat(*(F.lpad(F.col(c).cast("string"), 4, " ") for c in "rgb")).alias("line"))
 
 
-def batch_convert(planes: DataFrame, path: str, fmt: str, key: str = "image_id") -> None:
-    """Every image saved in another format, a folder each."""
-    planes.write.partitionBy(key).format(fmt).save(path)
-
-
 def write_planes_by_size(planes: DataFrame, path: str) -> None:
     planes.write.partitionBy("tile_w").parquet(path)
 

@@ -1,8 +1,6 @@
 """Hand-computed rasters, algebraic properties, readers, and streams against their batch forms."""
 
 import random
-import struct
-import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +12,7 @@ from rasterloom.operators import raster as R
 from rasterloom.operators import relational as L
 from rasterloom.operators import tiles as T2
 from rasterloom.plans.fixtures import view
-from rasterloom.sources import files
+from rasterloom.sources import files, images
 from rasterloom.streaming import streams as T
 from rasterloom.workspace import Workspace
 
@@ -175,16 +173,41 @@ def test_commit_log_zones(spark, tmp_path):
     assert got == [("aa11", "A", 100, "+0100", "say commit here", "lib/src/x.txt"), ("bb22", "A", 200, "-0500", "say commit here", "lib/src/x.txt")]
 
 
-def test_images_skip_junk(spark, tmp_path):
-    def chunk(kind, data):
-        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-
-    raw = b"\0" + bytes([255, 0, 0, 0, 255, 0]) + b"\0" + bytes([0, 0, 255, 9, 8, 7])
-    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 2, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
-    (tmp_path / "a.png").write_bytes(png)
-    (tmp_path / "junk.png").write_bytes(b"no image")
-    got = {(r.x, r.y): (r.r, r.g, r.b) for r in files.read_images(spark, f"file://{tmp_path}").collect()}
-    assert got == {(0, 0): (255, 0, 0), (1, 0): (0, 255, 0), (0, 1): (0, 0, 255), (1, 1): (9, 8, 7)}
+@pytest.mark.parametrize("fmt", ["png", "tif"])
+def test_image_files_round_trip_and_junk_is_skipped(spark, tmp_path, fmt):
+    rnd = random.Random(2)
+    raw = lambda n: bytes(rnd.randrange(256) for _ in range(n))
+    rows = [(f"a+ %{c}x{w}é.{fmt}", w, h, c, raw(w * h * c)) for c in (1, 3, 4) for w, h in ((1, 1), (5, 3), (2, 7))]
+    at = f"file://{tmp_path}/in"
+    images.write_files(spark.createDataFrame(rows, images.IMAGE), at, fmt)
+    (tmp_path / "in" / f"junk.{fmt}").write_bytes(b"no image")
+    (tmp_path / "in" / f"empty.{fmt}").write_bytes(b"")
+    found = images.read_folder(spark, at)
+    assert sorted(tuple(r) for r in found.select("name", "width", "height", "channels", "data").collect()) == sorted(rows)
+    assert (tmp_path / "in" / "_SUCCESS").read_text() == "9" and not [p for p in (tmp_path / "in").iterdir() if p.name.startswith(".") and not p.name.endswith(".crc")]
+    px = {(r.x, r.y): (r.r, r.g, r.b) for r in images.pixels_of(found.filter(F.col("name") == rows[4][0])).collect()}
+    data = rows[4][4]
+    assert px == {(i % 5, i // 5): tuple(data[3 * i : 3 * i + 3]) for i in range(15)}
+    images.batch_convert(spark, at, f"file://{tmp_path}/out", "tif")
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.name[0] not in "._") == sorted(f"{r[0]}.tif" for r in rows)
+    back = images.read_folder(spark, f"file://{tmp_path}/out").select("name", "data")
+    assert sorted(tuple(r) for r in back.collect()) == sorted((r[0] + ".tif", r[4]) for r in rows)
+    with pytest.raises(Exception, match="no file name"):
+        images.write_files(spark.createDataFrame([("../x", 1, 1, 1, b"a")], images.IMAGE), at, "raw")
+
+
+def test_raw_files_are_read_by_byte_ranges(spark, tmp_path):
+    data = bytes(k % 251 for k in range(10_007))
+    (tmp_path / "one.raw").write_bytes(data)
+    (tmp_path / "none.raw").write_bytes(b"")
+    rows = images.read_records(spark, str(tmp_path), 64, split=1000)
+    assert rows.rdd.getNumPartitions() == 11
+    got = sorted((r.record, bytes(r.bytes)) for r in rows.collect())
+    assert got == [(k, data[k * 64 : k * 64 + 64]) for k in range(157)]
+    # a canvas of 100 x 80 seen at a trial width, as copied row by row
+    for trial in (64, 130):
+        canvas = {r.y: bytes(r.bytes) for r in images.restride(images.read_records(spark, str(tmp_path / "one.raw"), trial), trial, 100, 80).collect()}
+        assert canvas == {y: data[y * trial : y * trial + min(100, trial)] for y in range(min(80, 8000 // trial))}
 
 
 def test_throttle_keeps_the_first(spark):
@@ -213,8 +236,6 @@ def test_change_stream_emits_once(spark, tmp_path):
 
 
 def test_results_table_keeps_rows_that_equal_the_header(spark, tmp_path):
-    from rasterloom.sources import files
-
     (tmp_path / "t.csv").write_text(' ,"a",b\n1,"x",2\n ,"a",b\n3,y z,\n')
     got = files.read_results_table(spark, str(tmp_path / "t.csv"))
     assert [tuple(r) for r in got.collect()] == [('"x"', "2"), ('"a"', "b"), ("y z", "")]
