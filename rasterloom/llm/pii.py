@@ -4,12 +4,13 @@ Base spans come from one pattern and one check for each of four kinds.  High-rec
 generators propose further spans, which may overlap (digit runs inside longer ones, numbers
 without a plus sign, spelled-out addresses, long runs of letters and digits; the last are of
 a fifth kind, secret).  Boosted trees score each candidate from its format and context, and
-thresholds for each kind, calibrated on candidates that the trees have not seen, select what
-is added; candidates that overlap a base span or a better candidate are left out.
+thresholds for each kind, calibrated on candidates that the trees have not seen (of what is
+added, and of the decoys, 2 % at most may be wrong), select what is added; candidates that overlap a base span or a better candidate are left out.
 
 Training: ``PER_TEMPLATE`` written examples of each template, made by hashing a row number,
 so the model is the same for every input.  A template plants a span of personal data, or
-one that only looks like it (order numbers, time stamps, ISBNs, digests), among other words;
+one that only looks like it (numbers of a card's form with a wrong check digit, order numbers,
+versions, time stamps, ISBNs, digests), among other words;
 a candidate is positive if it is just the planted span of a template of the first sort, and
 negative else, also if it cuts that span.  The labels are not computed from the features.
 
@@ -54,6 +55,7 @@ GENERATORS = [
     ("card", r"(?<![0-9])[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}(?![0-9])"),
     ("phone", r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
     ("phone", r"(?<![0-9+])00[1-9][0-9]{0,2}[ .-](?:\(?[0-9]{1,4}\)?[ .-]){1,4}[0-9]{3,5}(?![0-9])"),
+    ("phone", r"[+][1-9][0-9]{0,2}[ .-]\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])"),
     ("ip", r"(?<![0-9])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])"),
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)|@) ?[A-Za-z0-9-]{1,63}+ ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z]{2,12}(?![A-Za-z])"),
     ("secret", r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,200}+[0-9])[A-Za-z0-9_+/-]{16,200}+(?![A-Za-z0-9_+/-])"),
@@ -63,12 +65,14 @@ _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _GAP = "[^A-Za-z0-9]{0,6}$"
 #: Name of a feature, and what stands before the candidate where it is 1.
 _CUES = {
-    "cue_card": f"(?i)(?:card|visa|konto|pay|account|credit|iban){_GAP}",
-    "cue_phone": f"(?i)(?:tel|phone|fon|mobil|call|fax|dial){_GAP}",
-    "cue_mail": f"(?i)(?:mail|contact|write to){_GAP}",
-    "cue_secret": f"(?i)(?:token|secret|passw[a-z]*|pwd|key|auth|bearer){_GAP}",
-    "cue_number": f"(?i)(?:order|isbn|invoice|ref|serial|ticket|part|no|nr|id|at|on|time|date){_GAP}",
-    "cue_digest": f"(?i)(?:commit|sha[0-9]*|md5|rev|checksum|digest|hash|etag|build){_GAP}",
+    "cue_card": f"(?i)(?:card|visa|konto|pay|account|credit|iban|[ck]red[a-z]*|karte|tarjeta|carte){_GAP}",
+    "cue_phone": f"(?i)(?<![a-z])(?:tel[a-z]*|[a-z]*phone|[a-z]*fon|mobil[a-z]*|cell|call|fax|dial|ring|text|sms|number is){_GAP}",
+    "cue_mail": f"(?i)(?<![a-z])(?:mail|contact|write to|reach me|reach us|send to){_GAP}",
+    "cue_secret": f"(?i)(?:token|secret|passw[a-z]*|pwd|key|auth|bearer|credential[s]?)(?: is)?{_GAP}",
+    "cue_ip": f"(?i)(?<![a-z])(?:ip|addr[a-z]*|host|server|login){_GAP}",
+    "cue_version": f"(?i)(?<![a-z])(?:v|ver|version|release|section|chapter){_GAP}",
+    "cue_number": f"(?i)(?<![a-z])(?:order|isbn|invoice|ref|serial|ticket|part|no|nr|id|at|on|time|date){_GAP}",
+    "cue_digest": f"(?i)(?<![a-z])(?:commit|sha[0-9]*|md5|rev|checksum|digest|hash|etag|build){_GAP}",
     "assigned": "[=:] ?[\"']?$",
     "before_digit": "[0-9][ .-]?$",
     "plus": "[+] ?$",
@@ -106,10 +110,17 @@ def _digits(chars: str) -> str:
     return f"regexp_replace({chars}, '[^0-9]', '')"
 
 
+_DOUBLED = "(cast(substring(d, i, 1) as int) * (1 + (length(d) - i) % 2))"
+_LUHN_SUM = f"aggregate(sequence(1, length(d)), 0L, (s, i) -> s + {_DOUBLED} div 10 + {_DOUBLED} % 10)"
+
+
 def _luhn(digits: str) -> str:
-    double = "(cast(substring(d, i, 1) as int) * (1 + (length(d) - i) % 2))"
-    summed = f"aggregate(sequence(1, length(d)), 0L, (s, i) -> s + {double} div 10 + {double} % 10)"
-    return f"(transform(array({digits}), d -> length(d) between 12 and 19 and {summed} % 10 = 0)[0])"
+    return f"(transform(array({digits}), d -> length(d) between 12 and 19 and {_LUHN_SUM} % 10 = 0)[0])"
+
+
+def _checked(body: str, off: str = "0") -> str:
+    """The digits with a check digit behind them, or one that is ``off`` by so much."""
+    return f"(transform(array(concat({body}, '0')), d -> concat(left(d, length(d) - 1), cast(pmod({off} - {_LUHN_SUM}, 10) as string)))[0])"
 
 
 def _octets(chars: str) -> str:
@@ -160,6 +171,8 @@ def candidates(based: DataFrame) -> DataFrame:
         }
         features = ", ".join(f"cast({v} as double) as {f}" for f, v in of.items())
         found = f"transform({_matches('_text', pattern)}, m -> struct(m.start as start, {KINDS.index(kind)} as k, m.end as end, {features}))"
+        if kind == "card":  # without its check digit a number is proposed behind words for cards only
+            found = f"filter({found}, c -> c.luhn = 1 or c.cue_card = 1)"
         need = "(instr(_text, '@') > 0 or instr(_text, 'at') > 0)" if kind == "email" else _DIGIT
         some.append(f"if({need}, {found}, {_none(_CANDIDATE)})")
     return based.withColumn("_candidates", F.expr(f"concat({', '.join(some)})"))
@@ -184,45 +197,74 @@ def _one_of(salt: str, *words: str) -> str:
 
 
 def _templates() -> list[tuple[str, bool, str, str, str]]:
-    """(kind, whether it is personal, what stands before, the span, what stands behind), in SQL over ``id``."""
+    """(kind, whether it is personal, what stands before, the span, what stands behind), in SQL over ``id``.
+
+    Numbers of cards have a check digit; decoys of the same form and surroundings have none.
+    """
 
     def d(n: int, salt: str = "") -> str:
         return _made("digits", n, salt)
 
+    def grouped(number: str) -> str:
+        return f"transform(array({number}), x -> concat_ws({_one_of('gap', ' ', '-')}, substring(x, 1, 4), substring(x, 5, 4), substring(x, 9, 4), substring(x, 13)))[0]"
+
     any_word, end = "' '", _one_of("end", " ", ", ", ". ", "!! ", "### ", "\n", " | ")
-    card, phone, mail = _one_of("c", "card ", "visa: ", "account ", "pay to "), _one_of("p", "tel ", "phone: ", "call ", "fax "), _one_of("m", "mail ", "contact: ", "write to ")
+    card, phone, mail = _one_of("c", "card ", "visa: ", "account ", "pay to "), _one_of("p", "tel ", "phone: ", "call ", "fax ", "telephone ", "mobile: ", "dial "), _one_of("m", "mail ", "contact: ", "write to ")
     number, digest = _one_of("n", "order ", "invoice no. ", "serial ", "ticket id: ", "ref "), _one_of("g", "commit ", "sha1: ", "md5 = ", "checksum ", "etag: \"", "build ")
     secret = _one_of("s", "token = \"", "api_key=", "secret: ", "password = '", "TOKEN = \"", "auth: ", "key = \"")
-    groups = f"concat_ws({_one_of('gap', ' ', '-')}, {d(4)}, {d(4, 'b')}, {d(4, 'c')}, {d(4, 'd')})"
+    host, version = _one_of("h", "ip ", "address: ", "host ", "server ", "login "), _one_of("v", "version ", "v", "release ", "section ", "chapter ")
+    off = "(1 + pmod(xxhash64(id, 'off'), 9))"
+    good, bad = _checked(d(15)), _checked(d(15), off)
     us, local = f"concat('(', {d(3)}, ') ', {d(3, 'b')}, '-', {d(4, 'c')})", f"concat_ws({_one_of('gap', '-', '.', ' ')}, {d(3)}, {d(3, 'b')}, {d(4, 'c')})"
     abroad = f"concat('00', {_one_of('cc', '49', '33', '1', '351')}, ' ', {d(3)}, ' ', {d(3, 'b')}, ' ', {d(4, 'c')})"
     spelled = f"concat({_made('letters', 6)}, {_one_of('at', ' [at] ', ' (at) ', '[at]')}, {_made('letters', 7, 'b')}, {_one_of('dot', ' [dot] ', ' (dot) ', '.')}, {_one_of('tld', 'com', 'org', 'de')})"
     stamp = f"concat({_one_of('y', '2019', '2023', '1998')}, {_one_of('mo', '01', '07', '12')}, {_one_of('da', '03', '17', '28')}, {d(6)})"
+    part = lambda salt, most: f"cast(pmod(xxhash64(id, '{salt}'), {most}) as string)"
+    address = f"concat_ws('.', {part('o1', 256)}, {part('o2', 256)}, {part('o3', 256)}, {part('o4', 256)})"
     return [
-        ("card", True, any_word, d(16), end),
-        ("card", True, card, d(16), end),
-        ("card", True, any_word, groups, end),
-        ("card", True, card, groups, end),
-        ("card", True, card, d(15), end),
-        ("card", False, number, d(16), end),
+        ("card", True, any_word, good, end),
+        ("card", True, card, good, end),
+        ("card", True, any_word, grouped(good), end),
+        ("card", True, card, grouped(good), end),
+        ("card", True, card, _checked(d(14)), end),
+        ("card", True, f"concat(' ', {d(2, 'q')}, ' ')", good, end),
+        ("card", True, card, bad, end),
+        ("card", True, card, grouped(bad), end),
+        ("card", False, any_word, bad, end),
+        ("card", False, any_word, bad, f"concat(' ', {d(4, 'z')}, ' ')"),
+        ("card", False, any_word, grouped(bad), end),
+        ("card", False, f"concat(' ', {d(2, 'q')}, ' ')", bad, end),
+        ("card", False, number, bad, end),
+        ("card", False, number, grouped(bad), end),
         ("card", False, number, d(13), end),
-        ("card", False, any_word, d(12), end),
+        ("card", False, any_word, _checked(d(11), off), end),
         ("card", False, any_word, stamp, end),
-        ("card", False, any_word, d(19), end),
+        ("card", False, any_word, _checked(d(18), off), end),
         ("card", False, f"concat(' ', {_made('letters', 3)})", d(16), _made("letters", 2, "b")),
-        ("card", False, f"concat(' ', {d(4)}, '.')", d(16), end),
+        ("card", False, f"concat(' ', {d(4)}, '.')", bad, end),
         ("phone", True, any_word, us, end),
         ("phone", True, phone, us, end),
         ("phone", True, phone, local, end),
         ("phone", True, any_word, local, end),
         ("phone", True, phone, abroad, end),
+        ("phone", True, any_word, abroad, end),
+        ("phone", True, phone, us, _one_of("e2", ".", ",", ";")),
+        ("phone", True, phone, local, _one_of("e2", ".", ",", ";")),
+        ("phone", True, phone, abroad, _one_of("e2", ".", ",", ";")),
+        ("phone", True, any_word, f"concat('+', {_one_of('cc', '49', '33', '1', '351')}, ' ', {us})", f"concat(' ', {d(16, 'z')})"),
+        ("phone", True, phone, f"concat('+', {_one_of('cc', '49', '33', '1', '351')}, ' ', {local})", end),
         ("phone", False, number, local, end),
         ("phone", False, f"concat(' ', {d(5)}, '-')", local, end),
         ("phone", False, any_word, local, f"concat('-', {d(4, 'z')})"),
         ("email", True, any_word, spelled, end),
         ("email", True, mail, spelled, end),
         ("email", False, any_word, f"concat({_made('letters', 4)}, ' at ', {_made('letters', 5, 'b')})", end),
+        ("ip", True, host, address, end),
+        ("ip", True, any_word, address, end),
+        ("ip", True, f"concat(' ', {d(4, 'q')}, '.')", address, end),
+        ("ip", False, version, f"concat_ws('.', {part('o1', 20)}, {part('o2', 20)}, {part('o3', 20)}, {part('o4', 99)})", end),
         ("ip", False, any_word, f"concat('999.', {d(3)}, '.', {d(3, 'b')}, '.777')", end),
+        ("ip", False, host, f"concat('4', {d(2)}, '.', {part('o2', 256)}, '.', {part('o3', 256)}, '.3', {d(2, 'b')})", end),
         ("secret", True, secret, _made("hex", 40), _one_of("q", "\" ", "' ", " ", "\"!! ")),
         ("secret", True, secret, f"upper({_made('hex', 40)})", _one_of("q", "\" ", "' ", "\"### ")),
         ("secret", True, secret, _made("mixed", 32), _one_of("q", "\" ", "' ", " ")),
@@ -233,6 +275,7 @@ def _templates() -> list[tuple[str, bool, str, str, str]]:
         ("secret", False, number, f"concat({_made('letters', 12)}, '-', {d(6)})", end),
         ("secret", False, any_word, f"concat({_made('letters', 9)}, '_', {_made('letters', 8, 'b')}, '/v', {d(1)})", end),
         ("secret", False, secret, f"concat({_made('letters', 8)}, '-', {_made('letters', 9, 'b')}, '-', {d(1)})", end),
+        ("secret", False, any_word, bad, end),
     ]
 
 
@@ -281,9 +324,10 @@ def _train(spark: SparkSession, per_template: int) -> tuple[list[str], dict[int,
     at = {}
     for k in range(len(KINDS)):
         yes = total = 0
+        decoys = sum(r.n - r.yes for r in bins if r.k == k)
         for r in sorted((r for r in bins if r.k == k), key=lambda r: -r.bin):
             yes, total = yes + r.yes, total + r.n
-            if yes >= PRECISION * total and r.bin >= 10:
+            if yes >= PRECISION * total and total - yes <= (1 - PRECISION) * decoys and r.bin >= 10:
                 at[k] = r.bin / 20
     return trees, at
 
