@@ -14,7 +14,8 @@ with and without telling tags, each block with its label.  The seed is fixed, so
 has the same weights.
 
 Defined cases: a null or empty page has the empty text; unclosed and unmatched tags are
-tolerated; a page of any length is read whole; repeated rows are handled each; an empty
+tolerated; a page of any length and any nesting is read whole, in time linear in its length (of a path
+of more than 48 tags the vectors know the outer and inner 24); repeated rows are handled each; an empty
 table gives no rows; further columns pass through unless they clash with text or n_chars.
 """
 
@@ -24,7 +25,7 @@ import html as entities
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -46,10 +47,14 @@ RAW_TAGS = frozenset("noscript template svg math iframe select object canvas aud
 HEAD_TAGS = frozenset("html head title meta link base script style noscript template".split())
 
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW_TEXT}
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOPS = re.compile(r"[<>\"']")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
+#: Numbers that are labelled at once, blocks whose vectors are made at once, outer and inner tags of a path, and text read in vain for ends of tags, in pages.
+CELLS, CHUNK, PATH, VAIN = 2_000_000, 2048, 24, 4
+
 N_TAG, N_CLASS, N_LAST, N_TEXT, N_PLAIN = 128, 384, 64, 32, 5
 WIDTH = N_TAG + N_CLASS + N_LAST + N_TEXT + N_PLAIN
 
@@ -61,6 +66,57 @@ class Block:
         self.text, self.path, self.linked = text, path, linked
 
 
+class _Tags:
+    """The tags and comments of a page in order, in time linear in its length.
+
+    A tag ends at the first > outside quotes, unless a < stands before that or a quote is not
+    closed; then at the first > of all.  Text that is read for the first rule in vain is counted,
+    and beyond ``VAIN`` times the page only the second rule is used.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.at, self.last, self.vain = page, 0, page.rfind(">"), VAIN * len(page)
+
+    def _end(self, at: int) -> int:
+        """The place of the > that ends the tag whose name ends at ``at``."""
+        page, i = self.page, at
+        while self.vain > 0 and (m := _STOPS.search(page, i)) is not None:
+            i = m.end()
+            if m[0] == ">":
+                return i - 1
+            if m[0] == "<":
+                break
+            i = page.find(m[0], i) + 1
+            if not i:
+                i = len(page)
+                break
+        self.vain -= i - at
+        return page.find(">", at)
+
+    def next(self) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, tag in small letters, whether it closes, attributes); the tag is ! for comments and declarations."""
+        page = self.page
+        while (start := page.find("<", self.at)) >= 0:
+            if page.startswith("<!--", start) or start > self.last:
+                start = page.find("<!--", start)  # where no > follows, only a comment does not need one
+                if start < 0:
+                    return None
+                end = page.find("-->", start + 4)
+                self.at = end + 3 if end >= 0 else len(page)
+                return start, self.at, "!", False, ""
+            if page.startswith(("<!", "<?"), start):
+                self.at = page.find(">", start) + 1
+                return start, self.at, "!", False, ""
+            m = _NAME.match(page, start)
+            if m is None:
+                self.at = start + 1
+                continue
+            end = self._end(m.end())
+            self.at = end + 1
+            return start, end + 1, m[2].lower(), bool(m[1]), page[m.end() : end]
+        return None
+
+
 def _tokens(page: str) -> list[tuple[int, int, str | None, bool, str]]:
     """(start, end, tag, whether it closes, attributes) in order; tag is None for what gives only a blank.
 
@@ -69,21 +125,19 @@ def _tokens(page: str) -> list[tuple[int, int, str | None, bool, str]]:
     out: list[tuple[int, int, str | None, bool, str]] = []
     opened: list[tuple[str, int]] = []
     count: Counter[str] = Counter()
-    at = 0
-    while m := _TOKEN.search(page, at):
-        at = m.end()
-        tag = m[2] or m[5]
-        if tag is None:
-            out.append((m.start(), at, "!", False, ""))
+    tags = _Tags(page)
+    while (one := tags.next()) is not None:
+        begin, at, tag, shut, attributes = one
+        if tag == "!":
+            out.append(one)
             continue
-        tag, shut, attributes = tag.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
         if tag in RAW_TEXT and not shut:
             end = None if attributes.endswith("/") else _RAW_END[tag].search(page, at)
-            at = at if attributes.endswith("/") else end.end() if end else len(page)
-            out.append((m.start(), at, None, False, ""))
+            at = tags.at = at if attributes.endswith("/") else end.end() if end else len(page)
+            out.append((begin, at, None, False, ""))
             continue
         if tag in RAW_TAGS and not shut and attributes.endswith("/"):
-            out.append((m.start(), at, None, False, ""))
+            out.append((begin, at, None, False, ""))
             continue
         if tag in RAW_TAGS or tag in BLOCK_TAGS and tag not in VOID_TAGS:
             if not shut:
@@ -100,14 +154,15 @@ def _tokens(page: str) -> list[tuple[int, int, str | None, bool, str]]:
                     del out[k:]
                     out.append((start, at, None, False, ""))
                     continue
-        out.append((m.start(), at, tag, shut, attributes))
+        out.append((begin, at, tag, shut, attributes))
     return out
 
 
 def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order; ``path`` holds (tag, class and id words) from the outside in."""
+    """The blocks of a page in order; ``path`` holds (tag, class and id words) from the outside in, the ``PATH`` outermost and innermost."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of each open tag in the stack
     held: list[str] = []
     anchors, linked = 0, 0
 
@@ -115,20 +170,24 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
-            if text and not any(t in ("head", "title") for t, _ in stack):
-                out.append(Block(text, tuple(stack), min(linked, len(text))))
+            if text and not (places["head"] or places["title"]):
+                path = stack if len(stack) <= 2 * PATH else stack[:PATH] + stack[-PATH:]
+                out.append(Block(text, tuple(path), min(linked, len(text))))
             held.clear()
             linked = 0
 
     def close(tags: tuple[str, ...], stop: tuple[str, ...]) -> None:
         """Closes the innermost of ``tags``, unless one of ``stop`` stands before it."""
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in tags:
-                flush()
-                del stack[i:]
-                return
-            if stack[i][0] in stop:
-                return
+        at = -1
+        for t in tags:
+            if places[t]:
+                at = max(at, places[t][-1])
+        if at < 0 or any(places[t] and places[t][-1] > at for t in stop):
+            return
+        flush()
+        for t, _ in stack[at:]:
+            places[t].pop()
+        del stack[at:]
 
     at, hidden = 0, False
     for start, end, tag, shut, attributes in _tokens(page):
@@ -171,6 +230,7 @@ def blocks(page: str) -> list[Block]:
                     close(("tr",), ("table",))
                 if tag not in VOID_TAGS:
                     words = tuple(_WORD.findall(" ".join(filter(None, (a or b or c for a, b, c in _NAMES.findall(attributes)))).lower()))
+                    places[tag].append(len(stack))
                     stack.append((tag, words))
     if not hidden:
         held.append(page[at:])
@@ -182,7 +242,7 @@ def _slot(s: str, n: int) -> int:
     return zlib.crc32(s.encode()) % n
 
 
-@lru_cache(1 << 16)
+@lru_cache(1 << 13)
 def _path_vector(path: tuple) -> np.ndarray:
     v = np.zeros(N_TAG + N_CLASS + N_LAST, np.float32)
     for depth, (tag, words) in enumerate(path):
@@ -195,8 +255,10 @@ def _path_vector(path: tuple) -> np.ndarray:
     return v
 
 
-def vectors(found: list[Block]) -> np.ndarray:
-    """A row for each block."""
+def vectors(found: list[Block], place: np.ndarray | None = None, total: np.ndarray | None = None) -> np.ndarray:
+    """A row for each block; ``place`` and ``total`` are its number on its page and the page's number of blocks."""
+    place = np.arange(len(found)) if place is None else place
+    total = np.full(len(found), len(found)) if total is None else total
     out = np.zeros((len(found), WIDTH), np.float32)
     if not found:
         return out
@@ -209,7 +271,7 @@ def vectors(found: list[Block]) -> np.ndarray:
     for i, b in enumerate(found):
         out[i, : N_TAG + N_CLASS + N_LAST] = _path_vector(b.path)
         n = len(b.text)
-        out[i, -N_PLAIN:] = np.log1p(n) / 6, b.linked / n, min(1, 10 * sum(map(b.text.count, ".,;!?")) / n), i / len(found), 1 / (1 + len(found))
+        out[i, -N_PLAIN:] = np.log1p(n) / 6, b.linked / n, min(1, 10 * sum(map(b.text.count, ".,;!?")) / n), place[i] / total[i], 1 / (1 + total[i])
     return out
 
 
@@ -276,23 +338,50 @@ class Labeller:
             out[f"U{d}"], out[f"b{d}"] = dU, dz_all.sum(axis=(0, 1))
         return out
 
-    def label(self, pages: list[np.ndarray], at_once: int = 64) -> list[np.ndarray]:
-        """Probabilities for each block of each page; pages of like length run together."""
+    def project(self, x: np.ndarray) -> np.ndarray:
+        """What both directions take from the vectors: all that is kept of a block while its page is read."""
+        return np.concatenate([x @ self.p[f"W{d}"] + self.p[f"b{d}"] for d in "fb"], axis=1)
+
+    def _read(self, z_in: np.ndarray, live: np.ndarray, d: str) -> np.ndarray:
+        """As ``_run``, on projected blocks, without what training keeps."""
+        steps, n, k = z_in.shape[0], z_in.shape[1], self.hidden
+        h, c = np.zeros((n, k), np.float32), np.zeros((n, k), np.float32)
+        out = np.zeros((steps, n, k), np.float32)
+        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+            z = z_in[t] + h @ self.p[f"U{d}"]
+            gates = 1 / (1 + np.exp(-z[:, : 3 * k]))
+            m = live[t][:, None]
+            c = np.where(m, gates[:, k : 2 * k] * c + gates[:, :k] * np.tanh(z[:, 3 * k :]), c)
+            h = np.where(m, gates[:, 2 * k :] * np.tanh(c), h)
+            out[t] = h
+        return out
+
+    def label_projected(self, pages: list[np.ndarray]) -> list[np.ndarray]:
+        """Probabilities for each block of each page; pages of like length run together, ``CELLS`` numbers at once, one page at least."""
         order = sorted(range(len(pages)), key=lambda i: len(pages[i]))
         out: list[np.ndarray] = [np.zeros(0)] * len(pages)
-        for at in range(0, len(order), at_once):
-            own = order[at : at + at_once]
-            x, live = stacked([pages[i] for i in own])
-            if x.shape[0]:
-                prob = self.forward(x, live)[0]
+        width, at = 8 * self.hidden, 0
+        while at < len(order):
+            to = at + 1
+            while to < len(order) and (to + 1 - at) * len(pages[order[to]]) * width <= CELLS:
+                to += 1
+            own, at = order[at:to], to
+            z, live = stacked([pages[i] for i in own])
+            if z.shape[0]:
+                half = width // 2
+                both = np.concatenate([self._read(z[:, :, :half], live, "f"), self._read(z[:, :, half:], live, "b")], axis=2)
+                prob = 1 / (1 + np.exp(-np.clip((both @ self.p["V"] + self.p["c"])[:, :, 0], -30, 30)))
                 for j, i in enumerate(own):
                     out[i] = prob[: len(pages[i]), j]
         return out
 
+    def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
+        return self.label_projected([self.project(p) for p in pages])
+
 
 def stacked(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     steps = max(map(len, pages), default=0)
-    x, live = np.zeros((steps, len(pages), WIDTH), np.float32), np.zeros((steps, len(pages)), bool)
+    x, live = np.zeros((steps, len(pages), pages[0].shape[1] if pages else WIDTH), np.float32), np.zeros((steps, len(pages)), bool)
     for j, p in enumerate(pages):
         x[: len(p), j], live[: len(p), j] = p, True
     return x, live
@@ -381,7 +470,7 @@ def make_page(rnd: random.Random) -> str:
 
 @lru_cache(2)
 def trained(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = SEED) -> Labeller:
-    """The labeller after Adam steps on pages of ``make_page``; a few seconds on one core."""
+    """The labeller after Adam steps on pages of ``make_page``; some ten seconds on one core, once a session."""
     rnd = random.Random(seed)
     sets = []
     for _ in range(pages):
@@ -413,13 +502,12 @@ def trained(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = SEED) ->
 
 def main_texts(pages: list[str | None], model: Labeller) -> list[str]:
     found = [blocks(p or "") for p in pages]
-    flat = vectors([b for f in found for b in f])
-    ends = np.cumsum([len(f) for f in found])
-    rows = [flat[e - len(f) : e].copy() for f, e in zip(found, ends, strict=True)]
-    for f, v in zip(found, rows, strict=True):  # place and number are those on the page
-        if f:
-            v[:, -2], v[:, -1] = np.arange(len(f)) / len(f), 1 / (1 + len(f))
-    marks = model.label(rows)
+    every, sizes = [b for f in found for b in f], [len(f) for f in found]
+    total = np.repeat(sizes, sizes)
+    place = np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    parts = [model.project(vectors(every[i : i + CHUNK], place[i : i + CHUNK], total[i : i + CHUNK])) for i in range(0, len(every), CHUNK)]
+    z = np.concatenate(parts) if parts else np.zeros((0, 8 * model.hidden), np.float32)
+    marks = model.label_projected(np.split(z, np.cumsum(sizes)[:-1]) if sizes else [])
     return ["\n\n".join(b.text for b, p in zip(f, m, strict=True) if p >= 0.5) for f, m in zip(found, marks, strict=True)]
 
 
