@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..workspace import Workspace
+from . import scans
+from .throttling import throttle_frames  # noqa: F401  one of the clocks
+
 
 def change_totals(commits: DataFrame) -> DataFrame:
     """Lines added and removed; entries without numbers (binary files) do not count."""
@@ -22,9 +25,11 @@ def author_tags(text: DataFrame, pattern: str) -> DataFrame:
     return text.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("author")).groupBy("author").agg(F.count("*").alias("n"))
 
 
-def recent_maintainers(commits: DataFrame, until: Column, days: int = 60) -> DataFrame:
-    """Commits by author in the days before ``until``."""
-    return commits.filter(F.col("committed_at") >= until - F.make_dt_interval(F.lit(days))).groupBy("author").agg(F.count("*").alias("n"))
+def recent_maintainers(commits: DataFrame, days: int = 60) -> DataFrame:
+    """Commits by author in the days up to the last commit."""
+    last = commits.agg(F.max("committed_at").alias("_until"))  # one row
+    recent = commits.crossJoin(F.broadcast(last)).filter(F.col("committed_at") >= F.col("_until") - F.make_dt_interval(F.lit(days)))
+    return recent.groupBy("author").agg(F.count("*").alias("n"))
 
 
 def founder(commits: DataFrame) -> DataFrame:
@@ -52,10 +57,13 @@ def messages_by_component(commits: DataFrame, excluded: str) -> DataFrame:
     return told.orderBy("component", "committed_at", "sha", "subject")
 
 
-def merge_logs(commits: DataFrame) -> DataFrame:
-    """Place of each commit in the merged log: by the running latest time of its repository, then repository, then own order."""
-    w = Window.partitionBy("repo").orderBy("sha")
-    return commits.withColumn("_t", F.max("committed_at").over(w)).orderBy("_t", "repo", "sha").select("repo", "sha", F.col("_t").alias("merged_at"))
+def merge_logs(commits: DataFrame, work: Workspace) -> DataFrame:
+    """Place of each commit in the merged log: by the running latest time of its repository, then repository, then own order.
+
+    The running time is a scan over range partitions, so one large repository is many tasks.
+    """
+    run = scans.running(commits.select("repo", "sha", "committed_at"), ["repo"], [F.col("sha")], {"merged_at": (F.max, "committed_at")}, work, "logs")
+    return run.orderBy("merged_at", "repo", "sha").select("repo", "sha", "merged_at")
 
 
 def union_histories(*parts: DataFrame) -> DataFrame:
@@ -88,12 +96,10 @@ def commits_since_upload(commits: DataFrame, uploads: DataFrame, fuzz_minutes: i
     return c.filter(F.col("committed_at") > F.col("uploaded_at") - F.make_dt_interval(mins=F.lit(fuzz_minutes))).select("component", "sha", "author")
 
 
-def frame_clock(frames: DataFrame, key: str = "user_id") -> DataFrame:
-    """Seconds since the first frame of the key, as the sum of the intervals before this frame, 3 decimals."""
-    w = Window.partitionBy(key).orderBy("ts", "event_id")
-    gap = F.coalesce(F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w), F.lit(0))
-    label = F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) / 1e6
-    return frames.withColumn("_gap", gap).withColumn("label", F.round(label, 3)).drop("_gap")
+def frame_clock(frames: DataFrame, work: Workspace, key: str = "user_id") -> DataFrame:
+    """Seconds since the first frame of the key, 3 decimals: the least time so far is a scan over range partitions."""
+    run = scans.running(frames.withColumn("_us", F.unix_micros("ts")), [key], [F.col("ts"), F.col("event_id")], {"_first": (F.min, "_us")}, work, "clock")
+    return run.withColumn("label", F.round((F.col("_us") - F.col("_first")) / 1e6, 3)).drop("_us", "_first")
 
 
 def frame_limit(frames: DataFrame, n: int, seconds: float, key: str = "user_id") -> DataFrame:
@@ -111,15 +117,3 @@ def throttle(times: list[int], last: int | None, interval: int) -> tuple[list[bo
         kept.append(ok)
         last = t if ok else last
     return kept, last
-
-
-def throttle_frames(frames: DataFrame, interval_seconds: float, key: str = "user_id") -> DataFrame:
-    """Keeps a frame iff enough time has passed since the last kept one; the first stays."""
-    step = int(interval_seconds * 1e6)
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "event_id"])
-        return pdf[throttle(pdf["us"].tolist(), None, step)[0]]
-
-    us = frames.select(key, "event_id", F.unix_micros("ts").alias("us"))
-    return us.groupBy(key).applyInPandas(keep, f"{key} long, event_id long, us long")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import history as H
 from ..streaming import streams as T
+from ..workspace import Workspace
 from .fixtures import duck, view
 from .q_raster import PROFILES, profiled_regions
 from .registry import query
@@ -32,9 +33,7 @@ def author_tags(spark, d):
 
 @query(duck("select author, count(*) n from commits where committed_at >= (select max(committed_at) from commits) - interval 3 day group by 1", "commits"))
 def recent_maintainers(spark, d):
-    commits = _commits(spark, d)
-    until = commits.agg(F.max("committed_at")).first()[0]
-    return H.recent_maintainers(commits, F.lit(until), 3)
+    return H.recent_maintainers(_commits(spark, d), 3)
 
 
 @query(duck("select repo, author as founder from commits qualify row_number() over (partition by repo order by committed_at, sha) = 1", "commits"))
@@ -51,7 +50,7 @@ def messages_by_component(spark, d):
 
 @query(duck("select repo, sha, max(committed_at) over (partition by repo order by sha) merged_at from commits", "commits"))
 def merge_logs(spark, d):
-    return H.merge_logs(_commits(spark, d))
+    return H.merge_logs(_commits(spark, d), Workspace(spark, "logs"))
 
 
 @query(duck("select sha, author, 'old' as era from commits where sha % 2 = 0 union all select sha, author, 'recent' from commits where sha % 2 = 1", "commits"))
@@ -92,7 +91,7 @@ def commits_since_upload(spark, d):
 
 @query(duck("select user_id, event_id, round((epoch_us(ts) - min(epoch_us(ts)) over (partition by user_id)) / 1e6::double, 3) label from frames", "frames"))
 def frame_clock(spark, d):
-    return H.frame_clock(view(spark, d, "frames")).select("user_id", "event_id", "label")
+    return H.frame_clock(view(spark, d, "frames"), Workspace(spark, "clock")).select("user_id", "event_id", "label")
 
 
 @query(duck("select user_id, event_id from (select *, row_number() over (partition by user_id order by ts, event_id) i, (epoch_us(ts) - min(epoch_us(ts)) over (partition by user_id)) / 1e6::double s from frames) where i <= 7 and s <= 500000", "frames"))
@@ -105,7 +104,7 @@ k(user_id, i, event_id, us, last, kept) as (select user_id, i, event_id, us, us,
  union all select o.user_id, o.i, o.event_id, o.us, case when o.us - k.last >= 3600000000 then o.us else k.last end, o.us - k.last >= 3600000000 from k join o on o.user_id = k.user_id and o.i = k.i + 1)
 select user_id, event_id, us from k where kept""", "frames"))
 def throttle_frames(spark, d):
-    return H.throttle_frames(view(spark, d, "frames"), 3600.0)
+    return H.throttle_frames(view(spark, d, "frames"), 3600.0, Workspace(spark, "throttle"))
 
 
 @query(duck("select user_id, event_id from frames where event_id not in (select event_id from frames where event_id % 3 = 0)", "frames"))

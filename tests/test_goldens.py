@@ -10,6 +10,7 @@ from rasterloom.operators import history as H
 from rasterloom.operators import pixels as P
 from rasterloom.operators import raster as R
 from rasterloom.operators import relational as L
+from rasterloom.operators import scans
 from rasterloom.operators import tiles as T2
 from rasterloom.plans.fixtures import view
 from rasterloom.sources import files, images
@@ -214,6 +215,40 @@ def test_throttle_keeps_the_first(spark):
     assert [t for t, k in zip((0, 1, 2, 3, 5, 9), H.throttle([0, 1, 2, 3, 5, 9], None, 2)[0], strict=True) if k] == [0, 2, 5, 9]
 
 
+@pytest.mark.parametrize("seconds", [0.0, 0.5, 7.0, 400.0])
+def test_throttle_of_a_key_over_many_partitions(spark, seconds):
+    rnd = random.Random(6)
+    rows = [(7, i, rnd.choice([rnd.randint(0, 3_000), 1_000 + i % 5]) * 1_000_000 + rnd.choice([0, 500_000])) for i in range(4000)]
+    rows += [(k, 10_000 + i, rnd.randint(0, 900) * 1_000_000) for i in range(400) for k in (rnd.choice([1, 2, 9, 10, None]),)]
+    frames = spark.createDataFrame(rows, "user_id long, event_id long, us long").select("user_id", "event_id", F.timestamp_micros("us").alias("ts"))
+    want, last = set(), {}
+    for k, i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[2], r[1])):
+        if k not in last or t - last[k] >= int(seconds * 1e6):
+            want.add((k, i, t))
+            last[k] = t
+    got = H.throttle_frames(frames.repartition(5), seconds, Workspace(spark, "t")).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert H.throttle_frames(frames.limit(0), seconds, Workspace(spark, "t")).isEmpty()
+
+
+def test_running_values_and_ranks_over_partitions(spark):
+    rnd = random.Random(1)
+    rows = [(rnd.choice(["a", "a", "a", "b", None]), i, rnd.choice([None, rnd.randint(0, 99)])) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, at long, v long").repartition(6)
+    got = scans.running(df, ["k"], [F.col("at")], {"hi": (F.max, "v"), "lo": (F.min, "v"), "sum": (F.sum, "v")}, Workspace(spark, "t")  , "r").collect()
+    so_far = {}
+    want = set()
+    for k, at, v in sorted(rows, key=lambda r: r[1]):
+        seen = so_far.setdefault(k, [])
+        if v is not None:
+            seen.append(v)
+        want.add((k, at, v, max(seen, default=None), min(seen, default=None), sum(seen) if seen else None))
+    assert {tuple(r) for r in got} == want and len(got) == 2000
+    ranked = scans.rank(df, [F.col("k").desc_nulls_last(), F.col("at")], Workspace(spark, "t"), "r").collect()
+    order = sorted(rows, key=lambda r: ({"b": 0, "a": 1, None: 2}[r[0]], r[1]))
+    assert {(r["k"], r["at"]): r["rank"] for r in ranked} == {(k, at): i for i, (k, at, _) in enumerate(order)}
+
+
 def test_throttle_stream_equals_batch(spark, tmp_path):
     frames = view(spark, SF, "frames")
     frames.repartition(1).write.parquet(f"file://{tmp_path}/in")
@@ -221,7 +256,7 @@ def test_throttle_stream_equals_batch(spark, tmp_path):
     q = T.throttle_stream(stream, 3600.0).writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start()
     q.awaitTermination(180)
     got = spark.read.parquet(f"file://{tmp_path}/out")
-    want = H.throttle_frames(frames, 3600.0)
+    want = H.throttle_frames(frames, 3600.0, Workspace(spark, "t"))
     assert sorted(r.event_id for r in got.collect()) == sorted(r.event_id for r in want.collect())
 
 
