@@ -324,14 +324,40 @@ def measure_regions(df: DataFrame, rois: DataFrame, layers: DataFrame, layer: st
     return found.join(numbered_layers(layers, keys), [*keys, layer]).select("roi_id", *keys, "layer_index", "z", "area", "mean")
 
 
-def crop_masked_stack(df: DataFrame, regions: DataFrame, layer: str, value: str = "val", on: tuple[str, ...] = ()) -> DataFrame:
-    """Bounds of each region (roi_id, layer, x0, y0, x1, y1) over first..last layer; 0 outside its area, and where it has none."""
-    box = regions.groupBy("roi_id").agg(*(F.min(c).alias(f"_{c}") for c in ("x0", "y0")), *(F.max(c).alias(f"_{c}") for c in ("x1", "y1")), F.min(layer).alias("_a"), F.max(layer).alias("_b"))
-    grid = box.withColumn(layer, F.explode(F.sequence("_a", "_b"))).withColumn("x", F.explode(F.sequence(F.col("_x0"), F.col("_x1") - 1))).withColumn("y", F.explode(F.sequence(F.col("_y0"), F.col("_y1") - 1)))
-    own = regions.select("roi_id", layer, "x0", "y0", "x1", "y1")
-    inside = F.expr("x0 is not null and x >= x0 and x < x1 and y >= y0 and y < y1")
-    cut = grid.join(own, ["roi_id", layer], "left").join(df, [*on, layer, "x", "y"], "left")
-    return cut.select("roi_id", layer, "x", "y", F.when(inside, F.coalesce(value, F.lit(0))).otherwise(0).alias(value))
+def area_spans(areas: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, y, x0, x1): the horizontal spans x0 <= x < x1 of pixels whose centres lie in an area (keys, rings).
+
+    ``rings`` are closed polygons of (x, y), several pieces and holes among them, by the even-odd rule:
+    each row of an area crosses its edges at sorted places, which are taken two by two.
+    """
+    lo, hi = (F.expr(f"array_{f}(transform(flatten(rings), v -> v.y))") for f in ("min", "max"))
+    rows = areas.withColumn("_edges", F.expr("flatten(transform(rings, r -> zip_with(r, concat(slice(r, 2, greatest(size(r) - 1, 0)), slice(r, 1, 1)), (a, b) -> struct(a.x as ax, a.y as ay, b.x as bx, b.y as by))))"))
+    rows = rows.select(*keys, "_edges", F.explode(F.sequence(F.floor(lo).cast("int"), F.floor(hi).cast("int"))).alias("y"))
+    py = "(y + 0.5)"
+    crossings = f"array_sort(transform(filter(_edges, e -> (e.ay > {py}) != (e.by > {py})), e -> (e.bx - e.ax) * ({py} - e.ay) / (e.by - e.ay) + e.ax))"
+    pairs = rows.select(*keys, "y", F.expr(crossings).alias("_x")).filter(F.size("_x") > 0)
+    cut = "transform(sequence(0, size(_x) div 2 - 1), i -> struct(cast(ceil(_x[2 * i] - 0.5) as int) as x0, cast(ceil(_x[2 * i + 1] - 0.5) as int) as x1))"
+    spans = pairs.select(*keys, "y", F.explode(F.expr(f"filter({cut}, s -> s.x0 < s.x1)")).alias("s"))
+    return spans.select(*keys, "y", "s.x0", "s.x1")
+
+
+def crop_masked_stack(df: DataFrame, areas: DataFrame, layer: str, value: str = "val", on: tuple[str, ...] = ()) -> DataFrame:
+    """(roi_id, layer, x, y, value): the bounds of each region over its first to last layer; 0 outside its area, and on layers where it has none.
+
+    ``areas`` (roi_id, layer, rings, on) has a row for each layer that a region is on; the area is laid
+    out as spans, which meet the pixels of their row.  A pixel under the area that the image lacks is 0.
+    """
+    side = lambda f, n: F.expr(f"array_{f}(transform(flatten(rings), v -> v.{n}))")
+    least = {f"_{n}0": F.floor(F.min(side("min", n))).cast("int") for n in "xy"}
+    most = {f"_{n}1": F.ceil(F.max(side("max", n))).cast("int") for n in "xy"}
+    box = areas.groupBy("roi_id").agg(*(v.alias(c) for c, v in {**least, **most}.items()), F.min(layer).alias("_a"), F.max(layer).alias("_b"))
+    grid = box.withColumn(layer, F.explode(F.sequence("_a", "_b")))
+    for n in "xy":
+        grid = grid.filter(f"_{n}0 < _{n}1").withColumn(n, F.explode(F.sequence(F.col(f"_{n}0"), F.col(f"_{n}1") - 1)))
+    keys = list(dict.fromkeys(["roi_id", layer, *on]))
+    spans = area_spans(areas.select(*keys, "rings"), keys)
+    inside = df.join(spans, list(dict.fromkeys([*on, layer, "y"]))).filter("x >= x0 and x < x1").select("roi_id", layer, "x", "y", value)
+    return grid.select("roi_id", layer, "x", "y").join(inside, ["roi_id", layer, "x", "y"], "left").withColumn(value, F.coalesce(value, F.lit(0)))
 
 
 def dimension_census(images: DataFrame) -> DataFrame:

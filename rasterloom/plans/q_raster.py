@@ -202,15 +202,28 @@ def outline_profile(spark, d):
     return R.outline_profile(_px(spark, d), _polygons(spark, d), ["image_id"], on=("image_id",))
 
 
-@query(duck("""with l as (select roi_id // 10 as roi, roi_id % 10 + 1 as t, x0, y0, x1, y1 from rois where (roi_id // 10) % 3 <> 0 or roi_id % 10 <> 4),
-bx as (select roi, min(x0) a, min(y0) b, max(x1) c, max(y1) e, min(t) t0, max(t) t1 from l group by roi),
-g as (select roi, unnest(range(t0, t1 + 1)) t, a, b, c, e from bx), gx as (select roi, t, b, e, unnest(range(a, c)) x from g), gy as (select roi, t, x, unnest(range(b, e)) y from gx)
-select gy.roi as roi_id, gy.t as layer, cast(gy.x as int) x, cast(gy.y as int) y, cast(case when l.x0 is not null and gy.x >= l.x0 and gy.x < l.x1 and gy.y >= l.y0 and gy.y < l.y1 then coalesce(val, 0) else 0 end as int) val
-from gy left join l on l.roi = gy.roi and l.t = gy.t left join stack s on s.stack_id = gy.roi and s.t = gy.t and s.x = gy.x and s.y = gy.y""", "px", "stack", "rois"))
+#: Rings of an area: a rectangle, a diamond that is a hole in it, and a triangle that overlaps it and leaves the image.
+_RINGS = [
+    [("x0", "y0"), ("x0 + 5", "y0"), ("x0 + 5", "y0 + 6"), ("x0", "y0 + 6")],
+    [("x0 + 2.5", "y0 + 1.2"), ("x0 + 4.1", "y0 + 3.1"), ("x0 + 2.5", "y0 + 4.9"), ("x0 + 0.8", "y0 + 3.1")],
+    [("x0 + 3", "y0 + 4.2"), ("x0 + 7.3", "y0 + 5.1"), ("x0 + 4.1", "y0 + 8.7")],
+]
+_AREA_EDGES = ", ".join(f"({r}, {a[0]}, {a[1]}, {b[0]}, {b[1]})" for r, ring in enumerate(_RINGS) for a, b in zip(ring, ring[1:] + ring[:1], strict=True)).replace("x0", "x0::double").replace("y0", "y0::double")
+
+
+@query(duck(f"""with l as (select roi_id // 10 as roi, roi_id % 10 + 1 as t, x0, y0 from rois where (roi_id // 10) % 3 <> 0 or roi_id % 10 <> 4),
+e as (select roi, t, v.ax, v.ay, v.bx, v.by_ from l, lateral (values {_AREA_EDGES}) v(ring, ax, ay, bx, by_)),
+bx as (select roi, floor(min(ax)) a, floor(min(ay)) b, ceil(max(ax)) c, ceil(max(ay)) d, min(t) t0, max(t) t1 from e group by roi),
+g as (select roi, unnest(range(t0, t1 + 1)) t, a, b, c, d from bx), gx as (select roi, t, b, d, unnest(range(cast(a as bigint), cast(c as bigint))) x from g), gy as (select roi, t, x, unnest(range(cast(b as bigint), cast(d as bigint))) y from gx),
+i as (select gy.roi, gy.t, gy.x, gy.y from gy join e on e.roi = gy.roi and e.t = gy.t and (ay > gy.y + 0.5::double) <> (by_ > gy.y + 0.5::double) and (bx - ax) * ((gy.y + 0.5::double) - ay) / (by_ - ay) + ax > gy.x + 0.5::double group by all having count(*) % 2 = 1)
+select gy.roi as roi_id, gy.t as layer, cast(gy.x as int) x, cast(gy.y as int) y, cast(case when i.x is not null then coalesce(val, 0) else 0 end as int) val
+from gy left join i on i.roi = gy.roi and i.t = gy.t and i.x = gy.x and i.y = gy.y left join stack s on s.stack_id = gy.roi and s.t = gy.t and s.x = gy.x and s.y = gy.y""", "px", "stack", "rois"))
 def crop_masked_stack(spark, d):
-    regions = _rois(spark, d).select(F.expr("roi_id div 10").alias("roi_id"), (F.col("roi_id") % 10 + 1).alias("layer"), "x0", "y0", "x1", "y1").filter("roi_id % 3 <> 0 or layer <> 5")
+    v = lambda x, y: F.struct(F.expr(f"cast({x} as double)").alias("x"), F.expr(f"cast({y} as double)").alias("y"))
+    rings = F.array(*(F.array(*(v(x.replace("x0", "cast(x0 as double)"), y.replace("y0", "cast(y0 as double)")) for x, y in ring)) for ring in _RINGS))
+    areas = _rois(spark, d).select(F.expr("roi_id div 10").alias("roi_id"), (F.col("roi_id") % 10 + 1).alias("layer"), rings.alias("rings")).filter("roi_id % 3 <> 0 or layer <> 5")
     stack = view(spark, d, "stack").select(F.col("stack_id").alias("roi_id"), F.col("t").cast("long").alias("layer"), "x", "y", "val")
-    return R.crop_masked_stack(stack, regions, "layer", on=("roi_id",))
+    return R.crop_masked_stack(stack, areas, "layer", on=("roi_id",))
 
 
 def _mask(spark, d):

@@ -315,3 +315,33 @@ def test_hull_of_a_few_points(spark):
     pts = [(1, x, y) for x, y in ((0, 0), (4, 0), (2, 0), (4, 3), (0, 3), (2, 2), (2, 5), (4, 3))] + [(2, 7, 7)]
     got = R.convex_hull(spark.createDataFrame(pts, "image_id long, x int, y int"), "image_id").orderBy("image_id", "seq").select("image_id", "seq", "x", "y")
     assert [tuple(r) for r in got.collect()] == [(1, 0, 0, 0), (1, 1, 4, 0), (1, 2, 4, 3), (1, 3, 2, 5), (1, 4, 0, 3), (2, 0, 7, 7)]
+
+
+def test_area_spans_of_pieces_and_holes(spark):
+    rnd = random.Random(5)
+    ring = lambda n: [(rnd.uniform(-3, 20), rnd.uniform(-3, 15)) for _ in range(n)]
+    areas = {k: [ring(rnd.randint(3, 7)) for _ in range(rnd.randint(1, 4))] for k in range(12)}
+    areas[12] = [[(0.0, 0.0), (6.0, 0.0), (6.0, 6.0), (0.0, 6.0)], [(2.0, 2.0), (4.0, 2.0), (4.0, 4.0), (2.0, 4.0)], [(9.0, 1.0), (10.0, 1.0), (10.0, 2.0), (9.0, 2.0)]]
+    areas[13] = [[(0.2, 0.2), (0.4, 0.2), (0.4, 0.4)], []]  # holds no pixel's centre
+    want = set()
+    for k, rings in areas.items():
+        for x in range(-5, 25):
+            for y in range(-5, 20):
+                n = 0
+                for r in rings:
+                    for (ax, ay), (bx, by) in zip(r, r[1:] + r[:1], strict=True):
+                        n += (ay > y + 0.5) != (by > y + 0.5) and x + 0.5 < (bx - ax) * (y + 0.5 - ay) / (by - ay) + ax
+                if n % 2:
+                    want.add((k, x, y))
+    df = spark.createDataFrame(list(areas.items()), "roi_id int, rings array<array<struct<x: double, y: double>>>")
+    got = [(r.roi_id, x, r.y) for r in R.area_spans(df, ["roi_id"]).collect() for x in range(r.x0, r.x1)]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_cropped_stack_has_blank_layers_and_zeros_outside(spark):
+    stack = spark.createDataFrame([(t, x, y, 100 * t + 10 * x + y) for t in (1, 2, 3) for x in range(4) for y in range(4)], "layer int, x int, y int, val int")
+    square = [[(1.0, 1.0), (3.0, 1.0), (3.0, 3.0), (1.0, 3.0)]]
+    areas = spark.createDataFrame([(5, 1, square), (5, 3, [square[0], [(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 2.0)]])], "roi_id int, layer int, rings array<array<struct<x: double, y: double>>>")
+    got = {(r.layer, r.x, r.y): r.val for r in R.crop_masked_stack(stack, areas, "layer").collect()}
+    full = {(t, x, y): 100 * t + 10 * x + y for t in (1, 2, 3) for x in (1, 2) for y in (1, 2)}
+    assert got == {k: 0 if k[0] == 2 or k == (3, 1, 1) else v for k, v in full.items()}
