@@ -107,13 +107,3 @@ def frame_limit(frames: DataFrame, n: int, seconds: float, key: str = "user_id")
     w = Window.partitionBy(key).orderBy("ts", "event_id")
     out = frames.withColumn("_i", F.row_number().over(w)).withColumn("_s", (F.unix_micros("ts") - F.min(F.unix_micros("ts")).over(Window.partitionBy(key))) / 1e6)
     return out.filter(((F.lit(n) == 0) | (F.col("_i") <= n)) & ((F.lit(seconds) == 0) | (F.col("_s") <= seconds))).drop("_i", "_s")
-
-
-def throttle(times: list[int], last: int | None, interval: int) -> tuple[list[bool], int | None]:
-    """Which of the sorted times are kept: each at least ``interval`` after the last kept one."""
-    kept = []
-    for t in times:
-        ok = last is None or t - last >= interval
-        kept.append(ok)
-        last = t if ok else last
-    return kept, last

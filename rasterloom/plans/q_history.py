@@ -107,10 +107,22 @@ def throttle_frames(spark, d):
     return H.throttle_frames(view(spark, d, "frames"), 3600.0, Workspace(spark, "throttle"))
 
 
-@query(duck("select user_id, event_id from frames where event_id not in (select event_id from frames where event_id % 3 = 0)", "frames"))
+#: Feeds of lines, newest first: a headline stands above each run of changes.
+_LINES = "select user_id % 20 feed, -event_id line_no, event_id, case when event_id % 8 = 7 then concat('Day ', cast(floor(event_id / 200) as bigint)) else concat('\t', event_id, ' by user', user_id, ' ') end line from events"
+_OLD = "(select max(event_id) from events) * (feed % 3 + 1) / 4"
+
+
+@query(f"""with l as ({_LINES.replace("/ 200", "/ 200.0")}), n as (select feed, line_no, trim(line, chr(9) || ' ') t, row_number() over (partition by feed order by line_no) i from l),
+o as (select feed, trim(line, chr(9) || ' ') t, row_number() over (partition by feed order by line_no) i from l where event_id <= {_OLD} and feed % 5 <> 0),
+s as (select feed, max(t) filter (i = 1) a, max(t) filter (i = 2) b from o group by feed), h as (select feed, max(t) filter (i = 1) a, max(t) filter (i = 2) b from n group by feed),
+c as (select h.feed, case when h.a = s.a then s.b else s.a end stop, h.a = s.a and h.b is not distinct from s.b seen from h join s using (feed)),
+k as (select c.feed, seen, min(line_no) filter (t = stop) at_line from c join n using (feed) group by all)
+select l.feed, l.line_no, l.line from l left join k using (feed) where not coalesce(seen, false) and (at_line is null or l.line_no < at_line)""")
 def new_changes(spark, d):
-    feed = view(spark, d, "frames").select("user_id", "event_id")
-    return T.new_changes(feed, feed.filter("event_id % 3 = 0"), ["event_id"])
+    events = view(spark, d, "events")
+    lines = spark.sql(_LINES.replace("from events", "from {events}"), events=events)
+    old = lines.crossJoin(F.broadcast(events.agg(F.max("event_id").alias("last")))).filter("event_id <= last * (feed % 3 + 1) / 4 and feed % 5 <> 0")  # one row
+    return T.new_changes(lines.select("feed", "line_no", "line"), T.markers(old))
 
 
 @query(duck(PROFILES.format(key="", image="(select x, y, val from px where image_id = 0)", on="", none=""), "px", "rois"))

@@ -43,6 +43,24 @@ class Workspace:
 
     def drop(self, name: str = "") -> None:
         """Removes one table, or everything; nothing may read it afterwards."""
-        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-        path.getFileSystem(conf).delete(path, True)
+        remove(self.spark, f"{self.path}/{name}" if name else self.path)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(conf), at
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    store, at = _hadoop(spark, path)
+    store.delete(at, True)
+
+
+def finished(spark: SparkSession, path: str) -> list[str]:
+    """Names of the tables under a folder whose writing ended well, sorted."""
+    store, at = _hadoop(spark, path)
+    if not store.exists(at):
+        return []
+    found = [f.getPath() for f in store.listStatus(at) if f.isDirectory()]
+    return sorted(p.getName() for p in found if store.exists(p.suffix("/_SUCCESS")))

@@ -212,7 +212,7 @@ def test_raw_files_are_read_by_byte_ranges(spark, tmp_path):
 
 
 def test_throttle_keeps_the_first(spark):
-    assert [t for t, k in zip((0, 1, 2, 3, 5, 9), H.throttle([0, 1, 2, 3, 5, 9], None, 2)[0], strict=True) if k] == [0, 2, 5, 9]
+    assert [t for t, k in zip((0, 1, 2, 3, 5, 9), T.throttle([0, 1, 2, 3, 5, 9], None, 2)[0], strict=True) if k] == [0, 2, 5, 9]
 
 
 @pytest.mark.parametrize("seconds", [0.0, 0.5, 7.0, 400.0])
@@ -260,14 +260,48 @@ def test_throttle_stream_equals_batch(spark, tmp_path):
     assert sorted(r.event_id for r in got.collect()) == sorted(r.event_id for r in want.collect())
 
 
-def test_change_stream_emits_once(spark, tmp_path):
+def test_change_stream_emits_once_and_again_after_a_new_checkpoint(spark, tmp_path):
     feed = view(spark, SF, "frames").select("user_id", "event_id")
-    feed.repartition(1).write.parquet(f"file://{tmp_path}/in")
-    seen = []
-    stream = spark.readStream.schema(feed.schema).parquet(f"file://{tmp_path}/in")
-    q = T.new_changes_stream(stream, f"file://{tmp_path}/state", ["event_id"], lambda df: seen.append(df.count()), f"file://{tmp_path}/ck")
-    q.awaitTermination(120)
-    assert sum(seen) == feed.count()
+    schema, seen = feed.schema, []
+
+    def run(checkpoint):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+        T.new_changes_stream(stream, f"file://{tmp_path}/state", ["user_id"], "event_id", lambda df: seen.extend(r.event_id for r in df.collect()), f"file://{tmp_path}/{checkpoint}").awaitTermination(120)
+
+    for lo in range(0, 4):
+        feed.filter(F.expr(f"event_id div 150 = {lo}")).repartition(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    run("ck")
+    want = sorted(r.event_id for r in feed.filter("event_id < 600").collect())
+    assert sorted(seen) == want
+    run("other")  # reads all from the start
+    assert sorted(seen) == want
+    store = T.MarkerStore(spark, f"file://{tmp_path}/state", ["user_id"], "event_id", compact_after=2)
+    before = sorted(map(tuple, store.read(schema).collect()))
+    feed.filter("event_id >= 600").unionByName(feed.filter("event_id >= 600")).repartition(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    run("other")
+    assert sorted(seen) == sorted(r.event_id for r in feed.collect())
+    for k in range(4):  # marks are merged, and stay
+        store.advance(spark.createDataFrame([(-1, k)], schema))
+    assert len(list((tmp_path / "state").glob("marks-*"))) <= 3
+    after = {r.user_id: r._mark for r in store.read(schema).collect()}
+    assert after.pop(-1) == 3 and all(after[u] >= m for u, m in before) and after == {r.user_id: r.m for r in feed.groupBy("user_id").agg(F.max("event_id").alias("m")).collect()}
+
+
+def test_new_changes_by_the_two_line_marker(spark):
+    feeds = {
+        "day goes on": (["Day 2", "c", "b", "Day 1", "a"], ("Day 2", "b"), 2),
+        "nothing new": (["Day 2", " b ", "a"], ("Day 2", "b"), 0),
+        "next day": (["Day 3", "d", "Day 2", "b"], ("Day 2", "b"), 2),
+        "marker gone": (["Day 9", "z", "y"], ("Day 2", "b"), 3),
+        "first run": (["Day 1", "a"], None, 2),
+        "one line": (["Day 1"], ("Day 1", None), 0),
+    }
+    lines = spark.createDataFrame([(f, i, x) for f, (text, _, _) in feeds.items() for i, x in enumerate(text)], "feed string, line_no int, line string")
+    stored = spark.createDataFrame([(f, *m) for f, (_, m, _) in feeds.items() if m], "feed string, first string, second string")
+    got = [tuple(r) for r in T.new_changes(lines, stored).collect()]
+    assert sorted(got) == sorted((f, i, x) for f, (text, _, n) in feeds.items() for i, x in enumerate(text[:n]))
+    again = T.new_changes(lines, T.markers(lines))
+    assert again.isEmpty()
 
 
 def test_results_table_keeps_rows_that_equal_the_header(spark, tmp_path):
