@@ -7,9 +7,12 @@ broadcast; images are never on the broadcast side unless the optimizer finds the
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,6 +120,26 @@ def resize(df: DataFrame, w: int, h: int, new_w: int, new_h: int, keys: list[str
     return df.withColumn("_x", F.explode(near("x", w, new_w))).withColumn("_y", F.explode(near("y", h, new_h))).select(*keys, F.col("_x").alias("x"), F.col("_y").alias("y"), value)
 
 
+def resample(df: DataFrame, sizes: DataFrame, keys: list[str], mode: str = "nearest", value: str = "val") -> DataFrame:
+    """Pixels of images of many sizes, each to its own new size (keys, width, height, width_px, height_px).
+
+    ``nearest`` takes pixel floor((x + 0.5) * w / new_w); ``average`` does so where an axis grows, and
+    takes the mean of the pixels that fall in a new one where it shrinks.
+    """
+    both = df.join(sizes.select(*keys, "width", "height", "width_px", "height_px"), keys)
+    for axis, old, new in (("x", "width", "width_px"), ("y", "height", "height_px")):
+        a, w, n = F.col(axis), F.col(old), F.col(new)
+        # the new places X with floor((X + 0.5) * w / n) = a, which is a * n <= (X + 0.5) * w < (a + 1) * n
+        least, beyond = (F.ceil(k * n / w - 0.5) for k in (a, a + 1))
+        taken = F.filter(F.sequence(least - 1, beyond + 1), lambda k: (k >= 0) & (k < n) & (F.floor((k + 0.5) * w / n) == a))  # noqa: B023
+        if mode == "average":
+            taken = F.when(n < w, F.array(F.floor(a * n / w))).otherwise(taken)
+        both = both.withColumn(axis, F.explode(taken)).withColumn(axis, F.col(axis).cast("int"))
+    if mode == "average":
+        return both.groupBy(*keys, "x", "y").agg(F.round(F.avg(value), 6).alias(value))
+    return both.select(*keys, "x", "y", value)
+
+
 def downsample(df: DataFrame, w: int, h: int, new_w: int, new_h: int, keys: list[str], s0: float = 0.5, s1: float = 0.5, value: str = "val") -> DataFrame:
     """Blur by sqrt((s1 W / w)^2 - s0^2), then the nearest pixels; larger sizes are refused."""
     if new_w > w or new_h > h:
@@ -205,6 +228,73 @@ def outline_profile(df: DataFrame, rois: DataFrame, keys: list[str], value: str
     return points.join(df, [*on, "x", "y"]).select(*keys, "roi_id", "edge", "i", value)
 
 
+def spline(x: np.ndarray, y: np.ndarray, step: float = 1.0, fine: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Points at steps of equal arc length, ``step`` or a little less, on the closed interpolating cubic spline through the vertices.
+
+    The spline is periodic in the number of the vertex, with continuous second derivatives; its
+    length is measured on ``fine`` chords a vertex and pixel of its edge.
+    """
+    n = len(x)
+    if n < 3:
+        return x.astype(float), y.astype(float)
+    # second derivatives m: m[i-1] + 4 m[i] + m[i+1] = 6 (v[i-1] - 2 v[i] + v[i+1]), cyclic, solved by its Fourier series
+    weight = 4 + 2 * np.cos(2 * np.pi * np.arange(n) / n)
+    edges = np.hypot(np.roll(x, -1) - x, np.roll(y, -1) - y)
+    parts = np.maximum(1, np.ceil(edges)).astype(int) * fine
+    at = np.repeat(np.arange(n), parts)
+    t = (np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)) / np.repeat(parts, parts)
+
+    def curve(v: np.ndarray) -> np.ndarray:
+        m = np.fft.ifft(np.fft.fft(6 * (np.roll(v, 1) - 2 * v + np.roll(v, -1))) / weight).real
+        a, b, c, d = v[at], np.roll(v, -1)[at], m[at], np.roll(m, -1)[at]
+        return a * (1 - t) + b * t + ((1 - t) ** 3 - (1 - t)) * c / 6 + (t**3 - t) * d / 6
+
+    cx, cy = (np.append(c, c[0]) for c in (curve(x.astype(float)), curve(y.astype(float))))
+    length = np.concatenate([[0.0], np.cumsum(np.hypot(np.diff(cx), np.diff(cy)))])
+    n_steps = max(1, math.ceil(length[-1] / step - 1e-9))
+    places = length[-1] * np.arange(n_steps) / n_steps
+    return np.interp(places, length, cx), np.interp(places, length, cy)
+
+
+def spline_points(rois: DataFrame, on: tuple[str, ...] = (), step: float = 1.0) -> DataFrame:
+    """(roi_id, on, i, px, py): points along the closed spline through each polygon (roi_id, verts, on)."""
+    kinds = dict(rois.dtypes)
+    names = ["roi_id", *on]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            verts = batch.column("verts")
+            flat, sizes = verts.flatten(), pc.fill_null(verts.value_lengths(), 0).to_numpy(zero_copy_only=False)
+            x, y = (flat.field(n).to_numpy(zero_copy_only=False) for n in "xy")
+            ends = np.cumsum(sizes)
+            found = [spline(x[e - n : e], y[e - n : e], step) for e, n in zip(ends, sizes, strict=True)]
+            counts = [len(p[0]) for p in found]
+            at = pa.array(np.repeat(np.arange(len(found)), counts))
+            i = np.concatenate([np.arange(c) for c in counts] or [np.zeros(0, int)]).astype(np.int32)
+            px, py = (np.concatenate([p[k] for p in found] or [np.zeros(0)]) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in names), pa.array(i), pa.array(px, pa.float64()), pa.array(py, pa.float64())], [*names, "i", "px", "py"])
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "i int, px double, py double"])
+    return rois.select(*names, "verts").mapInArrow(run, schema)
+
+
+def spline_profile(df: DataFrame, rois: DataFrame, keys: list[str], value: str = "val", on: tuple[str, ...] = (), step: float = 1.0) -> DataFrame:
+    """The profile along the closed spline through each polygon (roi_id, verts); ``on`` as in mask_polygon.
+
+    A point takes the pixel nearest to it; a polygon of less than three vertices gives those, one without any gives nothing.
+    """
+    near = lambda c: S.half_up(F.round(F.col(c), 6)).alias(c[1])
+    points = spline_points(rois, on, step).select("roi_id", *on, "i", near("px"), near("py"))
+    return points.join(df, [*on, "x", "y"]).select(*keys, "roi_id", "i", value)
+
+
+def profile_limits(profiles: DataFrame, keys: list[str], value: str = "val") -> DataFrame:
+    """(keys, x_min, x_max, y_min, y_max) to display each profile (keys, i, value) in: 0 to its number of values, least to greatest; 0 to 1 for an empty one."""
+    empty = F.count("i") == 0
+    one = lambda v, other: F.when(empty, F.lit(other)).otherwise(v)
+    return profiles.groupBy(*keys).agg(F.lit(0).alias("x_min"), one(F.count("i"), 1).alias("x_max"), one(F.min(value), 0.0).alias("y_min"), one(F.max(value), 1.0).alias("y_max"))
+
+
 #: Kinds of regions that are profiled along their vertices.
 LINE_KINDS = ("line", "polyline", "freeline")
 
@@ -250,29 +340,42 @@ def measure_particles(labelled: DataFrame, keys: list[str], w: int, h: int, excl
     return out.select(*keys, "label", F.col("_s.x").alias("x_start"), F.col("_s.y").alias("y_start"), "area", "min_x", "min_y", "max_x", "max_y")
 
 
-def convex_hull(points: DataFrame, key: str) -> DataFrame:
+#: Rows of points that one task turns to a partial hull.
+HULL_ROWS = 4096
+
+
+def _hull(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """The hull from the lowest y (then x) on, anticlockwise, without collinear points."""
+    pts = sorted(set(zip(x.tolist(), y.tolist(), strict=True)), key=lambda p: (p[1], p[0]))
+
+    def half(seq: list) -> list:
+        out: list = []
+        for p in seq:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out
+
+    return half(pts)[:-1] + half(pts[::-1])[:-1] if len(pts) > 1 else pts
+
+
+def convex_hull(points: DataFrame, key: str, rows: int = HULL_ROWS) -> DataFrame:
     """(key, seq, x, y) of the hull, from the lowest y (then x) on, anticlockwise in x-y; collinear points are left out.
 
-    Only the ends of each row of points can be on the hull, so rows are cut to those before grouping.
+    Only the ends of each row of points can be on the hull, so rows are cut to those; bands of
+    ``rows`` rows give partial hulls, and the hull of an object is that of its bands' hulls, so a
+    large object is many tasks.
     """
     ends = points.groupBy(key, "y").agg(F.min("x").alias("a"), F.max("x").alias("b"))
-    ends = ends.select(key, "y", F.explode(F.array("a", "b")).alias("x")).distinct()
-
-    def hull(pdf: pd.DataFrame) -> pd.DataFrame:
-        pts = sorted(zip(pdf["x"].tolist(), pdf["y"].tolist(), strict=True), key=lambda p: (p[1], p[0]))
-
-        def half(seq: list) -> list:
-            out: list = []
-            for p in seq:
-                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
-                    out.pop()
-                out.append(p)
-            return out
+    ends = ends.select(key, F.floor(F.col("y") / rows).alias("_band"), "y", F.explode(F.array_distinct(F.array("a", "b"))).alias("x"))
 
-        ring = half(pts)[:-1] + half(pts[::-1])[:-1] if len(pts) > 1 else pts
-        return pd.DataFrame({key: pdf[key].iloc[0], "seq": range(len(ring)), "x": [p[0] for p in ring], "y": [p[1] for p in ring]})
+    def hull(group: tuple[pa.Scalar, ...], got: pa.Table) -> pa.Table:
+        ring = _hull(got["x"].to_numpy(), got["y"].to_numpy())
+        n = len(ring)
+        return pa.table({key: got[key].take(pa.array([0] * n, pa.int64())), "seq": pa.array(range(n), pa.int32()), "x": pa.array([p[0] for p in ring], pa.int32()), "y": pa.array([p[1] for p in ring], pa.int32())})
 
-    return ends.groupBy(key).applyInPandas(hull, f"{key} {dict(points.dtypes)[key]}, seq int, x int, y int")
+    schema = f"`{key}` {dict(points.dtypes)[key]}, seq int, x int, y int"
+    return ends.groupBy(key, "_band").applyInArrow(hull, schema).groupBy(key).applyInArrow(hull, schema)
 
 
 # --- projections

@@ -30,9 +30,18 @@ def shadowed_classes(archives: DataFrame) -> DataFrame:
 
 
 def archives_with_entry(archives: DataFrame, names: DataFrame) -> DataFrame:
-    """Pairs where the quoted name stands in the archive's text after its first character; names are few, texts many."""
-    inside = F.expr("""instr(text, concat('"', name, '"')) > 1""")
-    return archives.join(names, inside).select("archive", "name")
+    """Pairs where the quoted name stands in the archive's text after its first character.
+
+    What stands between two quotes of a text is taken out and joined by equality; only names that
+    hold a quote themselves are looked for in the texts.
+    """
+    between = F.slice(F.split("text", '"', -1), 2, F.greatest(F.size(F.split("text", '"', -1)) - 2, F.lit(0)))
+    # a name that is found at the very start is not looked for further on
+    quoted = F.when(F.col("text").startswith('"'), F.expr("filter(_q, q -> q <> _q[0])")).otherwise(F.col("_q"))
+    found = archives.withColumn("_q", between).select("archive", F.explode(F.array_distinct(quoted)).alias("name"))
+    plain = found.join(names.filter(~F.col("name").contains('"')), "name").select("archive", "name")
+    odd = archives.join(names.filter(F.col("name").contains('"')), F.expr("""instr(text, concat('"', name, '"')) > 1"""))
+    return plain.unionByName(odd.select("archive", "name"))
 
 
 def direct_dependencies(files: DataFrame, edges: DataFrame) -> DataFrame:

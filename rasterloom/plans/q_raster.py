@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from ..operators import pixels as P
 from ..operators import raster as R
 from ..operators import tiles as TL
 from ..workspace import Workspace
@@ -261,9 +262,33 @@ def flood_fill(spark, d):
     return R.flood_fill(quartered, ["image_id"], 4, 4, 9, Workspace(spark, "fill"), 8).select("image_id", "x", "y", "val")
 
 
-@query()
+#: A directed edge of the hull has no point on its right, and those on its line between its ends.
+@query(duck("""with e as (select a.image_id, a.x, a.y, b.x bx, b.y by_ from points a join points b on a.image_id = b.image_id and (a.x <> b.x or a.y <> b.y)
+ where not exists (select 1 from points c where c.image_id = a.image_id and ((b.x-a.x)*(c.y-a.y) - (b.y-a.y)*(c.x-a.x) < 0
+  or (b.x-a.x)*(c.y-a.y) - (b.y-a.y)*(c.x-a.x) = 0 and ((c.x-a.x)*(b.x-a.x) + (c.y-a.y)*(b.y-a.y) < 0 or (c.x-a.x)*(b.x-a.x) + (c.y-a.y)*(b.y-a.y) > (b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y))))),
+t as (select *, case when atan2(by_ - y, bx - x) < 0 then atan2(by_ - y, bx - x) + 2 * pi() else atan2(by_ - y, bx - x) end turn from e),
+single as (select image_id, min(x) x, min(y) y from points group by image_id having count(*) = 1)
+select image_id, cast(row_number() over (partition by image_id order by turn) - 1 as int) seq, x, y from t union all select image_id, 0, x, y from single""", "points"))
 def convex_hull(spark, d):
-    return R.convex_hull(view(spark, d, "points"), "image_id")
+    return R.convex_hull(view(spark, d, "points"), "image_id", 3)
+
+
+@query(duck("with p as (" + PROFILES.format(key="u.image_id,", image="px", on="p.image_id = u.image_id and", none="u.image_id,").replace("with s as", "with s as", 1) + ") select image_id, roi_id, 0 x_min, case when count(i) = 0 then 1 else count(i) end x_max, case when count(i) = 0 then 0.0::double else min(val) end y_min, case when count(i) = 0 then 1.0::double else max(val) end y_max from p group by image_id, roi_id", "px", "rois"))
+def profile_limits(spark, d):
+    return R.profile_limits(R.profile(_px(spark, d), profiled_regions(spark, d), ["image_id"], on=("image_id",)), ["image_id", "roi_id"])
+
+
+@query()
+def spline_profile(spark, d):
+    return R.spline_profile(_px(spark, d), _polygons(spark, d), ["image_id"], on=("image_id",))
+
+
+@query(duck("""with n as (select cast(i as int) i, cast(floor((i + 0.5::double) * 8 / 12) as int) s from range(12) q(i)), m as (select cast(i as int) i, cast(i * 5 // 8 as int) t from range(8) q(i))
+select image_id, n.i x, m.t y, round(avg(val), 6) val, 'inch' as unit, round(1.0::double / 6, 6) pixel_width from px join n on n.s = px.x join m on m.i = px.y group by all""", "px"))
+def resample_to_dpi(spark, d):
+    images = _px(spark, d).select("image_id").distinct().withColumns({"width": F.lit(8), "height": F.lit(8)})
+    sized = P.scale_to_dpi(images, 6, 2.0, 5 / 6)
+    return R.resample(_px(spark, d), sized, ["image_id"], "average").join(sized.select("image_id", "unit", "pixel_width"), "image_id")
 
 
 def _turned(sign: str) -> str:

@@ -22,11 +22,11 @@ def shadowed_classes(spark, d):
     return L.shadowed_classes(view(spark, d, "archives"))
 
 
-@query(duck("""with a as (select archive, string_agg(concat('x "', entry, '"'), ';' order by entry) t from archives group by archive), n as (select distinct entry as name from archives where entry like '%a.class') select archive, name from a join n on instr(t, concat('"', name, '"')) > 1""", "archives"))
+@query(duck("""with a as (select archive, string_agg(concat('x "', entry, '"'), ';' order by entry) t from archives group by archive), n as (select distinct entry as name from archives) select archive, name from a join n on instr(t, concat('"', name, '"')) > 1""", "archives"))
 def archives_with_entry(spark, d):
     base = view(spark, d, "archives")
     texts = base.groupBy("archive").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('x "'), "entry", F.lit('"')))), ";").alias("text"))
-    names = base.filter("entry like '%a.class'").select(F.col("entry").alias("name")).distinct()
+    names = base.select(F.col("entry").alias("name")).distinct()
     return L.archives_with_entry(texts, names)
 
 

@@ -27,14 +27,20 @@ def gen_bulls_eye(spark, d):
     return S.gen_bulls_eye(_sizes(spark, d))
 
 
-@query(f"""with {_GRID}, b as (select *, sqrt(dx*dx + dy*dy) * (2 * pi()) / width t, atan2(dy, dx) a from c),
-e as (select *, floor(round(8 + (t - a) * 8 / (2 * pi()), 9)) o, floor(round(128 + (t + a) * 128 / (2 * pi()), 9)) w from b), f as (select *, o - 4 * floor(o / 4) o4, w - 64 * floor(w / 64) w64 from e)
-select image_id, cast(x as int) x, cast(y as int) y, case when w64 % 2 = 0 then case when o4 = 0 then {S.YELLOW} else {S.RED} end else case when o4 = 2 then {S.YELLOW} else {S.GREEN} end end as rgb from f""")
+def _spirals_sql(other: bool) -> str:
+    yellow, red, green, n = (S.OTHER_YELLOW, S.OTHER_RED, S.OTHER_GREEN, S.OTHER_BANDS) if other else (S.YELLOW, S.RED, S.GREEN, S.BANDS)
+    bands = f"select *, floor(round(8 + (t - a) * 8 / (2 * pi()), 9)) o, floor(round({n} + (t + a) * {n} / (2 * pi()), 9)) w from b"
+    colour = f"case when two % 2 = 0 then case when one = 0 then {yellow} else {red} end else case when one = 2 then {yellow} else {green} end end"
+    return f"select image_id, cast(x as int) x, cast(y as int) y, {colour} as rgb, {str(other).lower()} as other from (select *, o - 4 * floor(o / 4) one, w - {n // 2} * floor(w / {n // 2}) two from ({bands}))"
+
+
+@query(f"with {_GRID}, b as (select *, sqrt(dx*dx + dy*dy) * (2 * pi()) / width t, atan2(dy, dx) a from c) {_spirals_sql(False)} union all {_spirals_sql(True)}")
 def gen_spirals(spark, d):
-    return S.gen_spirals(_sizes(spark, d))
+    sizes = _sizes(spark, d)
+    return S.gen_spirals(sizes).withColumn("other", F.lit(False)).unionByName(S.gen_spirals(sizes, other=True).withColumn("other", F.lit(True)))
 
 
-@query()
+@query(f"with {_GRID}, m as (select *, md5(concat_ws(':', 7, image_id, x, y)) h from g) select image_id, cast(x as int) x, cast(y as int) y, ('0x' || substr(h, 1, 2))::int val, ('0x' || substr(h, 3, 8))::bigint / 4294967296.0::double unit from m")
 def gen_noise(spark, d):
     return S.gen_noise(_sizes(spark, d), 7)
 
@@ -49,7 +55,7 @@ def gen_solids(spark, d):
 @query("select p_partkey::double as part, p_size::double as size, p_retailprice as price from part")
 def read_results_table(spark, d):
     at = _spot(spark, "results")
-    S.write_results_table(view(spark, d, "part").select(F.col("p_partkey").alias("part"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price")).coalesce(1), at)
+    S.write_results_table(view(spark, d, "part").select(F.col("p_partkey").alias("part"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price")), at)
     return S.read_results_table(spark, at)
 
 
@@ -79,12 +85,18 @@ def format_lut_text(spark, d):
     return S.format_lut_text(luts.select(F.concat("lut", F.col("p_size").cast("string")).alias("lut"), "idx", "r", ((F.col("g") + F.col("p_size")) % 256).alias("g"), "b"))
 
 
-@query("select source, count(*) > 0 as listed from documents group by source")
+@query("select doc_id || case doc_id % 4 when 0 then '.jpg' when 1 then '.JPEG' else '.lut' end as name, strlen(text) as length, true as recent from documents where doc_id % 4 <> 3")
 def list_files(spark, d):
+    """A file for each document, of four kinds in two folders, three of which are asked for."""
     at = _spot(spark, "listed")
-    view(spark, d, "documents").select("source", "text").repartition("source").write.partitionBy("source").parquet(at)
-    found = S.list_files(spark, at, [".parquet"])
-    return found.groupBy(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source")).agg((F.count("*") > 0).alias("listed"))
+    k = F.col("doc_id") % 4
+    suffix = F.when(k == 0, ".jpg").when(k == 1, ".JPEG").when(k == 2, ".lut").otherwise(".txt")
+    files = view(spark, d, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), suffix).alias("name"), F.lit(0).alias("width"), F.lit(0).alias("height"), F.lit(0).alias("channels"), F.encode("text", "UTF-8").alias("data"))
+    for half in (0, 1):
+        I.write_files(files.filter(F.col("doc_id") % 2 == half).drop("doc_id"), f"{at}/half-{half}", "raw")
+    found = S.list_files(spark, at, [".jpg", ".jpeg", ".lut"])
+    recent = F.col("modificationTime") > F.current_timestamp() - F.expr("interval 1 day")
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", recent.alias("recent"))
 
 
 def _image_folder(spark, d) -> str:
@@ -112,11 +124,11 @@ def batch_convert(spark, d):
     return I.read_folder(spark, at).select("name", "width", "height", "channels", F.hex("data").alias("bytes"))
 
 
-@query(duck("select stack_id, t, x, y, val, cast(t % 3 + 1 as int) tile_w from stack where t % 3 = 1", "stack"))
+@query(duck("select stack_id, t, x, y, val, cast(t % 3 + 1 as int) tile_w from stack", "stack"))
 def write_planes_by_size(spark, d):
     at = _spot(spark, "by-size")
     S.write_planes_by_size(view(spark, d, "stack").withColumn("tile_w", (F.col("t") % 3 + 1).cast("int")), at)
-    return spark.read.parquet(at).filter("tile_w = 2").select("stack_id", "t", "x", "y", "val", "tile_w")
+    return spark.read.parquet(at).select("stack_id", "t", "x", "y", "val", "tile_w")
 
 
 @query(duck("select lower(sha256(cast(sha as varchar))) as sha, author, epoch_us(committed_at) // 1000000 as epoch, concat('change ', sha) subject, concat('lib/', path) path from commits", "commits"))
@@ -186,10 +198,11 @@ def candidate_widths(spark, d):
     return view(spark, d, "documents").select("doc_id", F.explode(S.candidate_widths(F.octet_length("text"))).alias("width"))
 
 
-@query()
+@query("select doc_id, sha256(array_to_string(list_transform(range(strlen(text)), lambda i: chr(('0x' || substr(h, 2 * i + 1, 2))::int)), '')) as text_sha256 from (select doc_id, text, hex(encode(text)) h from documents)")
 def reencode(spark, d):
-    docs = view(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.encode("text", "UTF-8").alias("content"))
-    return S.reencode(docs, "content").select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+    """The bytes of all texts, read as ISO-8859-1: a character for each byte."""
+    docs = view(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    return S.reencode(docs, "content").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 @query()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import math
 
 import pandas as pd
@@ -123,22 +124,30 @@ def gen_bulls_eye(images: DataFrame) -> DataFrame:
     return grid(images).select("image_id", "x", "y", F.shiftleft(v, 16).alias("rgb"))
 
 
-#: Colours of the spirals; fixed values.
+#: Colours and number of bands of the spirals; fixed values.
 YELLOW, RED, GREEN = 150 << 16 | 250 << 8, 240 << 16 | 20 << 8, 70 << 16 | 190 << 8
+BANDS = 8 * 16
+#: The same of the other palette.
+OTHER_YELLOW, OTHER_RED, OTHER_GREEN = 0x0096BE, 0xFA14A0, 0xC8C864
+OTHER_BANDS = 8 * 8
 
 
-def gen_spirals(images: DataFrame, count1: int = 8, count2: int = 128) -> DataFrame:
+def gen_spirals(images: DataFrame, other: bool = False, count: int = 8) -> DataFrame:
+    """Two sets of spiral bands; ``other`` takes the second palette, which has fewer."""
+    yellow, red, green, bands = (OTHER_YELLOW, OTHER_RED, OTHER_GREEN, OTHER_BANDS) if other else (YELLOW, RED, GREEN, BANDS)
     dx, dy = F.col("x") - F.col("width") / 2, F.col("y") - F.col("height") / 2
     turn, angle = F.sqrt(dx * dx + dy * dy) * (2 * math.pi) / F.col("width"), F.atan2(dy, dx)
     band = lambda a, n: F.pmod(F.floor(F.round(n + a * n / (2 * math.pi), 9)), F.lit(n // 2))
-    one, two = band(turn - angle, count1), band(turn + angle, count2)
-    colour = F.when(two % 2 == 0, F.when(one == 0, YELLOW).otherwise(RED)).otherwise(F.when(one == 2, YELLOW).otherwise(GREEN))
+    one, two = band(turn - angle, count), band(turn + angle, bands)
+    colour = F.when(two % 2 == 0, F.when(one == 0, yellow).otherwise(red)).otherwise(F.when(one == 2, yellow).otherwise(green))
     return grid(images).select("image_id", "x", "y", colour.alias("rgb"))
 
 
 def gen_noise(images: DataFrame, seed: int = 0) -> DataFrame:
-    """Uniform bytes that depend on seed and place only, so a recomputed task gives the same."""
-    return grid(images).select("image_id", "x", "y", F.pmod(F.xxhash64(F.lit(seed), "image_id", "x", "y"), F.lit(256)).cast("int").alias("val"))
+    """Uniform bytes (val) and floats below 1 (unit) that depend on seed and place only, so a recomputed task gives the same."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), "image_id", "x", "y").cast("binary"))
+    number = lambda at, n: F.conv(F.substring(digest, at, n), 16, 10).cast("long")
+    return grid(images).select("image_id", "x", "y", number(1, 2).cast("int").alias("val"), (number(3, 8) / float(1 << 32)).alias("unit"))
 
 
 def gen_solids(objects: DataFrame, size: int, shape: str = "octahedron") -> DataFrame:
@@ -168,26 +177,45 @@ def write_planes_by_size(planes: DataFrame, path: str) -> None:
 # --- bytes
 
 
-def reencode(df: DataFrame, content: str, charset: str = "ISO-8859-1") -> DataFrame:
-    return df.withColumn("text", F.decode(content, charset))
+#: Charsets that Spark decodes itself, by the names that Python has for them.
+BUILT_IN = {"ascii": "US-ASCII", "iso8859-1": "ISO-8859-1", "utf-8": "UTF-8", "utf-16-be": "UTF-16BE", "utf-16-le": "UTF-16LE", "utf-16": "UTF-16"}
 
 
-def charset_groups(df: DataFrame, content: str, charsets: list[str]) -> DataFrame:
-    """Charsets whose strict decoding of each content gives the same text, without regex characters; failures are left out."""
+def _decoded(content: Column, charset: str) -> Column:
+    """The text of bytes in any charset, null where they are none; a charset that nobody knows is an error at once."""
+    name = codecs.lookup(charset).name
+    if name == "iso8859-1":
+        return F.decode(content, BUILT_IN[name])
+    if name in ("utf-8", "ascii"):
+        text = F.try_validate_utf8(content.cast("string"))
+        return text if name == "utf-8" else F.when(F.octet_length(text) == F.length(text), text)
 
     @F.pandas_udf("string")
-    def decoded(data: pd.Series, charset: pd.Series) -> pd.Series:
-        def one(b: bytes, c: str) -> str | None:
+    def decode(data: pd.Series) -> pd.Series:
+        def one(b: bytes) -> str | None:
             try:
-                return bytes(b).decode(c)
+                return bytes(b).decode(name)
             except UnicodeDecodeError:
                 return None
 
-        return pd.Series([None if b is None else one(b, c) for b, c in zip(data, charset, strict=True)])
+        return pd.Series([None if b is None else one(b) for b in data], dtype=object)
+
+    return decode(content)
+
 
-    tried = df.withColumn("charset", F.explode(F.array(*map(F.lit, charsets)))).withColumn("text", F.regexp_replace(decoded(content, "charset"), r"[\[\]\\.*^$+?(){}|]", ""))
+def reencode(df: DataFrame, content: str, charset: str = "ISO-8859-1") -> DataFrame:
+    """``text``: all of the bytes as text, or an error where some are no text in the charset; null stays null."""
+    text = _decoded(F.col(content), charset)
+    failed = F.raise_error(F.lit(f"bytes that are not {charset}")).cast("string")
+    return df.withColumn("text", text).withColumn("text", F.when(F.col(content).isNotNull() & F.col("text").isNull(), failed).otherwise(F.col("text")))
+
+
+def charset_groups(df: DataFrame, content: str, charsets: list[str]) -> DataFrame:
+    """Charsets whose strict decoding of each content gives the same text, without regex characters; failures are left out."""
+    tried = F.array(*(F.struct(F.lit(c).alias("charset"), F.sha2(F.regexp_replace(_decoded(F.col(content), c), r"[\[\]\\.*^$+?(){}|]", "").cast("binary"), 256).alias("sha")) for c in charsets))
     key = [c for c in df.columns if c != content]
-    return tried.filter("text is not null").groupBy(*key, F.sha2("text", 256).alias("text_sha256")).agg(F.array_join(F.array_sort(F.collect_list("charset")), ",").alias("charsets"))
+    rows = df.select(*key, F.explode(tried).alias("t")).filter("t.sha is not null")
+    return rows.groupBy(*key, F.col("t.sha").alias("text_sha256")).agg(F.array_join(F.array_sort(F.collect_list("t.charset")), ",").alias("charsets"))
 
 
 def file_checksum(df: DataFrame, content: str) -> DataFrame:

@@ -132,6 +132,14 @@ def new_changes_stream(feed: DataFrame, state_path: str, keys: list[str], order:
     return feed.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Pixels of an image that is broadcast to the events at most.
+LIVE_PIXELS = 4_000_000
+
+
 def live_profile(events: DataFrame, image: DataFrame) -> DataFrame:
-    """The profile of the image for each region event (roi_id, kind, verts), as in ``profile``; a kind that has none gives an empty row.  Works on a stream of events in update mode."""
-    return profile(image, events, [])
+    """The profile of the image for each region event (roi_id, kind, verts), as in ``profile``; a kind that has none gives an empty row.  Works on a stream of events in update mode.
+
+    An image of ``LIVE_PIXELS`` at most is broadcast, so events stay where they are; a larger one is joined by its places.
+    """
+    small = image.limit(LIVE_PIXELS + 1).count() <= LIVE_PIXELS
+    return profile(F.broadcast(image) if small else image, events, [])

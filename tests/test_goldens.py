@@ -1,7 +1,11 @@
 """Hand-computed rasters, algebraic properties, readers, and streams against their batch forms."""
 
+import hashlib
+import math
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -379,3 +383,87 @@ def test_cropped_stack_has_blank_layers_and_zeros_outside(spark):
     got = {(r.layer, r.x, r.y): r.val for r in R.crop_masked_stack(stack, areas, "layer").collect()}
     full = {(t, x, y): 100 * t + 10 * x + y for t in (1, 2, 3) for x in (1, 2) for y in (1, 2)}
     assert got == {k: 0 if k[0] == 2 or k == (3, 1, 1) else v for k, v in full.items()}
+
+
+def test_hull_of_bands_equals_the_hull(spark):
+    rnd = random.Random(9)
+    pts = [(k, int(rnd.gauss(0, 50)), int(rnd.gauss(0, 50))) for k in range(5) for _ in range(400)]
+    df = spark.createDataFrame(pts, "image_id int, x int, y int")
+    one = {(r.image_id, r.seq): (r.x, r.y) for r in R.convex_hull(df, "image_id").collect()}
+    assert one == {(r.image_id, r.seq): (r.x, r.y) for r in R.convex_hull(df, "image_id", 7).collect()}
+    for k in range(5):
+        ring = [one[k, i] for i in range(sum(a == k for a, _ in one))]
+        inside = lambda a, b, p: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+        assert all(inside(a, b, (x, y)) >= 0 for a, b in zip(ring, ring[1:] + ring[:1], strict=True) for i, x, y in pts if i == k)
+        assert set(ring) <= {(x, y) for i, x, y in pts if i == k}
+
+
+def test_closed_spline_passes_its_vertices_at_equal_steps(spark):
+    rnd = np.random.default_rng(3)
+    for n in (3, 4, 9):
+        x, y = rnd.uniform(0, 60, n), rnd.uniform(0, 60, n)
+        a = np.eye(n) * 4 + np.roll(np.eye(n), 1, 0) + np.roll(np.eye(n), -1, 0)  # the cyclic system, solved plainly
+        t = np.linspace(0, 1, 400, endpoint=False)[None, :]
+        dense = []
+        for v in (x, y):
+            m = np.linalg.solve(a, 6 * (np.roll(v, 1) - 2 * v + np.roll(v, -1)))
+            dense.append((v[:, None] * (1 - t) + np.roll(v, -1)[:, None] * t + ((1 - t) ** 3 - (1 - t)) * m[:, None] / 6 + (t**3 - t) * np.roll(m, -1)[:, None] / 6).ravel())
+        px, py = R.spline(x, y)
+        gap = np.hypot(px[:, None] - dense[0][None], py[:, None] - dense[1][None])
+        assert gap.min(axis=1).max() < 0.2  # every point is on the curve
+        assert np.hypot(px[:, None] - x[None], py[:, None] - y[None]).min(axis=0).max() < 0.6  # every vertex is met within half a step
+        closed = np.hypot(np.diff(dense[0], append=dense[0][0]), np.diff(dense[1], append=dense[1][0])).sum()
+        assert len(px) in (math.ceil(closed - 0.1), math.ceil(closed + 0.01))
+        steps = np.hypot(np.diff(px, append=px[0]), np.diff(py, append=py[0]))
+        assert steps.max() <= 1.001 and np.median(steps) > 0.9
+    image = spark.createDataFrame([(x, y, 10 * x + y) for x in range(12) for y in range(12)], "x int, y int, val int")
+    v = [(2.0, 2.0), (8.0, 2.0), (8.0, 8.0), (2.0, 8.0)]
+    rois = spark.createDataFrame([(1, v), (2, []), (3, None), (4, v[:1])], "roi_id int, verts array<struct<x: double, y: double>>")
+    got = {(r.roi_id, r.i): r.val for r in R.spline_profile(image, rois, []).collect()}
+    px, py = R.spline(np.array([p[0] for p in v]), np.array([p[1] for p in v]))
+    half = lambda c: int(math.floor(c + 0.5))
+    assert got == {(1, i): 10 * half(a) + half(b) for i, (a, b) in enumerate(zip(np.round(px, 6), np.round(py, 6), strict=True))} | {(4, 0): 22}
+
+
+@pytest.mark.parametrize("charset", ["cp1252", "shift_jis", "utf-16-le", "koi8-r", "latin-1", "utf-8", "ascii"])
+def test_reencode_reads_all_or_fails(spark, charset):
+    text = {"shift_jis": "\u65e5\u672c x", "koi8-r": "\u043f\u0440", "ascii": "plain", "latin-1": "\u00e9\u00df", "cp1252": "\u20ac5"}.get(charset, "a\u00e9\u4e2d")
+    df = spark.createDataFrame([(1, text.encode(charset)), (2, b""), (3, None)], "id int, content binary")
+    assert {r.id: r.text for r in files.reencode(df, "content", charset).collect()} == {1: text, 2: "", 3: None}
+    if charset not in ("latin-1", "koi8-r"):
+        bad = spark.createDataFrame([(1, {"utf-16-le": b"abc", "cp1252": b"a\x81"}.get(charset, b"a\xff\xfe"))], "id int, content binary")
+        with pytest.raises(Exception, match="bytes that are not"):
+            files.reencode(bad, "content", charset).collect()
+    with pytest.raises(LookupError):
+        files.reencode(df, "content", "no-such-charset")
+
+
+def test_charset_groups_equal_plain_decoding(spark):
+    content = {1: b"plain (text)*", 2: "caf\u00e9".encode(), 3: "caf\u00e9".encode("latin-1"), 4: b"\x80\x99", 5: b"\x81", 6: b"", 7: None}
+    charsets = ["utf-8", "ascii", "latin-1", "cp1252"]
+    want = {}
+    for i, b in content.items():
+        for c in charsets if b is not None else []:
+            try:
+                want.setdefault((i, hashlib.sha256(re.sub(r"[\[\]\\.*^$+?(){}|]", "", b.decode(c)).encode()).hexdigest()), []).append(c)
+            except UnicodeDecodeError:
+                pass
+    df = spark.createDataFrame(list(content.items()), "id int, content binary")
+    got = {(r.id, r.text_sha256): r.charsets for r in files.charset_groups(df, "content", charsets).collect()}
+    assert got == {k: ",".join(sorted(v)) for k, v in want.items()}
+
+
+def test_quoted_names_in_texts(spark):
+    texts = spark.createDataFrame([(1, '"a" "b" x "c d"'), (2, '"a""a"'), (3, "a"), (4, 'x "q"r" s'), (5, ""), (6, None)], "archive int, text string")
+    names = spark.createDataFrame([("a",), ("b",), ("c d",), ('q"r',), ("r",), (" ",)], "name string")
+    got = {(r.archive, r.name) for r in L.archives_with_entry(texts, names).collect()}
+    assert got == {(i, n) for i, t in ((1, '"a" "b" x "c d"'), (2, '"a""a"'), (4, 'x "q"r" s')) for n in ("a", "b", "c d", 'q"r', "r", " ") if t.find(f'"{n}"') > 0}
+
+
+def test_resample_of_many_sizes(spark):
+    sizes = [(0, 5, 4, 8, 2), (1, 3, 3, 3, 7), (2, 6, 2, 1, 1)]
+    px = [(i, x, y, 10 * x + y + i) for i, w, h, _, _ in sizes for x in range(w) for y in range(h)]
+    at = {p[:3]: p[3] for p in px}
+    df, sized = spark.createDataFrame(px, "image_id int, x int, y int, val int"), spark.createDataFrame(sizes, "image_id int, width int, height int, width_px int, height_px int")
+    want = {(i, x, y): at[i, int((x + 0.5) * w / nw), int((y + 0.5) * h / nh)] for i, w, h, nw, nh in sizes for x in range(nw) for y in range(nh)}
+    assert {(r.image_id, r.x, r.y): r.val for r in R.resample(df, sized, ["image_id"]).collect()} == want
