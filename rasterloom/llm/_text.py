@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SLICE_BYTES = 1 << 20
 #: Text bytes for each bucket at most, on average, so that a bucket's task fits in memory at every input size.
@@ -168,5 +169,10 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def extended(df: DataFrame, kept: list[str], added: str) -> StructType:
+    """The schema of some columns of ``df`` and of added ones; names may be any."""
+    return StructType([*(df.schema[c] for c in kept), *StructType.fromDDL(added)])
+
+
 def pick(batch: pa.RecordBatch, *names: str) -> list[pa.Array]:
     return [column(batch, x) for x in names]

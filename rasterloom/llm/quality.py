@@ -4,12 +4,13 @@ Two classifiers, low quality and toxic, are trained on labelled rows.  Features
 presence of hashed lower-cased words, word pairs, byte 4-grams and word beginnings of 4
 to 7 bytes.  The sample is bounded,
 ``max_labelled`` labelled documents in the order of a hash of their id; their whole texts
-are read.  A fifth of the sample is held out of the fit: it calibrates the probabilities
+are read; of the features ``MAX_FEATURES``, those that are most unevenly spread over the
+two classes, get a weight.  A fifth of the sample is held out of the fit: it calibrates the probabilities
 (Platt scaling).  Every text is then scored in Arrow batches against fixed thresholds.
 
 Defined cases: a null text has no words, fails the base rule and is rejected; labels that
 are null count as absent, and a document with several labels counts as bad if any says so;
-repeated rows are scored each; an empty table gives no rows; with fewer than ``min_class``
+repeated rows are scored each, and of several texts of one labelled id the least trains; an empty table gives no rows; with fewer than ``min_class``
 labelled rows of a class its classifier accepts everything; further columns pass through.
 """
 
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workspace import Workspace
 from . import _text as tx
 
 MAX_LABELLED = 4000
@@ -117,25 +119,16 @@ def _always(p: float) -> Classifier:
     return Classifier(np.zeros(_SPACE), 0.0, float(np.log(p / (1 - p))))
 
 
-def fit(rows: list[np.ndarray], target: np.ndarray, *, max_features: int = MAX_FEATURES, min_class: int = MIN_CLASS, penalty: float = 5e-4, steps: int = 400) -> Classifier:
-    """L1-penalised logistic regression by accelerated proximal gradient, then Platt scaling on the held-out fifth."""
+def fit(cols: list[np.ndarray], target: np.ndarray, held: np.ndarray, chosen: np.ndarray, *, min_class: int = MIN_CLASS, penalty: float = 5e-4, steps: int = 400) -> Classifier:
+    """L1-penalised logistic regression by accelerated proximal gradient, then Platt scaling on the held-out rows.
+
+    ``cols`` has the places of each row's features among ``chosen``.
+    """
     if min(target.sum(), (~target).sum()) < min_class:
         return _always(1e-3)
-    held = np.arange(len(rows)) % 5 == 4
     learn = np.flatnonzero(~held)
-    if min(target[learn].sum(), (~target[learn]).sum()) < 2:
+    if min(target[learn].sum(), (~target[learn]).sum()) < 2 or not len(chosen):
         return _always(1e-3)
-    yes, no = np.zeros(_SPACE, np.int32), np.zeros(_SPACE, np.int32)
-    for i in learn:
-        (yes if target[i] else no)[rows[i]] += 1  # a row has each n-gram once
-    n_yes, n_no = target[learn].sum(), (~target[learn]).sum()
-    p, q = (yes + 0.5) / (n_yes + 1), (no + 0.5) / (n_no + 1)
-    pull = np.abs(p - q) / np.sqrt((p * (1 - p)) / n_yes + (q * (1 - q)) / n_no)
-    pull[yes + no < 3] = 0
-    chosen = np.sort(np.argsort(-pull, kind="stable")[:max_features])
-    place = np.full(_SPACE, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
-    cols = [place[r][place[r] >= 0] for r in rows]
 
     def table(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.repeat(np.arange(len(which)), [len(cols[i]) for i in which]), np.concatenate([cols[i] for i in which])
@@ -185,7 +178,19 @@ def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLE
         labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("quality") == 0).cast("int")).alias("low"), F.max(F.col("toxic")).alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     )
-    marks = spark.createDataFrame(marks.collect(), marks.schema)  # bounded, and so small enough to broadcast
+    known = sorted(marks.collect(), key=lambda r: hash_order(r.doc_id))  # bounded, and so small enough to broadcast
+    place = {"low": 0, "toxic": 0}
+    flags = []
+    for r in known:  # of the rows with a mark every fifth is held out
+        own = []
+        for name in place:
+            own.append(None if r[name] is None else place[name] % 5 == 4)
+            place[name] += r[name] is not None
+        flags.append((*r, *own))
+    mark_type = marks.schema["doc_id"].dataType.simpleString()
+    flagged = spark.createDataFrame(flags, f"doc_id {mark_type}, low int, toxic int, held_low boolean, held_toxic boolean")
+    mark = ["low", "toxic", "held_low", "held_toxic"]
+    kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,18 +199,50 @@ def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLE
                 pair = np.unique(doc * _SPACE + gram)
                 cut = np.searchsorted(pair // _SPACE, np.arange(part.num_rows + 1))
                 grams = [(pair[i:j] % _SPACE).astype("<u4").tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*tx.pick(part, "doc_id", "low", "toxic"), pa.array(grams, pa.binary())], ["doc_id", "low", "toxic", "grams"])
+                yield pa.RecordBatch.from_arrays([*tx.pick(part, "doc_id", *mark), pa.array(grams, pa.binary())], ["doc_id", *mark, "grams"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    sample = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").dropDuplicates(["doc_id"])
-    rows = sorted(sample.mapInArrow(run, f"doc_id {kind}, low int, toxic int, grams binary").collect(), key=lambda r: hash_order(r.doc_id))
+    sample = docs.select("doc_id", "text").join(F.broadcast(flagged), "doc_id").groupBy("doc_id", *mark).agg(F.min("text").alias("text"))
+    work = Workspace(spark, "quality")
+    sample = work.table(sample.mapInArrow(run, f"doc_id {kind}, low int, toxic int, held_low boolean, held_toxic boolean, grams binary"), "sample")
+    chosen = {name: _chosen(sample.filter(f"not held_{name}"), name) for name in place}
+    sent = spark.sparkContext.broadcast(chosen)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [np.frombuffer(g, "<u4") for g in batch.column("grams").to_pylist()]
+            own = [pa.array([np.flatnonzero(np.isin(sent.value[name], g, assume_unique=True)).astype("<u2").tobytes() for g in grams], pa.binary()) for name in place]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *mark)), *own], ["doc_id", *mark, "at_low", "at_toxic"])
+
+    rows = sample.mapInArrow(places, f"doc_id {kind}, low int, toxic int, held_low boolean, held_toxic boolean, at_low binary, at_toxic binary").collect()
+    rows.sort(key=lambda r: hash_order(r.doc_id))
+    work.drop()
     out = []
-    for name in ("low", "toxic"):
+    for name in place:
         use = [r for r in rows if r[name] is not None]
-        out.append(fit([np.frombuffer(r.grams, "<u4") for r in use], np.array([bool(r[name]) for r in use], bool)))
+        cols = [np.frombuffer(r[f"at_{name}"], "<u2").astype(np.int64) for r in use]
+        out.append(fit(cols, np.array([bool(r[name]) for r in use], bool), np.array([r[f"held_{name}"] for r in use], bool), chosen[name]))
     return out[0], out[1]
 
 
+def _chosen(rows: DataFrame, name: str, max_features: int = MAX_FEATURES) -> np.ndarray:
+    """The n-grams, ascending, that are most unevenly spread over the classes; those in less than three rows are left out."""
+    n = rows.agg(F.coalesce(F.sum(name), F.lit(0)).alias("yes"), F.count("*").alias("all")).first()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((2, _SPACE), np.int32)
+        for batch in batches:
+            for y, grams in zip(batch.column(name).to_pylist(), batch.column("grams").to_pylist(), strict=True):
+                found[y][np.frombuffer(grams, "<u4")] += 1  # a row has each n-gram once
+        some = np.flatnonzero(found.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[1][some].astype(np.int64)), pa.array(found[0][some].astype(np.int64))], ["gram", "yes", "no"])
+
+    counts = rows.select(name, "grams").mapInArrow(count, "gram long, yes long, no long").groupBy("gram").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    p, q = (F.col("yes") + 0.5) / (n.yes + 1), (F.col("no") + 0.5) / (n["all"] - n.yes + 1)
+    pull = F.abs(p - q) / F.sqrt(p * (1 - p) / max(1, n.yes) + q * (1 - q) / max(1, n["all"] - n.yes))
+    best = counts.filter("yes + no >= 3").select("gram", pull.alias("pull")).orderBy(F.desc("pull"), "gram").limit(max_features)
+    return np.sort(np.array([r.gram for r in best.select("gram").collect()], np.int64))
+
+
 def hash_order(doc_id: int) -> int:
     """A fixed shuffle of ids."""
     return int(tx.mix(np.array([int(doc_id) & (2**64 - 1)], np.uint64))[0])
@@ -233,9 +270,8 @@ def judge(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLE
                     [*rest, *added],
                 )
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), *(f"{c} long" for c in BASE), "base_failed boolean, p_low_quality double, p_toxic double, kept boolean"])
-    return docs.select(*dict.fromkeys([*rest, "text"])).mapInArrow(run, schema)
+    schema = tx.extended(docs, rest, ", ".join([*(f"{c} long" for c in BASE), "base_failed boolean, p_low_quality double, p_toxic double, kept boolean"]))
+    return docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*rest, "text"]))).mapInArrow(run, schema)
 
 
 def brute_force(doc_id: int, text: str | None) -> tuple:

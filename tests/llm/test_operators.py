@@ -341,8 +341,8 @@ def test_decontaminate(spark, docs, rows, empty):
     items = [(1, " ".join(rows[43][1].split()[20:40])), (2, "AB cd"), (3, None), (4, " ; "), (10, " ".join(rows[43][1].split()[20:40]).upper()), (5, words(rnd, 30))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = sorted(decontaminate.brute_force(rows, [(i, t) for i, t in items]), key=repr)
-    for limit in (decontaminate.MAX_CHARS, 60):
-        got = decontaminate.digest(decontaminate.scan(docs, bench, max_chars=limit))
+    for limit in (decontaminate.MAX_BYTES, 60):
+        got = decontaminate.digest(decontaminate.scan(docs, bench, max_bytes=limit))
         assert table(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want
     assert decontaminate.clean(docs, bench).columns == docs.columns
     assert decontaminate.scan(docs, bench.limit(0)).filter("n_hit > 0").isEmpty() and decontaminate.scan(empty, bench).isEmpty()
