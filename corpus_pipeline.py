@@ -5,6 +5,10 @@ columns of ``documents``.  Decisions: rejected documents go; of each class of ne
 the one with the least doc_id stays; runs of words that occur in a benchmark window are cut
 out, and a document that has no other word goes; personal data is replaced by its kind;
 what is left is packed.  ``n_chars`` follows the text.
+
+Defined cases, in every stage: a null text has no words, so the quality rules reject it, and stages
+that are given one by themselves keep it as it is; equal rows are judged alike; columns beside
+doc_id and text keep their values, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,12 +25,21 @@ def _counted(docs: DataFrame, like: DataFrame) -> DataFrame:
     """``docs`` with n_chars of the text it has now, in the columns of ``like``."""
     if "n_chars" in like.columns:
         docs = docs.withColumn("n_chars", F.length("text").cast(dict(like.dtypes)["n_chars"]))
-    return docs.select(*like.columns)
+    return docs.select(*(F.col(f"`{c}`") for c in like.columns))
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns in one, ``row``, so that no operator's column meets one of theirs."""
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text"))).alias("row"))
+
+
+def _unpacked(found: DataFrame, like: DataFrame) -> DataFrame:
+    return found.select(*(F.col(c) if c in ("doc_id", "text") else F.col("row").getField(c).alias(c) for c in like.columns))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return quality.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("kept").select(*docs.columns)
+    return _unpacked(quality.judge(_packed(docs), spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("kept"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +49,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return _counted(decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), docs)
+    return _counted(_unpacked(decontaminate.clean(_packed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")), docs), docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
