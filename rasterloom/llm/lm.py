@@ -1,12 +1,17 @@
-"""LM scoring with a log-frequency Bloom filter of quantised n-gram counts.
+"""LM scoring with a log-frequency Bloom filter of quantised n-gram counts, broadcast to the workers.
 
 Counting is exact and covers every training document.  Texts are taken in blocks of
 bounded bytes; a block sends each bucket of the fingerprint space its distinct tokens
 and bigrams with their counts, so a token that fills a third of the corpus is one entry
 a block.  A bucket sums them and builds its shard of the filter: an n-gram of quantised
-count q is inserted q times, as (n-gram, 1) .. (n-gram, q), and q is read back by
-repeated membership probes.  It then answers each block with the counts of its tokens
-and the levels that its tokens and bigrams have in the shard.
+count q is inserted q times, as (n-gram, 1) .. (n-gram, q).  The shards are written to a
+table, and so is what the blocks ask of each bucket, n-grams without counts.
+
+The filter is broadcast in groups of shards of at most ``PASS_BYTES`` together; a group is
+probed by all tasks for the n-grams that its buckets were asked for, and for no others, so the
+work of all passes is one scan of what was asked.  q is read back by repeated membership
+probes, and it alone makes the score; the exact counts of tokens go back to the blocks for the
+base score.
 
 Quantiser: q = 1 + floor(2 log2 c) for unigrams and bigrams, so a count of 1 has level 1.
 Model: P(w) = (rep(q) + 0.1) / Z, where rep(q) is 2 ** ((q - 0.5) / 2) (1 for q = 1) and Z
@@ -16,8 +21,8 @@ bigram's and the upper end of the context's level, so the probabilities of a con
 sum to at most one, apart from the filter's false positives.  The begin mark's count is the
 number of training texts, which is the exact count of the end token.
 
-A shard has 12 bits an entry at every input size and lives in its bucket's task
-only, where it is probed for all blocks; the number of buckets grows with the input.
+The filter has 12 bits an entry at every input size; the number of buckets, and with it that of
+the passes, grows with the input.  Results don't depend on the number of passes.
 
 Tokens are told apart by 64-bit fingerprints.  Defined cases: a null or empty text is
 the end token alone; repeated rows count and are scored each; a null doc_id is in
@@ -45,11 +50,17 @@ PROBES = 3
 SMOOTHING = 8.0
 FOLDS = 10
 
-_UNI, _BI, _DOCS, _REPLY, _TOTAL = range(5)
+#: Bytes of the filter that are broadcast at once.
+PASS_BYTES = 24 << 20
+
+_UNI, _BI, _DOCS, _REPLY, _TOTAL, _SHARD, _ASKED, _LEVELS = range(8)
 _END = tx.mix(np.array([0xE4D], np.uint64))[0]
 _BEGIN = tx.mix(np.array([0xBE6], np.uint64))[0]
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_NAMES = ["block", "bucket", "kind", "payload"]
 _ROW = "block string, bucket int, kind int, payload binary"
+#: A bucket's row of sums: tokens, distinct tokens, and what these stand for in the model.
+_SUMS = ", tokens long, distinct_tokens long, mass double"
 
 
 def _planes(a: np.ndarray, width: int | None = None) -> bytes:
@@ -164,8 +175,8 @@ def _sums(rows: list[tuple[str, bytes]]) -> tuple[np.ndarray, np.ndarray, list[n
     return uniq, total, np.split(inv, np.cumsum([len(x) for x in fps])[:-1])
 
 
-def _shard(fp: np.ndarray, q: np.ndarray) -> Filter:
-    """A filter of (n-gram, 1) .. (n-gram, q) for each fingerprint."""
+def _shard(fp: np.ndarray, q: np.ndarray) -> bytes:
+    """The bits of (n-gram, 1) .. (n-gram, q) for each fingerprint."""
     bits = 64 * max(1, -(-int(q.sum()) * BITS_PER_ENTRY // 64))
     shard = np.zeros(bits, bool)
     for at in range(0, len(fp), CHUNK):
@@ -173,43 +184,46 @@ def _shard(fp: np.ndarray, q: np.ndarray) -> Filter:
         for level in range(1, int(levels.max(initial=0)) + 1):
             for slot in _slots(f[levels >= level], level, np.uint64(bits - 1)):
                 shard[slot] = True
-    return Filter({0: np.packbits(shard, bitorder="little").tobytes()}, 1)
-
-
-def _levels(fp: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """What a shard of the given levels reads back for each fingerprint, as bytes."""
-    shard = _shard(fp, q)
-    return np.concatenate([shard.level(fp[at : at + CHUNK]).astype(np.uint8) for at in range(0, len(fp), CHUNK)] or [np.zeros(0, np.uint8)])
+    return np.packbits(shard, bitorder="little").tobytes()
 
 
 def _reduce(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """A bucket's shard, its sums, the counts of each block's tokens, and what each block asks."""
+    bucket = key[0].as_py()
     rows: dict[int, list] = {_UNI: [], _BI: []}
     for block, kind, payload in zip(table["block"].to_pylist(), table["kind"].to_pylist(), table["payload"].to_pylist(), strict=True):
         rows[kind].append((block, payload))
-    totals, reply = np.zeros(3), {block: b"" for got in rows.values() for block, _ in got}
-    if rows[_UNI]:
-        uniq, counts, where = _sums(rows[_UNI])
+    asked: dict[str, list[bytes]] = {block: [b"", b""] for got in rows.values() for block, _ in got}
+    out: list[tuple[str, int, bytes]] = []
+    sums, entries = (0, 0, 0.0), []
+    for kind, own in rows.items():
+        if not own:
+            continue
+        uniq, counts, where = _sums(own)
         q = level_of(counts)
-        totals[:] = counts.sum(), (counts > 0).sum(), (uni_rep(q)[q > 0] + 0.1).sum()
-        levels = _levels(uniq, q)
-        for (block, _), at in zip(rows[_UNI], where, strict=True):
-            reply[block] += _planes(counts[at].astype(np.uint64)) + levels[at].tobytes()
-    if rows[_BI]:
-        uniq, counts, where = _sums(rows[_BI])
-        levels = _levels(uniq, level_of(counts))
-        for (block, _), at in zip(rows[_BI], where, strict=True):
-            reply[block] += levels[at].tobytes()
-    n = len(reply) + 1
-    return pa.table([pa.array([*reply, ""]), pa.array([key[0].as_py()] * n, pa.int32()), pa.array([_REPLY] * (n - 1) + [_TOTAL], pa.int32()), pa.array([*reply.values(), totals.astype("<f8").tobytes()], pa.binary())], names=["block", "bucket", "kind", "payload"])
+        entries.append((uniq[q > 0], q[q > 0]))
+        for (block, payload), at in zip(own, where, strict=True):
+            asked[block][kind] = payload[: len(payload) // 2]
+            if kind == _UNI:
+                out.append((block, _REPLY, _planes(counts[at].astype(np.uint64))))
+        if kind == _UNI:
+            sums = int(counts.sum()), int((counts > 0).sum()), float((uni_rep(q)[q > 0] + 0.1).sum())
+    out += [(block, _ASKED, np.array([len(u) // 8, len(b) // 8], "<i8").tobytes() + u + b) for block, (u, b) in asked.items()]
+    out.append(("", _SHARD, _shard(*(np.concatenate(x) for x in zip(*entries, strict=True))) if sum(len(f) for f, _ in entries) else b""))
+    n = len(out)
+    blocks, kinds, payloads = zip(*out, strict=True)
+    lone = [pa.array([*[None] * n, v], t) for v, t in zip(sums, (pa.int64(), pa.int64(), pa.float64()), strict=True)]
+    return pa.table([pa.array([*blocks, ""]), pa.array([bucket] * (n + 1), pa.int32()), pa.array([*kinds, _TOTAL], pa.int32()), pa.array([*payloads, b""], pa.binary()), *lone], names=[*_NAMES, "tokens", "distinct_tokens", "mass"])
 
 
 class Filter:
-    """All shards side by side; ``level`` reads quantised counts by probing."""
+    """The shards of the buckets from ``first`` on, of ``n_buckets`` in all; ``level`` reads quantised counts by probing."""
 
-    def __init__(self, shards: dict[int, bytes], n_buckets: int):
-        sizes = np.zeros(n_buckets, np.int64)
+    def __init__(self, shards: dict[int, bytes], n_buckets: int, first: int = 0):
+        sizes = np.zeros(max(shards, default=first) - first + 1, np.int64)
         for b, s in shards.items():
-            sizes[b] = len(s)
+            sizes[b - first] = len(s)
+        self.first, self.n_buckets = first, n_buckets
         self.at = (np.cumsum(sizes) - sizes).astype(np.uint64) * np.uint64(8)
         self.last = np.maximum(sizes * 8, 1).astype(np.uint64) - np.uint64(1)
         self.empty = sizes == 0
@@ -218,7 +232,7 @@ class Filter:
     def level(self, fp: np.ndarray, most: int = 200) -> np.ndarray:
         """The largest q for which (n-gram, 1) .. (n-gram, q) are all members."""
         out = np.zeros(len(fp), np.int64)
-        bucket = _bucket(fp, len(self.at)).astype(np.int64)
+        bucket = _bucket(fp, self.n_buckets).astype(np.int64) - self.first
         live = np.flatnonzero(~self.empty[bucket])
         for q in range(1, most):
             member = np.ones(len(live), bool)
@@ -232,17 +246,51 @@ class Filter:
         return out
 
 
-def score(docs: DataFrame, *, n_buckets: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every text."""
+def _probed(counted: DataFrame, work: Workspace, n_buckets: int, pass_bytes: int) -> DataFrame:
+    """The levels that the filter gives for all that was asked, one group of broadcast shards after the other."""
+    spark = counted.sparkSession
+    shards = counted.filter(F.col("kind") == _SHARD)
+    largest = shards.agg(F.max(F.octet_length("payload"))).first()[0] or 1
+    group = max(1, pass_bytes // max(1, largest))
+    found = None
+    for no, first in enumerate(range(0, n_buckets, group)):
+        here = F.col("bucket").between(first, first + group - 1)
+        own = {r.bucket: bytes(r.payload) for r in shards.filter(here).select("bucket", "payload").collect()}  # pass_bytes, or one shard
+        if not own:
+            continue
+        sent = spark.sparkContext.broadcast(Filter(own, n_buckets, first))
+
+        def probe(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                levels = []
+                for payload in batch.column("payload"):
+                    p = payload.as_buffer()
+                    n, m = np.frombuffer(p, "<i8", 2).tolist()
+                    fp = np.concatenate([_unplanes(p[16 : 16 + 8 * n], n, np.uint64), _unplanes(p[16 + 8 * n :], m, np.uint64)])
+                    parts = [sent.value.level(fp[at : at + CHUNK]).astype(np.uint8) for at in range(0, len(fp), CHUNK)]
+                    levels.append(b"".join(x.tobytes() for x in parts))
+                yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array([_LEVELS] * batch.num_rows, pa.int32()), pa.array(levels, pa.binary())], _NAMES)
+
+        one = work.table(counted.filter(here & (F.col("kind") == _ASKED)).select(*_NAMES).mapInArrow(probe, _ROW), f"levels-{no}")
+        sent.unpersist()
+        found = one if found is None else found.unionByName(one)
+    return counted.filter("false").select(*_NAMES) if found is None else found
+
+
+def score(docs: DataFrame, *, n_buckets: int | None = None, block_bytes: int = BLOCK_BYTES, pass_bytes: int = PASS_BYTES, stable: bool = False) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every text.
+
+    The texts are cut to blocks twice, and both must be alike: ``stable`` says that ``docs`` comes in the
+    same partitions and order whenever it is read, as files do; else it is written first.
+    """
     work = Workspace(docs.sparkSession, "lm")
-    blocks = work.table(docs.select("doc_id", "text"), "docs") if _unstable(docs) else docs
+    blocks = docs if stable else work.table(docs.select("doc_id", "text"), "docs")
     n_buckets = n_buckets or tx.buckets(blocks)
     sent = _blocks(blocks, (_UNI, _BI), n_buckets, block_bytes)
-    summed = work.table(sent.groupBy("bucket").applyInArrow(_reduce, _ROW), "counts")
-    totals = np.zeros(3)
-    for r in summed.filter(F.col("kind") == _TOTAL).select("payload").collect():  # three numbers a bucket
-        totals += np.frombuffer(r.payload, "<f8")
-    total, vocabulary, mass = int(totals[0]), int(totals[1]), float(totals[2]) + 0.1
+    summed = work.table(sent.groupBy("bucket").applyInArrow(_reduce, _ROW + _SUMS), "counts", compression="zstd")
+    sums = summed.filter(F.col("kind") == _TOTAL).agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "distinct_tokens", "mass"))).first()
+    total, vocabulary, mass = int(sums[0]), int(sums[1]), float(sums[2]) + 0.1
+    levels = _probed(summed, work, n_buckets, pass_bytes)
 
     def finish(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         kinds = table["kind"].to_pylist()
@@ -262,10 +310,10 @@ def score(docs: DataFrame, *, n_buckets: int | None = None, block_bytes: int = B
         edge, pair_edge = _edges(uniq, n_buckets), _edges(pairs, n_buckets)
         for b, k, reply in zip(table["bucket"].to_pylist(), kinds, payloads, strict=True):
             if k == _REPLY:
-                m = edge[b + 1] - edge[b]
-                counts[edge[b] : edge[b + 1]] = _unplanes(reply[: 8 * m], m, np.uint64)
-                level[edge[b] : edge[b + 1]] = np.frombuffer(reply, np.uint8, m, 8 * m)
-                pair_level[pair_edge[b] : pair_edge[b + 1]] = np.frombuffer(reply, np.uint8, offset=9 * m) if len(reply) > 9 * m else 0
+                counts[edge[b] : edge[b + 1]] = _unplanes(reply, edge[b + 1] - edge[b], np.uint64)
+            elif k == _LEVELS:
+                m, read = edge[b + 1] - edge[b], np.frombuffer(reply, np.uint8)
+                level[edge[b] : edge[b + 1]], pair_level[pair_edge[b] : pair_edge[b + 1]] = read[:m], read[m:]
         base = np.log10((counts + 0.1) / (total + 0.1 * (vocabulary + 1)))
         uni = ((uni_rep(level) + 0.1) / mass)[inv]
         context = np.ceil(2.0 ** (level / 2))[inv]  # above every count of the level
@@ -287,11 +335,6 @@ def score(docs: DataFrame, *, n_buckets: int | None = None, block_bytes: int = B
         }
         return pa.table(out)
 
-    rows = _blocks(blocks, (_DOCS,), n_buckets, block_bytes).unionByName(summed.filter(F.col("kind") == _REPLY))
+    replies = summed.filter(F.col("kind") == _REPLY).select(*_NAMES).unionByName(levels)
+    rows = _blocks(blocks, (_DOCS,), n_buckets, block_bytes).unionByName(replies)
     return rows.groupBy("block").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _unstable(docs: DataFrame) -> bool:
-    """Whether rows may come in other partitions when read again: anything but a scan with row-wise steps."""
-    plan = docs._jdf.queryExecution().optimizedPlan().toString()
-    return any(x in plan for x in ("Join", "Aggregate", "Repartition", "Sort", "Window", "Limit", "Sample", "Deduplicate", "Distinct", "Generate", "Python", "Arrow", "Pandas"))

@@ -65,7 +65,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lm
 
-    return lm.score(_read(spark, sf_dir, "documents"))
+    return lm.score(_read(spark, sf_dir, "documents"), stable=True)
 
 
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -359,13 +359,37 @@ def test_lm(docs, rows, empty):
     assert got.filter("score >= 0 or isnan(score)").isEmpty() and lm.score(empty).isEmpty()
 
 
-def test_lm_filter_is_neither_gathered_nor_broadcast(docs, monkeypatch):
-    monkeypatch.setattr("pyspark.SparkContext.broadcast", lambda *a: pytest.fail("the filter's size would be bounded by one process"))
+def test_lm_filter_is_broadcast_in_bounded_groups_with_one_result(docs, monkeypatch):
+    import pyspark
+
+    sent, broadcast = [], pyspark.SparkContext.broadcast
+    monkeypatch.setattr("pyspark.SparkContext.broadcast", lambda self, v: (sent.append(v), broadcast(self, v))[1])
+    score = lambda **o: table(lm.score(docs, n_buckets=40, **o), "doc_id", "n_tokens", "base_score", "score")
+    one = score()
+    assert [len(f.at) for f in sent if isinstance(f, lm.Filter)] == [40]
+    sent.clear()
+    many = score(pass_bytes=9_000)
+    groups = [f for f in sent if isinstance(f, lm.Filter)]
+    assert len(groups) >= 5 and all(f.bits.nbytes <= 9_000 or len(f.at) == 1 for f in groups)
+    assert many == one
+
+
+def test_lm_scores_hardly_depend_on_the_buckets(docs):
     one, many = (table(lm.score(docs, n_buckets=n), "doc_id", "n_tokens", "score") for n in (1, 40))
     assert [r[:2] for r in one] == [r[:2] for r in many]
     assert sum(r[2] for r in one) == pytest.approx(sum(r[2] for r in many), rel=0.02)
 
 
+def test_lm_null_ids_are_in_training(spark):
+    rows = [(None, "red blue red"), (None, None), (2, "red"), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in lm.score(df).collect()), key=repr)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    total = sum(len((t or "").split()) + 1 for i, t in rows if not held(i))
+    assert [g[4] for g in got] == [total] * 4
+    assert sorted(((i, held(i), len((t or "").split()) + 1, len((t or "").split()) + 1, total) for i, t in rows), key=repr) == got
+
+
 def test_lm_scores_follow_the_quantised_counts(docs, rows):
     """Bigrams seen once and the begin mark count; the filter's false positives only add a little."""
     level = lambda c: 1 + math.floor(2 * math.log2(c) + 1e-9) if c else 0
@@ -388,8 +412,8 @@ def test_lm_scores_follow_the_quantised_counts(docs, rows):
     want = sorted(((d, len(ws), score(ws)) for d, ws in split), key=repr)
     assert [r[:2] for r in got] == [r[:2] for r in want]
     for (d, n, a), (_, _, b) in zip(got, want, strict=True):
-        if n > 5 and zlib.crc32(str(d).encode()) % 10:
-            assert a == pytest.approx(b, rel=0.1), d
+        if n > 5:  # held-out texts ask for more that is not there, and meet more false positives
+            assert a == pytest.approx(b, rel=0.1 if zlib.crc32(str(d).encode()) % 10 else 0.2), d
 
 
 def test_bloom_levels_are_never_too_low():
