@@ -578,3 +578,25 @@ def test_html_labels_do_not_depend_on_the_batch():
     for v, got in zip(rows, model.label(rows), strict=True):
         x, live = html_text.stacked([v])
         assert np.allclose(model.forward(x, live)[0][:, 0], got, atol=1e-5)
+
+
+def test_substring_index_is_kept_compacted_and_opened_again(spark, tmp_path):
+    rnd = random.Random(21)
+    shared = [words(rnd, 20) for _ in range(4)]
+    texts = [(i, " ".join([words(rnd, rnd.randint(5, 40)), rnd.choice(shared), words(rnd, 12)])) for i in range(40)] + [(None, shared[0]), (40, None), (41, "")]
+    whole = spark.createDataFrame(texts, "doc_id long, text string")
+    want = table(substring.dedup(whole, n_buckets=8), "doc_id", "n_words", "n_removed", "kept")
+    at, got, sizes = f"file://{tmp_path}/index", [], []
+    for lo in range(0, 50, 10):
+        index = substring.FingerprintIndex.open(spark, at, n_buckets=8, max_runs=2)  # as a later call would
+        part = whole.filter(F.coalesce("doc_id", F.lit(49)).between(lo, lo + 9))
+        got += table(substring.dedup_next(part, index), "doc_id", "n_words", "n_removed", "kept")
+        sizes.append(len(index.names()))
+    assert sorted(got, key=repr) == want and max(sizes) == 2
+    (tmp_path / "index" / "run-000000099").mkdir()  # a run that never ended
+    index = substring.FingerprintIndex.open(spark, at, n_buckets=3, window=5)
+    assert (index.n_buckets, index.window) == (8, 13)
+    index.compact()
+    assert len(index.names()) == 1
+    again = substring.dedup_next(whole.filter("doc_id = 5").withColumn("doc_id", F.lit(100).cast("long")), index)
+    assert again.first().kept == ""
