@@ -7,30 +7,53 @@ from pyspark.sql import DataFrame, SparkSession
 #: name: (Spark SQL, DuckDB SQL); a view may use those before it.
 VIEWS: dict[str, tuple[str, str]] = {
     "px": (
-        "select vec_id image_id, label, cast(p % 8 as int) x, cast(p div 8 as int) y, cast(least(255,greatest(0,floor((cast(v as double)+0.5)*255))) as int) val from (select vec_id,label,posexplode(embedding) as (p,v) from embeddings)",
-        "select image_id,label,cast(p % 8 as int) x, cast(p // 8 as int) y, cast(least(255,greatest(0,floor((v::double+0.5)*255))) as int) val from (select vec_id image_id,label,generate_subscripts(embedding,1)-1 p,unnest(embedding) v from embeddings)",
+        """select vec_id image_id, label, cast(p % 8 as int) x, cast(p div 8 as int) y, cast(least(255,greatest(0,floor((cast(v as double)+0.5)*255))) as int) val
+from (select vec_id,label,posexplode(embedding) as (p,v)
+from embeddings)""",
+        """select image_id,label,cast(p % 8 as int) x, cast(p // 8 as int) y, cast(least(255,greatest(0,floor((v::double+0.5)*255))) as int) val
+from (select vec_id image_id,label,generate_subscripts(embedding,1)-1 p,unnest(embedding) v
+from embeddings)""",
     ),
     "stack": (
         "select image_id div 10 stack_id, cast(image_id % 10 + 1 as int) t, x, y, val from px",
         "select image_id // 10 stack_id, cast(image_id % 10 + 1 as int) t, x, y, val from px",
     ),
     "rgb": (
-        "select image_id div 3 image_id, x, y, max(case when image_id%3=0 then val end) r, max(case when image_id%3=1 then val end) g, max(case when image_id%3=2 then val end) b from px group by image_id div 3,x,y having count(*)=3",
-        "select px.image_id // 3 image_id, x, y, max(case when px.image_id%3=0 then val end) r, max(case when px.image_id%3=1 then val end) g, max(case when px.image_id%3=2 then val end) b from px group by px.image_id // 3,x,y having count(*)=3",
+        """select image_id div 3 image_id, x, y, max(case when image_id%3=0 then val end) r, max(case when image_id%3=1 then val end) g, max(case when image_id%3=2 then val end) b
+from px
+group by image_id div 3,x,y
+having count(*)=3""",
+        """select px.image_id // 3 image_id, x, y, max(case when px.image_id%3=0 then val end) r, max(case when px.image_id%3=1 then val end) g,
+max(case when px.image_id%3=2 then val end) b
+from px
+group by px.image_id // 3,x,y
+having count(*)=3""",
     ),
     "luts": (
-        "select 'grays' lut, cast(id as int) idx, cast(id as int) r, cast(id as int) g, cast(id as int) b from range(256) union all select 'tri', cast(id as int), cast(id as int), cast(255-id as int), cast((id*2)%256 as int) from range(256)",
-        "select 'grays' lut, cast(id as int) idx, cast(id as int) r, cast(id as int) g, cast(id as int) b from range(256) q(id) union all select 'tri', cast(id as int), cast(id as int), cast(255-id as int), cast((id*2)%256 as int) from range(256) q(id)",
+        """select 'grays' lut, cast(id as int) idx, cast(id as int) r, cast(id as int) g, cast(id as int) b
+from range(256)
+union all select 'tri', cast(id as int), cast(id as int), cast(255-id as int), cast((id*2)%256 as int)
+from range(256)""",
+        """select 'grays' lut, cast(id as int) idx, cast(id as int) r, cast(id as int) g, cast(id as int) b
+from range(256) q(id)
+union all select 'tri', cast(id as int), cast(id as int), cast(255-id as int), cast((id*2)%256 as int)
+from range(256) q(id)""",
     ),
     "commits": (
         *[
-            "select event_id sha, concat('repo_', event_type) repo, concat('user', user_id) author, ts committed_at, cast(floor(value) as bigint) added, cast(regexp_extract(props,'([0-9]+)',1) as bigint) removed, concat('dir',user_id%7,'/mod',user_id%11,'/f',event_id%5,'.txt') path from events"
+            """select event_id sha, concat('repo_', event_type) repo, concat('user', user_id) author, ts committed_at, cast(floor(value) as bigint) added,
+cast(regexp_extract(props,'([0-9]+)',1) as bigint) removed, concat('dir',user_id%7,'/mod',user_id%11,'/f',event_id%5,'.txt') path
+from events"""
         ]
         * 2,
     ),
     "changes": (
         *[
-            "select event_id sha, concat('repo_', event_type) repo, concat('user', user_id) author, ts committed_at, cast(floor(value) as bigint) added, concat('Change ', event_id % 97, ' of ', event_type) subject, case when event_id % 10 = 0 then 2 else 1 end n_parents, case event_id % 4 when 0 then concat('modules/m', user_id % 11) when 1 then concat('src-plugins/P', user_id % 7, '/f', event_id % 5, '.txt') when 2 then concat('m', user_id % 13) else concat('tests/t', user_id % 5) end path from events"
+            """select event_id sha, concat('repo_', event_type) repo, concat('user', user_id) author, ts committed_at, cast(floor(value) as bigint) added, concat('Change ',
+event_id % 97, ' of ', event_type) subject, case when event_id % 10 = 0 then 2 else 1 end n_parents, case event_id % 4 when 0 then concat('modules/m',
+user_id % 11) when 1 then concat('src-plugins/P', user_id % 7, '/f', event_id % 5, '.txt') when 2 then concat('m', user_id % 13) else concat('tests/t',
+user_id % 5) end path
+from events"""
         ]
         * 2,
     ),
@@ -40,10 +63,16 @@ VIEWS: dict[str, tuple[str, str]] = {
     "edges": (*["select distinct concat('lib',l_suppkey) src, concat('lib',l_partkey % (select count(*) from supplier)) dst from lineitem"] * 2,),
     "archives": (*["select p_brand archive, concat('pkg/', replace(p_name,' ','/'), '.class') entry from part"] * 2,),
     "catalog": (
-        "select p_partkey entry_id, concat(p_brand,'>',p_type,'>',split(p_name,' ')[0]) menu_path, replace(p_name,' ','_') name, case when p_size%3=0 then '.py' when p_size%3=1 then '.txt' else '.jar' end ext from part",
-        "select p_partkey entry_id, concat(p_brand,'>',p_type,'>',split_part(p_name,' ',1)) menu_path, replace(p_name,' ','_') name, case when p_size%3=0 then '.py' when p_size%3=1 then '.txt' else '.jar' end ext from part",
+        """select p_partkey entry_id, concat(p_brand,'>',p_type,'>',split(p_name,' ')[0]) menu_path, replace(p_name,' ','_') name,
+case when p_size%3=0 then '.py' when p_size%3=1 then '.txt' else '.jar' end ext
+from part""",
+        """select p_partkey entry_id, concat(p_brand,'>',p_type,'>',split_part(p_name,' ',1)) menu_path, replace(p_name,' ','_') name,
+case when p_size%3=0 then '.py' when p_size%3=1 then '.txt' else '.jar' end ext
+from part""",
     ),
-    "rois": (*["select p_partkey roi_id, p_partkey % (select count(*) from embeddings) image_id, cast(p_size%5 as int) x0, cast(p_size%4 as int) y0, cast(p_size%5+1+p_partkey%3 as int) x1, cast(p_size%4+1+p_partkey%4 as int) y1 from part"] * 2,),
+    "rois": (*["""select p_partkey roi_id, p_partkey % (select count(*)
+from embeddings) image_id, cast(p_size%5 as int) x0, cast(p_size%4 as int) y0, cast(p_size%5+1+p_partkey%3 as int) x1, cast(p_size%4+1+p_partkey%4 as int) y1
+from part"""] * 2,),
     "page_links": (
         """select page_id, href, cast(pos as int) pos from (select page_id, posexplode(regexp_extract_all(html,'<li><a href="([^"]*)"',1)) as (pos,href) from pages)""",
         """select page_id, href, cast(pos as int) pos from (select page_id, unnest(l) href, generate_subscripts(l,1)-1 pos from (select page_id, regexp_extract_all(html,'<li><a href="([^"]*)"',1) l from pages))""",

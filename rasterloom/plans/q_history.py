@@ -59,7 +59,14 @@ def union_histories(spark, d):
     return H.union_histories(c.filter("sha % 2 = 0").withColumn("era", F.lit("old")), c.filter("sha % 2 = 1").withColumn("era", F.lit("recent")))
 
 
-_HEADS = "c as (select * replace (case repo when 'repo_signup' then 'debian-signup' when 'repo_view' then 'contrib' when 'repo_error' then 'main' else repo end as repo) from changes), heads as (select repo, sha from c where repo <> 'main' and not starts_with(repo, 'debian-') qualify row_number() over (partition by repo order by committed_at desc, sha desc) = 1), main as (select sha from changes where added >= 10)"
+_HEADS = """c as (select * replace (case repo when 'repo_signup' then 'debian-signup' when 'repo_view' then 'contrib' when 'repo_error' then 'main' else repo end as repo)
+from changes), heads as (select repo, sha
+from c
+where repo <> 'main' and not starts_with(repo, 'debian-')
+qualify row_number() over (partition by repo
+order by committed_at desc, sha desc) = 1), main as (select sha
+from changes
+where added >= 10)"""
 
 
 def _branches(spark, d):
@@ -84,7 +91,10 @@ def unmerged_branches(spark, d):
     return H.unmerged_branches(H.branch_heads(c), _main(c), c)
 
 
-@query(duck("select u.component, sha, author from commits c join uploads u on u.component = regexp_extract(path, '^([^/]*/[^/]*)', 1) where committed_at > uploaded_at - interval 5 minute", "commits", "uploads"))
+@query(duck("""select u.component, sha, author
+from commits c
+join uploads u on u.component = regexp_extract(path, '^([^/]*/[^/]*)', 1)
+where committed_at > uploaded_at - interval 5 minute""", "commits", "uploads"))
 def commits_since_upload(spark, d):
     return H.commits_since_upload(_commits(spark, d), view(spark, d, "uploads"), 5)
 
@@ -94,7 +104,11 @@ def frame_clock(spark, d):
     return H.frame_clock(view(spark, d, "frames"), Workspace(spark, "clock")).select("user_id", "event_id", "label")
 
 
-@query(duck("select user_id, event_id from (select *, row_number() over (partition by user_id order by ts, event_id) i, (epoch_us(ts) - min(epoch_us(ts)) over (partition by user_id)) / 1e6::double s from frames) where i <= 7 and s <= 500000", "frames"))
+@query(duck("""select user_id, event_id
+from (select *, row_number() over (partition by user_id
+order by ts, event_id) i, (epoch_us(ts) - min(epoch_us(ts)) over (partition by user_id)) / 1e6::double s
+from frames)
+where i <= 7 and s <= 500000""", "frames"))
 def frame_limit(spark, d):
     return H.frame_limit(view(spark, d, "frames"), 7, 500000.0).select("user_id", "event_id")
 

@@ -28,7 +28,9 @@ def to_byte(spark, d):
     return view(spark, d, "events").select("event_id", S.to_byte(F.col("value") * 3 - 20).alias("v"))
 
 
-@query(duck("select image_id, x, y, round(r*0.299::double + g*0.587::double + b*0.114::double, 6) as gray, round(r*(1/3.0::double) + g*(1/3.0::double) + b*(1/3.0::double), 6) as mean_gray from rgb", "rgb"))
+@query(duck("""select image_id, x, y, round(r*0.299::double + g*0.587::double + b*0.114::double, 6) as gray, round(r*(1/3.0::double) + g*(1/3.0::double) + b*(1/3.0::double),
+6) as mean_gray
+from rgb""", "rgb"))
 def rgb_weighted_gray(spark, d):
     r, g, b = F.col("r"), F.col("g"), F.col("b")
     df = view(spark, d, "rgb")
@@ -68,7 +70,11 @@ def merge_channels(spark, d):
     return P.merge_channels(one[1], one[3], one[3], ["image_id", "x", "y"])
 
 
-_RANGE = "with e as (select image_id, min(val) lo, max(val) hi from px group by 1) select px.image_id, x, y, cast(case when hi = lo then 0 else round({hi}::double * (val - lo) / (hi - lo)) end as int) as val from px join e on px.image_id = e.image_id"
+_RANGE = """with e as (select image_id, min(val) lo, max(val) hi
+from px
+group by 1) select px.image_id, x, y, cast(case when hi = lo then 0 else round({hi}::double * (val - lo) / (hi - lo)) end as int) as val
+from px
+join e on px.image_id = e.image_id"""
 
 
 @query(duck(_RANGE.format(hi=200), "px"))
@@ -102,7 +108,9 @@ def invert(spark, d):
     return P.invert(view(spark, d, "px").select("image_id", "x", "y", "val"))
 
 
-@query(duck("select image_id, x, y, printf('%x', cast(least(15, greatest(0, round(r/16.0::double))) as int)) as r, printf('%x', cast(least(15, greatest(0, round(g/16.0::double))) as int)) as g, printf('%x', cast(least(15, greatest(0, round(b/16.0::double))) as int)) as b from rgb", "rgb"))
+@query(duck("""select image_id, x, y, printf('%x', cast(least(15, greatest(0, round(r/16.0::double))) as int)) as r, printf('%x', cast(least(15, greatest(0,
+round(g/16.0::double))) as int)) as g, printf('%x', cast(least(15, greatest(0, round(b/16.0::double))) as int)) as b
+from rgb""", "rgb"))
 def quantize_hex4(spark, d):
     return view(spark, d, "rgb").select("image_id", "x", "y", *(S.quantize_hex4(F.col(c)).alias(c) for c in "rgb"))
 
@@ -134,7 +142,12 @@ def select_frames(spark, d):
     return P.select_frames(view(spark, d, "stack"), -3, 6, 10)
 
 
-@query(duck("select s.stack_id, s.x, s.y, s.t, case when s.t between 3 and 7 then coalesce(p.val, s.val) else s.val end as val from stack s left join (select x, y, val from px where image_id = 0) p on s.x = p.x and s.y = p.y", "px", "stack"))
+@query(duck("""select s.stack_id, s.x, s.y, s.t, case when s.t between 3 and 7 then coalesce(p.val, s.val) else s.val end as val
+from stack s
+left
+join (select x, y, val
+from px
+where image_id = 0) p on s.x = p.x and s.y = p.y""", "px", "stack"))
 def paste_slices(spark, d):
     plane = view(spark, d, "px").filter("image_id = 0")
     return P.paste_slices(view(spark, d, "stack"), plane, 3, 7).select("stack_id", "x", "y", "t", "val")
@@ -150,7 +163,11 @@ def crop_to_multiple(spark, d):
     return P.crop_to_multiple(view(spark, d, "px").select("image_id", "x", "y", "val"), 3, 3, 8, 8)
 
 
-@query("select image_id, width, height, cast(round(6.5 * 300) as int) as width_px, cast(round(9.0 * 300) as int) as height_px, 'inch' as unit, round(1.0::double / 300, 6) as pixel_width, round(1.0::double / 300, 6) as pixel_height, 1.0::double as pixel_depth from (select p_partkey image_id, cast(p_size * 10 as int) width, cast(p_partkey % 50 + 1 as int) height from part where p_size > 0)")
+@query("""select image_id, width, height, cast(round(6.5 * 300) as int) as width_px, cast(round(9.0 * 300) as int) as height_px, 'inch' as unit, round(1.0::double / 300,
+6) as pixel_width, round(1.0::double / 300, 6) as pixel_height, 1.0::double as pixel_depth
+from (select p_partkey image_id, cast(p_size * 10 as int) width, cast(p_partkey % 50 + 1 as int) height
+from part
+where p_size > 0)""")
 def scale_to_dpi(spark, d):
     return P.scale_to_dpi(view(spark, d, "images").drop("title"), 300, 6.5, 9.0)
 
@@ -160,7 +177,11 @@ def aspect_size(spark, d):
     return view(spark, d, "images").select("image_id", "width", S.aspect_height(F.col("width"), F.lit(1.5)).alias("height"))
 
 
-@query(duck("with m as (select object_id, 0.25::double * (1 + min(seq) % 4) pixel_width from balls group by 1) select object_id, seq, x, y, z, 12.5::double / pixel_width as r from balls join m using (object_id)", "balls"))
+@query(duck("""with m as (select object_id, 0.25::double * (1 + min(seq) % 4) pixel_width
+from balls
+group by 1) select object_id, seq, x, y, z, 12.5::double / pixel_width as r
+from balls
+join m using (object_id)""", "balls"))
 def homogenize_radius(spark, d):
     balls = view(spark, d, "balls")
     metadata = balls.groupBy("object_id").agg((F.lit(0.25) * (1 + F.min("seq") % 4)).alias("pixel_width"))
@@ -194,13 +215,17 @@ def file_kind(spark, d):
     return view(spark, d, "catalog").select("entry_id", S.file_kind(F.col("name"), F.col("ext")).alias("kind"))
 
 
-@query(duck("select entry_id, case when entry_id % 9 = 0 then 'Plugins' when entry_id % 4 = 0 then menu_path else concat('Plugins>', menu_path) end as menu, replace(name, '_', ' ') as label from catalog", "catalog"))
+@query(duck("""select entry_id, case when entry_id % 9 = 0 then 'Plugins' when entry_id % 4 = 0 then menu_path else concat('Plugins>', menu_path) end as menu, replace(name,
+'_', ' ') as label
+from catalog""", "catalog"))
 def menu_path(spark, d):
     folder = F.when(F.col("entry_id") % 9 == 0, "").when(F.col("entry_id") % 4 == 0, F.concat(F.lit("Scripts/"), F.replace("menu_path", F.lit(">"), F.lit("/")))).otherwise(F.replace("menu_path", F.lit(">"), F.lit("/")))
     return view(spark, d, "catalog").select("entry_id", S.menu_path(folder).alias("menu"), S.menu_label(F.concat("name", "ext")).alias("label"))
 
 
-@query(duck("select doc_id, regexp_extract(path, '^(.*)-[0-9]{14}$', 1) as name, strftime(strptime(regexp_extract(path, '([0-9]{14})$', 1), '%Y%m%d%H%M%S'), '%Y-%m-%d %H:%M:%S') as stamped from files", "files"))
+@query(duck("""select doc_id, regexp_extract(path, '^(.*)-[0-9]{14}$', 1) as name, strftime(strptime(regexp_extract(path, '([0-9]{14})$', 1), '%Y%m%d%H%M%S'),
+'%Y-%m-%d %H:%M:%S') as stamped
+from files""", "files"))
 def version_stamp(spark, d):
     name, at = S.version_stamp(F.col("path"))
     return view(spark, d, "files").select("doc_id", name.alias("name"), F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("stamped"))

@@ -28,12 +28,20 @@ def invert_lut(spark, d):
     return R.apply_lut(_px(spark, d), R.invert_lut(view(spark, d, "luts")), "tri").drop("val")
 
 
-@query(duck("select stack_id, x, y, round(avg(val), 6) average, max(val) as max, min(val) as min, cast(sum(val) as bigint) as sum, round(stddev_samp(val), 6) standard_deviation, median(val::double) median from stack group by all", "stack"))
+@query(duck("""select stack_id, x, y, round(avg(val), 6) average, max(val) as max, min(val) as min, cast(sum(val) as bigint) as sum, round(stddev_samp(val),
+6) standard_deviation, median(val::double) median
+from stack
+group by all""", "stack"))
 def z_project(spark, d):
     return R.z_project(view(spark, d, "stack"), ["stack_id"], ["Average", "Max", "Min", "Sum", "Standard Deviation", "Median"])
 
 
-@query(duck("select stack_id, x, y, max(cast(round(r * val / 255.0::double) as int)) r, max(cast(round(g * val / 255.0::double) as int)) g, max(cast(round(b * val / 255.0::double) as int)) b from stack join luts on lut = 'tri' and idx = cast(floor(256.0::double / 10 * (t - 1)) as int) where t between 1 and 10 group by stack_id, x, y", "stack", "luts"))
+@query(duck("""select stack_id, x, y, max(cast(round(r * val / 255.0::double) as int)) r, max(cast(round(g * val / 255.0::double) as int)) g,
+max(cast(round(b * val / 255.0::double) as int)) b
+from stack
+join luts on lut = 'tri' and idx = cast(floor(256.0::double / 10 * (t - 1)) as int)
+where t between 1 and 10
+group by stack_id, x, y""", "stack", "luts"))
 def temporal_color_code(spark, d):
     return R.temporal_color_code(view(spark, d, "stack"), view(spark, d, "luts"), "tri", 1, 10, ["stack_id"])
 
@@ -83,7 +91,11 @@ def gaussian_blur(spark, d):
 _SIGMA = math.sqrt((0.5 * 8 / 4) ** 2 - 0.25)
 
 
-@query(duck(_blur_sql(_SIGMA) + ", n as (select cast(i as int) i, cast(floor((i + 0.5) * 2) as int) s from range(4) q(i)) select image_id, a.i x, b.i y, round(val, 6) val from v join n a on a.s = v.x join n b on b.s = v.y", "px"))
+@query(duck(_blur_sql(_SIGMA) + """, n as (select cast(i as int) i, cast(floor((i + 0.5) * 2) as int) s
+from range(4) q(i)) select image_id, a.i x, b.i y, round(val, 6) val
+from v
+join n a on a.s = v.x
+join n b on b.s = v.y""", "px"))
 def downsample(spark, d):
     return R.downsample(_px(spark, d), 8, 8, 4, 4, ["image_id"]).withColumn("val", F.round("val", 6))
 
@@ -109,7 +121,11 @@ def _tiles(spark, d):
     return px.filter("image_id % 50 = 0").withColumnRenamed("image_id", "tile"), px.withColumnRenamed("image_id", "db"), Workspace(spark, "tiles"), 8, 8
 
 
-_DISTANCE = "select a.image_id tile, b.image_id db, cast(sum((a.val-b.val)*(a.val-b.val)) as bigint) distance from px a join px b on a.x = b.x and a.y = b.y where a.image_id % 50 = 0 and b.image_id <> a.image_id group by all"
+_DISTANCE = """select a.image_id tile, b.image_id db, cast(sum((a.val-b.val)*(a.val-b.val)) as bigint) distance
+from px a
+join px b on a.x = b.x and a.y = b.y
+where a.image_id % 50 = 0 and b.image_id <> a.image_id
+group by all"""
 
 
 @query(duck(_DISTANCE, "px"))
@@ -195,7 +211,10 @@ def column_profile(spark, d):
     return R.column_profile(_px(spark, d), _rois(spark, d), ["image_id"], on=("image_id",))
 
 
-_EDGES = "select roi_id * 4 + e roi_id, image_id, case e when 0 then x0 when 1 then x1 when 2 then x1 else x0 end::double ax, case e when 0 then y0 when 1 then y0 when 2 then y1 else y1 end::double ay, case e when 0 then x1 when 1 then x1 when 2 then x0 else x0 end::double bx, case e when 0 then y0 when 1 then y1 when 2 then y1 else y0 end::double by_ from rois, range(4) q(e)"
+_EDGES = """select roi_id * 4 + e roi_id, image_id, case e when 0 then x0 when 1 then x1 when 2 then x1 else x0 end::double ax,
+case e when 0 then y0 when 1 then y0 when 2 then y1 else y1 end::double ay, case e when 0 then x1 when 1 then x1 when 2 then x0 else x0 end::double bx,
+case e when 0 then y0 when 1 then y1 when 2 then y1 else y0 end::double by_
+from rois, range(4) q(e)"""
 
 
 @query(duck(f"with s as ({_LINE.format(src=_EDGES)}), u as (select * from s qualify i < max(i) over (partition by roi_id)) select image_id, roi_id // 4 roi_id, cast(roi_id % 4 as int) edge, i, val from px join u using (image_id, x, y)", "px", "rois"))
@@ -273,7 +292,10 @@ def convex_hull(spark, d):
     return R.convex_hull(view(spark, d, "points"), "image_id", 3)
 
 
-@query(duck("with p as (" + PROFILES.format(key="u.image_id,", image="px", on="p.image_id = u.image_id and", none="u.image_id,").replace("with s as", "with s as", 1) + ") select image_id, roi_id, 0 x_min, case when count(i) = 0 then 1 else count(i) end x_max, case when count(i) = 0 then 0.0::double else min(val) end y_min, case when count(i) = 0 then 1.0::double else max(val) end y_max from p group by image_id, roi_id", "px", "rois"))
+@query(duck("with p as (" + PROFILES.format(key="u.image_id,", image="px", on="p.image_id = u.image_id and", none="u.image_id,").replace("with s as", "with s as", 1) + """) select image_id, roi_id, 0 x_min, case when count(i) = 0 then 1 else count(i) end x_max, case when count(i) = 0 then 0.0::double else min(val) end y_min,
+case when count(i) = 0 then 1.0::double else max(val) end y_max
+from p
+group by image_id, roi_id""", "px", "rois"))
 def profile_limits(spark, d):
     return R.profile_limits(R.profile(_px(spark, d), profiled_regions(spark, d), ["image_id"], on=("image_id",)), ["image_id", "roi_id"])
 
@@ -306,12 +328,33 @@ def anaglyph(spark, d):
     return R.anaglyph(view(spark, d, "stack"), ["stack_id"], 3.5, 5.5)
 
 
-@query(duck("select i.image_id, cast(v as int) val, coalesce(n, 0) n from (select distinct image_id from px) i cross join range(256) q(v) left join (select image_id, val, count(*) n from px group by all) h on h.image_id = i.image_id and h.val = v", "px"))
+@query(duck("""select i.image_id, cast(v as int) val, coalesce(n, 0) n
+from (select distinct image_id
+from px) i
+cross
+join range(256) q(v)
+left
+join (select image_id, val, count(*) n
+from px
+group by all) h on h.image_id = i.image_id and h.val = v""", "px"))
 def histogram(spark, d):
     return R.histogram(_px(spark, d), ["image_id"])
 
 
-@query(duck("with c as (select 'Red' channel, r val from rgb union all select 'Green', g from rgb union all select 'Blue', b from rgb) select i.channel, cast(v as int) val, coalesce(n, 0) n from (select distinct channel from c) i cross join range(256) q(v) left join (select channel, val, count(*) n from c group by all) h on h.channel = i.channel and h.val = v", "rgb"))
+@query(duck("""with c as (select 'Red' channel, r val
+from rgb
+union all select 'Green', g
+from rgb
+union all select 'Blue', b
+from rgb) select i.channel, cast(v as int) val, coalesce(n, 0) n
+from (select distinct channel
+from c) i
+cross
+join range(256) q(v)
+left
+join (select channel, val, count(*) n
+from c
+group by all) h on h.channel = i.channel and h.val = v""", "rgb"))
 def rgb_histogram(spark, d):
     parts = F.array(*(F.struct(F.lit(n).alias("channel"), F.col(c).alias("val")) for n, c in (("Red", "r"), ("Green", "g"), ("Blue", "b"))))
     return R.histogram(view(spark, d, "rgb").select(F.explode(parts).alias("p")).select("p.*"), ["channel"])
@@ -335,7 +378,12 @@ def aspect_filter(spark, d):
     return R.aspect_filter(view(spark, d, "images"), 10.0)
 
 
-@query(duck("with p as (select stack_id, t, dense_rank() over (partition by stack_id order by t) as layer_index from (select distinct stack_id, t from stack where t % 3 <> 1)) select stack_id, t, cast(layer_index as int) layer_index from p", "stack"))
+@query(duck("""with p as (select stack_id, t, dense_rank() over (partition by stack_id
+order by t) as layer_index
+from (select distinct stack_id, t
+from stack
+where t % 3 <> 1)) select stack_id, t, cast(layer_index as int) layer_index
+from p""", "stack"))
 def layer_index(spark, d):
     from pyspark.sql import Window
 

@@ -11,7 +11,11 @@ from .fixtures import duck, view
 from .registry import query
 
 
-@query(duck("with n as (select p_partkey, case when p_partkey % 5 = 0 then concat('gone.C', p_partkey) else concat('pkg.', replace(p_name, ' ', '.')) end as name from part) select n.name, coalesce(archive, concat('not found: ', n.name)) archive from n left join archives a on a.entry = concat(replace(n.name, '.', '/'), '.class')", "archives"))
+@query(duck("""with n as (select p_partkey, case when p_partkey % 5 = 0 then concat('gone.C', p_partkey) else concat('pkg.', replace(p_name, ' ', '.')) end as name
+from part) select n.name, coalesce(archive, concat('not found: ', n.name)) archive
+from n
+left
+join archives a on a.entry = concat(replace(n.name, '.', '/'), '.class')""", "archives"))
 def locate_class(spark, d):
     name = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("gone.C"), F.col("p_partkey"))).otherwise(F.concat(F.lit("pkg."), F.replace("p_name", F.lit(" "), F.lit("."))))
     return L.locate_class(view(spark, d, "part").select(name.alias("name")), view(spark, d, "archives"))
@@ -36,7 +40,12 @@ def direct_dependencies(spark, d):
     return L.direct_dependencies(files, view(spark, d, "edges"))
 
 
-@query(duck("with recursive up(root, file) as (select concat('lib', s_suppkey), concat('lib', s_suppkey) from supplier where s_suppkey % 50 = 0 union select root, src from up join edges on dst = file) select root, file from up", "edges"))
+@query(duck("""with recursive up(root, file) as (select concat('lib', s_suppkey), concat('lib', s_suppkey)
+from supplier
+where s_suppkey % 50 = 0 union select root, src
+from up
+join edges on dst = file) select root, file
+from up""", "edges"))
 def transitive_dependents(spark, d):
     roots = view(spark, d, "supplier").filter("s_suppkey % 50 = 0").select(F.concat(F.lit("lib"), "s_suppkey").alias("root"))
     return L.transitive_dependents(view(spark, d, "edges"), roots, Workspace(spark, "closure"))
@@ -55,20 +64,37 @@ def missing_imports(spark, d):
     return L.missing_imports(tokens, tokens.filter("doc_id % 3 = 0 and length(tok) = 4"), known)
 
 
-@query(duck("select distinct concat('/m', doc_id % 5, '/', case when length(tok) = 5 then concat('#', tok) else tok end) line from tokens where length(tok) <> 5 except select concat('/m1/', tok) from tokens", "tokens"))
+@query(duck("""select distinct concat('/m', doc_id % 5, '/', case when length(tok) = 5 then concat('#', tok) else tok end) line
+from tokens
+where length(tok) <> 5 except select concat('/m1/', tok)
+from tokens""", "tokens"))
 def new_ignore_rules(spark, d):
     tokens = view(spark, d, "tokens")
     rules = tokens.select(F.concat(F.lit("m"), F.col("doc_id") % 5).alias("module"), F.when(F.length("tok") == 5, F.concat(F.lit("#"), "tok")).otherwise(F.col("tok")).alias("line"))
     return L.new_ignore_rules(rules, tokens.select(F.concat(F.lit("/m1/"), "tok").alias("line")))
 
 
-@query(duck("with p as (select menu_path, name from catalog where entry_id % 10 <> 0), g as (select menu_path, name from catalog where entry_id % 13 <> 0) select *, '+' as change from (select * from g except all select * from p) union all select *, '-' from (select * from p except all select * from g)", "catalog"))
+@query(duck("""with p as (select menu_path, name
+from catalog
+where entry_id % 10 <> 0), g as (select menu_path, name
+from catalog
+where entry_id % 13 <> 0) select *, '+' as change
+from (select *
+from g except all select *
+from p)
+union all select *, '-'
+from (select *
+from p except all select *
+from g)""", "catalog"))
 def listing_diff(spark, d):
     c = view(spark, d, "catalog")
     return L.listing_diff(c.filter("entry_id % 10 <> 0").select("menu_path", "name"), c.filter("entry_id % 13 <> 0").select("menu_path", "name"))
 
 
-_TREE = "select distinct array_to_string(p[1:i], '>') path, case when i > 1 then array_to_string(p[1:i-1], '>') end as parent from (select p, unnest(range(1, len(p) + 1)) i from (select string_split(menu_path, '>') p from catalog))"
+_TREE = """select distinct array_to_string(p[1:i], '>') path, case when i > 1 then array_to_string(p[1:i-1], '>') end as parent
+from (select p, unnest(range(1, len(p) + 1)) i
+from (select string_split(menu_path, '>') p
+from catalog))"""
 
 
 @query(duck(_TREE, "catalog"))
@@ -126,20 +152,44 @@ def first_package(spark, d):
     return L.first_package(view(spark, d, "page_links").withColumn("package", F.substring("href", 1, 3)))
 
 
-@query("with n as (select distinct p_name as old, replace(p_name, ' ', '_') as new from part union select distinct replace(p_name, ' ', '_'), replace(p_name, ' ', '_') from part where p_partkey % 6 = 0) select old, new, new in (select old from n) as collides from n where old <> new")
+@query("""with n as (select distinct p_name as old, replace(p_name, ' ', '_') as new
+from part union select distinct replace(p_name, ' ', '_'), replace(p_name, ' ', '_')
+from part
+where p_partkey % 6 = 0) select old, new, new in (select old
+from n) as collides
+from n
+where old <> new""")
 def rename_collisions(spark, d):
     part = view(spark, d, "part")
     names = part.select("p_name").union(part.filter("p_partkey % 6 = 0").select(S.sanitized(F.col("p_name"))))
     return L.rename_plan(names, "p_name", S.sanitized(F.col("p_name")))
 
 
-@query(duck("with c as (select regexp_replace(path, '-[0-9]{14}$', '') file, checksum from files), k as (select * from c where length(file) % 2 = 0), n as (select * from c anti join k on k.file = c.file and k.checksum = c.checksum) select file, checksum, case when file in (select file from k) then 'add' else 'ignore' end as action from n", "files"))
+@query(duck("""with c as (select regexp_replace(path, '-[0-9]{14}$', '') file, checksum
+from files), k as (select *
+from c
+where length(file) % 2 = 0), n as (select *
+from c anti
+join k on k.file = c.file and k.checksum = c.checksum) select file, checksum, case when file in (select file
+from k) then 'add' else 'ignore' end as action
+from n""", "files"))
 def missing_versions(spark, d):
     c = view(spark, d, "files").select(F.regexp_replace("path", "-[0-9]{14}$", "").alias("file"), "checksum")
     return L.missing_versions(c, c.filter("length(file) % 2 = 0"))
 
 
-@query(duck("with l as (select distinct z, cast(z + 1 as int) layer_id from balls where z < 3), n as (select z, cast((select max(layer_id) from l) + row_number() over (order by z) as int) layer_id from (select distinct z from balls where z >= 3)) select object_id, seq, x, y, b.z, r, layer_id from balls b join (select * from l union all select * from n) a on a.z = b.z", "balls"))
+@query(duck("""with l as (select distinct z, cast(z + 1 as int) layer_id
+from balls
+where z < 3), n as (select z, cast((select max(layer_id)
+from l) + row_number() over (order by z) as int) layer_id
+from (select distinct z
+from balls
+where z >= 3)) select object_id, seq, x, y, b.z, r, layer_id
+from balls b
+join (select *
+from l
+union all select *
+from n) a on a.z = b.z""", "balls"))
 def ensure_layers(spark, d):
     balls = view(spark, d, "balls")
     layers = balls.filter("z < 3").select("z", (F.col("z") + 1).cast("int").alias("layer_id")).distinct()
@@ -152,7 +202,11 @@ def get_result(spark, d):
     return L.get_result(px, "val", -1, "row")
 
 
-@query("with p as (select l_orderkey, l_linenumber i, row_number() over (partition by l_orderkey order by l_extendedprice, l_linenumber) p, count(*) over (partition by l_orderkey) n from lineitem) select l_orderkey, cast(sum(case when p > 1 and p < n then abs(i - p) else 0 end) as bigint) displacement from p group by 1")
+@query("""with p as (select l_orderkey, l_linenumber i, row_number() over (partition by l_orderkey
+order by l_extendedprice, l_linenumber) p, count(*) over (partition by l_orderkey) n
+from lineitem) select l_orderkey, cast(sum(case when p > 1 and p < n then abs(i - p) else 0 end) as bigint) displacement
+from p
+group by 1""")
 def rank_displacement(spark, d):
     from pyspark.sql import Window
 

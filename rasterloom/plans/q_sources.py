@@ -19,7 +19,12 @@ def _sizes(spark, d):
     return view(spark, d, "part").filter("p_size > 0").select(F.col("p_partkey").alias("image_id"), F.col("p_size").alias("width"), (F.col("p_partkey") % 8 + 3).cast("int").alias("height"))
 
 
-_GRID = "g as (select image_id, width, height, x, unnest(range(height)) y from (select *, unnest(range(width)) x from (select p_partkey image_id, p_size width, cast(p_partkey % 8 + 3 as int) height from part where p_size > 0))), c as (select *, x - width / 2.0::double dx, y - height / 2.0::double dy from g)"
+_GRID = """g as (select image_id, width, height, x, unnest(range(height)) y
+from (select *, unnest(range(width)) x
+from (select p_partkey image_id, p_size width, cast(p_partkey % 8 + 3 as int) height
+from part
+where p_size > 0))), c as (select *, x - width / 2.0::double dx, y - height / 2.0::double dy
+from g)"""
 
 
 @query(f"with {_GRID} select image_id, cast(x as int) x, cast(y as int) y, cast(floor(round((sin(sqrt(dx*dx + dy*dy) / 10) + 1) * 128, 6)) as int) << 16 as rgb from c")
@@ -45,7 +50,9 @@ def gen_noise(spark, d):
     return S.gen_noise(_sizes(spark, d), 7)
 
 
-@query("with o as (select s_suppkey object_id, s_suppkey % 9 + 2 cx, s_suppkey % 7 + 3 cy, s_suppkey % 5 + 4 cz, s_suppkey % 4 + 2 r from supplier) select object_id, cast(x as int) x, cast(y as int) y, cast(z as int) z, case when abs(x - cx) + abs(y - cy) + abs(z - cz) < r then 255 else 0 end val from o, range(12) a(x), range(12) b(y), range(12) c(z)")
+@query("""with o as (select s_suppkey object_id, s_suppkey % 9 + 2 cx, s_suppkey % 7 + 3 cy, s_suppkey % 5 + 4 cz, s_suppkey % 4 + 2 r
+from supplier) select object_id, cast(x as int) x, cast(y as int) y, cast(z as int) z, case when abs(x - cx) + abs(y - cy) + abs(z - cz) < r then 255 else 0 end val
+from o, range(12) a(x), range(12) b(y), range(12) c(z)""")
 def gen_solids(spark, d):
     s = F.col("s_suppkey")
     o = view(spark, d, "supplier").select(s.alias("object_id"), (s % 9 + 2).alias("cx"), (s % 7 + 3).alias("cy"), (s % 5 + 4).alias("cz"), (s % 4 + 2).alias("r"))
@@ -79,7 +86,10 @@ def read_luts(spark, d):
     return found.join(second, "path").select("nation", "idx", "r", "g", "b")
 
 
-@query(duck("select lut, idx, concat(lpad(r::varchar, 4, ' '), lpad(g::varchar, 4, ' '), lpad(b::varchar, 4, ' ')) line from (select concat(lut, p_size) lut, idx, r, (g + p_size) % 256 g, b from luts, (select distinct p_size from part))", "luts"))
+@query(duck("""select lut, idx, concat(lpad(r::varchar, 4, ' '), lpad(g::varchar, 4, ' '), lpad(b::varchar, 4, ' ')) line
+from (select concat(lut, p_size) lut, idx, r, (g + p_size) % 256 g, b
+from luts, (select distinct p_size
+from part))""", "luts"))
 def format_lut_text(spark, d):
     luts = view(spark, d, "part").select("p_size").distinct().crossJoin(F.broadcast(view(spark, d, "luts")))  # 512 fixed rows
     return S.format_lut_text(luts.select(F.concat("lut", F.col("p_size").cast("string")).alias("lut"), "idx", "r", ((F.col("g") + F.col("p_size")) % 256).alias("g"), "b"))
@@ -141,7 +151,9 @@ def read_commit_log(spark, d):
     return S.read_commit_log(spark, at, "lib/").select("sha", "author", "epoch", "subject", "path")
 
 
-_FEED = "select user_id % 20 as feed, event_id, user_id, ts, event_type, coalesce(max(case when event_id % 40 = 0 then event_id end) over (partition by user_id % 20 order by event_id), null) day_id from events"
+_FEED = """select user_id % 20 as feed, event_id, user_id, ts, event_type, coalesce(max(case when event_id % 40 = 0 then event_id end) over (partition by user_id % 20
+order by event_id), null) day_id
+from events"""
 
 
 @query(f"select feed, event_id as line_no, 'Day ' || day_id as day, case when event_id % 5 = 4 then '<sometime>' when event_id % 5 = 3 then '<notime>' else strftime(ts, '%H:%M') end as time, case event_id % 5 when 0 then 'T' || event_id when 1 then ' -> F' || event_id when 2 then ' ->> F' || event_id when 3 then 'T' || event_id else '<unknown>' end title, case event_id % 5 when 4 then '<unknown>' else 'user' || user_id end author from ({_FEED}) where event_id % 40 <> 0")
@@ -198,7 +210,9 @@ def candidate_widths(spark, d):
     return view(spark, d, "documents").select("doc_id", F.explode(S.candidate_widths(F.octet_length("text"))).alias("width"))
 
 
-@query("select doc_id, sha256(array_to_string(list_transform(range(strlen(text)), lambda i: chr(('0x' || substr(h, 2 * i + 1, 2))::int)), '')) as text_sha256 from (select doc_id, text, hex(encode(text)) h from documents)")
+@query("""select doc_id, sha256(array_to_string(list_transform(range(strlen(text)), lambda i: chr(('0x' || substr(h, 2 * i + 1, 2))::int)), '')) as text_sha256
+from (select doc_id, text, hex(encode(text)) h
+from documents)""")
 def reencode(spark, d):
     """The bytes of all texts, read as ISO-8859-1: a character for each byte."""
     docs = view(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
