@@ -201,7 +201,7 @@ def restride_raw(spark, d):
     at = _spot(spark, "raw")
     docs = view(spark, d, "documents")
     I.write_files(docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".raw")).alias("name"), F.octet_length("text").alias("width"), F.lit(1).alias("height"), F.lit(1).alias("channels"), F.encode("text", "UTF-8").alias("data")), at, "raw")
-    rows = I.read_records(spark, at, 37, split=37 * 100)
+    rows = I.read_records(spark, at, 37, split=1 << 20)
     return rows.select(F.regexp_extract("path", "([0-9]+)[.]raw$", 1).cast("long").alias("doc_id"), F.col("record").alias("y"), F.hex("bytes").alias("bytes"))
 
 
