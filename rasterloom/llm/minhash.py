@@ -20,7 +20,10 @@ The pairs of a bucket are never listed:
    Shingles are looked up by the partner's length class too.  A text that differs from all
    others by more than that has only shingles of its own there and meets nobody.
    Texts meet the hub of such a shingle first; what is left in different components then
-   meets, and the positions of the common shingle must allow the similarity.
+   meets, and the positions of the common shingle must allow the similarity, and so must
+   the signatures: a bit is set where an odd number of a text's shingles fall on it, so two
+   signatures differ in no more bits than the texts have shingles that are not common.
+   Pairs that a common passage alone brings together end there, and are not listed.
 
 Only pairs in different components are aligned, each once, and no pair that shares a key
 and is similar enough is passed over, so no link that could change a class is left out.
@@ -52,6 +55,8 @@ SIMILARITY = 0.8
 SETTLED = 3
 #: Lengths of one class differ by this factor at most.
 LENGTH_STEP = 1.05
+#: 64-bit words of a signature.
+SIGNATURE_WORDS = 8
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _MAX = np.uint64(2**64 - 1)
@@ -234,6 +239,22 @@ def _tokens(shingled: DataFrame) -> DataFrame:
     return shingled.mapInArrow(run, "doc_id long, n long, token long")
 
 
+def _signatures(shingled: DataFrame) -> DataFrame:
+    """(doc_id, n, bits) of each text: the parity of its shingles on each bit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tx.slices(batch, "s"):
+                own = [_occurrences(np.frombuffer(x, np.uint64)) for x in tx.column(part, "s").to_pylist()]
+                at = tx.mix(np.concatenate([*own, np.zeros(0, np.uint64)])) % np.uint64(64 * SIGNATURE_WORDS)
+                bits = np.zeros((len(own), SIGNATURE_WORDS), np.uint64)
+                np.bitwise_xor.at(bits, (np.repeat(np.arange(len(own)), [len(x) for x in own]), (at >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (at & np.uint64(63)))
+                offs = np.arange(len(own) + 1, dtype=np.int32) * SIGNATURE_WORDS
+                yield pa.RecordBatch.from_arrays([*tx.pick(part, "doc_id", "n"), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(bits.ravel().view(np.int64)))], ["doc_id", "n", "bits"])
+
+    return shingled.mapInArrow(run, "doc_id long, n long, bits array<long>")
+
+
 def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     """(node, label): the least node of each node's component, by least labels and pointer jumps."""
     both = work.table(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct(), f"{name}-edges")
@@ -303,7 +324,7 @@ def _prefixes(shingled: DataFrame, similarity: float) -> DataFrame:
 
 
 def _prefix_pairs(prefixes: DataFrame, outside: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of texts in different components, one of them outside its bucket's largest, whose common first shingle allows the similarity."""
+    """(a, b) of texts in different components, one of them outside its bucket's largest, whose common first shingle and signatures allow the similarity."""
     share = similarity / (1 + similarity)
 
     def length_class(x: Column) -> Column:
@@ -313,10 +334,12 @@ def _prefix_pairs(prefixes: DataFrame, outside: DataFrame, label: DataFrame, sim
     least, most = F.greatest(F.ceil(similarity * F.col("n") - 1e-9), F.lit(1)), F.floor(F.col("n") / similarity + 1e-9)
     shortest = F.greatest(F.ceil(F.pow(F.lit(LENGTH_STEP), F.col("kind")) - 1e-6), least)
     ask = rows.join(outside, "doc_id", "left_semi").select("*", F.explode(F.sequence(length_class(least), length_class(most))).alias("kind"))
-    ask = ask.filter(F.col("place") <= F.col("n") - F.ceil(share * (F.col("n") + shortest) - 1e-9)).select("token", "kind", F.col("doc_id").alias("a"), "n", "place", "label")
-    have = rows.select("token", length_class(F.col("n")).alias("kind"), F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("place").alias("there"), F.col("label").alias("other"))
+    ask = ask.filter(F.col("place") <= F.col("n") - F.ceil(share * (F.col("n") + shortest) - 1e-9)).select("token", "kind", F.col("doc_id").alias("a"), "n", "place", "label", F.col("bits").alias("own"))
+    have = rows.select("token", length_class(F.col("n")).alias("kind"), F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("place").alias("there"), F.col("label").alias("other"), "bits")
     enough = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("there")) >= share * (F.col("n") + F.col("m")) - 1e-9
-    return ask.join(have, (ask.token == have.token) & (ask.kind == have.kind) & (F.col("label") != F.col("other")) & enough).select("a", "b")
+    apart = sum((F.bit_count(F.col("own")[i].bitwiseXOR(F.col("bits")[i])) for i in range(SIGNATURE_WORDS)), F.lit(0))
+    near = apart <= (1 - 2 * share) * (F.col("n") + F.col("m")) + 1e-9
+    return ask.join(have, (ask.token == have.token) & (ask.kind == have.kind) & (F.col("label") != F.col("other")) & enough & near).select("a", "b")
 
 
 def classes(docs: DataFrame, *, hashes: int = HASHES, similarity: float = SIMILARITY) -> DataFrame:
@@ -349,10 +372,12 @@ def classes(docs: DataFrame, *, hashes: int = HASHES, similarity: float = SIMILA
     main = large.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1")
     open_ = work.table(large.join(main, "key").groupBy("doc_id").agg(F.max(F.col("label") != F.col("main")).alias("outside"), F.max("degree").alias("degree")), "open")
     if not open_.isEmpty():
-        prefixes = work.table(_prefixes(shingled.join(open_.select("doc_id"), "doc_id"), similarity).join(open_.select("doc_id", "degree"), "doc_id"), "prefixes")
+        undecided = shingled.join(open_.select("doc_id"), "doc_id")
+        prefixes = work.table(_prefixes(undecided, similarity).join(open_.select("doc_id", "degree"), "doc_id"), "prefixes")
         rounds.hubs(prefixes.select("token", "doc_id", "n", "degree"), "token")
         outside = open_.filter("outside").select("doc_id")
-        rounds.meet(_prefix_pairs(prefixes.drop("degree"), outside, rounds.label, similarity))
+        signed = work.table(prefixes.drop("degree").join(_signatures(undecided), ["doc_id", "n"]), "signed")
+        rounds.meet(_prefix_pairs(signed, outside, rounds.label, similarity))
     by_rep = rounds.label.select(F.col("doc_id").alias("rep"), "label")
     return own.join(by_rep, "rep", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep")).alias("class_id"))
 

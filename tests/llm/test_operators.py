@@ -153,6 +153,19 @@ def test_minhash_classes_match_brute_force(spark):
     assert got == brute_classes(rows)
 
 
+def test_minhash_lists_no_pairs_that_common_passages_alone_bring_together(spark, monkeypatch):
+    rnd = random.Random(17)
+    pool = [words(rnd, 4) for _ in range(30)]
+    rows = [(i, " ".join(p for k, p in enumerate(pool) if k not in gone)) for i, gone in enumerate([rnd.sample(range(30), 4) for _ in range(50)])]
+    rows += [(50 + i, t + " " + words(rnd, 3)) for i, t in rows[:6]]
+    listed, pairs = [], minhash._prefix_pairs
+    monkeypatch.setattr(minhash, "_prefix_pairs", lambda *a: listed.append(pairs(*a)) or listed[-1])
+    want = brute_classes(rows)
+    got = dict(table(minhash.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)), "doc_id", "class_id"))
+    assert got == want and len(set(want.values())) > 30
+    assert listed and listed[0].distinct().count() < 50  # 651 of 1,540 pairs have a first shingle in common that allows the similarity
+
+
 def test_minhash_takes_a_doc_id_with_several_texts_as_one_document(spark):
     rnd = random.Random(12)
     a, b, c = (words(rnd, 60).split() for _ in range(3))
