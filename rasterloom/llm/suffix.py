@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +50,8 @@ GRAM = 32
 #: Pieces in one round of insertions, and in a collection at most.
 BATCH_PIECES = 20_000
 _POSITION_BITS = np.uint64(32)
+#: Windows whose anchors are looked for at once, so that the arrays stay in a core's cache.
+_ANCHOR_WINDOWS = 1 << 15
 
 
 def _grams(buf: np.ndarray, k: int, which: int = 0) -> np.ndarray:
@@ -87,6 +90,29 @@ def _window_min(a: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
 
 
+def _anchors(buf: np.ndarray, width: int) -> np.ndarray:
+    """The anchor's position of each window of the buffer."""
+    low = (np.uint64(1) << _POSITION_BITS) - np.uint64(1)
+    out = np.empty(len(buf) - width + 1, np.int64)
+    for lo in range(0, len(out), _ANCHOR_WINDOWS):
+        hi = min(lo + _ANCHOR_WINDOWS, len(out))
+        grams = _grams(buf[lo : hi + width - 1], GRAM)
+        ranked = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
+        out[lo:hi] = (_window_min(ranked, width - GRAM + 1) & low).astype(np.int64) + lo
+    return out
+
+
+def _common_keys(buf: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of the k bytes at each place, from their 8-byte words; the last word may overlap the one before it."""
+    one, two = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    words = np.lib.stride_tricks.sliding_window_view(buf, 8)
+    for j, from_ in enumerate([*range(0, k - 8, 8), k - 8]):
+        word = words[at + from_].view("<u8").ravel()
+        one = tx.mix((one ^ word) * tx.powers(2)[1] + np.uint64(j + 1))
+        two = tx.mix((two ^ tx.mix(word)) * tx.powers(2, 1)[1] + np.uint64(j + 1))
+    return one, two
+
+
 class Pieces:
     """The pieces of one slice of texts.
 
@@ -104,23 +130,21 @@ class Pieces:
         self.key, self.second = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         if size < width:
             return
-        grams = _grams(self.buf, GRAM)
-        ranked = (grams >> _POSITION_BITS << _POSITION_BITS) | np.arange(len(grams), dtype=np.uint64)
-        anchor = (_window_min(ranked, width - GRAM + 1) & ((np.uint64(1) << _POSITION_BITS) - np.uint64(1))).astype(np.int64)
-        row = np.searchsorted(self.offs, np.arange(len(anchor)), "right") - 1
-        fits = np.arange(len(anchor)) + width <= self.offs[1:][row]
-        start = np.flatnonzero(fits)
-        if not len(start):
+        anchor = _anchors(self.buf, width)
+        fitting = np.maximum(np.diff(self.offs) - width + 1, 0)
+        row = np.repeat(np.arange(len(fitting)), fitting)
+        if not len(row):
             return
+        start = np.arange(len(row)) + (self.offs[:-1] - (np.cumsum(fitting) - fitting))[row]
         left = start <= anchor[start] - self.reach
         same = (np.diff(anchor[start]) == 0) & (np.diff(start) == 1) & (left[1:] == left[:-1])
         head = np.flatnonzero(np.concatenate([[True], ~same]))
         self.lo, self.n = start[head], np.diff([*head, len(start)])
-        self.anchor, self.doc = anchor[start[head]], row[start[head]]
+        self.anchor, self.doc = anchor[start[head]], row[head]
         self.left = left[head]
         at = np.where(self.left, self.anchor - self.reach, self.anchor)
-        self.key = tx.mix(_grams(self.buf, common)[at] + self.left.astype(np.uint64))
-        self.second = tx.mix(_grams(self.buf, common, 1)[at] + self.left.astype(np.uint64))
+        key, second = _common_keys(self.buf, at, common)
+        self.key, self.second = tx.mix(key + self.left.astype(np.uint64)), tx.mix(second + self.left.astype(np.uint64))
 
 
 def repeated_windows(anchor_key: np.ndarray, content: list[bytes], anchor: np.ndarray, n: np.ndarray, width: int) -> list[np.ndarray]:
@@ -221,6 +245,20 @@ def _split(pieces: DataFrame, work: Workspace, most: int) -> tuple[DataFrame, Da
     return pieces.join(large, "key", "left_anti"), pieces.join(large, "key", "left_semi")
 
 
+def _runs(masks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mask, start, end) of each run of ones in packed masks; the bits behind a mask's last window are zero."""
+    raw = b"".join(masks.to_pylist())
+    offs = np.concatenate([[0], np.cumsum(pc.binary_length(masks).to_numpy().astype(np.int64))]) * 8
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8)).astype(bool)
+    head = np.zeros(len(bits) + 1, bool)
+    head[offs] = True  # a run ends with its mask
+    begins = bits & np.concatenate([[True], ~bits[:-1]])[: len(bits)] | bits & head[:-1]
+    ends = bits & (np.concatenate([~bits[1:], [True]])[: len(bits)] | head[1:])
+    a, b = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    mask = np.searchsorted(offs, a, "right") - 1
+    return mask, a - offs[mask], b - offs[mask]
+
+
 def _different(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy("key", "same", "n", "anchor").agg(F.count("*").alias("times"), F.first("content", ignorenulls=True).alias("content"))
 
@@ -310,36 +348,31 @@ def dedup(docs: DataFrame, *, width: int = WIDTH, n_buckets: int | None = None,
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = tx.column(batch, "row").to_numpy()
-            fps, owners = [], []
-            for i, (lo, n, mask) in enumerate(zip(tx.column(batch, "lo").to_pylist(), tx.column(batch, "n").to_pylist(), tx.column(batch, "mask").to_pylist(), strict=True)):
-                bits = np.unpackbits(np.frombuffer(mask, np.uint8), count=n)
-                edge = np.diff(np.concatenate([[0], bits.astype(np.int8), [0]]))
-                for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
-                    fps.append((lo + int(a)) << 8 | int(b - a))
-                    owners.append(i)
-            owner = ids[np.array(owners, np.int64)]
-            yield ex.table(ex.by_bucket(ex.doc_bucket(owner, n_buckets), ex.ANSWER, np.array(fps, np.uint64), owner) if len(owner) else [])
+            ids, lo = (tx.column(batch, c).to_numpy() for c in ("row", "lo"))
+            piece, a, b = _runs(tx.column(batch, "mask"))
+            owner, fps = ids[piece], ((lo[piece] + a) << 8 | (b - a)).astype(np.uint64)
+            yield ex.table(ex.by_bucket(ex.doc_bucket(owner, n_buckets), ex.ANSWER, fps, owner) if len(owner) else [])
 
     def remove(part: pa.RecordBatch, runs: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
         buf, offs = tx.buffer(tx.column(part, "text"))
         lo, n = (runs >> np.uint64(8)).astype(np.int64), (runs & np.uint64(255)).astype(np.int64)
-        spans, kept, removed = [], [], []
         ids = ex.row_ids(part)
-        for i, (x, y) in enumerate(zip(np.searchsorted(doc, ids), np.searchsorted(doc, ids, "right"), strict=True)):
-            own = slice(x, y)
-            text = buf[offs[i] : offs[i + 1]]
-            delta = np.zeros(len(text) + 1, np.int64)
-            a = lo[own]
-            b = a + n[own] - 1 + width
-            np.add.at(delta, a, 1)
-            np.add.at(delta, b, -1)
-            gone = np.cumsum(delta[:-1]) > 0
-            edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
-            spans.append([{"start": int(x), "end": int(y)} for x, y in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)])
-            kept.append(text[~gone].tobytes())
-            removed.append(int(gone.sum()))
-        return pa.RecordBatch.from_arrays([tx.column(part, "doc_id"), pa.array(np.diff(offs), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, _SPANS), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+        first, last = np.searchsorted(doc, ids), np.searchsorted(doc, ids, "right")
+        many = last - first
+        at = np.arange(int(many.sum())) + np.repeat(first - (np.cumsum(many) - many), many)
+        a = lo[at] + np.repeat(offs[:-1], many)
+        delta = np.bincount(a, minlength=len(buf) + 1) - np.bincount(a + n[at] - 1 + width, minlength=len(buf) + 1)
+        gone = np.cumsum(delta[:-1]) > 0
+        edge = np.zeros(len(buf) + 1, bool)
+        edge[offs] = True  # a run ends with its text
+        before, after = np.concatenate([[False], gone[:-1]])[: len(buf)], np.concatenate([gone[1:], [False]])[: len(buf)]
+        start, end = np.flatnonzero(gone & (~before | edge[:-1])), np.flatnonzero(gone & (~after | edge[1:])) + 1
+        row = np.searchsorted(offs, start, "right") - 1
+        upto = np.concatenate([[0], np.cumsum(gone)])[offs]
+        kept = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer((offs - upto).astype(np.int32)), pa.py_buffer(buf[~gone])])
+        runs_of = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(ids)))]).astype(np.int32)
+        spans = pa.ListArray.from_arrays(pa.array(runs_of), pa.StructArray.from_arrays([pa.array(start - offs[row], pa.int64()), pa.array(end - offs[row], pa.int64())], ["start", "end"]))
+        return pa.RecordBatch.from_arrays([tx.column(part, "doc_id"), pa.array(np.diff(offs), pa.int64()), pa.array(np.diff(upto), pa.int64()), spans, kept], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
     def finish(key: tuple[pa.Scalar, ...], got: pa.Table) -> pa.Table:
         done = list(ex.meet(got, remove, ex.row_ids))

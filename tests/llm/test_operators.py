@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -276,6 +277,38 @@ def test_suffix_dedup(docs, rows, empty):
     assert suffix.dedup(empty).isEmpty()
 
 
+def test_suffix_pieces_hold_every_window_once_and_cost_little_more_than_grams():
+    rnd = random.Random(23)
+    texts = [words(rnd, rnd.choice((0, 3, 40, 80, 900))) for _ in range(60)] + [words(rnd, 60_000)]
+    p = suffix.Pieces(pa.array([*texts, None, texts[40]]), 200)
+    for i, t in enumerate([*texts, "", texts[40]]):
+        own = p.doc == i
+        starts = np.concatenate([np.arange(lo, lo + n) for lo, n in zip(p.lo[own] - p.offs[i], p.n[own], strict=True)] or [np.zeros(0, int)])
+        assert starts.tolist() == list(range(max(0, len(t.encode()) - 199)))
+    raw, at = p.buf.tobytes(), np.where(p.left, p.anchor - p.reach, p.anchor)
+    common = [(side, raw[i : i + p.reach + 32]) for side, i in zip(p.left.tolist(), at.tolist(), strict=True)]
+    assert len(set(common)) == len(set(p.key.tolist())) == len(set(p.second.tolist())) == len(set(zip(common, p.key.tolist(), p.second.tolist(), strict=True)))
+
+    column = pa.array([" ".join(texts) * 4])
+    spent = {}
+    for what in ("grams", "pieces"):
+        spent[what] = []
+        for _ in range(3):
+            began = time.process_time()
+            suffix._grams(p.buf, 32) if what == "grams" else suffix.Pieces(column, 200)
+            spent[what].append((time.process_time() - began) / (len(p.buf) if what == "grams" else len(column[0].as_py().encode())))
+    assert min(spent["pieces"]) < 7 * min(spent["grams"])  # 11 times before, 2.4 now
+
+
+def test_suffix_runs_end_with_their_masks():
+    rnd = random.Random(29)
+    masks = [[rnd.random() < 0.6 for _ in range(rnd.choice((1, 7, 8, 16, 85)))] for _ in range(200)] + [[True] * 8, [True] * 16]
+    got = suffix._runs(pa.array([np.packbits(m).tobytes() for m in masks], pa.binary()))
+    want = [(i, a, b) for i, m in enumerate(masks) for a in range(len(m)) if m[a] and not (a and m[a - 1]) for b in [next((k for k in range(a, len(m)) if not m[k]), len(m))]]
+    assert list(zip(*(x.tolist() for x in got), strict=True)) == want
+    assert all(len(x) == 0 for x in suffix._runs(pa.array([], pa.binary())))
+
+
 def test_suffix_dedup_of_null_and_repeated_ids_with_hits(spark):
     rnd = random.Random(21)
     shared = words(rnd, 120)
