@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -261,6 +262,20 @@ def test_quality_base_and_held_out(spark, docs, rows):
     assert right > 0.85
 
 
+def test_quality_scores_a_batch_in_bounded_memory():
+    rnd = random.Random(31)
+    texts = [words(rnd, 400) for _ in range(1500)]
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts)})
+    model = quality.Classifier(np.tile([0.0, 1.0], quality._SPACE // 2), 1e-3, 0.0)
+    tracemalloc.start()
+    try:
+        rows = sum(part.num_rows for part, *_ in quality.scored(batch, model, model))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == len(texts) and peak < 64 << 20
+
+
 def test_suffix_dedup(docs, rows, empty):
     raw = [(d, (t or "").encode()) for d, t in rows]
     times = Counter(b[i : i + 200] for _, b in raw for i in range(len(b) - 199))
