@@ -14,10 +14,24 @@ def class_entry(name: Column) -> Column:
     return F.concat(F.replace(name, F.lit("."), F.lit("/")), F.lit(".class"))
 
 
-def locate_class(names: DataFrame, archives: DataFrame) -> DataFrame:
-    """Archives that hold each class (name), or a message where none does."""
-    found = names.withColumn("entry", class_entry(F.col("name"))).join(archives, "entry", "left")
-    return found.select("name", F.coalesce("archive", F.concat(F.lit("not found: "), F.col("name"))).alias("archive"))
+#: Equal rows that one row stands for at most before they are written out.
+COPIES = 1 << 16
+
+
+def locate_class(names: DataFrame, archives: DataFrame, copies: int = COPIES) -> DataFrame:
+    """Archives that hold each class (name), or a message where none does; a row for each pair, equal ones too.
+
+    Equal names, and equal entries of an archive, are counted and meet once.  The rows that a pair
+    stands for are dealt to all tasks in runs of ``copies`` at most, so a name that is common on both sides is no single task.
+    """
+    asked = names.groupBy("name").agg(F.count("*").alias("_n")).withColumn("entry", class_entry(F.col("name")))
+    held = archives.groupBy("entry", "archive").agg(F.count("*").alias("_m"))
+    found = asked.join(held, "entry", "left").withColumn("_n", F.col("_n") * F.coalesce("_m", F.lit(1)))
+    runs = found.select("name", "archive", "_n", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / copies))).alias("_run"))
+    size = F.least(F.lit(copies), F.col("_n") - F.col("_run") * copies).cast("int")
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: runs are few bytes, which would all come to one task otherwise
+    dealt = runs.select("name", F.coalesce("archive", F.concat(F.lit("not found: "), F.col("name"))).alias("archive"), size.alias("_n")).repartition(tasks)
+    return dealt.select("name", "archive", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("col")
 
 
 def outer_class(entry: Column) -> Column:

@@ -467,3 +467,13 @@ def test_resample_of_many_sizes(spark):
     df, sized = spark.createDataFrame(px, "image_id int, x int, y int, val int"), spark.createDataFrame(sizes, "image_id int, width int, height int, width_px int, height_px int")
     want = {(i, x, y): at[i, int((x + 0.5) * w / nw), int((y + 0.5) * h / nh)] for i, w, h, nw, nh in sizes for x in range(nw) for y in range(nh)}
     assert {(r.image_id, r.x, r.y): r.val for r in R.resample(df, sized, ["image_id"]).collect()} == want
+
+
+def test_common_names_meet_once_and_their_rows_are_dealt_to_all_tasks(spark):
+    names = spark.createDataFrame([("pkg.a",)] * 300 + [("pkg.b",)] * 2 + [("gone",), (None,)], "name string")
+    archives = spark.createDataFrame([("one", "pkg/a.class")] * 300 + [("two", "pkg/b.class"), (None, "pkg/b.class")], "archive string, entry string")
+    found = L.locate_class(names, archives, copies=1000)
+    rows = {(r.name, r.archive): r.n for r in found.groupBy("name", "archive").agg(F.count("*").alias("n")).collect()}
+    assert rows == {("pkg.a", "one"): 90_000, ("pkg.b", "two"): 2, ("pkg.b", "not found: pkg.b"): 2, ("gone", "not found: gone"): 1, (None, None): 1}
+    tasks = [r.n for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert max(tasks) < 30_000  # all 90,000 rows in one task before
