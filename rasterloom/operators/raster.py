@@ -215,6 +215,15 @@ def column_profile(df: DataFrame, rois: DataFrame, keys: list[str], value: str =
     return masked.groupBy(*keys, "roi_id", "x").agg(F.round(F.avg(value), 6).alias("mean"))
 
 
+def at_points(points: DataFrame, df: DataFrame, on: tuple[str, ...]) -> DataFrame:
+    """The pixels at points (on, x, y).
+
+    The points are shuffled: by the optimizer's estimate, which does not count what is laid out, all
+    of them would go through the driver.  An image that the caller broadcasts stays so.
+    """
+    return points.hint("merge").join(df, [*on, "x", "y"])
+
+
 def outline_profile(df: DataFrame, rois: DataFrame, keys: list[str], value: str = "val", on: tuple[str, ...] = (), closed: bool = True) -> DataFrame:
     """The profile along the polygon (roi_id, verts), or along the open line through its vertices, edge after edge; a vertex is sampled once."""
     if closed:
@@ -225,7 +234,7 @@ def outline_profile(df: DataFrame, rois: DataFrame, keys: list[str], value: str
     edges = rois.select("roi_id", *on, F.size("verts").alias("_size"), F.posexplode(F.arrays_zip(heads.alias("a"), tails.alias("b"))).alias("edge", "e"))
     edges = edges.select("roi_id", "edge", final.alias("final"), *on, *(F.col(f"e.{p}.{k}").alias(f"{p}{k}") for p in "ab" for k in "xy"))
     points = line_points(edges).filter("i < n or final").drop("n", "final")
-    return points.join(df, [*on, "x", "y"]).select(*keys, "roi_id", "edge", "i", value)
+    return at_points(points, df, on).select(*keys, "roi_id", "edge", "i", value)
 
 
 def spline(x: np.ndarray, y: np.ndarray, step: float = 1.0, fine: int = 16) -> tuple[np.ndarray, np.ndarray]:

@@ -477,3 +477,16 @@ def test_common_names_meet_once_and_their_rows_are_dealt_to_all_tasks(spark):
     assert rows == {("pkg.a", "one"): 90_000, ("pkg.b", "two"): 2, ("pkg.b", "not found: pkg.b"): 2, ("gone", "not found: gone"): 1, (None, None): 1}
     tasks = [r.n for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert max(tasks) < 30_000  # all 90,000 rows in one task before
+
+
+def joins(df):
+    """Kinds of the joins in the plan, and the side that is broadcast."""
+    return re.findall(r"(SortMergeJoin|BroadcastHashJoin|BroadcastNestedLoopJoin)[^\n]*?(BuildLeft|BuildRight|$)", df._jdf.queryExecution().executedPlan().toString(), re.M)
+
+
+def test_points_of_outlines_are_not_broadcast(spark):
+    px = view(spark, SF, "px").select("image_id", "x", "y", "val")
+    rois = view(spark, SF, "rois").select("roi_id", "image_id", R.rectangle("x0", "y0", "x1", "y1").alias("verts"))
+    assert joins(R.outline_profile(px, rois, ["image_id"], on=("image_id",))) == [("SortMergeJoin", "")]
+    asked = R.outline_profile(F.broadcast(px), rois, ["image_id"], on=("image_id",))  # as the live profile does with a small image
+    assert joins(asked) == [("BroadcastHashJoin", "BuildRight")]
