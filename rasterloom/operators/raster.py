@@ -294,7 +294,7 @@ def spline_profile(df: DataFrame, rois: DataFrame, keys: list[str], value: str =
     """
     near = lambda c: S.half_up(F.round(F.col(c), 6)).alias(c[1])
     points = spline_points(rois, on, step).select("roi_id", *on, "i", near("px"), near("py"))
-    return points.join(df, [*on, "x", "y"]).select(*keys, "roi_id", "i", value)
+    return at_points(points, df, on).select(*keys, "roi_id", "i", value)
 
 
 def profile_limits(profiles: DataFrame, keys: list[str], value: str = "val") -> DataFrame:

@@ -490,3 +490,9 @@ def test_points_of_outlines_are_not_broadcast(spark):
     assert joins(R.outline_profile(px, rois, ["image_id"], on=("image_id",))) == [("SortMergeJoin", "")]
     asked = R.outline_profile(F.broadcast(px), rois, ["image_id"], on=("image_id",))  # as the live profile does with a small image
     assert joins(asked) == [("BroadcastHashJoin", "BuildRight")]
+
+
+def test_points_of_splines_are_not_broadcast(spark):
+    px = view(spark, SF, "px").select("image_id", "x", "y", "val")
+    rois = view(spark, SF, "rois").select("roi_id", "image_id", R.rectangle("x0", "y0", "x1", "y1").alias("verts"))
+    assert joins(R.spline_profile(px, rois, ["image_id"], on=("image_id",))) == [("SortMergeJoin", "")]
