@@ -468,7 +468,8 @@ def crop_masked_stack(df: DataFrame, areas: DataFrame, layer: str, value: str =
         grid = grid.filter(f"_{n}0 < _{n}1").withColumn(n, F.explode(F.sequence(F.col(f"_{n}0"), F.col(f"_{n}1") - 1)))
     keys = list(dict.fromkeys(["roi_id", layer, *on]))
     spans = area_spans(areas.select(*keys, "rings"), keys)
-    inside = df.join(spans, list(dict.fromkeys([*on, layer, "y"]))).filter("x >= x0 and x < x1").select("roi_id", layer, "x", "y", value)
+    # spans are shuffled, as points are in at_points
+    inside = spans.hint("merge").join(df, list(dict.fromkeys([*on, layer, "y"]))).filter("x >= x0 and x < x1").select("roi_id", layer, "x", "y", value)
     return grid.select("roi_id", layer, "x", "y").join(inside, ["roi_id", layer, "x", "y"], "left").withColumn(value, F.coalesce(value, F.lit(0)))
 
 

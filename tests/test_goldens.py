@@ -496,3 +496,10 @@ def test_points_of_splines_are_not_broadcast(spark):
     px = view(spark, SF, "px").select("image_id", "x", "y", "val")
     rois = view(spark, SF, "rois").select("roi_id", "image_id", R.rectangle("x0", "y0", "x1", "y1").alias("verts"))
     assert joins(R.spline_profile(px, rois, ["image_id"], on=("image_id",))) == [("SortMergeJoin", "")]
+
+
+def test_spans_of_areas_are_not_broadcast(spark):
+    stack = view(spark, SF, "stack").select(F.col("stack_id").alias("roi_id"), F.col("t").alias("layer"), "x", "y", "val")
+    rings = F.array(R.rectangle("x0", "y0", "x1", "y1"))
+    areas = view(spark, SF, "rois").select(F.expr("roi_id div 10").alias("roi_id"), (F.col("roi_id") % 10 + 1).cast("int").alias("layer"), rings.alias("rings"))
+    assert joins(R.crop_masked_stack(stack, areas, "layer", on=("roi_id",))) == [("SortMergeJoin", "")] * 2
