@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workspace import Workspace
+from .scans import with_dimension
 
 # --- archives and dependencies
 
@@ -62,21 +63,49 @@ def direct_dependencies(files: DataFrame, edges: DataFrame) -> DataFrame:
     return files.join(edges.select(F.col("src").alias("file"), "dst"), "file", "left").select("file", F.coalesce("dst", F.lit("Not found")).alias("dependency"))
 
 
+#: Words of 64 roots in a row of the closure, and the roots that a group of them is meant to hold.
+_WORDS = 8
+_FILL = _WORDS * 56
+
+
+def _numbered_roots(roots: DataFrame) -> DataFrame:
+    """(root, _g, _at): distinct roots in groups, and their bit in it; no window holds more than about a group."""
+    roots = roots.select("root").distinct()
+    groups = max(1, -(-roots.count() // _FILL))
+    dealt = roots.withColumn("_h", F.pmod(F.xxhash64("root"), F.lit(groups)))
+    nth = F.row_number().over(Window.partitionBy("_h").orderBy("root")) - 1
+    place = dealt.withColumn("_n", nth)
+    return place.select("root", (F.col("_h") + F.lit(groups) * F.floor(F.col("_n") / (64 * _WORDS))).alias("_g"), (F.col("_n") % (64 * _WORDS)).cast("int").alias("_at"))
+
+
 def transitive_dependents(edges: DataFrame, roots: DataFrame, work: Workspace) -> DataFrame:
     """(root, file): all files that depend on each of the given (root), itself included; one frontier join a round, cycles are met once.
 
-    The edges are written once; what was reached is one table a round, so that no round runs the earlier ones again.
+    A row of the rounds is a file and a group of 512 roots, with a bit for each root that reaches it,
+    so an edge is gone along once for all roots of a group.  The edges are written once; what was
+    reached is one table a round, so that no round runs the earlier ones again.
     """
     edges = work.table(edges.select("src", F.col("dst").alias("file")), "edges")
-    frontier = work.table(roots.select("root", F.col("root").alias("file")), "front-0")
-    seen, step = frontier, 0
+    numbered = work.table(_numbered_roots(roots), "roots")
+    bits, old = [f"_b{w}" for w in range(_WORDS)], [f"_s{w}" for w in range(_WORDS)]
+    none = F.lit(0).cast("long")
+    own = [F.bit_or(F.when(F.floor(F.col("_at") / 64) == w, F.expr("shiftleft(1L, _at % 64)")).otherwise(none)).alias(b) for w, b in enumerate(bits)]
+    seen = frontier = work.table(numbered.groupBy(F.col("root").alias("file"), "_g").agg(*own), "front-0")
+    step = 0
     while True:
         step += 1
-        new = edges.join(frontier, "file").select("root", F.col("src").alias("file")).distinct()
-        frontier = work.table(new.join(seen, ["root", "file"], "left_anti"), f"front-{step}")
+        met = edges.join(frontier, "file").select(F.col("src").alias("file"), "_g", *bits, *(none.alias(s) for s in old))
+        before = seen.select("file", "_g", *(none.alias(b) for b in bits), *(F.col(b).alias(s) for b, s in zip(bits, old, strict=True)))
+        both = met.unionByName(before).groupBy("file", "_g").agg(*(F.bit_or(c).alias(c) for c in [*bits, *old]))
+        new = both.select("file", "_g", *(F.col(b).bitwiseAND(F.bitwise_not(s)).alias(b) for b, s in zip(bits, old, strict=True)))
+        frontier = work.table(new.filter(" or ".join(f"{b} <> 0" for b in bits)), f"front-{step}")
         if frontier.isEmpty():
-            return seen
+            break
         seen = seen.unionByName(frontier)
+    # what is reached in one round is not in another's table
+    held = F.expr("flatten(array(" + ", ".join(f"transform(filter(sequence(0, 63), i -> getbit({b}, i) = 1), i -> i + {64 * w})" for w, b in enumerate(bits)) + "))")
+    reached = seen.select("file", "_g", F.explode(held).alias("_at"))
+    return with_dimension(reached, numbered, ["_g", "_at"]).select("root", "file")
 
 
 def reverse_index(edges: DataFrame) -> DataFrame:

@@ -503,3 +503,25 @@ def test_spans_of_areas_are_not_broadcast(spark):
     rings = F.array(R.rectangle("x0", "y0", "x1", "y1"))
     areas = view(spark, SF, "rois").select(F.expr("roi_id div 10").alias("roi_id"), (F.col("roi_id") % 10 + 1).cast("int").alias("layer"), rings.alias("rings"))
     assert joins(R.crop_masked_stack(stack, areas, "layer", on=("roi_id",))) == [("SortMergeJoin", "")] * 2
+
+
+def test_closure_of_many_roots_goes_along_an_edge_once_a_group(spark):
+    rnd = random.Random(5)
+    names = [f"n{i}" for i in range(600)]
+    pairs = {(a, rnd.choice(names)) for a in names[:500] for _ in range(2)} | {("tail", "n0"), ("tip", "tail")}
+    up: dict = {}
+    for src, dst in pairs:
+        up.setdefault(dst, []).append(src)
+    want = set()
+    for root in names:
+        todo, met = [root], {root}
+        while todo:
+            todo = [s for f in todo for s in up.get(f, []) if s not in met and not met.add(s)]
+        want |= {(root, f) for f in met}
+    work = Workspace(spark, "t")
+    got = L.transitive_dependents(spark.createDataFrame(sorted(pairs), "src string, dst string"), spark.createDataFrame([(n,) for n in [*names, "n1"]], "root string"), work).collect()
+    assert len(got) == len(want) and {(r.root, r.file) for r in got} == want
+    groups = spark.read.parquet(f"{work.path}/roots").select("_g").distinct().count()
+    assert groups == 2
+    for step in range(1, 4):  # a row for each root before
+        assert spark.read.parquet(f"{work.path}/front-{step}").count() <= 602 * groups
