@@ -3,12 +3,23 @@
 from __future__ import annotations
 
 import codecs
+import datetime
+import itertools
 import math
+import os
+import re
+from collections.abc import Iterator
+from functools import reduce
+from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..workspace import Workspace
+
 # --- readers
 
 
@@ -52,9 +63,57 @@ def read_luts(spark: SparkSession, path: str) -> DataFrame:
     return out.select(F.expr("substring(file, 1, length(file) - 4)").alias("lut"), "path", "idx", level(0).alias("r"), level(1).alias("g"), level(2).alias("b"))
 
 
+#: Rows of a listing that one Arrow batch holds.
+LISTED_ROWS = 8192
+
+
+def _entries(folder: str) -> Iterator[tuple[str, bool, int, datetime.datetime]]:
+    """(path, whether it is a folder, length, modification time) of what is in a folder; names that begin with . or _ are passed over.
+
+    A local folder is read entry by entry; of any other store pyarrow holds one folder's entries at a time.
+    """
+    folder = folder.rstrip("/")
+    if folder.startswith(("file:", "/")):
+        root = re.sub("^(file:)?/+", "/", folder)
+        with os.scandir(root) as found:
+            for e in found:
+                if e.name[0] not in "._":
+                    known = e.stat()
+                    yield f"file:{root}/{e.name}", e.is_dir(), known.st_size, datetime.datetime.fromtimestamp(known.st_mtime, datetime.UTC)
+        return
+    scheme, rest = folder.split("://", 1)
+    store, root = pafs.FileSystem.from_uri(f"{scheme}://{quote(rest)}")  # Spark's paths are not escaped
+    head = folder.removesuffix(root)
+    for f in store.get_file_info(pafs.FileSelector(root)):
+        if f.base_name[0] not in "._":
+            yield head + f.path, f.type == pafs.FileType.Directory, f.size or 0, f.mtime or datetime.datetime.fromtimestamp(0, datetime.UTC)
+
+
+def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.string(), pa.bool_(), pa.int64(), pa.timestamp("us", "UTC"))
+    for batch in batches:
+        for folder in batch.column("path").to_pylist():
+            entries = _entries(folder)
+            while rows := list(itertools.islice(entries, LISTED_ROWS)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "folder", "length", "modificationTime"])
+
+
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, modificationTime) of all files below a folder; each folder is listed by a task, and no name goes to the driver."""
+    work = Workspace(spark, "listing")
+    level, tables = spark.createDataFrame([(path,)], "path string"), []
+    while True:
+        found = level.mapInArrow(_list_folders, "path string, folder boolean, length long, modificationTime timestamp")
+        tables.append(work.table(found, f"level-{len(tables)}"))
+        folders = tables[-1].filter("folder").select("path")
+        if folders.isEmpty():
+            return reduce(DataFrame.unionByName, tables).filter("not folder").drop("folder")
+        level = folders.repartition("path")
+
+
 def list_files(spark: SparkSession, path: str, suffixes: list[str]) -> DataFrame:
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
-    return found.filter(F.lower("path").rlike("(" + "|".join(s.replace(".", "[.]") for s in suffixes) + ")$"))
+    """(path, length, modificationTime) of the files below a folder whose names end in one of the suffixes, in any case."""
+    return listed(spark, path).filter(F.lower("path").rlike("(" + "|".join(s.replace(".", "[.]") for s in suffixes) + ")$"))
 
 
 def read_commit_log(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:

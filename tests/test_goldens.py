@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 
@@ -525,3 +526,17 @@ def test_closure_of_many_roots_goes_along_an_edge_once_a_group(spark):
     assert groups == 2
     for step in range(1, 4):  # a row for each root before
         assert spark.read.parquet(f"{work.path}/front-{step}").count() <= 602 * groups
+
+
+def test_files_are_listed_by_tasks(spark, tmp_path):
+    for name in ("a b/c%20d.JPG", "a b/deep/e.jpg", "a b/_no/f.jpg", "a b/.g.jpg", "h.txt", "i.jpg", "_SUCCESS"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * len(name))
+    os.utime(tmp_path / "i.jpg", (1_700_000_000.25,) * 2)
+    plain = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path)).select("path", "length", "modificationTime")
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        found = files.list_files(spark, root, [".jpg"])
+        assert sorted(found.select("path", "length").collect()) == sorted(plain.filter("lower(path) like '%.jpg'").select("path", "length").collect())
+        assert found.filter("path like '%i.jpg'").first().modificationTime == plain.filter("path like '%i.jpg'").first().modificationTime
+        assert found.count() == 3 and files.list_files(spark, root, [".txt"]).count() == 1
+        assert not any("i.jpg" in f for f in found.inputFiles())  # the driver held each file's name before
